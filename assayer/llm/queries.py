@@ -2,10 +2,15 @@
 
 from __future__ import annotations
 
-from . import bpe
+from . import bpe, decontaminate, line_dedup
 from .common import documents
 
 QUERIES = {
     "op1_bpe": lambda spark, sf_dir: bpe.round_trip(documents(spark, sf_dir)),
+    "op8_line_dedup": lambda spark, sf_dir: line_dedup.line_report(documents(spark, sf_dir)),
+    "op9_decontaminate": lambda spark, sf_dir: decontaminate.report(documents(spark, sf_dir), spark.read.parquet(f"{sf_dir}/benchmark.parquet")),
+}
+ORACLES = {
+    "op8_line_dedup": line_dedup.ORACLE,
+    "op9_decontaminate": decontaminate.ORACLE,
 }
-ORACLES: dict[str, str] = {}
