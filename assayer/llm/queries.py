@@ -2,13 +2,34 @@
 
 from __future__ import annotations
 
-from . import bpe, decontaminate, line_dedup
-from .common import documents
+from pyspark.sql import DataFrame, SparkSession
+from pyspark.sql import functions as F
+
+from . import bpe, decontaminate, gif, langid, licenses, line_dedup, toxicity
+from .common import crc_remainder, documents
+
+
+def toxic(spark: SparkSession, sf_dir: str) -> DataFrame:
+    docs = documents(spark, sf_dir)
+    labels = spark.read.parquet(f"{sf_dir}/labels.parquet")
+    model = toxicity.train(docs, labels.filter(crc_remainder("doc_id", 3) != 1))
+    return toxicity.score(docs, model).withColumn("held_out", F.coalesce(crc_remainder("doc_id", 3) == 1, F.lit(False)))
+
+
+def language(spark: SparkSession, sf_dir: str) -> DataFrame:
+    docs = documents(spark, sf_dir)
+    model = langid.train(docs.filter(crc_remainder("doc_id", 5) != 0))
+    return langid.identify(docs, model).withColumn("held_out", F.coalesce(crc_remainder("doc_id", 5) == 0, F.lit(False)))
+
 
 QUERIES = {
     "op1_bpe": lambda spark, sf_dir: bpe.round_trip(documents(spark, sf_dir)),
+    "op3_licenses": lambda spark, sf_dir: licenses.scan(documents(spark, sf_dir)).drop("detections"),
+    "op6_gif": lambda spark, sf_dir: gif.report(documents(spark, sf_dir)),
+    "op7_toxicity": toxic,
     "op8_line_dedup": lambda spark, sf_dir: line_dedup.line_report(documents(spark, sf_dir)),
     "op9_decontaminate": lambda spark, sf_dir: decontaminate.report(documents(spark, sf_dir), spark.read.parquet(f"{sf_dir}/benchmark.parquet")),
+    "op10_langid": language,
 }
 ORACLES = {
     "op8_line_dedup": line_dedup.ORACLE,
