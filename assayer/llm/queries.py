@@ -5,7 +5,7 @@ from __future__ import annotations
 from pyspark.sql import DataFrame, SparkSession
 from pyspark.sql import functions as F
 
-from . import bpe, decontaminate, gif, langid, licenses, line_dedup, toxicity
+from . import bpe, decontaminate, gif, langid, licenses, line_dedup, ppm, toxicity
 from .common import crc_remainder, documents
 
 
@@ -22,8 +22,14 @@ def language(spark: SparkSession, sf_dir: str) -> DataFrame:
     return langid.identify(docs, model).withColumn("held_out", F.coalesce(crc_remainder("doc_id", 5) == 0, F.lit(False)))
 
 
+def language_model(spark: SparkSession, sf_dir: str) -> DataFrame:
+    scored = ppm.score(documents(spark, sf_dir), crc_remainder("doc_id", 10) != 0)
+    return scored.withColumn("held_out", F.coalesce(crc_remainder("doc_id", 10) == 0, F.lit(False))).drop("training")
+
+
 QUERIES = {
     "op1_bpe": lambda spark, sf_dir: bpe.round_trip(documents(spark, sf_dir)),
+    "op2_ppm": language_model,
     "op3_licenses": lambda spark, sf_dir: licenses.scan(documents(spark, sf_dir)).drop("detections"),
     "op6_gif": lambda spark, sf_dir: gif.report(documents(spark, sf_dir)),
     "op7_toxicity": toxic,
