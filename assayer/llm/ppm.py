@@ -28,7 +28,7 @@ from pyspark.sql import functions as F
 
 from .common import Words, mix, slices, stored
 
-ORDER = 4
+ORDER = 5
 BLOCK_GRAMS = 4_000_000
 HOT_SHARE = 1 << 20
 END = 0xFF
