@@ -5,7 +5,7 @@ from __future__ import annotations
 from pyspark.sql import DataFrame, SparkSession
 from pyspark.sql import functions as F
 
-from . import bpe, decontaminate, gif, langid, licenses, line_dedup, ppm, substring, toxicity
+from . import bpe, decontaminate, gif, jaccard, langid, licenses, line_dedup, ppm, substring, toxicity
 from .common import crc_remainder, documents
 
 
@@ -31,6 +31,7 @@ QUERIES = {
     "op1_bpe": lambda spark, sf_dir: bpe.round_trip(documents(spark, sf_dir)),
     "op2_ppm": language_model,
     "op3_licenses": lambda spark, sf_dir: licenses.scan(documents(spark, sf_dir)).drop("detections"),
+    "op4_jaccard": lambda spark, sf_dir: jaccard.join(documents(spark, sf_dir)),
     "op5_substring": lambda spark, sf_dir: substring.report(documents(spark, sf_dir)),
     "op6_gif": lambda spark, sf_dir: gif.report(documents(spark, sf_dir)),
     "op7_toxicity": toxic,

@@ -1,15 +1,55 @@
-"""The training-data pipeline; see run()."""
+"""The training-data pipeline: five stages from raw documents to token ids.
+
+1. language: documents without a language (no letter in the text, or no text) go.
+2. lines: later occurrences of three-line windows are cut out; documents with nothing left go.
+3. near_copies: of each group of documents linked by shingle similarity, the one with the smallest id stays.
+4. benchmark: documents that hold a benchmark item, or nearly, go.
+5. tokens: the ids of each text that is left.
+
+Each stage takes and, but for the last, returns the columns of documents; its result is written as Parquet in the shared
+folder and read again. Other columns pass through unchanged, n_chars follows the text. Rows with a null doc_id stay in
+stage 3, as they belong to no group; rows alike in id and text share each decision.
+"""
 
 from __future__ import annotations
 
 from pyspark.sql import DataFrame, SparkSession
+from pyspark.sql import functions as F
+
+from assayer.llm import bpe, decontaminate, jaccard, langid, line_dedup
+from assayer.llm.common import crc_remainder, stored
+
+
+def language(spark: SparkSession, docs: DataFrame, sf_dir: str) -> DataFrame:
+    model = langid.train(docs.filter(crc_remainder("doc_id", 5) != 0))
+    told = langid.identify(docs, model, keep=True)
+    return told.filter("lang_pred <> 'und'").select(docs.columns)
+
+
+def lines(spark: SparkSession, docs: DataFrame, sf_dir: str) -> DataFrame:
+    return line_dedup.line_dedup(docs).filter("text <> ''")
+
+
+def near_copies(spark: SparkSession, docs: DataFrame, sf_dir: str) -> DataFrame:
+    gone = jaccard.join(docs).filter("component_id <> doc_id").select("doc_id").distinct()
+    return docs.join(gone, "doc_id", "left_anti").select(docs.columns)
+
+
+def benchmark(spark: SparkSession, docs: DataFrame, sf_dir: str) -> DataFrame:
+    return decontaminate.clean(docs, spark.read.parquet(f"{sf_dir}/benchmark.parquet"))
+
+
+def tokens(spark: SparkSession, docs: DataFrame, sf_dir: str) -> DataFrame:
+    return bpe.encode(docs).select("doc_id", F.size("ids").cast("long").alias("n_tokens"), "ids")
+
 
-STAGES: list = []
+STAGES = [("language", language), ("lines", lines), ("near_copies", near_copies), ("benchmark", benchmark), ("tokens", tokens)]
+#: Kernels, components and byte-pair merges have no SQL form; tests/llm/test_pipeline.py has the brute-force one.
 ORACLE_SQL: str | None = None
 
 
 def run(spark: SparkSession, sf_dir: str) -> DataFrame:
     docs = spark.read.parquet(f"{sf_dir}/documents.parquet")
-    for _, stage in STAGES:
-        docs = stage(spark, docs, sf_dir)
+    for name, stage in STAGES:
+        docs = stored(stage(spark, docs, sf_dir), name)
     return docs
