@@ -1,6 +1,480 @@
-"""All queries by name, and for each the DuckDB SQL that gives the same rows."""
+"""All queries by name, and for each the DuckDB SQL that gives the same rows where SQL can."""
 
 from __future__ import annotations
 
+from pyspark.sql import DataFrame, SparkSession
+from pyspark.sql import functions as F
+
+from ..functions import citations, text
+from ..functions.numeric import py_round
+from ..operators import answering, chunking, embedding, evaluation, lab, reports, retrieval
+from ..sources import regression_set, uploads
+from ..streaming.landing import latency_windows
+
 QUERIES: dict = {}
 ORACLES: dict[str, str] = {}
+
+
+def query(name: str, sql: str | None = None):
+    def put(f):
+        QUERIES[name] = f
+        if sql is not None:
+            ORACLES[name] = sql
+        return f
+
+    return put
+
+
+def read(spark: SparkSession, sf_dir: str, table: str) -> DataFrame:
+    return spark.read.parquet(f"{sf_dir}/{table}.parquet")
+
+
+def r(x: str, digits: int = 4) -> str:
+    """SQL for rounding the exact binary value."""
+    return f"(printf('%.{digits}f', ({x})::DOUBLE)::DOUBLE + 0.0)"
+
+
+STOP = ", ".join(f"'{w}'" for w in text.STOP_WORDS)
+
+
+def tok(c: str) -> str:
+    return f"list_filter(list_transform(regexp_extract_all({c}, '[a-zA-Z0-9]+'), lambda t: lower(t)), lambda t: t NOT IN ({STOP}))"
+
+
+# ---- sources, identity, text -------------------------------------------------------------------------------------
+
+
+@query("doc_identity", "SELECT doc_id, sha256(text) AS document_hash, doc_id = min(doc_id) OVER w AS is_first, count(*) OVER w AS copies FROM documents WINDOW w AS (PARTITION BY sha256(text))")
+def doc_identity(spark, sf_dir):
+    rows = read(spark, sf_dir, "documents").select("doc_id", F.sha2(F.col("text").cast("binary"), 256).alias("document_hash"))
+    first = rows.groupBy("document_hash").agg(F.min("doc_id").alias("first"), F.count("*").alias("copies"))
+    return rows.join(first, "document_hash").select("doc_id", "document_hash", (F.col("doc_id") == F.col("first")).alias("is_first"), "copies")
+
+
+NAME_SQL = r"coalesce(nullif(substr(regexp_replace(trim(list_last(string_split(regexp_replace(replace(url, chr(92), '/'), '(/\.?)+$', ''), '/'))), '[^A-Za-z0-9._ -]+', '_', 'g'), 1, 160), ''), 'document')"
+
+
+@query("filename_sanitize", rf"SELECT page_id, {NAME_SQL} AS safe_name, lower(regexp_extract({NAME_SQL}, '^.+(\.[^.]+)$', 1)) AS extension FROM pages")
+def filename_sanitize(spark, sf_dir):
+    name = uploads.sanitize_filename(F.col("url"))
+    return read(spark, sf_dir, "pages").select("page_id", name.alias("safe_name"), uploads.extension(name).alias("extension"))
+
+
+@query("upload_check", r"""SELECT page_id, CASE WHEN page_id % 5 = 0 THEN 'unsupported_type' WHEN strlen(html) = 0 THEN 'empty' WHEN strlen(html) > 2000 THEN 'too_large' WHEN contains(html, chr(0)) THEN 'binary_text' END AS error_code FROM pages""")
+def upload_check(spark, sf_dir):
+    name = F.concat(F.lit("page."), F.when(F.col("page_id") % 5 == 0, "html").otherwise("md"))
+    return read(spark, sf_dir, "pages").select("page_id", uploads.upload_error(name, F.col("html").cast("binary"), 2000).alias("error_code"))
+
+
+@query("formula_guard", r"SELECT doc_id, sha256(CASE WHEN regexp_matches(text, '^\s*[=+\-@]') THEN '''' || text ELSE text END) AS guarded_sha256 FROM documents")
+def formula_guard(spark, sf_dir):
+    return read(spark, sf_dir, "documents").select("doc_id", F.sha2(uploads.guard_formula(F.col("text")).cast("binary"), 256).alias("guarded_sha256"))
+
+
+NORMAL_SQL = r"trim(regexp_replace(regexp_replace(regexp_replace(text, '[\t\r ]+', ' ', 'g'), '(?m)^ +| +$', '', 'g'), '\n{3,}', chr(10) || chr(10), 'g'), ' ' || chr(10))"
+
+
+@query("normalize_text", f"SELECT doc_id, length(x) AS n_chars, sha256(x) AS text_sha256 FROM (SELECT doc_id, {NORMAL_SQL} AS x FROM documents)")
+def normalize_text(spark, sf_dir):
+    x = read(spark, sf_dir, "documents").select("doc_id", text.normalize_text(F.col("text")).alias("x"))
+    return x.select("doc_id", F.length("x").cast("long").alias("n_chars"), F.sha2(F.col("x").cast("binary"), 256).alias("text_sha256"))
+
+
+UNITS_SQL = r"list_filter(list_transform(string_split(regexp_replace(replace(text, chr(10) || chr(10), chr(1)), '([.!?])\s+', '\1' || chr(1), 'g'), chr(1)), lambda u: regexp_replace(u, '^\s+|\s+$', '', 'g')), lambda u: u <> '')"
+
+
+@query("sentence_units", f"SELECT doc_id, len(u) AS n_units, sha256(array_to_string(u, chr(1))) AS units_sha256 FROM (SELECT doc_id, {UNITS_SQL} AS u FROM documents)")
+def sentence_units(spark, sf_dir):
+    u = read(spark, sf_dir, "documents").select("doc_id", text.units(F.col("text")).alias("u"))
+    return u.select("doc_id", F.size("u").cast("long").alias("n_units"), F.sha2(F.array_join("u", "\x01").cast("binary"), 256).alias("units_sha256"))
+
+
+def doc_pages(spark, sf_dir) -> DataFrame:
+    """Documents as parsed pages: the name is the id's."""
+    d = read(spark, sf_dir, "documents")
+    return d.select("doc_id", F.sha2(F.col("text").cast("binary"), 256).alias("document_hash"), F.concat(F.lit("doc-"), F.col("doc_id").cast("string"), F.lit(".txt")).alias("source_doc"), F.lit(1).alias("page_number"), "text")
+
+
+@query("chunk_greedy")
+def chunk_greedy(spark, sf_dir):
+    return chunking.chunk_pages(doc_pages(spark, sf_dir), keep=["doc_id"])
+
+
+@query("ingest_manifest")
+def ingest_manifest(spark, sf_dir):
+    pages = doc_pages(spark, sf_dir).withColumns({"warnings": F.array().cast("array<string>"), "error_code": F.lit(None).cast("string")})
+    return chunking.manifest(pages, chunking.chunk_pages(pages))
+
+
+@query("session_admission")
+def session_admission(spark, sf_dir):
+    turns = read(spark, sf_dir, "conversations").select("conv_id", "turn", (1 + F.length("text") / 100).cast("long").alias("chunks"))
+    return chunking.admit(turns, 12, session="conv_id", order="turn")
+
+
+@query("upsert_latest", "SELECT doc_id AS chunk_id, CASE WHEN doc_id % 7 = 0 THEN n_chars + 1 ELSE n_chars END AS n_chars FROM documents")
+def upsert_latest(spark, sf_dir):
+    old = read(spark, sf_dir, "documents").select(F.col("doc_id").alias("chunk_id"), "n_chars")
+    new = old.filter("chunk_id % 7 = 0")
+    both = new.withColumn("seq", F.lit(1)).unionByName(new.select("chunk_id", (F.col("n_chars") + 1).alias("n_chars"), F.lit(2).alias("seq")))
+    return chunking.upsert(old, both)
+
+
+@query("document_names", "SELECT DISTINCT source AS source_doc FROM documents")
+def document_names(spark, sf_dir):
+    return read(spark, sf_dir, "documents").select(F.col("source").alias("source_doc")).distinct().orderBy(F.lower("source_doc"), "source_doc")
+
+
+# ---- retrieval ---------------------------------------------------------------------------------------------------
+
+
+def questions(spark, sf_dir) -> DataFrame:
+    return read(spark, sf_dir, "benchmark").select(F.col("item_id").alias("query_id"), F.col("text").alias("query"))
+
+
+def doc_chunks(spark, sf_dir) -> DataFrame:
+    return read(spark, sf_dir, "documents").select(F.col("doc_id").alias("chunk_id"), "text")
+
+
+TF_SQL = f"""dt AS (SELECT doc_id AS chunk_id, {tok('text')} AS tokens FROM documents),
+tf AS (SELECT chunk_id, len(tokens) AS length, term, count(*) AS tf FROM (SELECT chunk_id, tokens, unnest(tokens) AS term FROM dt) GROUP BY chunk_id, length, term)"""
+
+
+@query("term_stats", f"WITH {TF_SQL} SELECT term, count(*) AS df, sum(tf)::BIGINT AS total_tf FROM tf GROUP BY term")
+def term_stats(spark, sf_dir):
+    return retrieval.term_stats(doc_chunks(spark, sf_dir))
+
+
+def lexical_sql(k: int) -> str:
+    return f"""{TF_SQL},
+qt AS (SELECT query_id, term, count(*) AS qtf FROM (SELECT item_id AS query_id, unnest({tok('text')}) AS term FROM benchmark) GROUP BY query_id, term),
+st AS (SELECT count(*) AS n, greatest(1.0, avg(len(tokens))) AS mean_length FROM dt),
+dfs AS (SELECT term, count(*) AS df FROM tf GROUP BY term),
+raw AS (SELECT query_id, chunk_id, sum(qtf * ln(1 + (n - df + 0.5) / (df + 0.5)) * tf * 2.5 / greatest(tf + 1.5 * (1 - 0.75 + 0.75 * length / mean_length), 1e-12)) AS raw FROM qt JOIN tf USING (term) JOIN dfs USING (term), st GROUP BY query_id, chunk_id),
+sc AS (SELECT query_id, chunk_id, {r('raw / max(raw) OVER (PARTITION BY query_id)', 6)} AS score FROM raw),
+al AS (SELECT q.item_id AS query_id, d.doc_id AS chunk_id, coalesce(sc.score, 0.0) AS score FROM benchmark q CROSS JOIN documents d LEFT JOIN sc ON sc.query_id = q.item_id AND sc.chunk_id = d.doc_id),
+lex AS (SELECT query_id, chunk_id, {r('score')} AS lexical_score, row_number() OVER (PARTITION BY query_id ORDER BY score DESC, chunk_id)::INTEGER AS rank FROM al QUALIFY rank <= {k})"""
+
+
+@query("bm25_topk", f"WITH {lexical_sql(10)} SELECT * FROM lex")
+def bm25_topk(spark, sf_dir):
+    return retrieval.lexical_topk(questions(spark, sf_dir), doc_chunks(spark, sf_dir), 10)
+
+
+@query("coverage_phrase", f"""WITH {lexical_sql(10)},
+p AS (SELECT lex.query_id, lex.chunk_id, {tok('q.text')} AS qt, {tok('d.text')} AS dt FROM lex JOIN benchmark q ON q.item_id = lex.query_id JOIN documents d ON d.doc_id = lex.chunk_id)
+SELECT query_id, chunk_id, CASE WHEN len(qt) = 0 THEN 0.0 ELSE len(list_intersect(list_distinct(qt), list_distinct(dt)))::DOUBLE / len(list_distinct(qt)) END AS coverage,
+CASE WHEN length(array_to_string(qt, ' ')) >= 5 AND contains(array_to_string(dt, ' '), array_to_string(qt, ' ')) THEN 1.0::DOUBLE ELSE 0.0::DOUBLE END AS phrase FROM p""")
+def coverage_phrase(spark, sf_dir):
+    q, d = questions(spark, sf_dir), doc_chunks(spark, sf_dir)
+    pairs = retrieval.lexical_topk(q, d, 10).join(d, "chunk_id").join(q, "query_id")
+    return pairs.select("query_id", "chunk_id", text.coverage(F.col("query"), F.col("text")).alias("coverage"), text.phrase_bonus(F.col("query"), F.col("text")).alias("phrase"))
+
+
+def vector_queries(spark, sf_dir) -> DataFrame:
+    """The fixed query set: every vector whose id is divisible by 100."""
+    return read(spark, sf_dir, "embeddings").filter("vec_id % 100 = 0").select(F.col("vec_id").alias("query_id"), F.col("embedding").alias("vec"))
+
+
+def vector_chunks(spark, sf_dir) -> DataFrame:
+    return read(spark, sf_dir, "embeddings").select(F.col("vec_id").alias("chunk_id"), F.col("embedding").alias("vec"), F.col("label").cast("string").alias("source_doc"))
+
+
+def dense_sql(k: int) -> str:
+    return f"""sims AS (SELECT q.vec_id AS query_id, e.vec_id AS chunk_id, {r('list_cosine_similarity(q.embedding::DOUBLE[], e.embedding::DOUBLE[])')} AS dense_score FROM embeddings q, embeddings e WHERE q.vec_id % 100 = 0),
+dense AS (SELECT *, row_number() OVER (PARTITION BY query_id ORDER BY dense_score DESC, chunk_id)::INTEGER AS rank FROM sims QUALIFY rank <= {k})"""
+
+
+@query("dense_topk", f"WITH {dense_sql(10)} SELECT query_id, chunk_id, dense_score, rank FROM dense")
+def dense_topk(spark, sf_dir):
+    return retrieval.dense_topk(vector_queries(spark, sf_dir), vector_chunks(spark, sf_dir), 10)
+
+
+HASHED_SQL = """{n}t AS (SELECT {id} AS id, (('0x' || substr(md5(lower(t)), 1, 4))::BIGINT % 64) AS i, count(*) AS c FROM (SELECT {id}, unnest(regexp_extract_all(text, '[a-zA-Z0-9]+')) AS t FROM {n}) GROUP BY 1, 2),
+{n}n AS (SELECT id, sqrt(sum(c * c)) AS norm FROM {n}t GROUP BY id)"""
+
+
+@query("hybrid_topk", f"""WITH {lexical_sql(40)}, {HASHED_SQL.format(n='documents', id='doc_id')}, {HASHED_SQL.format(n='benchmark', id='item_id')},
+dots AS (SELECT q.id AS query_id, d.id AS chunk_id, sum(q.c * d.c) AS dot FROM benchmarkt q JOIN documentst d ON q.i = d.i GROUP BY 1, 2),
+al2 AS (SELECT q.item_id AS query_id, d.doc_id AS chunk_id, {r('greatest(-1, least(1, coalesce(dot / (qn.norm * dn.norm), 0.0)))')} AS dense_score FROM benchmark q CROSS JOIN documents d LEFT JOIN dots ON dots.query_id = q.item_id AND dots.chunk_id = d.doc_id LEFT JOIN benchmarkn qn ON qn.id = q.item_id LEFT JOIN documentsn dn ON dn.id = d.doc_id),
+den AS (SELECT *, row_number() OVER (PARTITION BY query_id ORDER BY dense_score DESC, chunk_id) AS rank FROM al2 QUALIFY rank <= 40),
+m AS (SELECT coalesce(den.query_id, lex.query_id) AS query_id, coalesce(den.chunk_id, lex.chunk_id) AS chunk_id, coalesce(dense_score, 0.0) AS dense_score, coalesce(lexical_score, 0.0) AS lexical_score, coalesce(1.0::DOUBLE / (60 + den.rank), 0.0) + coalesce(1.0::DOUBLE / (60 + lex.rank), 0.0) AS fused FROM den FULL JOIN lex ON den.query_id = lex.query_id AND den.chunk_id = lex.chunk_id),
+p AS (SELECT m.*, {tok('q.text')} AS qt, {tok('d.text')} AS dt FROM m JOIN benchmark q ON q.item_id = m.query_id JOIN documents d ON d.doc_id = m.chunk_id),
+f AS (SELECT query_id, chunk_id, dense_score, lexical_score, {r('''greatest(0.0, least(1.0, (1.0::DOUBLE - 0.2::DOUBLE) * (0.6::DOUBLE * greatest(0.0, dense_score) + (1.0::DOUBLE - 0.6::DOUBLE) * greatest(0.0, lexical_score)) + 0.2::DOUBLE * (0.55::DOUBLE * (CASE WHEN len(qt) = 0 THEN 0.0 ELSE len(list_intersect(list_distinct(qt), list_distinct(dt)))::DOUBLE / len(list_distinct(qt)) END) + 0.25::DOUBLE * (CASE WHEN length(array_to_string(qt, ' ')) >= 5 AND contains(array_to_string(dt, ' '), array_to_string(qt, ' ')) THEN 1.0 ELSE 0.0 END)::DOUBLE + 0.20::DOUBLE * least(1.0::DOUBLE, fused * 30.5::DOUBLE))))''', 6)} AS rerank_score FROM p)
+SELECT query_id, chunk_id, dense_score, lexical_score, rerank_score, row_number() OVER (PARTITION BY query_id ORDER BY rerank_score DESC, chunk_id)::INTEGER AS rank FROM f QUALIFY rank <= 10""")
+def hybrid_topk(spark, sf_dir):
+    q, d = questions(spark, sf_dir), doc_chunks(spark, sf_dir)
+    return retrieval.hybrid_topk(embedding.embed(q, "query"), embedding.embed(d), 10)
+
+
+# ---- gate, context, citations ------------------------------------------------------------------------------------
+
+
+@query("evidence_gate", f"""WITH {dense_sql(12)}, g AS (SELECT *, max(dense_score) OVER (PARTITION BY query_id) AS top_similarity, row_number() OVER (PARTITION BY query_id, dense_score >= 0.9 ORDER BY rank) AS k FROM dense)
+SELECT query_id, chunk_id, rank, top_similarity, top_similarity >= 0.9 AS passed, CASE WHEN top_similarity >= 0.9 THEN dense_score >= 0.9 AND k <= 4 ELSE rank <= 4 END AS shown FROM g""")
+def evidence_gate(spark, sf_dir):
+    found = retrieval.retrieve(vector_queries(spark, sf_dir), vector_chunks(spark, sf_dir), 12)
+    return answering.gate(found, 0.9, 4).select("query_id", "chunk_id", "rank", "top_similarity", "passed", "shown")
+
+
+@query("context_pack", f"""WITH RECURSIVE {lexical_sql(6)},
+b AS (SELECT query_id, chunk_id, rank AS position, '<EVIDENCE id="S' || rank || '" document="doc-' || chunk_id || '" page="1" score="' || printf('%.3f', lexical_score) || '">' || chr(10) AS head, d.text FROM lex JOIN documents d ON d.doc_id = chunk_id),
+c AS (SELECT query_id, chunk_id, position, head || (CASE WHEN position = 1 THEN left(text, greatest(0, 6000 - length(head) - 12)) ELSE text END) || chr(10) || '</EVIDENCE>' AS block FROM b),
+u AS (SELECT *, sum(length(block) + CASE WHEN position > 1 THEN 2 ELSE 0 END) OVER (PARTITION BY query_id ORDER BY position) AS used FROM c)
+SELECT query_id, chunk_id, position, sha256(block) AS block_sha256 FROM u WHERE used <= 6000""")
+def context_pack(spark, sf_dir):
+    d = doc_chunks(spark, sf_dir)
+    found = retrieval.retrieve(questions(spark, sf_dir), d, 6, "lexical").join(d, "chunk_id").withColumns({"source_doc": F.concat(F.lit("doc-"), F.col("chunk_id").cast("string")), "page_number": F.lit(1)})
+    return answering.pack_context(found, 6000).select("query_id", "chunk_id", "position", F.sha2(F.col("block").cast("binary"), 256).alias("block_sha256"))
+
+
+@query("history_window", "SELECT conv_id, turn, coalesce(string_agg(role || ': ' || left(text, 800), chr(10)) OVER (PARTITION BY conv_id ORDER BY turn ROWS BETWEEN 3 PRECEDING AND 1 PRECEDING), '') AS history FROM conversations")
+def history_window(spark, sf_dir):
+    return answering.history_text(read(spark, sf_dir, "conversations")).select("conv_id", "turn", "history")
+
+
+SAID_SQL = "text || ' [S' || (turn + 1) || ', source 2]' || chr(10) || '- one more short claim 【S3】 [not one] [S4 and S5].'"
+
+
+def said(spark, sf_dir) -> DataFrame:
+    x = F.concat("text", F.lit(" [S"), (F.col("turn") + 1).cast("string"), F.lit(", source 2]\n- one more short claim 【S3】 [not one] [S4 and S5]."))
+    return read(spark, sf_dir, "conversations").select("conv_id", "turn", x.alias("said"))
+
+
+@query("citation_ids", f"""WITH s AS (SELECT conv_id, turn, replace(replace({SAID_SQL}, '【', '['), '】', ']') AS x FROM conversations),
+g AS (SELECT conv_id, turn, list_filter(regexp_extract_all(x, '\\[[^\\]\\r\\n]{{1,80}}\\]'), lambda g: regexp_matches(g, '(?i)^\\[\\s*(?:S|Source)\\s*\\d+(?:\\s*(?:,|;|&|\\band\\b)\\s*(?:S|Source)\\s*\\d+)*\\s*\\]$')) AS gs FROM s)
+SELECT conv_id, turn, array_to_string(flatten(list_transform(gs, lambda g: regexp_extract_all(g, '(?i)\\b(?:S|Source)\\s*(\\d+)\\b', 1))), ',') AS ids FROM g""")
+def citation_ids(spark, sf_dir):
+    return said(spark, sf_dir).select("conv_id", "turn", F.array_join(citations.cited_ids(F.col("said")), ",").alias("ids"))
+
+
+@query("citation_canonical", """SELECT conv_id, turn, sha256(text || ' [S' || (turn + 1) || '] [S2]' || chr(10) || '- one more short claim [S3] [not one] [S4] [S5].') AS canonical_sha256 FROM conversations""")
+def citation_canonical(spark, sf_dir):
+    return said(spark, sf_dir).select("conv_id", "turn", F.sha2(citations.canonical(F.col("said")).cast("binary"), 256).alias("canonical_sha256"))
+
+
+@query("claim_coverage")
+def claim_coverage(spark, sf_dir):
+    x = F.col("said")
+    return said(spark, sf_dir).select("conv_id", "turn", citations.claim_coverage(x).alias("coverage"), citations.citation_validity(x, F.lit(4)).alias("validity"))
+
+
+def _answers(spark, sf_dir, threshold=0.05):
+    q, pages = questions(spark, sf_dir), doc_pages(spark, sf_dir)
+    # Chunk ids follow the content: of documents alike in content the first is indexed.
+    first = pages.groupBy("document_hash").agg(F.min("doc_id").alias("doc_id"))
+    chunks = chunking.chunk_pages(pages.join(first, ["document_hash", "doc_id"], "left_semi"))
+    found = retrieval.retrieve(q, chunks, 12, "lexical")
+    return answering.answer(q, found, chunks, answering.Extractive(), threshold)
+
+
+@query("answer_traces")
+def answer_traces(spark, sf_dir):
+    return reports.trace_view(_answers(spark, sf_dir))
+
+
+@query("answer_reports")
+def answer_reports(spark, sf_dir):
+    return reports.report_markdown(_answers(spark, sf_dir))
+
+
+# ---- labelled metrics --------------------------------------------------------------------------------------------
+
+CLEAN_SQL = r"regexp_replace(lower(trim(regexp_replace(regexp_replace({c}, '(?i)\[(?:S|Source)\s*\d+(?:\s*(?:,|;|&|and)\s*(?:S|Source)\s*\d+)*\]', ' ', 'g'), '(?m)^\s*(?:[-*+]\s+|\d+[.)]\s+)', '', 'g'), ' ' || chr(9) || chr(10) || chr(13))), '\s+', ' ', 'g')"
+
+
+@query("token_f1", f"""WITH p AS (SELECT conv_id, turn, {CLEAN_SQL.format(c='text')} AS b, {CLEAN_SQL.format(c='prev')} AS a FROM (SELECT *, lag(text) OVER (PARTITION BY conv_id ORDER BY turn) AS prev FROM conversations) WHERE prev IS NOT NULL),
+x AS (SELECT conv_id, turn, t, count(*) AS n FROM (SELECT conv_id, turn, unnest(regexp_extract_all(a, '[a-z0-9]+')) AS t FROM p) GROUP BY ALL),
+y AS (SELECT conv_id, turn, t, count(*) AS n FROM (SELECT conv_id, turn, unnest(regexp_extract_all(b, '[a-z0-9]+')) AS t FROM p) GROUP BY ALL),
+c AS (SELECT x.conv_id, x.turn, sum(least(x.n, y.n)) AS bth FROM x JOIN y ON x.conv_id = y.conv_id AND x.turn = y.turn AND x.t = y.t GROUP BY ALL)
+SELECT p.conv_id, p.turn, CASE WHEN na = 0 AND nb = 0 THEN 1.0::DOUBLE WHEN na = 0 OR nb = 0 OR bth IS NULL THEN 0.0::DOUBLE ELSE {r('2 * (bth / na) * (bth / nb) / (bth / na + bth / nb)')} END AS token_f1, (a = b)::INTEGER::DOUBLE AS exact_match
+FROM (SELECT *, len(regexp_extract_all(a, '[a-z0-9]+'))::DOUBLE AS na, len(regexp_extract_all(b, '[a-z0-9]+'))::DOUBLE AS nb FROM p) p LEFT JOIN c ON c.conv_id = p.conv_id AND c.turn = p.turn""")
+def token_f1(spark, sf_dir):
+    from pyspark.sql import Window
+
+    rows = read(spark, sf_dir, "conversations").withColumn("prev", F.lag("text").over(Window.partitionBy("conv_id").orderBy("turn"))).filter("prev is not null")
+    a, b = F.col("prev"), F.col("text")
+    return rows.select("conv_id", "turn", evaluation.token_f1(a, b).alias("token_f1"), evaluation.exact_match(a, b).alias("exact_match"))
+
+
+def vector_gold(spark, sf_dir) -> DataFrame:
+    """Cases over the fixed query set: the neighbours wanted are those of its own label."""
+    e = read(spark, sf_dir, "embeddings").filter("vec_id % 100 = 0")
+    empty = F.array().cast("array<bigint>")
+    return e.select(F.col("vec_id").alias("case_id"), (F.col("label") % 2 == 0).alias("expected_answerable"), empty.alias("expected_chunk_ids"), F.array(F.col("label").cast("string")).alias("expected_source_docs"))
+
+
+def vector_probes(spark, sf_dir, k=8) -> DataFrame:
+    c = vector_chunks(spark, sf_dir)
+    return lab.probes(vector_gold(spark, sf_dir), retrieval.retrieve(vector_queries(spark, sf_dir), c, k), c)
+
+
+@query("retrieval_hits", f"""WITH {dense_sql(8)}, h AS (SELECT query_id, min(rank) FILTER (WHERE e.label = q.label) AS first FROM dense JOIN embeddings e ON e.vec_id = chunk_id JOIN embeddings q ON q.vec_id = query_id GROUP BY query_id)
+SELECT query_id AS case_id, CASE WHEN first IS NULL THEN 0.0::DOUBLE ELSE 1.0::DOUBLE END AS recall, CASE WHEN first IS NULL THEN 0.0::DOUBLE ELSE {r('1.0 / first')} END AS reciprocal_rank FROM h""")
+def retrieval_hits(spark, sf_dir):
+    ids = F.transform("candidates", lambda c: c["source_doc"])
+    return vector_probes(spark, sf_dir).select("case_id", evaluation.hits(F.col("expected_source_docs"), ids).alias("h")).select("case_id", "h.*")
+
+
+def sweep_sql(cells: str) -> str:
+    return f"""{dense_sql(8)}, grid AS ({cells}),
+h AS (SELECT g.seq, g.top_k, g.threshold, query_id, any_value(q.label % 2 = 0) AS e, max(dense_score) FILTER (WHERE rank = 1) >= g.threshold AS yes, min(rank) FILTER (WHERE e.label = q.label AND rank <= g.top_k AND dense_score >= g.threshold) AS first
+      FROM dense JOIN embeddings e ON e.vec_id = chunk_id JOIN embeddings q ON q.vec_id = query_id, grid g GROUP BY g.seq, g.top_k, g.threshold, query_id),
+a AS (SELECT seq, top_k, threshold, count(*) AS cases, count(first) AS found, sum(CASE WHEN first IS NULL THEN 0 ELSE ({r('1.0 / first')} * 10000)::BIGINT END) AS rr, count(*) FILTER (WHERE e AND yes) AS tp, count(*) FILTER (WHERE NOT e AND NOT yes) AS tn, count(*) FILTER (WHERE NOT e AND yes) AS fp, count(*) FILTER (WHERE e AND NOT yes) AS fn FROM h GROUP BY ALL),
+s AS (SELECT *, CASE WHEN tp + fp = 0 THEN 0.0 ELSE tp::DOUBLE / (tp + fp) END AS p, CASE WHEN tp + fn = 0 THEN 0.0 ELSE tp::DOUBLE / (tp + fn) END AS r, CASE WHEN tn + fp = 0 THEN 0.0 ELSE tn::DOUBLE / (tn + fp) END AS sp FROM a),
+o AS (SELECT 'dense' AS mode, seq, top_k, {r('threshold', 3)} AS threshold, cases, {r('found / cases')} AS retrieval_recall_at_k, {r('rr / (10000.0 * cases)')} AS mrr, tp, tn, fp, fn, {r('(tp + tn)::DOUBLE / cases')} AS answerability_accuracy, {r('p')} AS answerable_precision, {r('r')} AS answerable_recall, {r('CASE WHEN p + r = 0 THEN 0.0 ELSE 2 * p * r / (p + r) END')} AS answerable_f1, {r('(r + sp) / 2')} AS balanced_accuracy FROM s)"""
+
+
+@query("threshold_sweep", f"WITH {sweep_sql('SELECT (range - 2)::INTEGER AS seq, 4::INTEGER AS top_k, range::DOUBLE / 20 AS threshold FROM range(2, 17)')} SELECT *, row_number() OVER (ORDER BY balanced_accuracy DESC, retrieval_recall_at_k DESC, abs(threshold - 0.4::DOUBLE), seq) = 1 AS recommended FROM o")
+def threshold_sweep(spark, sf_dir):
+    return lab.threshold_sweep(vector_probes(spark, sf_dir))
+
+
+@query("retrieval_ablation", f"WITH {sweep_sql('SELECT (row_number() OVER (ORDER BY k, t) - 1)::INTEGER AS seq, k::INTEGER AS top_k, t::DOUBLE AS threshold FROM (SELECT unnest([3, 4, 6, 8]) AS k), (SELECT unnest([0.3, 0.4, 0.5]) AS t)')} SELECT * FROM o")
+def retrieval_ablation(spark, sf_dir):
+    return lab.retrieval_ablation(vector_probes(spark, sf_dir))
+
+
+CASE_SQL = f"""cases AS (SELECT d.doc_id AS case_id, quality = 1 AS expected_answerable, toxic = 0 AS predicted_answerable, (quality = 1) = (toxic = 0) AND n_chars % 3 <> 0 AS correct, (n_chars % 101) / 100.0::DOUBLE AS confidence_score,
+CASE WHEN n_chars % 11 <> 0 THEN (n_chars % 5) / 4.0::DOUBLE END AS retrieval_recall, {r('1.0::DOUBLE / (1 + n_chars % 4)')} AS reciprocal_rank, {r('(n_chars % 7) / 6.0::DOUBLE')} AS citation_f1, (n_chars % 3) / 2.0::DOUBLE AS citation_recall,
+CASE WHEN n_chars % 2 = 0 THEN (n_chars % 13) / 12.0::DOUBLE END AS answer_token_f1, CASE WHEN n_chars % 17 = 0 THEN 0.5::DOUBLE END AS rewrite_token_f1, (n_chars % 9000) / 1000.0::DOUBLE AS latency_seconds, lang, source, d.doc_id % 2 AS half FROM documents d JOIN labels l ON l.doc_id = d.doc_id)"""
+
+
+def cases(spark, sf_dir) -> DataFrame:
+    """Case evaluations derived from the labels and the texts' lengths."""
+    n = F.col("n_chars")
+    c = read(spark, sf_dir, "documents").join(read(spark, sf_dir, "labels"), "doc_id").select(
+        F.col("doc_id").alias("case_id"), (F.col("quality") == 1).alias("expected_answerable"), (F.col("toxic") == 0).alias("predicted_answerable"), (((F.col("quality") == 1) == (F.col("toxic") == 0)) & (n % 3 != 0)).alias("correct"),
+        ((n % 101) / 100).alias("confidence_score"), F.when(n % 11 != 0, (n % 5) / 4).alias("retrieval_recall"), py_round(1 / (1 + n % 4), 4).alias("reciprocal_rank"), py_round((n % 7) / 6, 4).alias("citation_f1"), ((n % 3) / 2).alias("citation_recall"),
+        F.when(n % 2 == 0, (n % 13) / 12).alias("answer_token_f1"), F.when(n % 17 == 0, F.lit(0.5)).alias("rewrite_token_f1"), ((n % 9000) / 1000).alias("latency_seconds"), F.array("lang", "source").alias("tags"), (F.col("doc_id") % 2).alias("half"),
+    )
+    wrong = evaluation.failures(F.col("expected_answerable"), F.col("predicted_answerable"), F.col("correct"), F.col("retrieval_recall"), F.col("citation_recall"), F.col("rewrite_token_f1"), F.col("answer_token_f1"), F.col("confidence_score"), F.col("latency_seconds"), 8.0)
+    null = F.lit(None).cast("double")
+    return c.withColumns({"failures": wrong, "answer_exact_match": null, "citation_precision": null})
+
+
+FAIL_SQL = """f AS (SELECT *, list_filter([CASE WHEN expected_answerable AND NOT predicted_answerable THEN 'WRONG_REFUSAL' END, CASE WHEN NOT expected_answerable AND predicted_answerable THEN 'WRONG_ANSWERABILITY' END, CASE WHEN expected_answerable AND retrieval_recall = 0 THEN 'RETRIEVAL_MISS' END,
+CASE WHEN rewrite_token_f1 < 0.8 THEN 'QUERY_REWRITE_DRIFT' END, CASE WHEN predicted_answerable AND answer_token_f1 < 0.8 THEN 'ANSWER_MISMATCH' END, CASE WHEN expected_answerable AND predicted_answerable AND citation_recall = 0 THEN 'CITATION_MISS' END, CASE WHEN citation_recall > 0 AND citation_recall < 1 THEN 'CITATION_OFF_GOLD' END,
+CASE WHEN NOT correct AND confidence_score >= 0.8 THEN 'OVERCONFIDENT_ERROR' END, CASE WHEN predicted_answerable AND correct AND confidence_score <= 0.4 THEN 'UNDERCONFIDENT_CORRECT' END, CASE WHEN latency_seconds > 8 THEN 'LATENCY_REGRESSION' END], lambda x: x IS NOT NULL) AS failures FROM cases)"""
+
+
+@query("failure_taxonomy", f"WITH {CASE_SQL}, {FAIL_SQL} SELECT case_id, array_to_string(failures, ',') AS failures FROM f")
+def failure_taxonomy(spark, sf_dir):
+    return cases(spark, sf_dir).select("case_id", F.array_join("failures", ",").alias("failures"))
+
+
+@query("failure_counts", f"WITH {CASE_SQL}, {FAIL_SQL} SELECT failure, count(*) AS count FROM (SELECT unnest(failures) AS failure FROM f) GROUP BY failure")
+def failure_counts(spark, sf_dir):
+    return reports.failure_counts(cases(spark, sf_dir))
+
+
+def mean_sql(c: str) -> str:
+    return r(f"sum(round({c} * 10000)::BIGINT) / (10000.0::DOUBLE * count({c}))")
+
+
+CONFUSION_SQL = "count(*) FILTER (WHERE expected_answerable AND predicted_answerable) AS tp, count(*) FILTER (WHERE NOT expected_answerable AND NOT predicted_answerable) AS tn, count(*) FILTER (WHERE NOT expected_answerable AND predicted_answerable) AS fp, count(*) FILTER (WHERE expected_answerable AND NOT predicted_answerable) AS fn"
+
+
+@query("confusion_refusal", f"""WITH {CASE_SQL}, c AS (SELECT {CONFUSION_SQL} FROM cases), p AS (SELECT *, CASE WHEN tn + fn = 0 THEN 0.0::DOUBLE ELSE {r('tn::DOUBLE / (tn + fn)')} END AS refusal_precision, CASE WHEN tn + fp = 0 THEN 0.0::DOUBLE ELSE {r('tn::DOUBLE / (tn + fp)')} END AS refusal_recall FROM c)
+SELECT *, CASE WHEN refusal_precision + refusal_recall = 0 THEN 0.0::DOUBLE ELSE {r('2 * refusal_precision * refusal_recall / (refusal_precision + refusal_recall)')} END AS refusal_f1 FROM p""")
+def confusion_refusal(spark, sf_dir):
+    return reports.refusal_scores(reports.confusion(cases(spark, sf_dir)))
+
+
+BIN_SQL = "least(9, floor(confidence_score * 10))::INTEGER AS bin"
+
+
+@query("calibration", f"""WITH {CASE_SQL}, b AS (SELECT {BIN_SQL}, count(*) AS n, avg(confidence_score) AS mc, avg(correct::INTEGER) AS mo, sum((confidence_score - correct::INTEGER) ** 2) AS sq FROM cases GROUP BY bin)
+SELECT {r('sum(n * abs(mo - mc)) / sum(n)')} AS ece, {r('sum(sq) / sum(n)')} AS brier_score FROM b""")
+def calibration(spark, sf_dir):
+    return reports.calibration_error(cases(spark, sf_dir))
+
+
+@query("calibration_bins", f"""WITH {CASE_SQL}, b AS (SELECT {BIN_SQL}, count(*) AS count, {r('avg(confidence_score)')} AS mean_confidence, {mean_sql('correct::INTEGER')} AS accuracy FROM cases GROUP BY bin)
+SELECT {r('bin / 10.0', 2)} AS bin_lower, {r('(bin + 1) / 10.0', 2)} AS bin_upper, count, mean_confidence, accuracy FROM b""")
+def calibration_bins(spark, sf_dir):
+    return reports.calibration_bins(cases(spark, sf_dir))
+
+
+@query("slice_metrics", f"""WITH {CASE_SQL}, s AS (SELECT *, unnest([lang, source]) AS slice FROM cases)
+SELECT slice, count(*) AS cases, {mean_sql('correct::INTEGER')} AS accuracy, {mean_sql('retrieval_recall')} AS retrieval_recall, {mean_sql('citation_f1')} AS citation_f1, {mean_sql('rewrite_token_f1')} AS rewrite_f1, {mean_sql('latency_seconds')} AS mean_latency_seconds FROM s GROUP BY slice""")
+def slice_metrics(spark, sf_dir):
+    return reports.slices(cases(spark, sf_dir))
+
+
+@query("safety_summary", f"""WITH {CASE_SQL} SELECT count(*) FILTER (WHERE lang = 'en') AS red_team_cases, {r("sum(CASE WHEN lang = 'en' AND correct THEN 10000 ELSE 0 END) / (10000.0::DOUBLE * count(*) FILTER (WHERE lang = 'en'))")} AS red_team_pass_rate,
+count(*) FILTER (WHERE lang = 'de') AS safe_refusal_cases, {r("sum(CASE WHEN lang = 'de' AND correct THEN 10000 ELSE 0 END) / (10000.0::DOUBLE * count(*) FILTER (WHERE lang = 'de'))")} AS safe_refusal_pass_rate FROM cases""")
+def safety_summary(spark, sf_dir):
+    return reports.safety_summary(cases(spark, sf_dir), {"en": "red_team", "de": "safe_refusal"})
+
+
+METRICS_SQL = f"""met AS (SELECT half, {mean_sql('correct::INTEGER')} AS overall_accuracy, {mean_sql('(expected_answerable = predicted_answerable)::INTEGER')} AS answerability_accuracy, {mean_sql('answer_token_f1')} AS answer_token_f1, {mean_sql('retrieval_recall')} AS retrieval_recall_at_k, {mean_sql('reciprocal_rank')} AS mrr,
+{mean_sql('citation_recall')} AS citation_recall, {mean_sql('citation_f1')} AS citation_f1, {mean_sql('rewrite_token_f1')} AS rewrite_token_f1, {mean_sql('latency_seconds')} AS mean_latency_seconds, {CONFUSION_SQL} FROM cases GROUP BY half),
+ref AS (SELECT *, CASE WHEN tn + fn = 0 THEN 0.0::DOUBLE ELSE {r('tn::DOUBLE / (tn + fn)')} END AS refusal_precision, CASE WHEN tn + fp = 0 THEN 0.0::DOUBLE ELSE {r('tn::DOUBLE / (tn + fp)')} END AS refusal_recall FROM met),
+cal AS (SELECT half, {r('sum(n * abs(mo - mc)) / sum(n)')} AS ece, {r('sum(sq) / sum(n)')} AS brier_score FROM (SELECT half, {BIN_SQL}, count(*) AS n, avg(confidence_score) AS mc, avg(correct::INTEGER) AS mo, sum((confidence_score - correct::INTEGER) ** 2) AS sq FROM cases WHERE predicted_answerable GROUP BY half, bin) GROUP BY half),
+wide AS (SELECT ref.* EXCLUDE (tp, tn, fp, fn), CASE WHEN refusal_precision + refusal_recall = 0 THEN 0.0::DOUBLE ELSE {r('2 * refusal_precision * refusal_recall / (refusal_precision + refusal_recall)')} END AS refusal_f1, ece, brier_score FROM ref JOIN cal ON ref.half = cal.half),
+long AS (UNPIVOT wide ON COLUMNS(* EXCLUDE half) INTO NAME metric VALUE value),
+cmp AS (SELECT b.metric, b.value AS b, c.value AS c, c.value - b.value AS d FROM long b JOIN long c ON b.metric = c.metric AND b.half = 0 AND c.half = 1)"""
+HIGHER_SQL = ", ".join(f"'{m}'" for m in lab.HIGHER)
+
+
+def halves(spark, sf_dir) -> tuple[DataFrame, DataFrame]:
+    c = cases(spark, sf_dir)
+    return tuple(reports.metrics_long(reports.run_metrics(c.filter(F.col("half") == h))) for h in (0, 1))
+
+
+@query("compare_runs", f"WITH {CASE_SQL}, {METRICS_SQL} SELECT metric, {r('b')} AS baseline, {r('c')} AS candidate, {r('d')} AS delta, CASE WHEN metric IN ({HIGHER_SQL}) THEN d < -0.02::DOUBLE ELSE d > 0.02::DOUBLE END AS regression FROM cmp")
+def compare_runs(spark, sf_dir):
+    return lab.compare_runs(*halves(spark, sf_dir))
+
+
+TOLERANCE_SQL = "CASE metric " + " ".join(f"WHEN '{k}' THEN {v}::DOUBLE" for k, v in lab.TOLERANCES.items()) + " ELSE 0.02::DOUBLE END"
+
+
+@query("regression_gate", f"""WITH {CASE_SQL}, {METRICS_SQL}, g AS (SELECT metric, {r('b')} AS baseline, {r('c')} AS candidate, {r('d')} AS delta, CASE WHEN metric IN ({HIGHER_SQL}) THEN d < 0 ELSE d > 0 END AS regression, {TOLERANCE_SQL} AS tolerance FROM cmp),
+h AS (SELECT *, CASE WHEN metric IN ({HIGHER_SQL}) THEN delta < -tolerance ELSE delta > tolerance END AS gate_failed FROM g) SELECT *, NOT bool_or(gate_failed) OVER () AS passed FROM h""")
+def regression_gate(spark, sf_dir):
+    return lab.regression_gate(*halves(spark, sf_dir))
+
+
+@query("run_metrics")
+def run_metrics(spark, sf_dir):
+    return reports.run_metrics(cases(spark, sf_dir))
+
+
+@query("efficiency", f"""SELECT {r('avg(v)')} AS mean_latency_seconds, {r('quantile_cont(v, 0.5)')} AS p50_latency_seconds, {r('quantile_cont(v, 0.95)')} AS p95_latency_seconds, {r('avg(p)', 2)} AS mean_prompt_tokens, {r('avg(c)', 2)} AS mean_completion_tokens, {r('avg(p + c)', 2)} AS mean_total_tokens, sum(p + c)::BIGINT AS total_tokens,
+{r('avg(u)', 8)} AS mean_estimated_cost_usd, {r('sum(u)', 8)} AS total_estimated_cost_usd FROM (SELECT *, {r('p / 1000000.0::DOUBLE * 0.5::DOUBLE + c / 1000000.0::DOUBLE * 1.5::DOUBLE', 8)} AS u FROM (SELECT value / 1000 AS v, user_id % 100 AS p, event_id % 50 AS c FROM events))""")
+def efficiency(spark, sf_dir):
+    e = read(spark, sf_dir, "events").select(F.col("value").alias("total_ms"), (F.col("user_id") % 100).alias("prompt_tokens"), (F.col("event_id") % 50).alias("completion_tokens"))
+    spent = py_round(F.col("prompt_tokens") / 1_000_000 * 0.5 + F.col("completion_tokens") / 1_000_000 * 1.5, 8)
+    return reports.efficiency(e.withColumns({"total_tokens": F.col("prompt_tokens") + F.col("completion_tokens"), "estimated_cost_usd": spent}))
+
+
+@query("latency_windows", f"SELECT time_bucket(INTERVAL 1 HOUR, ts) AS start, event_type, count(*) AS n, {r('avg(value)')} AS mean_value, max(value) AS max_value FROM events GROUP BY ALL")
+def windows_of_latency(spark, sf_dir):
+    return latency_windows(read(spark, sf_dir, "events")).withColumn("mean_value", py_round(F.col("mean_value"), 4))
+
+
+# ---- whole runs over the regression set --------------------------------------------------------------------------
+
+
+def full_run(spark: SparkSession, mode: str = "hybrid", threshold: float = 0.3) -> tuple[DataFrame, DataFrame]:
+    """Case evaluations and traces of the built-in cases with the extractive provider."""
+    gold = regression_set.cases(spark)
+    chunks = embedding.embed(chunking.chunk_pages(regression_set.pages(spark), 800, 100))
+    q = embedding.embed(lab.probe_queries(gold), "query")
+    found = retrieval.retrieve(q, chunks, 12, mode)
+    traces = answering.answer(q, found, chunks, answering.Extractive(), threshold).withColumnRenamed("query_id", "case_id").withColumn("total_ms", F.lit(0.0))
+    return evaluation.evaluate(gold, traces, latency_slo_seconds=8.0), traces
+
+
+@query("labelled_run")
+def labelled_run(spark, sf_dir):
+    c, _ = full_run(spark)
+    return c.withColumns({"failures": F.array_join("failures", ","), "tags": F.array_join("tags", ",")})
+
+
+@query("chunking_ablation")
+def chunking_ablation(spark, sf_dir):
+    gold = regression_set.cases(spark)
+    return lab.chunking_ablation(gold, regression_set.pages(spark), lambda df, c="text": embedding.embed(df, c), sizes=[400, 800, 1200], overlaps=[100])
