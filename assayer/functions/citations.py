@@ -47,7 +47,7 @@ def canonical(c: Column) -> Column:
 def claim_coverage(c: Column) -> Column:
     """Share of claims that carry a citation. Headings, fences and bold lines are no claims; a bullet line is one; other
     lines are cut into sentences; claims have three distinct tokens or more. 1 for a blank answer, 0 without a claim."""
-    lines = F.transform(F.split(c, "\r\n|[\n\r\x0b\f\x1c-\x1e\x85  ]"), strip)
+    lines = F.transform(F.split(c, "\r\n|[\n\r\x0b\f\x1c-\x1e\x85\u2028\u2029]"), strip)
     idle = lambda x: (x == "") | x.startswith("#") | x.startswith("```") | (x.startswith("**") & x.endswith("**"))
     cut = lambda x: F.when(x.rlike(BULLET), F.array(F.regexp_replace(x, BULLET, ""))).otherwise(F.split(x, r"(?U)(?<=[.!?])\s+|\n+"))
     claims = F.filter(F.flatten(F.transform(F.filter(lines, lambda x: ~idle(x)), cut)), lambda p: F.size(token_set(p)) >= 3)

@@ -54,7 +54,7 @@ def normalize_text(c: Column) -> Column:
     Only rows with characters outside ASCII go through Python, for Spark has no NFKC."""
     plain = F.regexp_replace(c, "\x00", "")
     plain = F.when(plain.rlike(r"\A\p{ASCII}*\z"), plain).otherwise(_compatible(plain))
-    lines = F.regexp_replace(plain, "\r\n|[\r\x0b\f\x1c-\x1e\x85  ]", "\n")
+    lines = F.regexp_replace(plain, "\r\n|[\r\x0b\f\x1c-\x1e\x85\u2028\u2029]", "\n")
     lines = F.regexp_replace(lines, r"[\t ]+", " ")
     lines = F.regexp_replace(lines, r"(?Udm)^[\s\x1f&&[^\n]]+|[\s\x1f&&[^\n]]+$", "")
     return strip(F.regexp_replace(lines, r"\n{3,}", "\n\n"))
