@@ -5,7 +5,7 @@ from __future__ import annotations
 from collections.abc import Iterator
 
 import pyarrow as pa
-from pyspark.sql import DataFrame, Window
+from pyspark.sql import Column, DataFrame, Window
 from pyspark.sql import functions as F
 
 from ..functions.text import units
@@ -103,3 +103,18 @@ def upsert(old: DataFrame, new: DataFrame, key: str = "chunk_id") -> DataFrame:
         w = Window.partitionBy(key).orderBy(F.desc("seq"))
         new = new.withColumn("_n", F.row_number().over(w)).filter("_n = 1").drop("_n", "seq")
     return old.join(new.select(key), key, "left_anti").unionByName(new)
+
+
+def collection_name(session: Column, prefix: str = "evidence_") -> Column:
+    """A session's collection: letters and digits of its id, 40 at most."""
+    return F.concat(F.lit(prefix), F.coalesce(F.nullif(F.substring(F.regexp_replace(session, "[^a-zA-Z0-9]", ""), 1, 40), F.lit("")), F.lit("session")))
+
+
+def indexed(documents: DataFrame, chunks: DataFrame) -> DataFrame:
+    """The documents (by document_hash) that have chunks."""
+    return documents.join(chunks.select("document_hash"), "document_hash", "left_semi")
+
+
+def without_collection(chunks: DataFrame, collection: str) -> DataFrame:
+    """What is left when a collection is cleared."""
+    return chunks.filter(~F.col("collection").eqNullSafe(collection))

@@ -233,6 +233,13 @@ def history_window(spark, sf_dir):
     return answering.history_text(read(spark, sf_dir, "conversations")).select("conv_id", "turn", "history")
 
 
+@query("rewrite_queries", "WITH h AS (SELECT conv_id, turn, role, text, coalesce(string_agg(role || ': ' || left(text, 800), chr(10)) OVER (PARTITION BY conv_id ORDER BY turn ROWS BETWEEN 3 PRECEDING AND 1 PRECEDING), '') AS history FROM conversations) SELECT conv_id, turn, history <> '' AS asked, false AS rewrite_failed FROM h WHERE role = 'user'")
+def rewrite_queries(spark, sf_dir):
+    turns = answering.history_text(read(spark, sf_dir, "conversations")).filter("role = 'user'").withColumnRenamed("text", "query")
+    done = answering.rewrite(turns.select("conv_id", "turn", "query", "history"), answering.LastQuestion())
+    return done.select("conv_id", "turn", (F.col("history") != "").alias("asked"), "rewrite_failed")
+
+
 SAID_SQL = "text || ' [S' || (turn + 1) || ', source 2]' || chr(10) || '- one more short claim 【S3】 [not one] [S4 and S5].'"
 
 

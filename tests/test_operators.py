@@ -226,3 +226,27 @@ def test_usage_and_percentiles(spark):
     t = spark.createDataFrame([(x * 1000.0,) for x in (1, 2, 4, 10)], "total_ms double").withColumns({c: F.lit(None).cast("double") for c in ("prompt_tokens", "completion_tokens", "total_tokens", "estimated_cost_usd")})
     e = reports.efficiency(t).first()
     assert (e.p50_latency_seconds, e.p95_latency_seconds, e.total_tokens) == (3.0, 9.1, None) and math.isclose(e.mean_latency_seconds, 4.25)
+
+
+def test_rewrite(spark):
+    q = spark.createDataFrame([(1, "and then?", "user: the kite"), (2, "what", "")], "query_id int, query string, history string")
+    r = {x.query_id: x for x in answering.rewrite(q, answering.LastQuestion()).collect()}
+    assert (r[1].standalone_query, r[2].standalone_query, r[1].rewrite_failed) == ("the kite and then?", "what", False)
+
+    class Down:
+        name = model = "down"
+
+        def complete(self, prompts):
+            raise OSError
+
+    r = {x.query_id: x for x in answering.rewrite(q, Down()).collect()}
+    assert (r[1].standalone_query, r[1].rewrite_failed, r[2].rewrite_failed) == ("and then?", True, False)
+
+
+def test_collections(spark):
+    df = spark.createDataFrame([("a-b_c!" + "9" * 50,), ("--",)], "s string")
+    assert [r.x for r in df.select(chunking.collection_name(F.col("s")).alias("x")).collect()] == ["evidence_abc" + "9" * 37, "evidence_session"]
+    c = spark.createDataFrame([("h1", "a"), ("h2", "b")], "document_hash string, collection string")
+    assert chunking.without_collection(c, "a").count() == 1 and chunking.indexed(spark.createDataFrame([("h1",), ("h9",)], "document_hash string"), c).count() == 1
+    up = chunking.upsert(spark.createDataFrame([("k", 1), ("m", 1)], "chunk_id string, v int"), spark.createDataFrame([("k", 2, 1), ("k", 3, 2)], "chunk_id string, v int, seq int"))
+    assert {r.chunk_id: r.v for r in up.collect()} == {"k": 3, "m": 1}
