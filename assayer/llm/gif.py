@@ -69,19 +69,24 @@ def lzw_codes(samples: bytes) -> list[int]:
 def _packed(streams: list[list[int]]) -> list[bytes]:
     """Each stream with its clear code (256) and end code (257), packed into bytes, lowest bit first."""
     width, offset = _widths(8)
-    counts = np.array([len(s) + 1 for s in streams])
-    nbytes = (9 + offset[counts] + 7) // 8
-    start = np.concatenate([[0], np.cumsum(nbytes)])
-    codes = np.fromiter((c for s in streams for c in (*s, 257)), np.int64, int(counts.sum()))
-    at = np.arange(len(codes)) - np.repeat(np.cumsum(counts) - counts, counts)
-    pos = np.repeat(start[:-1] * 8 + 9, counts) + offset[at]
-    bits = np.zeros(int(start[-1]) * 8, np.uint8)
-    bits[start[:-1] * 8 + 8] = 1
-    for b in range(12):
-        live = width[at] > b
-        bits[pos[live] + b] = (codes[live] >> b) & 1
+    flat: list[int] = []
+    for s in streams:
+        flat.append(256)
+        flat += s
+        flat.append(257)
+        flat.append(0)  # fills the last byte
+    codes = np.array(flat, np.int16)
+    counts = np.fromiter(map(len, streams), np.int64, len(streams)) + 3
+    end = np.cumsum(counts)
+    at = np.arange(len(codes)) - np.repeat(end - counts, counts)
+    w = width[np.maximum(at - 1, 0)]
+    used = 9 + offset[counts - 2]
+    w[end - 1] = -used % 8
+    step = np.arange(12, dtype=np.int16)
+    bits = ((codes[:, None] >> step) & 1).astype(np.uint8)[step < w[:, None]]
     raw = np.packbits(bits, bitorder="little").tobytes()
-    return [raw[a:b] for a, b in zip(start[:-1], start[1:], strict=True)]
+    cut = np.concatenate([[0], np.cumsum((used + 7) // 8)]).tolist()
+    return [raw[x:y] for x, y in zip(cut[:-1], cut[1:], strict=True)]
 
 
 def encode(frames: list[bytes], width: int, height: int, delay_cs: int = DELAY_CS) -> bytes:
@@ -99,6 +104,59 @@ def encode(frames: list[bytes], width: int, height: int, delay_cs: int = DELAY_C
     return b"".join(out) + b"\x3b"
 
 
+def lzw_decode_all(streams: list[bytes], low_bits: int, sizes: list[int]) -> list[bytes]:
+    """The samples of many code streams. Those with a clear code only at their start and no full table are decoded
+    together: the string of a code is that of an earlier code of its stream and one more sample, so lengths, first samples
+    and all others follow these references in whole arrays. The others are decoded one by one."""
+    clear, stop = 1 << low_bits, (1 << low_bits) + 1
+    width, offset = _widths(low_bits)
+    data = np.frombuffer(b"".join(s + bytes(4) for s in streams), np.uint8)
+    nbytes = np.fromiter(map(len, streams), np.int64, len(streams))
+    base = (np.cumsum(nbytes + 4) - nbytes - 4) * 8
+    most = np.minimum(np.searchsorted(offset, nbytes * 8 - low_bits - 1, "right") - 1, _TABLE)
+    most = np.maximum(most, 0)
+    begin = np.cumsum(most) - most
+    own = np.repeat(np.arange(len(streams)), most)
+    at = np.arange(len(own)) - begin[own]
+    pos = base[own] + low_bits + 1 + offset[at]
+    byte = pos >> 3
+    word = data[byte].astype(np.int64) | data[byte + 1].astype(np.int64) << 8 | data[byte + 2].astype(np.int64) << 16
+    codes = (word >> (pos & 7)) & ((1 << width[at]) - 1)
+    count = most.copy()
+    ends = np.flatnonzero((codes == clear) | (codes == stop))
+    first = ends[np.concatenate([np.ones(min(1, len(ends)), bool), own[ends][1:] != own[ends][:-1]])]
+    count[own[first]] = at[first]
+    head = (data[base >> 3].astype(np.int64) | data[np.minimum((base >> 3) + 1, len(data) - 1)].astype(np.int64) << 8) & ((1 << low_bits + 1) - 1)
+    plain = (nbytes > 1) & (head == clear) & (most > 0) & (count < _TABLE - stop)
+    plain[own[first[codes[first] == clear]]] = False
+    ref_ok = (codes < clear) | ((codes > stop) & (codes - stop <= at))
+    wrong = np.flatnonzero(~ref_ok & (at < count[own]))
+    plain[own[wrong]] = False
+
+    keep = (at < count[own]) & plain[own]
+    c, n = codes[keep], np.where(plain, count, 0)
+    start = np.repeat(np.cumsum(n) - n, n)
+    literal = c < clear
+    ref = np.where(literal, np.arange(len(c)), start + c - stop - 1)
+    depth, root = (~literal).astype(np.int64), ref
+    while not literal[root].all():
+        depth += depth[root]
+        root = root[root]
+    length, initial = depth + 1, c[root].astype(np.uint8)
+    end = np.cumsum(length)
+    out = np.zeros(int(end[-1]) if len(end) else 0, np.uint8)
+    live, to = np.arange(len(c)), end - length
+    while len(live):
+        plain_now = literal[live]
+        out[to[plain_now]] = c[live[plain_now]]
+        live, to = live[~plain_now], to[~plain_now]
+        out[to + length[live] - 1] = initial[ref[live] + 1]
+        live = ref[live]
+    raw = out.tobytes()
+    total = np.concatenate([[0], np.cumsum(np.bincount(np.repeat(np.arange(len(n)), n), length, len(n)).astype(np.int64))]).tolist()
+    return [raw[total[i] : total[i + 1]][:size] if plain[i] else lzw_decode(streams[i], low_bits, size) for i, size in enumerate(sizes)]
+
+
 def lzw_decode(raw: bytes, low_bits: int, n_samples: int) -> bytes:
     """The samples of a code stream; at most n_samples."""
     data = np.frombuffer(raw + bytes(4), np.uint8)
@@ -168,8 +226,7 @@ def decode(raw: bytes) -> tuple[int, int, list[tuple[int, np.ndarray]]]:
     if flags & 0x80:
         shared = colours(at, flags)
         at += 3 * (2 << (flags & 7))
-    canvas = np.zeros((height, width, 4), np.uint8)
-    frames: list[tuple[int, np.ndarray]] = []
+    drawn: list[tuple] = []
     delay, disposal, clear_index = 0, 0, None
     while at < len(raw) and raw[at] != 0x3B:
         kind = raw[at]
@@ -190,29 +247,47 @@ def decode(raw: bytes) -> tuple[int, int, list[tuple[int, np.ndarray]]]:
             data, at = _blocks(raw, at + 1)
             if palette is None or not 2 <= low_bits <= 8:
                 raise ValueError("no palette, or a bad code size")
-            index = np.frombuffer(lzw_decode(data, low_bits, w * h), np.uint8)
-            index = np.concatenate([index, np.zeros(w * h - len(index), np.uint8)]).reshape(h, w)
-            if f & 0x40:
-                rows = np.concatenate([np.arange(a, h, s) for a, s in ((0, 8), (4, 8), (2, 4), (1, 2))])
-                straight = np.empty_like(index)
-                straight[rows] = index
-                index = straight
-            before = canvas.copy() if disposal == 3 else None
-            here = canvas[y : y + h, x : x + w]
-            index = index[: here.shape[0], : here.shape[1]]
-            full = np.zeros((256, 4), np.uint8)
-            full[: len(palette), :3], full[:, 3] = palette, 255
-            drawn = np.ones(index.shape, bool) if clear_index is None else index != clear_index
-            here[drawn] = full[index[drawn]]
-            frames.append((delay, canvas.copy()))
-            if disposal == 2:
-                here[:] = 0
-            elif disposal == 3:
-                canvas = before
+            drawn.append((x, y, w, h, bool(f & 0x40), palette, low_bits, data, delay, disposal, clear_index))
             delay, disposal, clear_index = 0, 0, None
         else:
             raise ValueError("a block of no known kind")
-    return width, height, frames
+    samples = [b""] * len(drawn)
+    for low_bits in {d[6] for d in drawn}:
+        here = [i for i, d in enumerate(drawn) if d[6] == low_bits]
+        for i, got in zip(here, lzw_decode_all([drawn[i][7] for i in here], low_bits, [drawn[i][2] * drawn[i][3] for i in here]), strict=True):
+            samples[i] = got
+    return width, height, _shown(width, height, drawn, samples)
+
+
+def _shown(width: int, height: int, drawn: list[tuple], samples: list[bytes]) -> list[tuple[int, np.ndarray]]:
+    """The canvas after each image, under disposal and transparency."""
+    canvas = np.zeros((height, width, 4), np.uint8)
+    frames: list[tuple[int, np.ndarray]] = []
+    last, full = None, np.zeros((256, 4), np.uint8)
+    for (x, y, w, h, woven, palette, _, _, delay, disposal, clear_index), got in zip(drawn, samples, strict=True):
+        index = np.frombuffer(got.ljust(w * h, b"\0"), np.uint8).reshape(h, w)
+        if woven:
+            rows = np.concatenate([np.arange(a, h, s) for a, s in ((0, 8), (4, 8), (2, 4), (1, 2))])
+            straight = np.empty_like(index)
+            straight[rows] = index
+            index = straight
+        if palette is not last:
+            last, full = palette, np.zeros((256, 4), np.uint8)
+            full[: len(palette), :3], full[:, 3] = palette, 255
+        before = canvas.copy() if disposal == 3 else None
+        here = canvas[y : y + h, x : x + w]
+        index = index[: here.shape[0], : here.shape[1]]
+        if clear_index is None:
+            here[:] = full[index]
+        else:
+            solid = index != clear_index
+            here[solid] = full[index[solid]]
+        frames.append((delay, canvas.copy()))
+        if disposal == 2:
+            here[:] = 0
+        elif disposal == 3:
+            canvas = before
+    return frames
 
 
 def histogram(canvas: np.ndarray, bins: int = BINS) -> np.ndarray:

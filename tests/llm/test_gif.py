@@ -69,6 +69,7 @@ def test_streams():
         raw = slow_encode(s, low_bits)
         assert slow_codes(raw, low_bits) == s
         assert gif.lzw_decode(raw, low_bits, n) == s
+        assert gif.lzw_decode_all([raw, raw[:50], b"", raw], low_bits, [n, 10, 5, 7]) == [s, gif.lzw_decode(raw[:50], low_bits, 10), b"", s[:7]]
 
 
 def test_round_trip():
