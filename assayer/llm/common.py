@@ -14,6 +14,7 @@ from pyspark.sql import functions as F
 
 #: Texts are handled in slices of about this many bytes, so that a task's memory doesn't follow the batch size.
 SLICE_BYTES = 4 << 20
+HASHED_BYTES = 1 << 19
 
 _U = np.uint64
 _IS_BLANK = np.zeros(256, bool)
@@ -97,12 +98,22 @@ class Words:
         return len(self.start)
 
     def hashes(self, base: int = 0x9E3779B97F4A7C15) -> np.ndarray:
-        """A 64-bit hash of each word's bytes."""
-        if not len(self.start):
-            return np.zeros(0, _U)
-        up, down = powers(base, len(self.buf))
-        total = np.concatenate([np.zeros(1, _U), np.cumsum((self.buf.astype(_U) + _U(1)) * up[: len(self.buf)], dtype=_U)])
-        return mix((total[self.end] - total[self.start]) * down[self.start] + (self.end - self.start).astype(_U))
+        """A 64-bit hash of each word's bytes; some words at a time, as the bytes are widened for it."""
+        out = np.empty(len(self.start), _U)
+        at = 0
+        while at < len(out):
+            upto = max(at + 1, int(np.searchsorted(self.end, self.start[at] + HASHED_BYTES, "right")))
+            low, high = int(self.start[at]), int(self.end[upto - 1])
+            up, down = powers(base, high - low)
+            sums = np.zeros(high - low + 1, _U)
+            sums[1:] = self.buf[low:high]
+            sums[1:] += _U(1)
+            sums[1:] *= up[: high - low]
+            np.cumsum(sums, out=sums)
+            start, end = self.start[at:upto] - low, self.end[at:upto] - low
+            out[at:upto] = mix((sums[end] - sums[start]) * down[start] + (end - start).astype(_U))
+            at = upto
+        return out
 
     def runs(self, h: np.ndarray, n: int) -> tuple[np.ndarray, np.ndarray]:
         """Hashes of all runs of n words, and which of the words start one within their text."""
@@ -117,7 +128,7 @@ def powers(base: int, n: int) -> tuple[np.ndarray, np.ndarray]:
     """base**i and its inverse for i < n, modulo 2**64 (base is odd)."""
     have = _POWERS.get(base)
     if have is None or len(have[0]) < n:
-        size = max(n, 1 << 20)
+        size = max(n, HASHED_BYTES)
         make = lambda b: np.multiply.accumulate(np.concatenate([np.ones(1, _U), np.full(size - 1, b, _U)]), dtype=_U)
         have = (make(base), make(pow(base, -1, 1 << 64)))
         if size <= 2 * SLICE_BYTES:
@@ -158,3 +169,21 @@ def shifted(x: np.ndarray, k: int) -> np.ndarray:
 def crc_remainder(id_col: str, modulus: int):
     """crc32 of the id as decimal text, modulo modulus."""
     return F.crc32(F.col(id_col).cast("string").cast("binary")) % modulus
+
+
+def sample_ids(rows: DataFrame, n: int) -> list[tuple[int, object]]:
+    """Of rows (d, cls) for each class the ids of the n smallest hashes (all, if there are fewer), with the class.
+
+    Classes are counted, and then only rows under a bound on the hash that lets about 1.5 n pass reach the driver; so no
+    task holds a class. Should fewer than n pass, those are the sample."""
+    sizes = {r.cls: r["count"] for r in rows.groupBy("cls").count().collect()}
+    if not sizes:
+        return []
+    limit = F.coalesce(*[F.when(F.col("cls") == c, F.lit(min((1 << 63) - 1, int((1.5 * n + 50) / k * 2**63)))) for c, k in sizes.items()])
+    near = rows.select("d", "cls", F.shiftrightunsigned(F.xxhash64("d"), 1).alias("h")).filter(F.col("h") <= limit).distinct().collect()
+    out, taken = [], dict.fromkeys(sizes, 0)
+    for r in sorted(near, key=lambda r: (r.h, r.d)):
+        if taken[r.cls] < n:
+            taken[r.cls] += 1
+            out.append((r.d, r.cls))
+    return out

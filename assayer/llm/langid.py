@@ -16,15 +16,15 @@ to the language first in order. Without any labelled row all texts are `und`.
 
 from __future__ import annotations
 
-import re
 from collections.abc import Iterator
 
 import numpy as np
 import pyarrow as pa
-from pyspark.sql import DataFrame, Window
+import regex
+from pyspark.sql import DataFrame
 from pyspark.sql import functions as F
 
-from .common import _LOWER, id_text, slices
+from .common import _LOWER, id_text, sample_ids, slices
 
 SLOT_BITS = 17
 MAX_N = 4
@@ -34,7 +34,7 @@ LANDMARKS = 48
 RIDGE = 1e-3
 #: Texts whose presence bits are held at once.
 HELD = 64
-_LETTER = re.compile(r"[^\W\d_]")
+_LETTER = regex.compile(r"\p{L}")
 
 
 def presence(texts: list[bytes]) -> tuple[np.ndarray, np.ndarray]:
@@ -100,11 +100,10 @@ class Model:
 
 
 def train(labelled: DataFrame, id_col: str = "doc_id", text_col: str = "text", lang_col: str = "lang", sample: int = SAMPLE) -> Model:
-    """Fits on the rows with a language; two passes: the ids of the sample, then its texts."""
+    """Fits on the rows with an id and a language: the ids of the sample are chosen first, then their texts are read."""
     rows = labelled.select(F.col(id_col).cast("long").alias("d"), F.col(lang_col).alias("lang"), F.col(text_col).alias("x"))
     rows = rows.filter(F.col("lang").isNotNull() & (F.length("x") <= SAMPLE_CHARS) & F.col("x").rlike(r"\p{L}")).withColumn("h", F.xxhash64("d"))
-    ranked = rows.select("d", "lang", "h").withColumn("rank", F.row_number().over(Window.partitionBy("lang").orderBy("h", "d")))
-    ids = [(r.d, r.lang) for r in ranked.filter(F.col("rank") <= sample).select("d", "lang").collect()]
+    ids = sample_ids(rows.filter(F.col("d").isNotNull()).select("d", F.col("lang").alias("cls")), sample)
     if not ids:
         return Model.fit([], [])
     wanted = labelled.sparkSession.createDataFrame(ids, "d long, lang string").distinct()

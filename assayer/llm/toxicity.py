@@ -24,10 +24,10 @@ from collections.abc import Iterator
 
 import numpy as np
 import pyarrow as pa
-from pyspark.sql import DataFrame, Window
+from pyspark.sql import DataFrame
 from pyspark.sql import functions as F
 
-from .common import id_text, slices
+from .common import id_text, sample_ids, slices
 
 SAMPLE = 4000
 SAMPLE_CHARS = 20_000
@@ -213,8 +213,7 @@ def train(docs: DataFrame, labels: DataFrame, id_col: str = "doc_id", text_col:
     spark = docs.sparkSession
     rows = docs.select(F.col(id_col).cast("long").alias("d"), F.col(text_col).alias("x")).filter(F.length("x").between(1, SAMPLE_CHARS))
     marks = labels.select(F.col("doc_id").cast("long").alias("d"), F.col(label_col).cast("int").alias("y")).filter("d is not null and y in (0, 1)").groupBy("d").agg(F.max("y").alias("y"))
-    ranked = marks.withColumn("rank", F.row_number().over(Window.partitionBy("y").orderBy(F.xxhash64("d"), "d"))).filter(F.col("rank") <= sample)
-    ids = [(r.d, r.y) for r in ranked.select("d", "y").collect()]
+    ids = sample_ids(marks.select("d", F.col("y").alias("cls")), sample)
     if not ids:
         return None
     got = rows.join(F.broadcast(spark.createDataFrame(ids, "d long, y int")), "d").collect()
