@@ -2,9 +2,11 @@
 
 from __future__ import annotations
 
+import hashlib
 from collections.abc import Iterator
 
 import numpy as np
+import zstandard
 
 _U = np.uint64
 
@@ -42,8 +44,18 @@ def cuts(group: np.ndarray) -> Iterator[tuple[int, int, int]]:
         yield int(group[a]), a, b
 
 
-def row_groups(d: np.ndarray, mark: np.ndarray, groups: int) -> np.ndarray:
-    """The group of each document, from its id and mark."""
-    from .common import mix
+def squeezed(a: np.ndarray) -> bytes:
+    """As pack(), compressed: for columns of small numbers."""
+    return zstandard.ZstdCompressor(level=1).compress(pack(a))
 
-    return group_of(mix(d.view(_U) ^ mix(mark.view(_U))), groups)
+
+def unsqueezed(raw: bytes, kind) -> np.ndarray:
+    return unpack(zstandard.ZstdDecompressor().decompress(raw), kind)
+
+
+def slice_name(*columns: np.ndarray) -> int:
+    """A 64-bit name of a slice from what identifies its rows: made anew, it is the same."""
+    x = hashlib.blake2b(digest_size=8)
+    for c in columns:
+        x.update(np.ascontiguousarray(c).tobytes())
+    return int.from_bytes(x.digest(), "little", signed=True)

@@ -27,16 +27,18 @@ import pyarrow as pa
 from pyspark.sql import DataFrame
 from pyspark.sql import functions as F
 
-from .blobs import cuts, group_of, pack, pack_sorted, row_groups, unpack, unpack_sorted
+from .blobs import cuts, group_of, pack_sorted, slice_name, squeezed, unpack_sorted, unsqueezed
 from .common import Words, groups_for, slices
 
 MIN_WORDS = 20
-SLICE = 8 << 20
+SLICE = 4 << 20
 _FIRST = -(1 << 63)
 _U = np.uint64
-_SENT = "side byte, grp int, n int, a binary, b binary, c binary, d binary, e binary"
-_NAMES = ["side", "grp", "n", "a", "b", "c", "d", "e"]
-_TYPES = [pa.int8(), pa.int32(), pa.int32(), *[pa.binary()] * 5]
+_SENT = "side byte, grp int, slice long, n int, a binary, b binary, c binary, d binary, e binary"
+_NAMES = ["side", "grp", "slice", "n", "a", "b", "c", "d", "e"]
+_TYPES = [pa.int8(), pa.int32(), pa.int64(), pa.int32(), *[pa.binary()] * 5]
+#: Kinds of rows: windows for a block of the reference; places with a source, and the documents, of a slice.
+_WINDOWS, _PLACES, _ROWS = 0, 1, 2
 
 
 def _batch(rows: list[tuple]) -> pa.RecordBatch:
@@ -44,18 +46,24 @@ def _batch(rows: list[tuple]) -> pa.RecordBatch:
     return pa.RecordBatch.from_arrays([pa.array(c, t) for c, t in zip(cols, _TYPES, strict=True)], _NAMES)
 
 
-def _back(d: np.ndarray, mark: np.ndarray, pos: np.ndarray, src: np.ndarray, src_pos: np.ndarray, groups: int) -> list[tuple]:
-    """Rows for the documents' side: places with their sources, by document."""
-    q = row_groups(d, mark, groups)
-    order = np.lexsort((pos, mark, d, q))
-    q, d, mark, pos, src, src_pos = (x[order] for x in (q, d, mark, pos, src, src_pos))
-    step = lambda x: pack(np.diff(x, prepend=x.dtype.type(0)))
-    return [(1, g, b - a, step(d[a:b]), step(mark[a:b]), step(pos[a:b].astype(np.int32)), step(src[a:b]), step(src_pos[a:b].astype(np.int32))) for g, a, b in cuts(q)]
+def _home(name: int, groups: int) -> int:
+    """The group of a slice."""
+    return (name & 0xFFFFFFFF) % groups
 
 
-def _read_back(r: dict) -> tuple[np.ndarray, ...]:
-    sums = lambda x, kind: np.cumsum(unpack(x, kind), dtype=kind)
-    return tuple(sums(r[k], t) for k, t in zip("abcde", (np.int64, np.int64, np.int32, np.int64, np.int32), strict=True))
+def _steps(x: np.ndarray) -> bytes:
+    return squeezed(np.diff(x, prepend=x.dtype.type(0)))
+
+
+def _sums(raw: bytes, kind) -> np.ndarray:
+    return np.cumsum(unsqueezed(raw, kind), dtype=kind)
+
+
+def _places(name: int, groups: int, doc: np.ndarray, pos: np.ndarray, src: np.ndarray, src_pos: np.ndarray) -> tuple:
+    """A row of places that have a source, for their slice."""
+    order = np.lexsort((pos, doc))
+    doc, pos, src, src_pos = (x[order] for x in (doc, pos, src, src_pos))
+    return (_PLACES, _home(name, groups), name, len(doc), _steps(doc.astype(np.int32)), _steps(pos.astype(np.int32)), _steps(src.astype(np.int64)), _steps(src_pos.astype(np.int32)), b"")
 
 
 def _sliced(groups: int, n: int):
@@ -67,23 +75,25 @@ def _sliced(groups: int, n: int):
             if not len(at):
                 continue
             ids, marks = part.column("d").to_numpy(), part.column("mark").to_numpy()
+            name = slice_name(ids, marks)
             # Rows in the order of their ids, so that a stable sort by key leaves each key's places in order.
-            keys, doc = keys[at], w.doc[at]
-            pos = at - w.first[doc]
+            keys, doc = keys[at], w.doc[at].astype(np.int32)
+            pos = (at - w.first[doc]).astype(np.int32)
             if np.any(ids[1:] <= ids[:-1]):
                 by_place = np.lexsort((pos, ids[doc]))
                 keys, doc, pos = keys[by_place], doc[by_place], pos[by_place]
             order = np.argsort(keys, kind="stable")
             keys, doc, pos = keys[order], doc[order], pos[order]
             head = np.concatenate([[True], keys[1:] != keys[:-1]])
-            first = np.maximum.accumulate(np.where(head, np.arange(len(keys)), 0))
-            src, src_pos = ids[doc[first]], pos[first]
-            later = (ids[doc] > src) | (pos > src_pos)
+            first = np.maximum.accumulate(np.where(head, np.arange(len(keys), dtype=np.int32), 0))
+            later = (ids[doc] > ids[doc[first]]) | (pos > pos[first])
+            rows = [(_ROWS, _home(name, groups), name, len(ids), _steps(ids), squeezed(marks), b"", b"", b"")]
+            if later.any():
+                rows.append(_places(name, groups, doc[later], pos[later], ids[doc[first[later]]], pos[first[later]]))
             # What ties with the first place isn't later; it is sent on by itself, as it may be later than another slice's.
-            sent = ~later
-            keys, d2, p2 = keys[sent], doc[sent], pos[sent]
-            rows = [(0, g, b - a, pack_sorted(keys[a:b]), pack(d2[a:b].astype(np.int32)), pack(p2[a:b].astype(np.int32)), pack(np.diff(ids, prepend=np.int64(0))), pack(marks)) for g, a, b in cuts(group_of(keys, groups))]
-            rows += _back(ids[doc[later]], marks[doc[later]], pos[later], src[later], src_pos[later], groups)
+            keys, doc, pos = keys[~later], doc[~later], pos[~later]
+            own = _steps(ids)
+            rows += [(_WINDOWS, g, name, b - a, pack_sorted(keys[a:b]), squeezed(doc[a:b]), squeezed(pos[a:b]), own, b"") for g, a, b in cuts(group_of(keys, groups))]
             for a in range(0, len(rows), 64):
                 yield _batch(rows[a : a + 64])
 
@@ -93,51 +103,70 @@ def _sliced(groups: int, n: int):
 def _block(groups: int):
     """One block of the reference: the earliest place of each window, and what is later."""
     def run(table: pa.Table) -> pa.Table:
-        if table["side"][0].as_py() == 1:
+        if table["side"][0].as_py() != _WINDOWS:
             return table
-        keys, d, mark, pos = [], [], [], []
-        for r in table.to_pylist():
-            doc = unpack(r["b"], np.int32)
-            keys.append(unpack_sorted(r["a"]))
-            d.append(np.cumsum(unpack(r["d"], np.int64))[doc])
-            mark.append(unpack(r["e"], np.int64)[doc])
-            pos.append(unpack(r["c"], np.int32))
-        keys, d, mark, pos = map(np.concatenate, (keys, d, mark, pos))
+        rows = table.select(["slice", "a", "b", "c", "d"]).to_pylist()
+        keys = np.concatenate([unpack_sorted(r["a"]) for r in rows])
+        which = np.repeat(np.arange(len(rows), dtype=np.int32), [len(r["a"]) // 8 for r in rows])
         order = np.argsort(keys, kind="stable")
         same = keys[order][1:] == keys[order][:-1]
         order = order[np.concatenate([[False], same]) | np.concatenate([same, [False]])]
-        keys, d, mark, pos = keys[order], d[order], mark[order], pos[order]
-        order = np.lexsort((pos, d, keys))
-        keys, d, mark, pos = keys[order], d[order], mark[order], pos[order]
-        if not len(keys):
+        if not len(order):
             return pa.Table.from_batches([_batch([])])
+        doc = np.concatenate([unsqueezed(r["b"], np.int32) for r in rows])[order]
+        pos = np.concatenate([unsqueezed(r["c"], np.int32) for r in rows])[order]
+        keys, which = keys[order], which[order]
+        d = np.empty(len(keys), np.int64)
+        for i in np.unique(which):
+            here = which == i
+            d[here] = _sums(rows[i]["d"], np.int64)[doc[here]]
+        order = np.lexsort((pos, d, keys))
+        keys, which, doc, pos, d = (x[order] for x in (keys, which, doc, pos, d))
         head = np.concatenate([[True], keys[1:] != keys[:-1]])
         first = np.maximum.accumulate(np.where(head, np.arange(len(keys)), 0))
-        later = (d > d[first]) | (pos > pos[first])
-        return pa.Table.from_batches([_batch(_back(d[later], mark[later], pos[later], d[first][later], pos[first][later], groups))])
+        later = np.flatnonzero((d > d[first]) | (pos > pos[first]))
+        out = []
+        for i in np.unique(which[later]):
+            at = later[which[later] == i]
+            out.append(_places(rows[i]["slice"], groups, doc[at], pos[at], d[first[at]], pos[first[at]]))
+        return pa.Table.from_batches([_batch(out)])
 
     return run
 
 
 def _gathered(table: pa.Table) -> pa.Table:
-    """The documents of a group, each with its places that have a source, in order."""
-    parts = [_read_back(r) for r in table.to_pylist()]
-    d, mark, pos, src, src_pos = (np.concatenate(x) for x in zip(*parts, strict=True))
+    """The documents of a group's slices, each with its places that have a source, in order."""
+    kind = pa.schema([("fd", pa.int64()), ("fm", pa.int64()), ("start", pa.list_(pa.int32())), ("windows", pa.list_(pa.int32())), ("src", pa.list_(pa.int64())), ("src_start", pa.list_(pa.int32()))])
+    names, side = table["slice"].to_numpy(), table["side"].to_numpy()
+    out = []
+    for name in np.unique(names):
+        rows = table.filter(pa.array((names == name) & (side == _ROWS))).slice(0, 1).to_pylist()
+        places = table.filter(pa.array((names == name) & (side == _PLACES))).to_pylist()
+        if rows and places:
+            out.append(_of_slice(_sums(rows[0]["a"], np.int64), unsqueezed(rows[0]["b"], np.int64), places).cast(kind))
+    return pa.concat_tables(out) if out else kind.empty_table()
+
+
+def _of_slice(ids: np.ndarray, marks: np.ndarray, places: list[dict]) -> pa.Table:
+    doc, pos, src, src_pos = (np.concatenate([_sums(r[k], t) for r in places]) for k, t in zip("abcd", (np.int32, np.int32, np.int64, np.int32), strict=True))
     # A place may have a source in its own slice and an earlier one elsewhere: the earliest holds.
-    order = np.lexsort((src_pos, src, pos, mark, d))
-    d, mark, pos, src, src_pos = (x[order] for x in (d, mark, pos, src, src_pos))
-    keep = np.concatenate([[True], (d[1:] != d[:-1]) | (mark[1:] != mark[:-1]) | (pos[1:] != pos[:-1])])
-    d, mark, pos, src, src_pos = (x[keep] for x in (d, mark, pos, src, src_pos))
-    at = np.concatenate([[0], np.flatnonzero((d[1:] != d[:-1]) | (mark[1:] != mark[:-1])) + 1])
-    lists = lambda x: pa.ListArray.from_arrays(pa.array(np.append(at, len(x)).astype(np.int32)), pa.array(x))
+    order = np.lexsort((src_pos, src, pos, doc))
+    doc, pos, src, src_pos = (x[order] for x in (doc, pos, src, src_pos))
+    keep = np.concatenate([[True], (doc[1:] != doc[:-1]) | (pos[1:] != pos[:-1])])
+    doc, pos, src, src_pos = (x[keep] for x in (doc, pos, src, src_pos))
+    at = np.concatenate([[0], np.flatnonzero(doc[1:] != doc[:-1]) + 1])
+    # Rows alike in id and text are one document, told once.
+    _, once = np.unique(np.stack([ids[doc[at]], marks[doc[at]]]), axis=1, return_index=True)
     # Runs with one source are one entry: start, windows, source.
     turn = np.concatenate([[True], (np.diff(pos) != 1) | (src[1:] != src[:-1]) | (np.diff(src_pos) != 1)])
     turn[at] = True
     begin = np.flatnonzero(turn)
     n = np.diff(np.append(begin, len(pos))).astype(np.int32)
     at = np.searchsorted(begin, at)
-    d, mark, pos, src, src_pos = (x[begin] for x in (d, mark, pos, src, src_pos))
-    return pa.table({"fd": d[at], "fm": mark[at], "start": lists(pos), "windows": lists(n), "src": lists(src), "src_start": lists(src_pos)})
+    doc, pos, src, src_pos = (x[begin] for x in (doc, pos, src, src_pos))
+    lists = lambda x: pa.ListArray.from_arrays(pa.array(np.append(at, len(x)).astype(np.int32)), pa.array(x))
+    found = pa.table({"fd": ids[doc[at]], "fm": marks[doc[at]], "start": lists(pos), "windows": lists(n), "src": lists(src), "src_start": lists(src_pos)})
+    return found.take(pa.array(np.sort(once)))
 
 
 def _factored(docs: DataFrame, id_col: str, text_col: str, n: int) -> DataFrame:
@@ -147,7 +176,7 @@ def _factored(docs: DataFrame, id_col: str, text_col: str, n: int) -> DataFrame:
     entries = rows.select("d", "mark", "text").mapInArrow(_sliced(groups, n), _SENT)
     places = entries.groupBy("side", "grp").applyInArrow(_block(groups), _SENT)
     kind = "fd long, fm long, start array<int>, windows array<int>, src array<long>, src_start array<int>"
-    found = places.groupBy("grp").applyInArrow(_gathered, kind)
+    found = places.groupBy("grp").applyInArrow(_gathered, kind).dropDuplicates(["fd", "fm"])
     return rows.join(found, (rows.d == found.fd) & (rows.mark == found.fm), "left").select("doc_id", "text", "start", "windows", "src", "src_start")
 
 
