@@ -19,6 +19,7 @@ scored alike; each input row gives one. Without training texts all scores are th
 
 from __future__ import annotations
 
+import uuid
 from collections.abc import Iterator
 
 import numpy as np
@@ -32,6 +33,7 @@ ORDER = 5
 BLOCK_GRAMS = 4_000_000
 HOT_SHARE = 1 << 20
 END = 0xFF
+SLICE = 2 << 20
 _U = np.uint64
 
 
@@ -70,7 +72,7 @@ class Table:
 
     def __init__(self, keys: np.ndarray):
         self.keys = np.append(keys, _U(0))
-        self.mask = (1 << max(4, int(4 * len(keys)).bit_length())) - 1
+        self.mask = (1 << max(4, int(2 * len(keys)).bit_length())) - 1
         self.slots = np.full(self.mask + 1, -1, np.int32)
         left, home, step = np.arange(len(keys)), self._home(keys), 0
         while len(left):
@@ -154,15 +156,15 @@ def _train(rows: DataFrame) -> tuple[DataFrame, DataFrame]:
         def put(kind: int, found: tuple[np.ndarray, np.ndarray], last: bool = False) -> Iterator[pa.RecordBatch]:
             if not last:
                 held[kind].append(found)
-            if held[kind] and (last or sum(len(k) for k, _ in held[kind]) > 2_000_000):
+            if held[kind] and (last or sum(len(k) for k, _ in held[kind]) > 1_500_000):
                 k, n = counted(np.concatenate([k for k, _ in held[kind]]), np.concatenate([n for _, n in held[kind]]))
-                held[kind] = [] if last or len(k) > 1_000_000 else [(k, n)]
+                held[kind] = [] if last or len(k) > 700_000 else [(k, n)]
                 if not held[kind]:
                     for a in range(0, len(k), 100_000):
                         part = k[a : a + 100_000]
                         yield pa.RecordBatch.from_arrays([pa.array(np.full(len(part), kind, np.int8)), pa.array(part.view(np.int64)), pa.array(n[a : a + 100_000])], ["kind", "key", "n"])
 
-        for part in slices(batches):
+        for part in slices(batches, SLICE):
             words = Words(part, lower=True)
             yield from put(0, counted(words.hashes()))
             yield from put(1, counted(grams(words.parts)[0]))
@@ -205,27 +207,28 @@ def _trie(name: str, block) -> Trie:
     return _TRIES[name]
 
 
-def _scored(rows: DataFrame, found: DataFrame) -> DataFrame:
-    """rows with a column score: one pass for each block of the model."""
-    spark = rows.sparkSession
-    names = [f for f in rows.schema.fieldNames()]
-    fields = ", ".join(f"`{f.name}` {f.dataType.simpleString()}" for f in rows.schema)
-    rows = rows.withColumn("score", F.lit(0.0))
-    for i, block in enumerate(_blocks(found)):
-        sent, name = spark.sparkContext.broadcast(block), f"{id(block)}-{i}-{len(block[1])}-{int(block[2].sum())}"
+def _part(part: pa.RecordBatch, name: str, block) -> np.ndarray:
+    """For each text the sum over the symbols of a block."""
+    g, begin = grams([t or b"" for t in part.column("text").cast(pa.binary()).to_pylist()])
+    p = np.zeros(len(g))
+    here = np.flatnonzero(block[0][((g >> _U(8)) & _U(255)).astype(np.int64)])
+    trie = _trie(name, block)
+    for a in range(0, len(here), 1 << 18):
+        at = here[a : a + (1 << 18)]
+        p[at] = trie.log10p(g[at])
+    return np.add.reduceat(p, begin)
+
 
-        def run(batches: Iterator[pa.RecordBatch], sent=sent, name=name) -> Iterator[pa.RecordBatch]:
-            for part in slices(batches):
-                inside = sent.value[0]
-                g, begin = grams([t or b"" for t in part.column("text").cast(pa.binary()).to_pylist()])
-                p = np.zeros(len(g))
-                here = inside[((g >> _U(8)) & _U(255)).astype(np.int64)]
-                p[here] = _trie(name, sent.value).log10p(g[here])
-                total = np.add.reduceat(p, begin) + part.column("score").to_numpy()
-                yield pa.RecordBatch.from_arrays([*(part.column(n) for n in names), pa.array(total)], [*names, "score"])
+def _scored(rows: DataFrame, sent, name: str) -> DataFrame:
+    """rows with a block's part added to their score: a pass over the texts."""
+    names = rows.schema.fieldNames()
 
-        rows = rows.mapInArrow(run, f"{fields}, score double")
-    return rows
+    def run(batches: Iterator[pa.RecordBatch]) -> Iterator[pa.RecordBatch]:
+        for part in slices(batches, SLICE):
+            total = _part(part, name, sent.value) + part.column("score").to_numpy()
+            yield pa.RecordBatch.from_arrays([pa.array(total) if n == "score" else part.column(n) for n in names], names)
+
+    return rows.mapInArrow(run, rows.schema)
 
 
 def score(docs: DataFrame, training: Column, id_col: str = "doc_id", text_col: str = "text") -> DataFrame:
@@ -247,8 +250,9 @@ def score(docs: DataFrame, training: Column, id_col: str = "doc_id", text_col: s
     def run(batches: Iterator[pa.RecordBatch]) -> Iterator[pa.RecordBatch]:
         """For each row one entry with what is known of it here, and one for each distinct other word."""
         keys, counts = hot.value
-        for part in slices(batches):
+        for part in slices(batches, SLICE):
             w = Words(part, lower=True)
+            score = _part(part, name, sent.value) + part.column("score").to_numpy()
             h = w.hashes()
             by_key = np.argsort(h, kind="stable")
             h, doc = h[by_key], w.doc[by_key]
@@ -267,10 +271,15 @@ def score(docs: DataFrame, training: Column, id_col: str = "doc_id", text_col: s
                 pa.concat_arrays([ids, ids.take(pa.array(rest))]), pa.array(np.concatenate([marks, marks[rest]])),
                 pa.array(np.concatenate([marks, h[~here].view(np.int64)])), pa.array(np.concatenate([np.diff(w.first), n])),
                 pa.array(np.concatenate([base, np.zeros(len(rest))])), pa.array(np.concatenate([known.astype(np.int64), np.zeros(len(rest), np.int64)])),
-                pa.concat_arrays([part.column("score"), pa.nulls(len(rest), pa.float64())]), pa.concat_arrays([part.column("training"), pa.nulls(len(rest), pa.bool_())]),
+                pa.concat_arrays([pa.array(score), pa.nulls(len(rest), pa.float64())]), pa.concat_arrays([part.column("training"), pa.nulls(len(rest), pa.bool_())]),
             ], ["doc_id", "mark", "key", "n", "base", "known", "score", "training"])
 
-    told = _scored(rows.withColumn("mark", F.xxhash64("text", "training")), found)
+    told = rows.withColumn("mark", F.xxhash64("text", "training")).withColumn("score", F.lit(0.0))
+    sent = None
+    for i, block in enumerate(_blocks(found)):
+        if sent is not None:
+            told = _scored(told, sent, name)
+        sent, name = rows.sparkSession.sparkContext.broadcast(block), f"{uuid.uuid4().hex}-{i}"
     entries = told.mapInArrow(run, "doc_id long, mark long, key long, n long, base double, known long, score double, training boolean")
     joined = entries.join(rare.withColumnsRenamed({"key": "word", "n": "c"}), F.col("key") == F.col("word"), "left")
     own = F.col("score").isNotNull()
