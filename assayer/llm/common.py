@@ -15,6 +15,7 @@ from pyspark.sql import functions as F
 #: Texts are handled in slices of about this many bytes, so that a task's memory doesn't follow the batch size.
 SLICE_BYTES = 4 << 20
 HASHED_BYTES = 1 << 19
+BATCH_BYTES = 4 << 20
 
 _U = np.uint64
 _IS_BLANK = np.zeros(256, bool)
@@ -46,9 +47,19 @@ def stored(df: DataFrame, what: str) -> DataFrame:
     return spark.read.schema(df.schema).parquet(path)
 
 
+def bounded(docs: DataFrame) -> DataFrame:
+    """docs, after its session has been told to cut Arrow batches at BATCH_BYTES (where the bound is larger or written with a unit): batches of
+    10,000 long texts would not fit a Python worker."""
+    conf, key = docs.sparkSession.conf, "spark.sql.execution.arrow.maxBytesPerBatch"
+    now = conf.get(key).lower().rstrip("b")
+    if not now.isdigit() or int(now) > BATCH_BYTES:
+        conf.set(key, str(BATCH_BYTES))
+    return docs
+
+
 def id_text(docs: DataFrame, id_col: str = "doc_id", text_col: str = "text") -> DataFrame:
     """Only the two columns an operator reads, under fixed names; so further columns can't clash."""
-    return docs.select(F.col(id_col).cast("long").alias("doc_id"), F.col(text_col).alias("text"))
+    return bounded(docs).select(F.col(id_col).cast("long").alias("doc_id"), F.col(text_col).alias("text"))
 
 
 def groups_for(docs: DataFrame, per_split: int = 16) -> int:

@@ -24,7 +24,7 @@ import regex
 from pyspark.sql import DataFrame
 from pyspark.sql import functions as F
 
-from .common import _LOWER, id_text, sample_ids, slices
+from .common import _LOWER, bounded, id_text, sample_ids, slices
 
 SLOT_BITS = 17
 MAX_N = 4
@@ -116,7 +116,7 @@ def identify(docs: DataFrame, model: Model, id_col: str = "doc_id", text_col: st
     """doc_id, lang_pred and score of every row; with keep, all columns of docs and after them lang_pred and score
     (which then must not be names in docs)."""
     sent = docs.sparkSession.sparkContext.broadcast((model.langs, model.weights))
-    rows = docs.withColumn("text", F.col(text_col)) if keep else id_text(docs, id_col, text_col)
+    rows = bounded(docs).withColumn("text", F.col(text_col)) if keep else id_text(docs, id_col, text_col)
     named = ["lang_pred", "score"]
 
     def run(batches: Iterator[pa.RecordBatch]) -> Iterator[pa.RecordBatch]:

@@ -27,7 +27,7 @@ import pyarrow as pa
 from pyspark.sql import Column, DataFrame
 from pyspark.sql import functions as F
 
-from .common import Words, mix, slices, stored
+from .common import Words, bounded, mix, slices, stored
 
 ORDER = 5
 BLOCK_GRAMS = 4_000_000
@@ -235,7 +235,7 @@ def score(docs: DataFrame, training: Column, id_col: str = "doc_id", text_col: s
     """doc_id, training, n_tokens, n_known, train_tokens, base_score (of a smoothed unigram model of the words) and score.
 
     training: a boolean column over docs that tells which rows to learn from (null: not)."""
-    rows = docs.select(F.col(id_col).cast("long").alias("doc_id"), F.coalesce(training, F.lit(False)).alias("training"), F.coalesce(F.col(text_col), F.lit("")).alias("text"))
+    rows = bounded(docs).select(F.col(id_col).cast("long").alias("doc_id"), F.coalesce(training, F.lit(False)).alias("training"), F.coalesce(F.col(text_col), F.lit("")).alias("text"))
     words, found = _train(rows.filter("training"))
     n_docs = rows.filter("training").count()
     sums = words.agg(F.sum("n").alias("n"), F.count("*").alias("v")).first()

@@ -28,7 +28,7 @@ from pyspark.sql import DataFrame
 from pyspark.sql import functions as F
 
 from .blobs import cuts, group_of, pack_sorted, slice_name, squeezed, unpack_sorted, unsqueezed
-from .common import Words, groups_for, slices
+from .common import Words, bounded, groups_for, slices
 
 MIN_WORDS = 20
 SLICE = 4 << 20
@@ -171,7 +171,7 @@ def _of_slice(ids: np.ndarray, marks: np.ndarray, places: list[dict]) -> pa.Tabl
 
 def _factored(docs: DataFrame, id_col: str, text_col: str, n: int) -> DataFrame:
     """doc_id and text of every row, with the runs of windows that have an earlier source (null: none)."""
-    groups = groups_for(docs)
+    groups = groups_for(bounded(docs))
     rows = docs.select(F.col(id_col).cast("long").alias("doc_id"), F.coalesce(F.col(id_col).cast("long"), F.lit(_FIRST)).alias("d"), F.coalesce(F.xxhash64(text_col), F.lit(0)).alias("mark"), F.col(text_col).alias("text"))
     entries = rows.select("d", "mark", "text").mapInArrow(_sliced(groups, n), _SENT)
     places = entries.groupBy("side", "grp").applyInArrow(_block(groups), _SENT)
