@@ -9,9 +9,10 @@ linked with nothing). Texts of equal word sequences are one class, and links are
 2. Rare-first prefixes. The order of shingles: first those of one class alone (never sent), then the others by hash, last
    the frequent ones by their frequency (at most 2**20 can be so frequent; they are broadcast). Two linked classes share a
    shingle among their first n - ceil(0.75 n) + 1.
-3. Candidates. Each class meets the smallest class of each shingle's list (its hub), and is verified. Then the lists are
-   looked at again, by component: only classes of different components are paired, under the length, positional and suffix
-   filters, and every such pair is verified. Pairs within a component can't change it.
+3. Candidates. In two rounds each class meets one class (the hub) of each shingle's list, and is verified. Then the lists
+   are looked at by component: only classes of different components are paired, under the length, positional and suffix
+   filters (the suffix filter bounds the difference of two sets by parity sketches), and every such pair is verified once.
+   Pairs within a component can't change it.
 
 Shingles are compared by 64-bit hashes. A class is a 64-bit hash of its word sequence. Null texts have no words; rows
 with null ids are in no component (component_id null), and link nothing. Rows of one id with different texts are nodes
@@ -27,8 +28,8 @@ import pyarrow as pa
 from pyspark.sql import DataFrame
 from pyspark.sql import functions as F
 
-from .blobs import cuts, group_of, pack, pack_sorted, unpack, unpack_sorted
-from .common import Words, groups_for, mix, powers, slices, stored, windows
+from .blobs import cuts, group_of, pack, pack_sorted, slice_name, squeezed, unpack, unpack_sorted, unsqueezed
+from .common import Words, bounded, groups_for, mix, powers, slices, stored, windows
 from .components import components
 from .ppm import counted
 
@@ -36,17 +37,26 @@ SHINGLE_WORDS = 5
 PERCENT = 75
 FREQUENT_SHARE = 1 << 20
 FREQUENT_LEAST = 64
-SLICE = 8 << 20
+SKETCH_BITS = 512
+#: Rounds in which lists meet hubs before pairs of components are looked at.
+HUB_ROUNDS = 2
+SLICE = 4 << 20
 _U = np.uint64
-_SENT = "side byte, grp int, a binary, b binary, c binary, d binary"
-_NAMES = ["side", "grp", "a", "b", "c", "d"]
-_TYPES = [pa.int8(), pa.int32(), *[pa.binary()] * 4]
+_SENT = "side byte, grp int, slice long, a binary, b binary"
+_NAMES = ["side", "grp", "slice", "a", "b"]
+_TYPES = [pa.int8(), pa.int32(), pa.int64(), *[pa.binary()] * 2]
+#: Kinds of rows: shingles for their group; shared shingles, and the classes, of a slice.
+_SHINGLES, _SHARED, _CLASSES = 0, 1, 2
 
 
-def _batches(rows: list[tuple], kinds=None, names=None) -> Iterator[pa.RecordBatch]:
-    kinds, names = kinds or _TYPES, names or _NAMES
+def _batches(rows: list[tuple]) -> Iterator[pa.RecordBatch]:
     for a in range(0, len(rows), 64):
-        yield pa.RecordBatch.from_arrays([pa.array(c, t) for c, t in zip(zip(*rows[a : a + 64], strict=True), kinds, strict=True)], names)
+        yield pa.RecordBatch.from_arrays([pa.array(c, t) for c, t in zip(zip(*rows[a : a + 64], strict=True), _TYPES, strict=True)], _NAMES)
+
+
+def _home(name: int, groups: int) -> int:
+    """The group of a slice."""
+    return (name & 0xFFFFFFFF) % groups
 
 
 class Sets:
@@ -72,11 +82,9 @@ class Sets:
         self.n = np.bincount(self.rows, minlength=len(n))
 
 
-def _back(cls: np.ndarray, n: np.ndarray, keys: np.ndarray, groups: int) -> list[tuple]:
-    """Rows for the classes' side: shared shingles by class, with the number of all."""
-    order = np.lexsort((keys, cls))
-    cls, n, keys = cls[order], n[order], keys[order]
-    return [(1, g, pack_sorted(cls[a:b]), pack(n[a:b].astype(np.int32)), pack(keys[a:b]), b"") for g, a, b in cuts(group_of(cls, groups))]
+def _shared(name: int, groups: int, cls: np.ndarray, keys: np.ndarray) -> tuple:
+    """A row of shared shingles (sorted) with their classes' numbers, for their slice."""
+    return (_SHARED, _home(name, groups), name, pack_sorted(keys), squeezed(cls.astype(np.int32)))
 
 
 def _sliced(groups: int, k: int):
@@ -85,59 +93,82 @@ def _sliced(groups: int, k: int):
             s = Sets(part, k)
             # One row for each class in the slice.
             _, lead = np.unique(s.cls, return_index=True)
-            leads = np.zeros(len(s.cls), bool)
-            leads[lead] = True
-            own = leads[s.rows]
-            keys, row = s.keys[own], s.rows[own]
-            order = np.argsort(keys, kind="stable")
-            keys, row = keys[order], row[order]
+            number = np.full(len(s.cls), -1, np.int32)
+            number[lead] = np.arange(len(lead))
+            own = number[s.rows] >= 0
+            keys, cls = s.keys[own], number[s.rows[own]]
             if not len(keys):
                 continue
-            head = np.concatenate([[True], keys[1:] != keys[:-1]])
-            more = np.concatenate([~head[1:], [False]]) & head
-            shared = ~head | more
-            at = np.flatnonzero(head)
-            keys1, row1, settled = keys[at], row[at], more[at]
-            rows = [(0, g, pack_sorted(keys1[a:b]), pack(s.cls[row1[a:b]]), pack(s.n[row1[a:b]].astype(np.int32)), pack(settled[a:b].astype(np.int8))) for g, a, b in cuts(group_of(keys1, groups))]
-            rows += _back(s.cls[row[shared]], s.n[row[shared]], keys[shared], groups)
+            order = np.argsort(keys, kind="stable")
+            keys, cls = keys[order], cls[order]
+            name = slice_name(s.cls[lead])
+            at = np.flatnonzero(np.concatenate([[True], keys[1:] != keys[:-1]]))
+            size = np.diff(np.append(at, len(keys)))
+            many = np.repeat(size > 1, size)
+            rows = [(_CLASSES, _home(name, groups), name, pack(s.cls[lead]), squeezed(s.n[lead].astype(np.int32)))]
+            if many.any():
+                rows.append(_shared(name, groups, cls[many], keys[many]))
+            # A class's number, or -1 where the slice has settled it.
+            keys, cls = keys[at], np.where(size > 1, -1, cls[at]).astype(np.int32)
+            rows += [(_SHINGLES, g, name, pack_sorted(keys[a:b]), squeezed(cls[a:b] + 1)) for g, a, b in cuts(group_of(keys, groups))]
             yield from _batches(rows)
 
     return run
 
 
 def _sharing(groups: int):
-    """Which of a group's single entries are shared with another class."""
+    """Which of a group's shingles are in more than one slice, or in more than one class of one.
+
+    The same class in two slices also counts: it is then looked at further, and nothing is lost."""
     def run(table: pa.Table) -> pa.Table:
-        if table["side"][0].as_py() == 1:
+        if table["side"][0].as_py() != _SHINGLES:
             return table
-        got = [(unpack_sorted(r["a"]), unpack(r["b"], _U), unpack(r["c"], np.int32), unpack(r["d"], np.int8)) for r in table.to_pylist()]
-        keys, cls, n, settled = (np.concatenate(x) for x in zip(*got, strict=True))
+        rows = table.select(["slice", "a", "b"]).to_pylist()
+        keys = np.concatenate([unpack_sorted(r["a"]) for r in rows])
+        which = np.repeat(np.arange(len(rows), dtype=np.int32), [len(r["a"]) // 8 for r in rows])
+        cls = np.concatenate([unsqueezed(r["b"], np.int32) for r in rows]) - 1
         order = np.argsort(keys, kind="stable")
-        keys, cls, n, settled = keys[order], cls[order], n[order], settled[order]
+        keys, which, cls = keys[order], which[order], cls[order]
         at = np.flatnonzero(np.concatenate([[True], keys[1:] != keys[:-1]]))
         size = np.diff(np.append(at, len(keys)))
-        lowest, highest = np.minimum.reduceat(cls, at), np.maximum.reduceat(cls, at)
-        common = np.repeat((lowest != highest) | (np.maximum.reduceat(settled, at) > 0), size) & (settled == 0)
-        rows = _back(cls[common], n[common], keys[common], groups)
-        parts = list(_batches(rows)) or [pa.RecordBatch.from_arrays([pa.array([], t) for t in _TYPES], _NAMES)]
-        return pa.Table.from_batches(parts)
+        common = np.repeat((size > 1) | (np.minimum.reduceat(cls, at) < 0), size) & (cls >= 0)
+        keys, which, cls = keys[common], which[common], cls[common]
+        order = np.argsort(which, kind="stable")
+        keys, which, cls = keys[order], which[order], cls[order]
+        out = [_shared(rows[i]["slice"], groups, cls[a:b], keys[a:b]) for i, a, b in cuts(which)]
+        return pa.Table.from_batches(list(_batches(out)) or [pa.RecordBatch.from_arrays([pa.array([], t) for t in _TYPES], _NAMES)])
 
     return run
 
 
+def sketch(keys: np.ndarray) -> list[int]:
+    """The parities of the counts in SKETCH_BITS bins. A shingle in which two sets differ turns one bit; so sets differ in
+    at least as many shingles as their sketches in bits."""
+    odd = np.bincount((keys & _U(SKETCH_BITS - 1)).astype(np.int64), minlength=SKETCH_BITS) & 1
+    return np.packbits(odd.astype(np.uint8)).view(np.int64).tolist()
+
+
 def _survivors(percent: int):
-    """The classes of a group of which enough is shared: c, n, and the shared shingles in order."""
+    """The classes of a group's slices of which enough is shared: c, n, and the shared shingles in order."""
     def run(table: pa.Table) -> pa.Table:
-        got = [(unpack_sorted(r["a"]), unpack(r["b"], np.int32), unpack(r["c"], _U)) for r in table.to_pylist()]
-        cls, n, keys = (np.concatenate(x) for x in zip(*got, strict=True))
-        order = np.lexsort((keys, cls))
-        cls, n, keys = cls[order], n[order], keys[order]
-        new = np.concatenate([[True], (cls[1:] != cls[:-1]) | (keys[1:] != keys[:-1])])
-        cls, n, keys = cls[new], n[new], keys[new]
-        at = np.append(np.flatnonzero(np.concatenate([[True], cls[1:] != cls[:-1]])), len(cls))
-        rows = [(int(cls[a].view(np.int64)), int(n[a]), keys[a:b].tobytes()) for a, b in zip(at[:-1], at[1:], strict=True) if 100 * (b - a) >= percent * int(n[a])]
-        cols = zip(*rows, strict=True) if rows else [()] * 3
-        return pa.table([pa.array(c, t) for c, t in zip(cols, [pa.int64(), pa.int32(), pa.binary()], strict=True)], ["c", "n", "keys"])
+        names, side = table["slice"].to_numpy(), table["side"].to_numpy()
+        out = []
+        for name in np.unique(names):
+            first = table.filter(pa.array((names == name) & (side == _CLASSES))).slice(0, 1).to_pylist()
+            got = table.filter(pa.array((names == name) & (side == _SHARED))).to_pylist()
+            if not first or not got:
+                continue
+            c, n = unpack(first[0]["a"], _U).view(np.int64), unsqueezed(first[0]["b"], np.int32)
+            keys, cls = np.concatenate([unpack_sorted(r["a"]) for r in got]), np.concatenate([unsqueezed(r["b"], np.int32) for r in got])
+            enough = 100 * np.bincount(cls, minlength=len(c)) >= percent * n.astype(np.int64)
+            keys, cls = keys[enough[cls]], cls[enough[cls]]
+            order = np.lexsort((keys, cls))
+            keys, cls = keys[order], cls[order]
+            new = np.concatenate([np.ones(min(1, len(keys)), bool), (keys[1:] != keys[:-1]) | (cls[1:] != cls[:-1])])
+            keys, cls = keys[new], cls[new]
+            out += [(int(c[i]), int(n[i]), keys[a:b].tobytes(), sketch(keys[a:b])) for i, a, b in cuts(cls) if 100 * (b - a) >= percent * int(n[i])]
+        cols = zip(*out, strict=True) if out else [()] * 4
+        return pa.table([pa.array(x, t) for x, t in zip(cols, [pa.int64(), pa.int32(), pa.binary(), pa.list_(pa.int64())], strict=True)], ["c", "n", "keys", "sketch"])
 
     return run
 
@@ -164,28 +195,34 @@ def _least(percent: int, n):
     return -(-percent * n // 100)
 
 
+def _prefix_rows(out: list[tuple]) -> pa.RecordBatch:
+    p, c, n, pos = (np.concatenate(x) for x in zip(*out, strict=True))
+    return pa.RecordBatch.from_arrays([pa.array(p.view(np.int64)), pa.array(c), pa.array(n), pa.array(pos)], ["key", "c", "n", "pos"])
+
+
 def _prefixes(sets: DataFrame, percent: int) -> DataFrame:
-    """key, c, n, pos (in the whole order) and sign (a count for each of 16 classes of later shingles)."""
+    """key, c, n and pos (in the whole order) of each class's prefix."""
     sent = sets.sparkSession.sparkContext.broadcast(_frequent(sets))
 
     def run(batches: Iterator[pa.RecordBatch]) -> Iterator[pa.RecordBatch]:
         often, count = sent.value
         for b in batches:
+            out: list[tuple] = []
             for c, n, raw in zip(*(b.column(x).to_pylist() for x in ("c", "n", "keys")), strict=True):
                 keys = np.frombuffer(raw, _U)
                 i = np.minimum(np.searchsorted(often, keys), max(0, len(often) - 1))
                 f = np.where(often[i] == keys, count[i], 0) if len(often) else np.zeros(len(keys), np.int64)
                 keys = keys[np.lexsort((keys, f))]
                 alone = n - len(keys)
-                own = n - _least(percent, n) + 1 - alone
-                p = keys[:own]
-                kinds = (keys & _U(15)).astype(np.int64)
-                ahead = np.zeros((len(p) + 1, 16), np.int32)
-                np.add.at(ahead[1:], (np.arange(len(p)), kinds[: len(p)]), 1)
-                later = np.bincount(kinds, minlength=16) - np.cumsum(ahead, axis=0)[1:]
-                yield pa.RecordBatch.from_arrays([pa.array(p.view(np.int64)), pa.array(np.full(len(p), c)), pa.array(np.full(len(p), n, np.int32)), pa.array((alone + np.arange(len(p))).astype(np.int32)), pa.array(later.astype(np.int32).tolist(), pa.list_(pa.int32()))], ["key", "c", "n", "pos", "sign"])
+                p = keys[: n - _least(percent, n) + 1 - alone]
+                out.append((p, np.full(len(p), c), np.full(len(p), n, np.int32), (alone + np.arange(len(p))).astype(np.int32)))
+                if sum(len(x[0]) for x in out[-200:]) > 20_000:
+                    yield _prefix_rows(out)
+                    out = []
+            if out:
+                yield _prefix_rows(out)
 
-    return sets.mapInArrow(run, "key long, c long, n int, pos int, sign array<int>")
+    return sets.mapInArrow(run, "key long, c long, n int, pos int")
 
 
 def _verified(pairs: DataFrame, sets: DataFrame, percent: int) -> DataFrame:
@@ -206,33 +243,49 @@ def _verified(pairs: DataFrame, sets: DataFrame, percent: int) -> DataFrame:
 
 def links(docs: DataFrame, text_col: str = "text", percent: int = PERCENT, shingle_words: int = SHINGLE_WORDS) -> DataFrame:
     """c and root: the component of each class that has a link."""
-    groups = groups_for(docs)
+    groups = groups_for(bounded(docs))
     found = docs.select(F.col(text_col).alias("text")).mapInArrow(_sliced(groups, shingle_words), _SENT)
     sent_back = found.groupBy("side", "grp").applyInArrow(_sharing(groups), _SENT)
-    sets = stored(sent_back.groupBy("grp").applyInArrow(_survivors(percent), "c long, n int, keys binary"), "sets")
+    # A class is told by each slice that it is in, in the same words.
+    told = sent_back.groupBy("grp").applyInArrow(_survivors(percent), "c long, n int, keys binary, sketch array<long>")
+    sets = stored(told.groupBy("c").agg(F.first("n").alias("n"), F.first("keys").alias("keys"), F.first("sketch").alias("sketch")), "sets")
     prefixes = stored(_prefixes(sets, percent), "prefixes")
 
-    hub = prefixes.groupBy("key").agg(F.min(F.struct("n", "c")).alias("hub"), F.count("*").alias("k")).filter("k > 1").select("key", F.col("hub.c").alias("b"), F.col("hub.n").alias("m"))
-    near = prefixes.join(hub, "key").filter((F.col("c") != F.col("b")) & (100 * F.col("m") >= percent * F.col("n"))).select(F.col("c").alias("a"), "b").distinct()
-    first = stored(_verified(near, sets, percent), "links")
-    part = stored(components(first), "parts")
-
-    named = prefixes.join(part.withColumnRenamed("node", "c"), "c", "left").withColumn("root", F.coalesce("root", "c"))
+    found, part = None, None
+    for seed in range(HUB_ROUNDS):
+        named = _named(prefixes, part)
+        first = F.struct("n", "c", "root") if seed == 0 else F.struct(F.xxhash64("c", F.lit(seed)), "c", "root", "n")
+        hub = named.groupBy("key").agg(F.min(first).alias("hub"), F.min("root").alias("r0"), F.max("root").alias("r1")).filter("r0 <> r1").select("key", F.col("hub.c").alias("b"), F.col("hub.n").alias("m"), F.col("hub.root").alias("hub_root"))
+        alike = 100 * F.least("m", "n") >= percent * F.greatest("m", "n")
+        near = named.join(hub, "key").filter((F.col("root") != F.col("hub_root")) & alike).select(F.col("c").alias("a"), "b").distinct()
+        more = _verified(near, sets, percent)
+        found = stored(more if found is None else found.unionByName(more), "links")
+        part = stored(components(found), "parts")
+
+    named = _named(prefixes, part)
     mixed = named.groupBy("key").agg(F.min("root").alias("r0"), F.max("root").alias("r1")).filter("r0 <> r1").select("key")
-    open_ = named.join(mixed, "key")
-    x = open_.select("key", *[F.col(n).alias(f"{n}1") for n in ("c", "n", "pos", "sign", "root")])
-    y = open_.select("key", *[F.col(n).alias(f"{n}2") for n in ("c", "n", "pos", "sign", "root")])
-    # Two sets of n1 >= n2 must have this many in common; what is left after a common place, and by kind, bounds it.
+    shown = sets.select("c", "sketch", (F.col("n") - F.length("keys") / 8).cast("int").alias("alone"))
+    open_ = stored(named.join(mixed, "key").join(shown, "c"), "open")
+    side = lambda i: open_.select("key", *[F.col(n).alias(f"{n}{i}") for n in ("c", "n", "pos", "root", "sketch", "alone")])
+    # Two sets of n1 and n2 must have this many in common. What is left after a common place bounds it, and so do the
+    # sketches: shingles of one class alone, and those that the sketches tell apart, aren't in common.
     least = F.ceil(percent * (F.col("n1") + F.col("n2")) / F.lit(100 + percent) - 1e-9)
-    room = lambda n: F.col(f"n{n}") - F.col(f"pos{n}") - 1
-    later = F.aggregate(F.zip_with("sign1", "sign2", lambda p, q: F.least(p, q)), F.lit(0), lambda s, v: s + v)
-    ahead = F.least("pos1", "pos2")
-    pairs = x.join(y, "key").filter(
+    room = lambda i: F.col(f"n{i}") - F.col(f"pos{i}") - 1
+    apart = F.col("alone1") + F.col("alone2")
+    for i in range(SKETCH_BITS // 64):
+        apart = apart + F.bit_count(F.get(F.col("sketch1"), F.lit(i)).bitwiseXOR(F.get(F.col("sketch2"), F.lit(i))))
+    pairs = side(1).join(side(2), "key").filter(
         (F.col("root1") < F.col("root2")) & (100 * F.least("n1", "n2") >= percent * F.greatest("n1", "n2"))
-        & (ahead + 1 + F.least(room(1), room(2)) >= least) & (ahead + 1 + later >= least)
+        & (F.least("pos1", "pos2") + 1 + F.least(room(1), room(2)) >= least) & (apart <= F.col("n1") + F.col("n2") - 2 * least)
     ).select(F.col("c1").alias("a"), F.col("c2").alias("b")).distinct()
-    rest = _verified(pairs, sets, percent)
-    return components(first.unionByName(rest)).withColumnRenamed("node", "c")
+    return components(found.unionByName(_verified(pairs, sets, percent))).withColumnRenamed("node", "c")
+
+
+def _named(prefixes: DataFrame, part: DataFrame | None) -> DataFrame:
+    """prefixes with each class's component so far."""
+    if part is None:
+        return prefixes.withColumn("root", F.col("c"))
+    return prefixes.join(part.withColumnRenamed("node", "c"), "c", "left").withColumn("root", F.coalesce("root", "c"))
 
 
 def _classes(docs: DataFrame, id_col: str, text_col: str, k: int) -> DataFrame:
@@ -241,7 +294,7 @@ def _classes(docs: DataFrame, id_col: str, text_col: str, k: int) -> DataFrame:
             s = Sets(part, k)
             yield pa.RecordBatch.from_arrays([part.column("doc_id"), pa.array(s.cls.view(np.int64)), pa.array(s.n.astype(np.int64))], ["doc_id", "c", "n_shingles"])
 
-    return docs.select(F.col(id_col).cast("long").alias("doc_id"), F.col(text_col).alias("text")).mapInArrow(run, "doc_id long, c long, n_shingles long")
+    return bounded(docs).select(F.col(id_col).cast("long").alias("doc_id"), F.col(text_col).alias("text")).mapInArrow(run, "doc_id long, c long, n_shingles long")
 
 
 def join(docs: DataFrame, id_col: str = "doc_id", text_col: str = "text", percent: int = PERCENT, shingle_words: int = SHINGLE_WORDS) -> DataFrame:
