@@ -21,6 +21,7 @@ from __future__ import annotations
 from pyspark.sql import Column, DataFrame
 from pyspark.sql import functions as F
 
+from .common import stored
 from .native import let, row_key, shingles, small, words
 
 SHINGLE_WORDS = 5
@@ -115,6 +116,7 @@ def report(docs: DataFrame, benchmark: DataFrame, id_col: str = "doc_id", text_c
 def clean(docs: DataFrame, benchmark: DataFrame, id_col: str = "doc_id", text_col: str = "text") -> DataFrame:
     """The rows of docs that aren't contaminated."""
     found = matches(docs, benchmark, id_col, text_col).select(F.col("d").alias("fd"), F.col("t").alias("ft")).distinct()
+    found = small(stored(found, "contaminated"))
     return docs.join(found, F.col(id_col).cast("long").eqNullSafe(found.fd) & (row_key(text_col) == found.ft), "left_anti")
 
 

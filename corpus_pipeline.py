@@ -18,6 +18,7 @@ from pyspark.sql import functions as F
 
 from assayer.llm import bpe, decontaminate, jaccard, langid, line_dedup
 from assayer.llm.common import crc_remainder, stored
+from assayer.llm.native import small
 
 
 def language(spark: SparkSession, docs: DataFrame, sf_dir: str) -> DataFrame:
@@ -31,8 +32,8 @@ def lines(spark: SparkSession, docs: DataFrame, sf_dir: str) -> DataFrame:
 
 
 def near_copies(spark: SparkSession, docs: DataFrame, sf_dir: str) -> DataFrame:
-    gone = jaccard.join(docs).filter("component_id <> doc_id").select("doc_id").distinct()
-    return docs.join(gone, "doc_id", "left_anti").select(docs.columns)
+    gone = stored(jaccard.join(docs).filter("component_id <> doc_id").select("doc_id").distinct(), "gone")
+    return docs.join(small(gone), "doc_id", "left_anti").select(docs.columns)
 
 
 def benchmark(spark: SparkSession, docs: DataFrame, sf_dir: str) -> DataFrame:
