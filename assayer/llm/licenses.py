@@ -3,6 +3,7 @@
 Each rule is a regular expression over the lower-cased text (blanks squeezed), gated by a literal keyword, with a label
 and a class: 0 a machine-readable tag, 1 a notice (granting words, a license field or a license's address), 2 a mention.
 A text without any of the gate words is not looked at; in one with, only rules whose keyword it contains are run.
+The gate words are derived from the rules: each match of a rule holds one of them. Both look at the squeezed text.
 
 Overlaps: detections are ordered by start, then longer first, then class. One that lies within an earlier one of its own
 or a better class is suppressed. So 'licensed under the gnu lesser general public license, version 3' is one detection,
@@ -14,6 +15,9 @@ their places. Null and empty texts have no words and no labels; each input row g
 
 from __future__ import annotations
 
+from re import _constants as sre
+from re import _parser
+
 from pyspark.sql import Column, DataFrame
 from pyspark.sql import functions as F
 
@@ -25,7 +29,6 @@ NO_WORD = r"[\x00-\x2F\x3A-\x60\x7B-\x7F]+"
 WORD = r"[^\x00-\x2F\x3A-\x60\x7B-\x7F]+"
 BASE = {"mit license": "mit", "apache license": "apache", "general public license": "gpl"}
 
-GATE = ["licen", "spdx", "copyright", "public domain", "gpl", "creative commons", "cc by", "cc-by", "cc0", "unlicense"]
 WEIGHT = {0: 1.0, 1: 0.9, 2: 0.6}
 BASE_WEIGHT = 0.5
 
@@ -104,6 +107,91 @@ def _creative_commons() -> list[tuple[str, str, str, str, str]]:
 _TERMS = r"(?:the )?(?:terms (?:and conditions )?of (?:the )?)?"
 
 
+#: So many texts at most are spelled out for a part of an expression, and literals that plain text holds often.
+MOST = 12
+COMMON = {"later", " or ", "1.1"}
+
+
+def _texts(item) -> set[str] | None:
+    """All texts that a parsed item matches, if they are few."""
+    kind, value = item
+    if kind in (sre.AT, sre.ASSERT, sre.ASSERT_NOT):
+        return {""}
+    if kind is sre.LITERAL:
+        return {chr(value)}
+    if kind is sre.IN and all(k is sre.LITERAL for k, _ in value):
+        return {chr(v) for _, v in value}
+    if kind is sre.SUBPATTERN:
+        return _spelled(value[3])
+    if kind is sre.BRANCH:
+        parts = [_spelled(p) for p in value[1]]
+        return None if None in parts else set().union(*parts)
+    if kind is sre.MAX_REPEAT and value[0] in (0, 1) and value[1] == 1:
+        part = _spelled(value[2])
+        return None if part is None else part | ({""} if value[0] == 0 else set())
+    return None
+
+
+def _spelled(items) -> set[str] | None:
+    out = {""}
+    for item in items:
+        t = _texts(item)
+        if t is None or len(out) * len(t) > MOST:
+            return None
+        out = {a + b for a in out for b in t}
+    return out
+
+
+def shortest(words) -> list[str]:
+    """Without those that contain another."""
+    return sorted(w for w in set(words) if not any(v != w and v in w for v in set(words)))
+
+
+def _best(items) -> list[str]:
+    """Of the sets of literals that every match holds one of, the one with long and few literals; empty if there is none."""
+    found, run = [], {""}
+    for item in items:
+        t = _texts(item)
+        run = {a + b for a in run for b in t} if t is not None and len(run) * len(t) <= MOST else t or {""}
+        found.append(shortest(run))
+        kind, value = item
+        if t is None and kind is sre.SUBPATTERN:
+            found.append(_best(value[3]))
+        elif t is None and kind is sre.BRANCH:
+            parts = [_best(p) for p in value[1]]
+            found.append(shortest(w for p in parts for w in p) if all(parts) else [])
+        elif t is None and kind is sre.MAX_REPEAT and value[0] > 0:
+            found.append(_best(value[2]))
+    usable = [w for w in found if w and "" not in w]
+    return max(usable, key=lambda w: (COMMON.isdisjoint(w), min(5, *map(len, w)), -len(w), min(map(len, w))), default=[])
+
+
+def alternatives(pattern: str) -> list[str]:
+    """The expression cut at its outer bars; no rule has a bar or a bracket in a class or escaped, but for parentheses."""
+    out, depth, last = [""], 0, ""
+    for c in pattern:
+        depth += (c == "(" and last != "\\") - (c == ")" and last != "\\")
+        if c == "|" and not depth:
+            out.append("")
+        else:
+            out[-1] += c
+        last = c
+    return out
+
+
+def literals(pattern: str) -> list[str]:
+    """Literals of which every match of the expression holds at least one: those of each alternative."""
+    parts = [_best(_parser.parse(p)) for p in alternatives(pattern)]
+    if not all(parts):
+        raise ValueError(f"no literal in {pattern}")
+    return shortest(w for p in parts for w in p)
+
+
+def gate() -> list[str]:
+    """Literals of which every match of every rule holds one: tags stand only beside 'licen', names and addresses also alone."""
+    return shortest(["licen"] + [w for _, _, name, _, address in FAMILIES + _creative_commons() for part in (name, address) for w in literals(part)])
+
+
 def rules() -> list[tuple[str, str, int, str]]:
     """label, keyword, class and expression of every rule: six signatures for each license."""
     out = []
@@ -156,16 +244,19 @@ def _detections(lower: Column) -> Column:
         zero = F.struct(F.array(F.lit(-1), F.lit(-1), F.lit(-1)).alias("far"), F.array().cast("array<struct<start:int,end:int,class:int,label:string>>").alias("out"))
         return F.aggregate(found, zero, step)["out"]
 
-    return keep(let(F.regexp_replace(lower, r"\s+", " "), of))
+    def gated(flat: Column) -> Column:
+        some = F.lit(False)
+        for g in gate():
+            some = some | F.contains(flat, F.lit(g))
+        return F.when(some, keep(of(flat)))
+
+    return let(F.regexp_replace(lower, r"\s+", " "), gated)
 
 
 def scan(docs: DataFrame, id_col: str = "doc_id", text_col: str = "text") -> DataFrame:
     """doc_id, n_words, n_base, first_word, last_word, base_labels, labels, score, and detections (start, end in the
     blank-squeezed lower-cased text, class, label; null where no gate word occurs)."""
     rows = id_text(docs, id_col, text_col).select("doc_id", F.lower(F.coalesce("text", F.lit(""))).alias("low"))
-    gate, words_gate = F.lit(False), F.lit(False)
-    for g in GATE:
-        gate = gate | F.contains("low", F.lit(g))
     words_gate = F.contains("low", F.lit("license"))
     padded = F.concat(F.lit(" "), F.btrim(F.regexp_replace("low", NO_WORD, " ")), F.lit(" "))
     count = lambda c: F.regexp_count(c, F.lit("[^ ]+")).cast("long")
@@ -180,7 +271,7 @@ def scan(docs: DataFrame, id_col: str = "doc_id", text_col: str = "text") -> Dat
 
         return let(F.split(p, phrase, -1), of)
 
-    rows = rows.select("doc_id", n_words.alias("n_words"), F.when(words_gate, let(padded, base)).alias("base"), F.when(gate, _detections(F.col("low"))).alias("detections"))
+    rows = rows.select("doc_id", n_words.alias("n_words"), F.when(words_gate, let(padded, base)).alias("base"), _detections(F.col("low")).alias("detections"))
     none = F.array().cast("array<string>")
     base_labels = F.coalesce(F.array_sort(F.array_distinct("base.labels")), none)
     both = F.array_sort(F.array_distinct(F.concat(base_labels, F.coalesce(F.col("detections.label"), none))))

@@ -49,3 +49,51 @@ def test_rules_compile():
     assert len(licenses.rules()) > 300
     for _, _, _, p in licenses.rules():
         re.compile(p)
+
+
+def expand(pattern):
+    """The shortest text of each alternative of an expression; where more than 50, the first ones of each part."""
+    from itertools import islice, product
+
+    def one(item):
+        kind, v = str(item[0]), item[1]
+        if kind == "LITERAL":
+            return [chr(v)]
+        if kind == "IN":
+            return [chr(v[0][1]) if str(v[0][0]) == "LITERAL" else chr(v[0][1][0]) if str(v[0][0]) == "RANGE" else "a"]
+        if kind == "BRANCH":
+            return [t for p in v[1] for t in many(p)]
+        if kind == "SUBPATTERN":
+            return many(v[3])
+        if kind == "MAX_REPEAT":
+            return [t * v[0] for t in many(v[2])] if v[0] else [""]
+        return [""]
+
+    def many(items):
+        return list(dict.fromkeys("".join(x) for x in islice(product(*map(one, items)), 50)))
+
+    return many(licenses._parser.parse(pattern))
+
+
+UNGATED = {
+    "(c) 2020 Acme. All rights reserved.": "all-rights-reserved",
+    "released under MPL 2.0": "mpl-2.0",
+    "available under Apache-2.0": "apache-2.0",
+    "distributed under the 3-clause BSD": "bsd-3-clause",
+    "released under the WTFPL": "wtfpl",
+    "https://www.mozilla.org/MPL/2.0/": "mpl-2.0",
+    "https://creativecommons.org/publicdomain/zero/1.0/": "cc0-1.0",
+    "It is in the public\ndomain.": "public-domain",
+    "Creative\n  Commons BY 4.0": "cc-by-4.0",
+}
+
+
+def test_gate_is_no_narrower_than_the_rules(spark):
+    gate = licenses.gate()
+    for _, _, _, p in licenses.rules():
+        for t in expand(p):
+            assert re.search(p, t) and any(g in t for g in gate), (p, t)
+    df = spark.createDataFrame(list(enumerate(UNGATED)), "doc_id long, text string")
+    got = {r.doc_id: r for r in licenses.scan(df).collect()}
+    assert {t: got[i].labels for i, t in enumerate(UNGATED)} == UNGATED
+    assert all(r.score > 0 for r in got.values())
