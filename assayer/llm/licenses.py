@@ -1,8 +1,8 @@
 """License scan by ordered signature rules, in DataFrame functions only.
 
-Each rule is a regular expression over the lower-cased text (blanks squeezed), gated by a literal keyword, with a label
+Each rule is a regular expression over the lower-cased text (blanks squeezed), gated by literal keywords, with a label
 and a class: 0 a machine-readable tag, 1 a notice (granting words, a license field or a license's address), 2 a mention.
-A text without any of the gate words is not looked at; in one with, only rules whose keyword it contains are run.
+A text without any of the gate words is not looked at; in one with, only rules of which it contains a keyword are run.
 The gate words are derived from the rules: each match of a rule holds one of them. Both look at the squeezed text.
 
 Overlaps: detections are ordered by start, then longer first, then class. One that lies within an earlier one of its own
@@ -36,60 +36,60 @@ _V = r",? ?(?:\([al]?gpl\),? ?)?(?:version |ver\.? ?|v\.? ?)?"
 _END = r"(?![\w.]*\d)"
 _L = r"licen[sc]e"
 
-#: label, keyword, name, tag, address
+#: label, name, tag, address
 FAMILIES = [
-    ("mit", "mit", rf"(?:mit|expat)(?: open source)? {_L}", r"mit", r"opensource\.org/licenses/mit"),
-    ("mit-0", "mit", rf"mit no attribution(?: {_L})?|mit-0(?: {_L})?", r"mit-0", r"github\.com/aws/mit-0"),
-    ("x11", "x11", rf"x11 {_L}", r"x11", r"spdx\.org/licenses/x11"),
-    ("isc", "isc", rf"isc {_L}", r"isc", r"opensource\.org/licenses/isc"),
-    ("0bsd", "bsd", rf"(?:zero[- ]clause|0-clause) bsd(?: {_L})?|0bsd(?: {_L})?", r"0bsd", r"opensource\.org/licenses/0bsd"),
-    ("bsd-2-clause", "bsd", rf"(?:simplified bsd|(?:2|two)[- ]clause bsd|bsd (?:2|two)[- ]clause)(?: {_L})?", r"bsd-2-clause", r"opensource\.org/licenses/bsd-2-clause"),
-    ("bsd-3-clause", "bsd", rf"(?:(?:new|modified|revised) bsd|(?:3|three)[- ]clause bsd|bsd (?:3|three)[- ]clause)(?: {_L})?", r"bsd-3-clause", r"opensource\.org/licenses/bsd-3-clause"),
-    ("bsd-4-clause", "bsd", rf"(?:original bsd|(?:4|four)[- ]clause bsd|bsd (?:4|four)[- ]clause)(?: {_L})?", r"bsd-4-clause", r"spdx\.org/licenses/bsd-4-clause"),
-    ("bsd", "bsd", rf"bsd(?:[- ]style)? {_L}", r"bsd", r"opensource\.org/licenses/bsd-license"),
-    ("apache-1.0", "apache", rf"apache(?: software)? {_L}{_V}1\.0{_END}", r"apache-1\.0", r"apache\.org/licenses/license-1\.0"),
-    ("apache-1.1", "apache", rf"apache(?: software)? {_L}{_V}1\.1{_END}", r"apache-1\.1", r"apache\.org/licenses/license-1\.1"),
-    ("apache-2.0", "apache", rf"apache(?: software)? {_L}{_V}2(?:\.0)?{_END}|apache[- ]2\.0(?: {_L})?", r"apache-2\.0", r"apache\.org/licenses/license-2\.0"),
-    ("apache", "apache", rf"apache(?: software)? {_L}", r"apache", r"apache\.org/licenses/?(?![\w/])"),
-    ("gpl-1.0", "g", rf"(?:gnu )?(?:general public {_L}|gpl){_V}1(?:\.0)?{_END}", r"gpl-1\.0(?:-only|-or-later|\+)?", r"gnu\.org/licenses/(?:old-licenses/)?gpl-1\.0"),
-    ("gpl-2.0", "g", rf"(?:gnu )?(?:general public {_L}|gpl){_V}2(?:\.0)?{_END}", r"gpl-2\.0(?:-only)?", r"gnu\.org/licenses/(?:old-licenses/)?gpl-2\.0"),
-    ("gpl-2.0-or-later", "later", rf"(?:gnu )?(?:general public {_L}|gpl){_V}2(?:\.0)?,? or (?:\(at your option\) )?(?:any )?later(?: version)?", r"gpl-2\.0(?:-or-later|\+)", r"spdx\.org/licenses/gpl-2\.0-or-later"),
-    ("gpl-3.0", "g", rf"(?:gnu )?(?:general public {_L}|gpl){_V}3(?:\.0)?{_END}", r"gpl-3\.0(?:-only)?", r"gnu\.org/licenses/gpl-3\.0"),
-    ("gpl-3.0-or-later", "later", rf"(?:gnu )?(?:general public {_L}|gpl){_V}3(?:\.0)?,? or (?:\(at your option\) )?(?:any )?later(?: version)?", r"gpl-3\.0(?:-or-later|\+)", r"spdx\.org/licenses/gpl-3\.0-or-later"),
-    ("gpl", "g", rf"(?:gnu )?general public {_L}|gnu gpl|(?<![\w.-])gpl(?![\w.-])", r"gpl", r"gnu\.org/(?:licenses/gpl|copyleft/gpl)(?![-\w])"),
-    ("lgpl-2.0", "g", rf"(?:gnu )?(?:(?:library|lesser) general public {_L}|lgpl){_V}2(?:\.0)?{_END}", r"lgpl-2\.0(?:-only|-or-later|\+)?", r"gnu\.org/licenses/old-licenses/lgpl-2\.0"),
-    ("lgpl-2.1", "g", rf"(?:gnu )?(?:(?:library|lesser) general public {_L}|lgpl){_V}2\.1{_END}", r"lgpl-2\.1(?:-only|-or-later|\+)?", r"gnu\.org/licenses/(?:old-licenses/)?lgpl-2\.1"),
-    ("lgpl-3.0", "g", rf"(?:gnu )?(?:lesser general public {_L}|lgpl){_V}3(?:\.0)?{_END}", r"lgpl-3\.0(?:-only|-or-later|\+)?", r"gnu\.org/licenses/lgpl-3\.0"),
-    ("lgpl", "g", rf"(?:gnu )?(?:library|lesser) general public {_L}|(?:gnu )?lgpl", r"lgpl", r"gnu\.org/(?:licenses/lgpl|copyleft/lesser)(?![-\w])"),
-    ("agpl-3.0", "g", rf"(?:gnu )?(?:affero general public {_L}|agpl){_V}3(?:\.0)?{_END}", r"agpl-3\.0(?:-only|-or-later|\+)?", r"gnu\.org/licenses/agpl-3\.0"),
-    ("agpl", "g", rf"(?:gnu )?affero general public {_L}|(?:gnu )?agpl", r"agpl", r"gnu\.org/licenses/agpl(?![-\w])"),
-    ("gfdl", "documentation", rf"(?:gnu )?free documentation {_L}(?:{_V}1\.[123])?", r"gfdl-1\.[123](?:-only|-or-later)?", r"gnu\.org/licenses/fdl"),
-    ("mpl-1.1", "m", rf"(?:mozilla public {_L}|mpl){_V}1\.1{_END}", r"mpl-1\.1", r"mozilla\.org/mpl/1\.1"),
-    ("mpl-2.0", "m", rf"(?:mozilla public {_L}|mpl){_V}2(?:\.0)?{_END}", r"mpl-2\.0", r"mozilla\.org/(?:en-us/)?mpl/2\.0"),
-    ("mpl", "mozilla", rf"mozilla public {_L}", r"mpl", r"mozilla\.org/mpl/?(?![\w/])"),
-    ("epl-1.0", "eclipse", rf"eclipse public {_L}{_V}1(?:\.0)?{_END}", r"epl-1\.0", r"eclipse\.org/legal/epl-v10"),
-    ("epl-2.0", "eclipse", rf"eclipse public {_L}{_V}2(?:\.0)?{_END}", r"epl-2\.0", r"eclipse\.org/legal/epl-(?:v20|2\.0)"),
-    ("cddl-1.0", "development and distribution", rf"common development and distribution {_L}(?:{_V}1\.0)?", r"cddl-1\.0", r"opensource\.org/licenses/cddl"),
-    ("eupl-1.2", "european union", rf"european union public {_L}(?:{_V}1\.2)?", r"eupl-1\.2", r"joinup\.ec\.europa\.eu/[\w/]*eupl"),
-    ("artistic-1.0", "artistic", rf"artistic {_L}{_V}1(?:\.0)?{_END}", r"artistic-1\.0", r"opensource\.org/licenses/artistic-license-1\.0"),
-    ("artistic-2.0", "artistic", rf"artistic {_L}{_V}2(?:\.0)?{_END}", r"artistic-2\.0", r"opensource\.org/licenses/artistic-2\.0"),
-    ("zlib", "zlib", rf"zlib(?:/libpng)? {_L}", r"zlib", r"opensource\.org/licenses/zlib"),
-    ("bsl-1.0", "boost", rf"boost software {_L}(?:{_V}1\.0)?", r"bsl-1\.0", r"boost\.org/license_1_0"),
-    ("unlicense", "unlicense", r"(?:the )?unlicense(?!d)", r"unlicense", r"unlicense\.org"),
-    ("wtfpl", "wtfpl", r"wtfpl", r"wtfpl", r"wtfpl\.net"),
-    ("cc0-1.0", "cc", r"cc0(?:[- ]1\.0)?(?: universal)?|creative commons zero(?: v?1\.0)?", r"cc0-1\.0", r"creativecommons\.org/publicdomain/zero/1\.0"),
-    ("odbl-1.0", "open d", rf"open (?:data commons open )?database {_L}(?:{_V}1\.0)?", r"odbl-1\.0", r"opendatacommons\.org/licenses/odbl"),
-    ("ofl-1.1", "font", rf"(?:sil )?open font {_L}(?:{_V}1\.1)?", r"ofl-1\.1", r"scripts\.sil\.org/ofl"),
-    ("python-2.0", "python", rf"python software foundation {_L}(?:{_V}2)?|psf {_L}", r"python-2\.0|psf-2\.0", r"python\.org/psf/license"),
-    ("openrail", "rail", rf"(?:creativeml |bigscience |bigcode )?(?:open)?rail(?:\+\+)?(?:-m)? {_L}", r"openrail(?:\+\+)?", r"licenses\.ai"),
-    ("public-domain", "public domain", r"(?:dedicated to|placed (?:in|into)|released (?:in|into)|in) the public domain", r"licenseref-public-domain", r"creativecommons\.org/publicdomain/mark"),
-    ("all-rights-reserved", "all rights", r"all rights (?:are )?reserved", r"licenseref-all-rights-reserved", r"licenseref:all-rights-reserved"),
+    ("mit", rf"(?:mit|expat)(?: open source)? {_L}", r"mit", r"opensource\.org/licenses/mit"),
+    ("mit-0", rf"mit no attribution(?: {_L})?|mit-0(?: {_L})?", r"mit-0", r"github\.com/aws/mit-0"),
+    ("x11", rf"x11 {_L}", r"x11", r"spdx\.org/licenses/x11"),
+    ("isc", rf"isc {_L}", r"isc", r"opensource\.org/licenses/isc"),
+    ("0bsd", rf"(?:zero[- ]clause|0-clause) bsd(?: {_L})?|0bsd(?: {_L})?", r"0bsd", r"opensource\.org/licenses/0bsd"),
+    ("bsd-2-clause", rf"(?:simplified bsd|(?:2|two)[- ]clause bsd|bsd (?:2|two)[- ]clause)(?: {_L})?", r"bsd-2-clause", r"opensource\.org/licenses/bsd-2-clause"),
+    ("bsd-3-clause", rf"(?:(?:new|modified|revised) bsd|(?:3|three)[- ]clause bsd|bsd (?:3|three)[- ]clause)(?: {_L})?", r"bsd-3-clause", r"opensource\.org/licenses/bsd-3-clause"),
+    ("bsd-4-clause", rf"(?:original bsd|(?:4|four)[- ]clause bsd|bsd (?:4|four)[- ]clause)(?: {_L})?", r"bsd-4-clause", r"spdx\.org/licenses/bsd-4-clause"),
+    ("bsd", rf"bsd(?:[- ]style)? {_L}", r"bsd", r"opensource\.org/licenses/bsd-license"),
+    ("apache-1.0", rf"apache(?: software)? {_L}{_V}1\.0{_END}", r"apache-1\.0", r"apache\.org/licenses/license-1\.0"),
+    ("apache-1.1", rf"apache(?: software)? {_L}{_V}1\.1{_END}", r"apache-1\.1", r"apache\.org/licenses/license-1\.1"),
+    ("apache-2.0", rf"apache(?: software)? {_L}{_V}2(?:\.0)?{_END}|apache[- ]2\.0(?: {_L})?", r"apache-2\.0", r"apache\.org/licenses/license-2\.0"),
+    ("apache", rf"apache(?: software)? {_L}", r"apache", r"apache\.org/licenses/?(?![\w/])"),
+    ("gpl-1.0", rf"(?:gnu )?(?:general public {_L}|gpl){_V}1(?:\.0)?{_END}", r"gpl-1\.0(?:-only|-or-later|\+)?", r"gnu\.org/licenses/(?:old-licenses/)?gpl-1\.0"),
+    ("gpl-2.0", rf"(?:gnu )?(?:general public {_L}|gpl){_V}2(?:\.0)?{_END}", r"gpl-2\.0(?:-only)?", r"gnu\.org/licenses/(?:old-licenses/)?gpl-2\.0"),
+    ("gpl-2.0-or-later", rf"(?:gnu )?(?:general public {_L}|gpl){_V}2(?:\.0)?,? or (?:\(at your option\) )?(?:any )?later(?: version)?", r"gpl-2\.0(?:-or-later|\+)", r"spdx\.org/licenses/gpl-2\.0-or-later"),
+    ("gpl-3.0", rf"(?:gnu )?(?:general public {_L}|gpl){_V}3(?:\.0)?{_END}", r"gpl-3\.0(?:-only)?", r"gnu\.org/licenses/gpl-3\.0"),
+    ("gpl-3.0-or-later", rf"(?:gnu )?(?:general public {_L}|gpl){_V}3(?:\.0)?,? or (?:\(at your option\) )?(?:any )?later(?: version)?", r"gpl-3\.0(?:-or-later|\+)", r"spdx\.org/licenses/gpl-3\.0-or-later"),
+    ("gpl", rf"(?:gnu )?general public {_L}|gnu gpl|(?<![\w.-])gpl(?![\w.-])", r"gpl", r"gnu\.org/(?:licenses/gpl|copyleft/gpl)(?![-\w])"),
+    ("lgpl-2.0", rf"(?:gnu )?(?:(?:library|lesser) general public {_L}|lgpl){_V}2(?:\.0)?{_END}", r"lgpl-2\.0(?:-only|-or-later|\+)?", r"gnu\.org/licenses/old-licenses/lgpl-2\.0"),
+    ("lgpl-2.1", rf"(?:gnu )?(?:(?:library|lesser) general public {_L}|lgpl){_V}2\.1{_END}", r"lgpl-2\.1(?:-only|-or-later|\+)?", r"gnu\.org/licenses/(?:old-licenses/)?lgpl-2\.1"),
+    ("lgpl-3.0", rf"(?:gnu )?(?:lesser general public {_L}|lgpl){_V}3(?:\.0)?{_END}", r"lgpl-3\.0(?:-only|-or-later|\+)?", r"gnu\.org/licenses/lgpl-3\.0"),
+    ("lgpl", rf"(?:gnu )?(?:library|lesser) general public {_L}|(?:gnu )?lgpl", r"lgpl", r"gnu\.org/(?:licenses/lgpl|copyleft/lesser)(?![-\w])"),
+    ("agpl-3.0", rf"(?:gnu )?(?:affero general public {_L}|agpl){_V}3(?:\.0)?{_END}", r"agpl-3\.0(?:-only|-or-later|\+)?", r"gnu\.org/licenses/agpl-3\.0"),
+    ("agpl", rf"(?:gnu )?affero general public {_L}|(?:gnu )?agpl", r"agpl", r"gnu\.org/licenses/agpl(?![-\w])"),
+    ("gfdl", rf"(?:gnu )?free documentation {_L}(?:{_V}1\.[123])?", r"gfdl-1\.[123](?:-only|-or-later)?", r"gnu\.org/licenses/fdl"),
+    ("mpl-1.1", rf"(?:mozilla public {_L}|mpl){_V}1\.1{_END}", r"mpl-1\.1", r"mozilla\.org/mpl/1\.1"),
+    ("mpl-2.0", rf"(?:mozilla public {_L}|mpl){_V}2(?:\.0)?{_END}", r"mpl-2\.0", r"mozilla\.org/(?:en-us/)?mpl/2\.0"),
+    ("mpl", rf"mozilla public {_L}", r"mpl", r"mozilla\.org/mpl/?(?![\w/])"),
+    ("epl-1.0", rf"eclipse public {_L}{_V}1(?:\.0)?{_END}", r"epl-1\.0", r"eclipse\.org/legal/epl-v10"),
+    ("epl-2.0", rf"eclipse public {_L}{_V}2(?:\.0)?{_END}", r"epl-2\.0", r"eclipse\.org/legal/epl-(?:v20|2\.0)"),
+    ("cddl-1.0", rf"common development and distribution {_L}(?:{_V}1\.0)?", r"cddl-1\.0", r"opensource\.org/licenses/cddl"),
+    ("eupl-1.2", rf"european union public {_L}(?:{_V}1\.2)?", r"eupl-1\.2", r"joinup\.ec\.europa\.eu/[\w/]*eupl"),
+    ("artistic-1.0", rf"artistic {_L}{_V}1(?:\.0)?{_END}", r"artistic-1\.0", r"opensource\.org/licenses/artistic-license-1\.0"),
+    ("artistic-2.0", rf"artistic {_L}{_V}2(?:\.0)?{_END}", r"artistic-2\.0", r"opensource\.org/licenses/artistic-2\.0"),
+    ("zlib", rf"zlib(?:/libpng)? {_L}", r"zlib", r"opensource\.org/licenses/zlib"),
+    ("bsl-1.0", rf"boost software {_L}(?:{_V}1\.0)?", r"bsl-1\.0", r"boost\.org/license_1_0"),
+    ("unlicense", r"(?:the )?unlicense(?!d)", r"unlicense", r"unlicense\.org"),
+    ("wtfpl", r"wtfpl", r"wtfpl", r"wtfpl\.net"),
+    ("cc0-1.0", r"cc0(?:[- ]1\.0)?(?: universal)?|creative commons zero(?: v?1\.0)?", r"cc0-1\.0", r"creativecommons\.org/publicdomain/zero/1\.0"),
+    ("odbl-1.0", rf"open (?:data commons open )?database {_L}(?:{_V}1\.0)?", r"odbl-1\.0", r"opendatacommons\.org/licenses/odbl"),
+    ("ofl-1.1", rf"(?:sil )?open font {_L}(?:{_V}1\.1)?", r"ofl-1\.1", r"scripts\.sil\.org/ofl"),
+    ("python-2.0", rf"python software foundation {_L}(?:{_V}2)?|psf {_L}", r"python-2\.0|psf-2\.0", r"python\.org/psf/license"),
+    ("openrail", rf"(?:creativeml |bigscience |bigcode )?(?:open)?rail(?:\+\+)?(?:-m)? {_L}", r"openrail(?:\+\+)?", r"licenses\.ai"),
+    ("public-domain", r"(?:dedicated to|placed (?:in|into)|released (?:in|into)|in) the public domain", r"licenseref-public-domain", r"creativecommons\.org/publicdomain/mark"),
+    ("all-rights-reserved", r"all rights (?:are )?reserved", r"licenseref-all-rights-reserved", r"licenseref:all-rights-reserved"),
 ]
 
 _CC_WORDS = {"by": "attribution", "sa": "share[- ]?alike", "nc": "non-?commercial", "nd": "no-?deriv(?:ative)?s?(?: works)?"}
 
 
-def _creative_commons() -> list[tuple[str, str, str, str, str]]:
+def _creative_commons() -> list[tuple[str, str, str, str]]:
     """The attribution licenses: six kinds, each with five versions and without one."""
     out = []
     for kind in ("by", "by-sa", "by-nc", "by-nd", "by-nc-sa", "by-nc-nd"):
@@ -100,16 +100,16 @@ def _creative_commons() -> list[tuple[str, str, str, str, str]]:
             at = v.replace(".", r"\.")
             tail = rf"[- ,]*(?:version |v\.? ?)?{at}{_END}(?: international| unported| generic)?(?: {_L})?" if v else rf"{more}(?: {_L})?"
             name = rf"(?:cc|creative commons)[- ]{short}{tail}|creative commons {long_name}{tail}"
-            out.append((f"cc-{kind}-{v}".rstrip("-"), "c", name, rf"cc-{kind}-{at}" if v else rf"cc-{kind}", rf"creativecommons\.org/licenses/{kind}/{at}" if v else rf"creativecommons\.org/licenses/{kind}/?(?![\w/])"))
+            out.append((f"cc-{kind}-{v}".rstrip("-"), name, rf"cc-{kind}-{at}" if v else rf"cc-{kind}", rf"creativecommons\.org/licenses/{kind}/{at}" if v else rf"creativecommons\.org/licenses/{kind}/?(?![\w/])"))
     return out
 
 
 _TERMS = r"(?:the )?(?:terms (?:and conditions )?of (?:the )?)?"
 
 
-#: So many texts at most are spelled out for a part of an expression, and literals that plain text holds often.
+#: So many texts at most are spelled out for a part of an expression, and what literals should not be a part of, as plain text holds it often.
 MOST = 12
-COMMON = {"later", " or ", "1.1"}
+COMMON = [" or later version", "1.1"]
 
 
 def _texts(item) -> set[str] | None:
@@ -144,7 +144,8 @@ def _spelled(items) -> set[str] | None:
 
 def shortest(words) -> list[str]:
     """Without those that contain another."""
-    return sorted(w for w in set(words) if not any(v != w and v in w for v in set(words)))
+    words = set(words)
+    return sorted(w for w in words if not any(v != w and v in w for v in words))
 
 
 def _best(items) -> list[str]:
@@ -163,7 +164,7 @@ def _best(items) -> list[str]:
         elif t is None and kind is sre.MAX_REPEAT and value[0] > 0:
             found.append(_best(value[2]))
     usable = [w for w in found if w and "" not in w]
-    return max(usable, key=lambda w: (COMMON.isdisjoint(w), min(5, *map(len, w)), -len(w), min(map(len, w))), default=[])
+    return max(usable, key=lambda w: (not any(x in c for x in w for c in COMMON), min(5, *map(len, w)), -len(w), min(map(len, w))), default=[])
 
 
 def alternatives(pattern: str) -> list[str]:
@@ -189,24 +190,34 @@ def literals(pattern: str) -> list[str]:
 
 def gate() -> list[str]:
     """Literals of which every match of every rule holds one: tags stand only beside 'licen', names and addresses also alone."""
-    return shortest(["licen"] + [w for _, _, name, _, address in FAMILIES + _creative_commons() for part in (name, address) for w in literals(part)])
+    return shortest(["licen"] + [w for _, name, _, address in FAMILIES + _creative_commons() for part in (name, address) for w in literals(part)])
 
 
-def rules() -> list[tuple[str, str, int, str]]:
-    """label, keyword, class and expression of every rule: six signatures for each license."""
+def rules() -> list[tuple[str, list[str], int, str]]:
+    """label, keywords, class and expression of every rule: six signatures for each license. Every match of a rule holds
+    one of its keywords; name and tag have their own."""
     out = []
-    for label, keyword, name, tag, address in FAMILIES + _creative_commons():
+    for label, name, tag, address in FAMILIES + _creative_commons():
+        named, tagged = literals(name), literals(tag)
         out += [
-            (label, "spdx-license-identifier", 0, rf"spdx-license-identifier: ?(?:\(?[\w.+-]+ (?:or|and) )?(?:{tag})(?![\w.+-])"),
-            (label, keyword, 1, rf"\b(?:dual[- ])?licen[sc]ed (?:to you )?under {_TERMS}(?:{name})"),
-            (label, keyword, 1, rf"\b(?:released|distributed|available|published|provided|covered|governed|redistribute[sd]?)(?: by| under)+ {_TERMS}(?:{name})"),
-            (label, keyword, 1, rf"\blicen[sc]es?(?: type| name)? ?[:=] ?[\"']?(?:the )?(?:{name}|(?:{tag})(?![\w.+-]))"),
-            (label, "http", 1, rf"https?://(?:www\.)?(?:{address})"),
-            (label, keyword, 2, rf"(?<![\w-])(?:{name})"),
+            (label, ["spdx-license-identifier"], 0, rf"spdx-license-identifier: ?(?:\(?[\w.+-]+ (?:or|and) )?(?:{tag})(?![\w.+-])"),
+            (label, named, 1, rf"\b(?:dual[- ])?licen[sc]ed (?:to you )?under {_TERMS}(?:{name})"),
+            (label, named, 1, rf"\b(?:released|distributed|available|published|provided|covered|governed|redistribute[sd]?)(?: by| under)+ {_TERMS}(?:{name})"),
+            (label, shortest(named + tagged), 1, rf"\blicen[sc]es?(?: type| name)? ?[:=] ?[\"']?(?:the )?(?:{name}|(?:{tag})(?![\w.+-]))"),
+            (label, literals(address), 1, rf"https?://(?:www\.)?(?:{address})"),
+            (label, named, 2, rf"(?<![\w-])(?:{name})"),
         ]
     return out
 
 
+def groups() -> list[tuple[list[str], list]]:
+    """The rules of licenses whose labels begin alike, and roots: without one of them in the text no rule's keyword is there."""
+    kin: dict[str, list] = {}
+    for rule in rules():
+        kin.setdefault(rule[0].split("-")[0] if rule[2] else "", []).append(rule)
+    return [(shortest(w for r in of for w in r[1]), of) for of in kin.values()]
+
+
 def _spans(flat: Column, rule: Column) -> Column:
     """start, end, class and label of each match of the rule: texts between and in matches add up to positions."""
     def walk(s: Column) -> Column:
@@ -226,10 +237,14 @@ def _spans(flat: Column, rule: Column) -> Column:
 
 
 def _detections(lower: Column) -> Column:
-    table = F.array(*[F.struct(F.lit(label).alias("label"), F.lit(k).alias("keyword"), F.lit(c).alias("class"), F.lit(p).alias("pattern")) for label, k, c, p in rules()])
+    texts = lambda words: F.array(*[F.lit(w) for w in words])
+    rule = lambda label, k, c, p: F.struct(F.lit(label).alias("label"), texts(k).alias("keywords"), F.lit(c).alias("class"), F.lit(p).alias("pattern"))
+    table = F.array(*[F.struct(texts(roots).alias("roots"), F.array(*[rule(*x) for x in of]).alias("rules")) for roots, of in groups()])
 
     def of(flat: Column) -> Column:
-        live = F.filter(table, lambda r: F.contains(flat, r["keyword"]))
+        some = lambda words: F.exists(words, lambda w: F.contains(flat, w))
+        kin = F.filter(table, lambda g: some(g["roots"]))
+        live = F.filter(F.flatten(F.transform(kin, lambda g: g["rules"])), lambda r: some(r["keywords"]))
         return F.array_sort(F.flatten(F.transform(live, lambda r: _spans(flat, r))))
 
     def keep(found: Column) -> Column:

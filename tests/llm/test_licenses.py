@@ -97,3 +97,29 @@ def test_gate_is_no_narrower_than_the_rules(spark):
     got = {r.doc_id: r for r in licenses.scan(df).collect()}
     assert {t: got[i].labels for i, t in enumerate(UNGATED)} == UNGATED
     assert all(r.score > 0 for r in got.values())
+
+
+SHORT = {
+    "License: EPL-2.0": "epl-2.0", "License: OFL-1.1": "ofl-1.1", "License: BSL-1.0": "bsl-1.0", "License: CDDL-1.0": "cddl-1.0", "License: EUPL-1.2": "eupl-1.2",
+    "License: ODbL-1.0": "odbl-1.0", "License: GFDL-1.3": "gfdl", "License: MPL": "mpl", "License: PSF-2.0": "python-2.0", "License: GPL-2.0+": "gpl-2.0-or-later",
+    "the expat license": "mit", "the psf license": "python-2.0", "Creative\n  Commons Zero": "cc0-1.0",
+}
+
+
+def test_each_alternative_has_a_keyword(spark):
+    roots = [(rule, r) for r, of in licenses.groups() for rule in of]
+    assert sorted(x[3] for x, _ in roots) == sorted(x[3] for x in licenses.rules())
+    minimal = []
+    for (label, keywords, c, p), r in roots:
+        for t in expand(p):
+            assert re.search(p, t) and any(k in t for k in keywords) and any(k in t for k in r), (p, t)
+            minimal.append((label, c, t))
+    texts = list(SHORT) + [t for _, _, t in minimal]
+    df = spark.createDataFrame(list(enumerate(texts)), "doc_id long, text string").repartition(8)
+    got = {r.doc_id: r for r in licenses.scan(df).collect()}
+    for i, t in enumerate(SHORT):
+        assert SHORT[t] in got[i].labels.split(",") and got[i].score == (0.6 if ":" not in t else 0.9), t
+    for i, (label, c, t) in enumerate(minimal, len(SHORT)):
+        assert got[i].score >= licenses.WEIGHT[c], t
+        # A longer or better detection may hold this one.
+        assert label in got[i].labels.split(",") or any(x["class"] <= c and x.label != label and x.end - x.start >= 3 for x in got[i].detections), (label, t, got[i].labels)
