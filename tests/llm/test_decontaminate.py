@@ -1,7 +1,7 @@
 import random
 from collections import Counter
 
-from assayer.llm.decontaminate import clean, matches, report
+from assayer.llm.decontaminate import clean, matches, numbered, report
 
 
 def brute(docs, items):
@@ -55,3 +55,27 @@ def test_odd_rows(spark):
     assert sorted(r.item for r in clean(df, bench).collect()) == [2, 5]
     assert sorted((str(r.doc_id), r.items) for r in report(df, bench).collect()) == [("1", ""), ("1", "7"), ("1", "7"), ("2", ""), ("None", "7")]
     assert clean(df.limit(0), bench).count() == 0 and clean(df, bench.limit(0)).count() == 5
+
+
+def test_repeated_shingles(spark):
+    """Items with a long run of one word, in documents with other words for the run: similarity 0.769."""
+    rnd = random.Random(9)
+    word = lambda: "".join(rnd.choice("abcdefgh") for _ in range(6))
+    items, docs = [], []
+    for i in range(12):
+        plain = [word() for _ in range(144)]
+        items.append((i, " ".join(plain + ["_"] * 21)))
+        docs += [(3 * i, " ".join(plain + [word() for _ in range(21)])), (3 * i + 1, " ".join(["_"] * 300)), (3 * i + 2, " ".join(plain + ["_"] * 60))]
+    df, bench = spark.createDataFrame(docs, "doc_id long, text string"), spark.createDataFrame(items, "item_id long, text string")
+    want = brute(docs, items)
+    assert len(want) == 24
+    assert {(r.d, r.item) for r in matches(df, bench).collect()} == want
+
+
+def test_numbered(spark):
+    rows = [([5, 7, 5, 5, 9, 7] + [3] * 70,), ([4, 2, 8],), ([],)]
+    got = [r.n for r in spark.createDataFrame(rows, "h array<bigint>").select(numbered("h").alias("n")).collect()]
+    assert len(set(got[0])) == len(rows[0][0]) and {3, 5, 7, 9} <= set(got[0]) and got[1:] == [[4, 2, 8], []]
+    more = [([5] * 4 + [3] * 100,)]
+    other = spark.createDataFrame(more, "h array<bigint>").select(numbered("h").alias("n")).first().n
+    assert len(set(got[0]) & set(other)) == 3 + 70
