@@ -481,7 +481,28 @@ def labelled_run(spark, sf_dir):
     return c.withColumns({"failures": F.array_join("failures", ","), "tags": F.array_join("tags", ",")})
 
 
+def indexed_pages(spark, sf_dir) -> DataFrame:
+    """Chunk ids follow the content: of documents alike in content the first is indexed."""
+    pages = doc_pages(spark, sf_dir)
+    first = pages.groupBy("document_hash").agg(F.min("doc_id").alias("doc_id"))
+    return pages.join(first, ["document_hash", "doc_id"], "left_semi")
+
+
+def document_cases(spark, sf_dir) -> DataFrame:
+    """A case for each benchmark item: answerable if an indexed document holds its text, but for case and blanks."""
+    flat = lambda c: F.btrim(F.regexp_replace(F.lower(c), r"\s+", " "))
+    items = questions(spark, sf_dir).withColumn("flat", flat(F.col("query")))
+    held = indexed_pages(spark, sf_dir).select("source_doc", flat(F.col("text")).alias("page")).join(F.broadcast(items.filter("flat <> ''")), F.expr("contains(page, flat)"))
+    docs = held.groupBy("query_id").agg(F.array_sort(F.collect_set("source_doc")).alias("docs"))
+    none = F.array().cast("array<string>")
+    return items.join(docs, "query_id", "left").select(
+        F.col("query_id").alias("case_id"), "query", F.lit(None).cast("string").alias("expected_standalone_query"), F.col("docs").isNotNull().alias("expected_answerable"),
+        none.alias("expected_chunk_ids"), F.coalesce("docs", none).alias("expected_source_docs"),
+    )
+
+
 @query("chunking_ablation")
 def chunking_ablation(spark, sf_dir):
-    gold = regression_set.cases(spark)
-    return lab.chunking_ablation(gold, regression_set.pages(spark), lambda df, c="text": embedding.embed(df, c), sizes=[400, 800, 1200], overlaps=[100])
+    """The whole default grid of sizes and overlaps over all documents."""
+    gold = document_cases(spark, sf_dir).persist()
+    return lab.chunking_ablation(gold, indexed_pages(spark, sf_dir), lambda df, c="text": embedding.embed(df, c))
