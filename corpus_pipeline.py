@@ -1,13 +1,14 @@
 """The training-data pipeline: five stages from raw documents to token ids.
 
-1. language: documents without a language (no letter in the text, or no text) go.
+1. language: lang becomes the language that the string kernels tell; documents without one (no letter in the text, or no
+   text) go. Where no model can be fitted, lang stays as it is.
 2. lines: later occurrences of three-line windows are cut out; documents with nothing left go.
 3. near_copies: of each group of documents linked by shingle similarity, the one with the smallest id stays.
 4. benchmark: documents that hold a benchmark item, or nearly, go.
 5. tokens: the ids of each text that is left.
 
 Each stage takes and, but for the last, returns the columns of documents; its result is written as Parquet in the shared
-folder and read again. Other columns pass through unchanged, n_chars follows the text. Rows with a null doc_id stay in
+folder and read again. Other columns pass through unchanged, lang and n_chars follow the text. Rows with a null doc_id stay in
 stage 3, as they belong to no group; rows alike in id and text share each decision.
 """
 
@@ -23,8 +24,10 @@ from assayer.llm.native import small
 
 def language(spark: SparkSession, docs: DataFrame, sf_dir: str) -> DataFrame:
     model = langid.train(docs.filter(crc_remainder("doc_id", 5) != 0))
+    if not model.langs:
+        return docs.filter(F.col("text").rlike(r"\p{L}"))
     told = langid.identify(docs, model, keep=True)
-    return told.filter("lang_pred <> 'und'").select(docs.columns)
+    return told.filter("lang_pred <> 'und'").withColumn("lang", F.col("lang_pred")).select(docs.columns)
 
 
 def lines(spark: SparkSession, docs: DataFrame, sf_dir: str) -> DataFrame:

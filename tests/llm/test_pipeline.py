@@ -49,3 +49,22 @@ def test_stages_keep_columns(spark):
     assert corpus_pipeline.near_copies(spark, docs, "").columns == docs.columns
     assert sorted(str(r.doc_id) for r in corpus_pipeline.near_copies(spark, docs, "").collect()) == ["1", "2", "None"]
     assert corpus_pipeline.lines(spark, docs, "").columns == docs.columns
+
+
+def test_language_is_told(spark):
+    rnd = random.Random(2)
+    text = lambda letters: " ".join("".join(rnd.choice(letters) for _ in range(5)) for _ in range(30))
+    rows = [(i, text("abcde" if i % 2 else "vwxyz"), "aa" if i % 2 else "zz") for i in range(60)]
+    rows += [(100, text("abcde"), None), (101, text("vwxyz"), None), (102, "1 2", "aa"), (103, None, "zz")]
+    docs = spark.createDataFrame(rows, "doc_id long, text string, lang string")
+    got = corpus_pipeline.language(spark, docs, "")
+    assert got.columns == docs.columns
+    assert {r.doc_id: r.lang for r in got.collect()} == {i: "aa" if "a" in x or "b" in x else "zz" for i, x, _ in rows[:62]}
+
+
+def test_language_without_a_model(spark):
+    """No label at all, or only texts too long for the sample: nothing is dropped that has a letter."""
+    long = "word " * 5000
+    for rows in ([(1, "a b", None), (2, "12", None), (3, None, None)], [(1, long, "aa"), (2, "1", None), (3, None, "aa")]):
+        docs = spark.createDataFrame(rows, "doc_id long, text string, lang string")
+        assert [tuple(r) for r in corpus_pipeline.language(spark, docs, "").collect()] == rows[:1]
