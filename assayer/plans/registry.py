@@ -501,6 +501,18 @@ def document_cases(spark, sf_dir) -> DataFrame:
     )
 
 
+@query("retrieval_ablation_modes")
+def retrieval_ablation_modes(spark, sf_dir):
+    """All 36 cells: benchmark against documents in every mode. retrieval_ablation has the dense ones over embeddings, as its SQL."""
+    gold = document_cases(spark, sf_dir).persist()
+    docs = embedding.embed(indexed_pages(spark, sf_dir).withColumn("chunk_id", F.col("doc_id").cast("string")).filter("text is not null")).persist()
+    q, found = embedding.embed(lab.probe_queries(gold), "query"), None
+    for mode in retrieval.MODES:
+        one = retrieval.retrieve(q, docs, max(lab.TOP_KS), mode)
+        found = one if found is None else found.unionByName(one)
+    return lab.retrieval_ablation(lab.probes(gold, found, docs))
+
+
 @query("chunking_ablation")
 def chunking_ablation(spark, sf_dir):
     """The whole default grid of sizes and overlaps over all documents."""

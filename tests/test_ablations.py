@@ -38,3 +38,13 @@ def test_chunking_ablation_runs_the_grid_over_documents(spark, tables):
     assert {(r.chunk_size, r.overlap) for r in rows} == {(s, o) for s in lab.CHUNK_SIZES for o in lab.OVERLAPS} and len(rows) == 8
     for r in rows:
         assert r.cases == len(items) and r.indexed_chunks >= sum(len(t) for _, t in docs[:12]) / r.chunk_size
+
+
+def test_retrieval_ablation_in_all_modes(spark, tables):
+    path, items, _ = tables
+    rows = registry.QUERIES["retrieval_ablation_modes"](spark, path).collect()
+    assert {(r.mode, r.top_k, r.threshold) for r in rows} == {(m, k, t) for m in ("dense", "lexical", "hybrid") for k in lab.TOP_KS for t in lab.ABLATION_THRESHOLDS} and len(rows) == 36
+    assert [-r.balanced_accuracy for r in rows] == sorted(-r.balanced_accuracy for r in rows)
+    assert all(r.cases == len(items) for r in rows)
+    # An item that stands in a document is the best lexical hit.
+    assert all(r.mrr == 1.0 for r in rows if r.mode == "lexical")
