@@ -133,16 +133,18 @@ class Model:
 
 
 def _apart(texts: list[str]) -> list[int]:
-    """Numbers of the texts without near copies of earlier ones: none of four minima over word 5-grams was seen."""
-    seen: set = set()
+    """Numbers of the texts without near copies of earlier ones: with none of those do three of four minima over word
+    5-grams agree."""
+    by: dict = {}
     out = []
     for i, t in enumerate(texts):
         w = t.split()
         grams = [zlib.crc32(" ".join(w[j : j + 5]).encode()) for j in range(max(1, len(w) - 4))]
-        low = {(k, min((g ^ k) * 2654435761 & 0xFFFFFFFF for g in grams)) for k in (0, 0x55555555, 0x33333333, 0x0F0F0F0F)}
-        if not low & seen:
+        low = [(k, min((g ^ k) * 2654435761 & 0xFFFFFFFF for g in grams)) for k in (0, 0x55555555, 0x33333333, 0x0F0F0F0F)]
+        if max(Counter(j for x in low for j in by.get(x, ())).values(), default=0) < 3:
             out.append(i)
-        seen |= low
+            for x in low:
+                by.setdefault(x, []).append(i)
     return out
 
 
@@ -209,10 +211,12 @@ def _logistic(x: list[float], y: list[int]) -> tuple[float, float]:
 
 
 def train(docs: DataFrame, labels: DataFrame, id_col: str = "doc_id", text_col: str = "text", label_col: str = "toxic", sample: int = SAMPLE) -> Model | None:
-    """Fits on the texts of the labelled ids: the ids of the sample are chosen first, then their texts are read."""
+    """Fits on the texts of the labelled ids: the ids of the sample are chosen first, of texts short enough, then their
+    texts are read. Model.fit leaves near copies out."""
     spark = docs.sparkSession
     rows = docs.select(F.col(id_col).cast("long").alias("d"), F.col(text_col).alias("x")).filter(F.length("x").between(1, SAMPLE_CHARS))
     marks = labels.select(F.col("doc_id").cast("long").alias("d"), F.col(label_col).cast("int").alias("y")).filter("d is not null and y in (0, 1)").groupBy("d").agg(F.max("y").alias("y"))
+    marks = marks.join(rows.select("d"), "d", "left_semi")
     ids = sample_ids(marks.select("d", F.col("y").alias("cls")), sample)
     if not ids:
         return None

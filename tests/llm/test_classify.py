@@ -88,3 +88,17 @@ def test_kernel_as_plain():
         low = t.lower()
         grams = {low[a : a + n] for n in range(1, 5) for a in range(len(low) - n + 1)}
         assert len(grams) == starts[i + 1] - starts[i] or len(grams) - (starts[i + 1] - starts[i]) < 3
+
+
+def test_toxic_sample_is_thinned_once(spark):
+    """Long texts take no place in the sample, and a shared passage drops no text."""
+    rnd = random.Random(6)
+    word = lambda: "".join(rnd.choice("abcdefgh") for _ in range(5))
+    shared = " ".join(word() for _ in range(60))
+    texts = [shared + " " + " ".join(word() for _ in range(120)) for _ in range(40)]
+    assert len(toxicity._apart(texts)) >= 36
+    assert toxicity._apart([texts[0], texts[1], texts[0]]) == [0, 1]
+    rows = [(i, "clean " + " ".join(word() for _ in range(20)) if i < 200 else "foulword " + " ".join(word() for _ in range(20)) if i < 300 else "x" * 20_001) for i in range(1300)]
+    docs = spark.createDataFrame(rows, "doc_id long, text string")
+    labels = spark.createDataFrame([(i, int(i >= 200)) for i, _ in rows], "doc_id long, toxic int")
+    assert "foulword" in toxicity.train(docs, labels, sample=100).odds
