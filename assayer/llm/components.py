@@ -5,8 +5,36 @@ from __future__ import annotations
 from pyspark.sql import DataFrame
 from pyspark.sql import functions as F
 
+from . import native
 from .common import stored
 
+#: Names that more than 1 / HOT_SHARE of all rows bear (and HOT_LEAST rows) are broadcast; at most HOT_SHARE can be so.
+HOT_SHARE = 1 << 16
+HOT_LEAST = 1024
+
+
+def named(rows: DataFrame, names: DataFrame, on: str) -> DataFrame:
+    """rows with the other column of names (a stored table, with a row for each value of `on`; null where there is none).
+
+    Few names are broadcast. Of many, only those that a large share of the rows bear, so that no task gathers their rows."""
+    if names.limit(native.BROADCAST_ROWS + 1).count() <= native.BROADCAST_ROWS:
+        return rows.join(F.broadcast(names), on, "left")
+    rows = stored(rows, "rows")
+    (top,) = (c for c in names.columns if c != on)
+    sizes = rows.groupBy(on).agg(F.count("*").alias("_n"))
+    limit = max(HOT_LEAST, rows.count() // HOT_SHARE)
+    hot = stored(names.join(sizes.filter(F.col("_n") > limit), on).select(on, top), "hot")
+    marked = rows.join(F.broadcast(hot.withColumnRenamed(top, "_hot")), on, "left")
+    often = marked.filter("_hot is not null").withColumn(top, F.col("_hot")).drop("_hot")
+    rest = marked.filter("_hot is null").drop("_hot").join(names.join(F.broadcast(hot.select(on)), on, "left_anti"), on, "left")
+    return often.unionByName(rest)
+
+
+def _lowest(edges: DataFrame, n: int) -> DataFrame:
+    """k and m, the least neighbour of each node that has any; made for a join on k that can be split where a node is hot."""
+    low = edges.groupBy("u").agg(F.min("v").alias("m")).withColumnRenamed("u", "k")
+    return F.broadcast(low) if n <= native.BROADCAST_ROWS // 2 else stored(low, "low")
+
 
 def components(edges: DataFrame) -> DataFrame:
     """node and root (the smallest node of its component), for every node of edges(u, v: long). Each round is written to
@@ -16,11 +44,10 @@ def components(edges: DataFrame) -> DataFrame:
     last = sign(now)
     while last[0]:
         both = now.unionByName(now.select(F.col("v").alias("u"), F.col("u").alias("v")))
-        low = both.groupBy("u").agg(F.min("v").alias("m")).select(F.col("u").alias("k"), F.least("u", "m").alias("m"))
+        low = _lowest(both, last[0]).select("k", F.least("k", "m").alias("m"))
         large = both.filter("v > u").join(low, F.col("u") == F.col("k")).select(F.col("v").alias("u"), F.col("m").alias("v")).filter("u <> v").distinct()
-        low = large.groupBy("u").agg(F.min("v").alias("m")).withColumnRenamed("u", "k")
-        small = large.join(low, F.col("u") == F.col("k")).select(F.explode(F.array(F.struct(F.col("v").alias("u"), F.col("m").alias("v")), F.struct("u", F.col("m").alias("v")))).alias("e")).select("e.*").filter("u <> v").distinct()
-        now = stored(small, "edges")
+        pair = F.explode(F.array(F.struct(F.col("v").alias("u"), F.col("m").alias("v")), F.struct("u", F.col("m").alias("v"))))
+        now = stored(large.join(_lowest(large, last[0]), F.col("u") == F.col("k")).select(pair.alias("e")).select("e.*").filter("u <> v").distinct(), "edges")
         before, last = last, sign(now)
         if last == before:
             break

@@ -3,16 +3,18 @@
 A text's set holds its distinct runs of five lower-cased words (a text of fewer: its whole sequence; none: the empty set,
 linked with nothing). Texts of equal word sequences are one class, and links are found between classes.
 
-1. Sharing. Of each shingle the task's slice sends one entry; what recurs within the slice is settled there. So it is
-   known which shingles of a class occur in another class at all. A class with a link shares 75 % of its set or more; the
-   others end here. Those left keep the shingles that are shared, and the number of all.
-2. Rare-first prefixes. The order of shingles: first those of one class alone (never sent), then the others by hash, last
-   the frequent ones by their frequency (at most 2**20 can be so frequent; they are broadcast). Two linked classes share a
-   shingle among their first n - ceil(0.75 n) + 1.
-3. Candidates. In two rounds each class meets one class (the hub) of each shingle's list, and is verified. Then the lists
-   are looked at by component: only classes of different components are paired, under the length, positional and suffix
-   filters (the suffix filter bounds the difference of two sets by parity sketches), and every such pair is verified once.
-   Pairs within a component can't change it.
+1. Sharing. Of each shingle the task's slice sends one entry with the number of its classes; what recurs within the slice
+   is settled there. A shingle's group sums them up, and tells each slice in how many classes its shingles are. A class
+   with a link shares 75 % of its set or more; the others end here. Those left keep the shingles that are shared, and the
+   number of all.
+2. Rare-first prefixes. The order of shingles is by that number, ties by hash; those of one class alone (never sent) come
+   first. Two linked classes share a shingle among their first n - ceil(0.75 n) + 1.
+3. Candidates, under the length and the positional filter; later also under a suffix filter, which bounds the difference
+   of two whole sets by parity sketches. First each list of a shingle is cut into parts of about PART_CLASSES classes, and
+   each class meets one class (the hub) of its part. Then, round by round, of each component that a list holds one class,
+   another each time, meets one of the list's largest component. Last, what is still of several components: every class
+   beside the largest component meets those of other components. Pairs within a component can't change it. Each pair is
+   verified once: those that failed are remembered. Edges lead from component to component.
 
 Shingles are compared by 64-bit hashes. A class is a 64-bit hash of its word sequence. Null texts have no words; rows
 with null ids are in no component (component_id null), and link nothing. Rows of one id with different texts are nodes
@@ -29,24 +31,24 @@ from pyspark.sql import DataFrame
 from pyspark.sql import functions as F
 
 from .blobs import cuts, group_of, pack, pack_sorted, slice_name, squeezed, unpack, unpack_sorted, unsqueezed
-from .common import Words, bounded, groups_for, mix, powers, slices, stored, windows
-from .components import components
-from .ppm import counted
+from .common import Words, bounded, groups_for, mix, powers, scratch, slices, stored, windows
+from .components import components, named
+from .native import small
 
 SHINGLE_WORDS = 5
 PERCENT = 75
-FREQUENT_SHARE = 1 << 20
-FREQUENT_LEAST = 64
 SKETCH_BITS = 512
-#: Rounds in which lists meet hubs before pairs of components are looked at.
-HUB_ROUNDS = 2
+#: Classes of a list that meet one hub, about; a power of two.
+PART_CLASSES = 1 << 10
+#: Rounds in which lists meet hubs before all pairs of components are looked at.
+HUB_ROUNDS = 6
 SLICE = 4 << 20
 _U = np.uint64
-_SENT = "side byte, grp int, slice long, a binary, b binary"
-_NAMES = ["side", "grp", "slice", "a", "b"]
-_TYPES = [pa.int8(), pa.int32(), pa.int64(), *[pa.binary()] * 2]
-#: Kinds of rows: shingles for their group; shared shingles, and the classes, of a slice.
-_SHINGLES, _SHARED, _CLASSES = 0, 1, 2
+_SENT = "side byte, grp int, slice long, a binary, b binary, c binary"
+_NAMES = ["side", "grp", "slice", "a", "b", "c"]
+_TYPES = [pa.int8(), pa.int32(), pa.int64(), *[pa.binary()] * 3]
+#: Kinds of rows: shingles for their group; then, for their slice, what the groups tell, its own repeats, and its classes.
+_SHINGLES, _TOLD, _OWN, _CLASSES = 0, 1, 2, 3
 
 
 def _batches(rows: list[tuple]) -> Iterator[pa.RecordBatch]:
@@ -82,11 +84,6 @@ class Sets:
         self.n = np.bincount(self.rows, minlength=len(n))
 
 
-def _shared(name: int, groups: int, cls: np.ndarray, keys: np.ndarray) -> tuple:
-    """A row of shared shingles (sorted) with their classes' numbers, for their slice."""
-    return (_SHARED, _home(name, groups), name, pack_sorted(keys), squeezed(cls.astype(np.int32)))
-
-
 def _sliced(groups: int, k: int):
     def run(batches: Iterator[pa.RecordBatch]) -> Iterator[pa.RecordBatch]:
         for part in slices(batches, SLICE):
@@ -102,40 +99,46 @@ def _sliced(groups: int, k: int):
             order = np.argsort(keys, kind="stable")
             keys, cls = keys[order], cls[order]
             name = slice_name(s.cls[lead])
+            home = (name & 0xFFFFFFFF) % groups
             at = np.flatnonzero(np.concatenate([[True], keys[1:] != keys[:-1]]))
-            size = np.diff(np.append(at, len(keys)))
+            size = np.diff(np.append(at, len(keys))).astype(np.int32)
             many = np.repeat(size > 1, size)
-            rows = [(_CLASSES, _home(name, groups), name, pack(s.cls[lead]), squeezed(s.n[lead].astype(np.int32)))]
+            rows = [(_CLASSES, home, name, pack(s.cls[lead]), squeezed(s.n[lead].astype(np.int32)), b"")]
             if many.any():
-                rows.append(_shared(name, groups, cls[many], keys[many]))
-            # A class's number, or -1 where the slice has settled it.
-            keys, cls = keys[at], np.where(size > 1, -1, cls[at]).astype(np.int32)
-            rows += [(_SHINGLES, g, name, pack_sorted(keys[a:b]), squeezed(cls[a:b] + 1)) for g, a, b in cuts(group_of(keys, groups))]
+                rows.append((_OWN, home, name, pack_sorted(keys[many]), squeezed(cls[many]), b""))
+            # A class's number and 1; or 0 where there are several, whose number follows.
+            keys, cls = keys[at], np.where(size > 1, 0, cls[at] + 1).astype(np.int32)
+            rows += [(_SHINGLES, g, name, pack_sorted(keys[a:b]), squeezed(cls[a:b]), squeezed(size[a:b][size[a:b] > 1])) for g, a, b in cuts(group_of(keys, groups))]
             yield from _batches(rows)
 
     return run
 
 
 def _sharing(groups: int):
-    """Which of a group's shingles are in more than one slice, or in more than one class of one.
+    """In how many classes each of a group's shingles is, told to its slices where that is more than one.
 
-    The same class in two slices also counts: it is then looked at further, and nothing is lost."""
+    A class that is in two slices counts twice: it is then looked at further, and nothing is lost."""
     def run(table: pa.Table) -> pa.Table:
         if table["side"][0].as_py() != _SHINGLES:
             return table
-        rows = table.select(["slice", "a", "b"]).to_pylist()
+        rows = table.select(["slice", "a", "b", "c"]).to_pylist()
         keys = np.concatenate([unpack_sorted(r["a"]) for r in rows])
         which = np.repeat(np.arange(len(rows), dtype=np.int32), [len(r["a"]) // 8 for r in rows])
-        cls = np.concatenate([unsqueezed(r["b"], np.int32) for r in rows]) - 1
+        cls = np.concatenate([unsqueezed(r["b"], np.int32) for r in rows])
+        count = np.ones(len(keys), np.int64)
+        count[cls == 0] = np.concatenate([unsqueezed(r["c"], np.int32) for r in rows])
         order = np.argsort(keys, kind="stable")
         keys, which, cls = keys[order], which[order], cls[order]
         at = np.flatnonzero(np.concatenate([[True], keys[1:] != keys[:-1]]))
-        size = np.diff(np.append(at, len(keys)))
-        common = np.repeat((size > 1) | (np.minimum.reduceat(cls, at) < 0), size) & (cls >= 0)
-        keys, which, cls = keys[common], which[common], cls[common]
+        total = np.minimum(np.add.reduceat(count[order], at), (1 << 31) - 1).astype(np.int32)
+        total = np.repeat(total, np.diff(np.append(at, len(keys))))
+        keys, which, cls, total = (x[total > 1] for x in (keys, which, cls, total))
         order = np.argsort(which, kind="stable")
-        keys, which, cls = keys[order], which[order], cls[order]
-        out = [_shared(rows[i]["slice"], groups, cls[a:b], keys[a:b]) for i, a, b in cuts(which)]
+        keys, which, cls, total = (x[order] for x in (keys, which, cls, total))
+        out = []
+        for i, a, b in cuts(which):
+            name = rows[i]["slice"]
+            out.append((_TOLD, (name & 0xFFFFFFFF) % groups, name, pack_sorted(keys[a:b]), squeezed(cls[a:b]), squeezed(total[a:b])))
         return pa.Table.from_batches(list(_batches(out)) or [pa.RecordBatch.from_arrays([pa.array([], t) for t in _TYPES], _NAMES)])
 
     return run
@@ -148,144 +151,178 @@ def sketch(keys: np.ndarray) -> list[int]:
     return np.packbits(odd.astype(np.uint8)).view(np.int64).tolist()
 
 
+def _of_slice(first: dict, own: list[dict], told: list[dict], percent: int) -> Iterator[tuple]:
+    c, n = unpack(first["a"], _U).view(np.int64), unsqueezed(first["b"], np.int32)
+    keys, cls, total = (np.concatenate(x) for x in ([unpack_sorted(r["a"]) for r in told], [unsqueezed(r["b"], np.int32) for r in told], [unsqueezed(r["c"], np.int32) for r in told]))
+    # The slice's repeats have their numbers from what is told of them.
+    several = cls == 0
+    known, numbers = keys[several], total[several]
+    order = np.argsort(known, kind="stable")
+    known, numbers = known[order], numbers[order]
+    keys, cls, total = keys[~several], cls[~several] - 1, total[~several]
+    if own:
+        more = np.concatenate([unpack_sorted(r["a"]) for r in own])
+        keys, cls = np.concatenate([keys, more]), np.concatenate([cls, *[unsqueezed(r["b"], np.int32) for r in own]])
+        total = np.concatenate([total, numbers[np.searchsorted(known, more)]])
+    order = np.lexsort((keys, total, cls))
+    keys, cls, total = keys[order], cls[order], total[order]
+    # Slices alike have one name, and are told twice.
+    new = np.concatenate([np.ones(min(1, len(keys)), bool), (keys[1:] != keys[:-1]) | (cls[1:] != cls[:-1])])
+    keys, cls, total = keys[new], cls[new], total[new]
+    for i, a, b in cuts(cls):
+        if 100 * (b - a) >= percent * int(n[i]):
+            size = int(n[i])
+            p = max(0, size - _least(percent, size) + 1 - (size - (b - a)))
+            yield int(c[i]), size, keys[a:b].tobytes(), squeezed(total[a : a + p]), sketch(keys[a:b])
+
+
 def _survivors(percent: int):
-    """The classes of a group's slices of which enough is shared: c, n, and the shared shingles in order."""
+    """The classes of a group's slices of which enough is shared: c, n, the shared shingles in order, and in how many
+    classes those of the prefix are."""
     def run(table: pa.Table) -> pa.Table:
         names, side = table["slice"].to_numpy(), table["side"].to_numpy()
         out = []
         for name in np.unique(names):
-            first = table.filter(pa.array((names == name) & (side == _CLASSES))).slice(0, 1).to_pylist()
-            got = table.filter(pa.array((names == name) & (side == _SHARED))).to_pylist()
-            if not first or not got:
-                continue
-            c, n = unpack(first[0]["a"], _U).view(np.int64), unsqueezed(first[0]["b"], np.int32)
-            keys, cls = np.concatenate([unpack_sorted(r["a"]) for r in got]), np.concatenate([unsqueezed(r["b"], np.int32) for r in got])
-            enough = 100 * np.bincount(cls, minlength=len(c)) >= percent * n.astype(np.int64)
-            keys, cls = keys[enough[cls]], cls[enough[cls]]
-            order = np.lexsort((keys, cls))
-            keys, cls = keys[order], cls[order]
-            new = np.concatenate([np.ones(min(1, len(keys)), bool), (keys[1:] != keys[:-1]) | (cls[1:] != cls[:-1])])
-            keys, cls = keys[new], cls[new]
-            out += [(int(c[i]), int(n[i]), keys[a:b].tobytes(), sketch(keys[a:b])) for i, a, b in cuts(cls) if 100 * (b - a) >= percent * int(n[i])]
-        cols = zip(*out, strict=True) if out else [()] * 4
-        return pa.table([pa.array(x, t) for x, t in zip(cols, [pa.int64(), pa.int32(), pa.binary(), pa.list_(pa.int64())], strict=True)], ["c", "n", "keys", "sketch"])
+            of = lambda kind: table.filter(pa.array((names == name) & (side == kind))).to_pylist()  # noqa: B023, E731
+            first, told = of(_CLASSES), of(_TOLD)
+            if first and told:
+                out += _of_slice(first[0], of(_OWN), told, percent)
+        cols = zip(*out, strict=True) if out else [()] * 5
+        return pa.table([pa.array(x, t) for x, t in zip(cols, [pa.int64(), pa.int32(), pa.binary(), pa.binary(), pa.list_(pa.int64())], strict=True)], ["c", "n", "keys", "numbers", "sketch"])
 
     return run
 
 
-def _frequent(sets: DataFrame) -> tuple[np.ndarray, np.ndarray]:
-    """Shingles in more than 1 / FREQUENT_SHARE of all entries (and FREQUENT_LEAST classes), with their frequency."""
-    def run(batches: Iterator[pa.RecordBatch]) -> Iterator[pa.RecordBatch]:
-        for b in batches:
-            keys = b.column("keys").to_pylist()
-            for a in range(0, len(keys), 500):
-                k, n = counted(np.frombuffer(b"".join(keys[a : a + 500]), _U))
-                yield pa.RecordBatch.from_arrays([pa.array(k.view(np.int64)), pa.array(n)], ["key", "n"])
-
-    total = sets.agg(F.sum(F.length("keys") / 8)).first()[0] or 0
-    least = max(FREQUENT_LEAST, int(total) // FREQUENT_SHARE + 1)
-    t = sets.select("keys").mapInArrow(run, "key long, n long").groupBy("key").agg(F.sum("n").alias("n")).filter(F.col("n") >= least).toArrow()
-    key, n = t["key"].to_numpy().view(_U), t["n"].to_numpy()
-    order = np.argsort(key)
-    return key[order], n[order]
-
-
 def _least(percent: int, n):
     """Smallest number of common shingles that a partner of a set of n must have."""
     return -(-percent * n // 100)
 
 
-def _prefix_rows(out: list[tuple]) -> pa.RecordBatch:
-    p, c, n, pos = (np.concatenate(x) for x in zip(*out, strict=True))
-    return pa.RecordBatch.from_arrays([pa.array(p.view(np.int64)), pa.array(c), pa.array(n), pa.array(pos)], ["key", "c", "n", "pos"])
-
-
-def _prefixes(sets: DataFrame, percent: int) -> DataFrame:
-    """key, c, n and pos (in the whole order) of each class's prefix."""
-    sent = sets.sparkSession.sparkContext.broadcast(_frequent(sets))
-
-    def run(batches: Iterator[pa.RecordBatch]) -> Iterator[pa.RecordBatch]:
-        often, count = sent.value
-        for b in batches:
-            out: list[tuple] = []
-            for c, n, raw in zip(*(b.column(x).to_pylist() for x in ("c", "n", "keys")), strict=True):
-                keys = np.frombuffer(raw, _U)
-                i = np.minimum(np.searchsorted(often, keys), max(0, len(often) - 1))
-                f = np.where(often[i] == keys, count[i], 0) if len(often) else np.zeros(len(keys), np.int64)
-                keys = keys[np.lexsort((keys, f))]
-                alone = n - len(keys)
-                p = keys[: n - _least(percent, n) + 1 - alone]
-                out.append((p, np.full(len(p), c), np.full(len(p), n, np.int32), (alone + np.arange(len(p))).astype(np.int32)))
-                if sum(len(x[0]) for x in out[-200:]) > 20_000:
-                    yield _prefix_rows(out)
-                    out = []
-            if out:
-                yield _prefix_rows(out)
-
-    return sets.mapInArrow(run, "key long, c long, n int, pos int")
-
-
-def _verified(pairs: DataFrame, sets: DataFrame, percent: int) -> DataFrame:
-    """Of pairs (a, b), those at or over the similarity, as edges u, v."""
-    one = pairs.join(sets.select(F.col("c").alias("a"), F.col("n").alias("na"), F.col("keys").alias("ka")), "a")
-    both = one.join(sets.select(F.col("c").alias("b"), F.col("n").alias("nb"), F.col("keys").alias("kb")), "b")
+def _prefixes(batches: Iterator[pa.RecordBatch]) -> Iterator[pa.RecordBatch]:
+    """key, c, n, pos (in the whole order), part (of the key's list) and parts of each class's prefix."""
+    names = ["key", "c", "n", "pos", "part", "parts"]
+    for b in batches:
+        out: list[tuple] = []
+        for c, n, raw, numbers in zip(*(b.column(x).to_pylist() for x in ("c", "n", "keys", "numbers")), strict=True):
+            number = unsqueezed(numbers, np.int32).astype(np.int64)
+            p, alone = len(number), n - len(raw) // 8
+            parts = np.int64(1) << np.maximum(0, np.ceil(np.log2(number / PART_CLASSES))).astype(np.int64)
+            part = int(mix(np.array([c], np.int64).view(_U))[0] >> _U(1)) & (parts - 1)
+            out.append((np.frombuffer(raw, np.int64, p), np.full(p, c), np.full(p, n, np.int32), (alone + np.arange(p)).astype(np.int32), part, parts))
+            if sum(len(x[0]) for x in out[-200:]) > 20_000:
+                yield pa.RecordBatch.from_arrays([pa.array(np.concatenate(x)) for x in zip(*out, strict=True)], names)
+                out = []
+        if out:
+            yield pa.RecordBatch.from_arrays([pa.array(np.concatenate(x)) for x in zip(*out, strict=True)], names)
+
+
+def _possible(percent: int, sketches: bool):
+    """Rows with n1, n2, pos1, pos2 (and sketches, alone1, alone2) of which the sets may reach the similarity."""
+    least = F.ceil(percent * (F.col("n1") + F.col("n2")) / F.lit(100 + percent) - 1e-9)
+    room = lambda i: F.col(f"n{i}") - F.col(f"pos{i}") - 1
+    # Two sets of n1 and n2 must have `least` in common. What is left after a common place bounds it.
+    may = (100 * F.least("n1", "n2") >= percent * F.greatest("n1", "n2")) & (F.least("pos1", "pos2") + 1 + F.least(room(1), room(2)) >= least)
+    if not sketches:
+        return may
+    # So do the sketches: shingles of one class alone, and those that the sketches tell apart, aren't in common.
+    apart = F.col("alone1") + F.col("alone2")
+    for i in range(SKETCH_BITS // 64):
+        apart = apart + F.bit_count(F.get(F.col("sketch1"), F.lit(i)).bitwiseXOR(F.get(F.col("sketch2"), F.lit(i))))
+    return may & (apart <= F.col("n1") + F.col("n2") - 2 * least)
+
+
+def _verified(pairs: DataFrame, sets: DataFrame, tried: DataFrame | None, percent: int) -> DataFrame:
+    """Of pairs c1, root1, c2, root2 those that weren't tried, once each, with ok: whether they reach the similarity."""
+    turned = F.col("c1") > F.col("c2")
+    side = lambda n, i: F.when(turned, F.col(f"{n}{3 - i}")).otherwise(F.col(f"{n}{i}")).alias(f"{n}{i}")
+    new = pairs.select(side("c", 1), side("root", 1), side("c", 2), side("root", 2)).distinct()
+    if tried is not None:
+        new = new.join(tried.select("c1", "c2"), ["c1", "c2"], "left_anti")
+    new = stored(new, "pairs")
+    # Only sets that are asked for are shuffled, where that can be told in advance.
+    asked = small(new.select(F.col("c1").alias("c")).unionByName(new.select(F.col("c2").alias("c"))).distinct())
+    sets = sets.join(asked, "c", "left_semi")
+    for i in (2, 1):
+        new = new.join(sets.select(F.col("c").alias(f"c{i}"), F.col("n").alias(f"n{i}"), F.col("keys").alias(f"keys{i}")), f"c{i}")
 
     def run(batches: Iterator[pa.RecordBatch]) -> Iterator[pa.RecordBatch]:
         for t in batches:
             ok = []
-            for na, ka, nb, kb in zip(*(t.column(x).to_pylist() for x in ("na", "ka", "nb", "kb")), strict=True):
-                common = len(np.intersect1d(np.frombuffer(ka, _U), np.frombuffer(kb, _U), assume_unique=True))
-                ok.append(100 * common >= percent * (na + nb - common))
-            yield pa.RecordBatch.from_arrays([t.column("a"), t.column("b")], ["u", "v"]).filter(pa.array(ok, pa.bool_()))
+            for n1, k1, n2, k2 in zip(*(t.column(x).to_pylist() for x in ("n1", "keys1", "n2", "keys2")), strict=True):
+                common = len(np.intersect1d(np.frombuffer(k1, _U), np.frombuffer(k2, _U), assume_unique=True))
+                ok.append(100 * common >= percent * (n1 + n2 - common))
+            names = ["c1", "root1", "c2", "root2"]
+            yield pa.RecordBatch.from_arrays([*(t.column(x) for x in names), pa.array(ok, pa.bool_())], [*names, "ok"])
+
+    cols = [f"{x}{i}" for i in (1, 2) for x in ("c", "root", "n", "keys")]
+    return stored(new.select(cols).mapInArrow(run, "c1 long, root1 long, c2 long, root2 long, ok boolean"), "tried")
+
+
+def _merged(tried: DataFrame) -> DataFrame:
+    """root and top: the components that the links join, by the smallest."""
+    return stored(components(tried.filter("ok").select(F.col("root1").alias("u"), F.col("root2").alias("v"))).select(F.col("node").alias("root"), F.col("root").alias("top")), "tops")
+
+
+def _moved(rows: DataFrame, tops: DataFrame) -> DataFrame:
+    return named(rows, tops, "root").withColumn("root", F.coalesce("top", "root")).drop("top")
+
 
-    return both.select("a", "na", "ka", "b", "nb", "kb").mapInArrow(run, "u long, v long")
+def _sides(a: DataFrame, b: DataFrame, on: list[str], cols: list[str]) -> DataFrame:
+    side = lambda df, i: df.select(*on, *[F.col(n).alias(f"{n}{i}") for n in cols])
+    return side(a, 1).join(side(b, 2), on)
 
 
 def links(docs: DataFrame, text_col: str = "text", percent: int = PERCENT, shingle_words: int = SHINGLE_WORDS) -> DataFrame:
-    """c and root: the component of each class that has a link."""
+    """c and root (the component) of each class that shares enough with others to be linked at all."""
+    with scratch(docs.sparkSession):
+        return stored(_links(docs, text_col, percent, shingle_words), "linked", keep=True)
+
+
+def _links(docs: DataFrame, text_col: str, percent: int, shingle_words: int) -> DataFrame:
     groups = groups_for(bounded(docs))
-    found = docs.select(F.col(text_col).alias("text")).mapInArrow(_sliced(groups, shingle_words), _SENT)
-    sent_back = found.groupBy("side", "grp").applyInArrow(_sharing(groups), _SENT)
+    sent = docs.select(F.col(text_col).alias("text")).mapInArrow(_sliced(groups, shingle_words), _SENT)
+    sent_back = sent.groupBy("side", "grp").applyInArrow(_sharing(groups), _SENT)
     # A class is told by each slice that it is in, in the same words.
-    told = sent_back.groupBy("grp").applyInArrow(_survivors(percent), "c long, n int, keys binary, sketch array<long>")
-    sets = stored(told.groupBy("c").agg(F.first("n").alias("n"), F.first("keys").alias("keys"), F.first("sketch").alias("sketch")), "sets")
-    prefixes = stored(_prefixes(sets, percent), "prefixes")
-
-    found, part = None, None
-    for seed in range(HUB_ROUNDS):
-        named = _named(prefixes, part)
-        first = F.struct("n", "c", "root") if seed == 0 else F.struct(F.xxhash64("c", F.lit(seed)), "c", "root", "n")
-        hub = named.groupBy("key").agg(F.min(first).alias("hub"), F.min("root").alias("r0"), F.max("root").alias("r1")).filter("r0 <> r1").select("key", F.col("hub.c").alias("b"), F.col("hub.n").alias("m"), F.col("hub.root").alias("hub_root"))
-        alike = 100 * F.least("m", "n") >= percent * F.greatest("m", "n")
-        near = named.join(hub, "key").filter((F.col("root") != F.col("hub_root")) & alike).select(F.col("c").alias("a"), "b").distinct()
-        more = _verified(near, sets, percent)
-        found = stored(more if found is None else found.unionByName(more), "links")
-        part = stored(components(found), "parts")
-
-    named = _named(prefixes, part)
-    mixed = named.groupBy("key").agg(F.min("root").alias("r0"), F.max("root").alias("r1")).filter("r0 <> r1").select("key")
-    shown = sets.select("c", "sketch", (F.col("n") - F.length("keys") / 8).cast("int").alias("alone"))
-    open_ = stored(named.join(mixed, "key").join(shown, "c"), "open")
-    side = lambda i: open_.select("key", *[F.col(n).alias(f"{n}{i}") for n in ("c", "n", "pos", "root", "sketch", "alone")])
-    # Two sets of n1 and n2 must have this many in common. What is left after a common place bounds it, and so do the
-    # sketches: shingles of one class alone, and those that the sketches tell apart, aren't in common.
-    least = F.ceil(percent * (F.col("n1") + F.col("n2")) / F.lit(100 + percent) - 1e-9)
-    room = lambda i: F.col(f"n{i}") - F.col(f"pos{i}") - 1
-    apart = F.col("alone1") + F.col("alone2")
-    for i in range(SKETCH_BITS // 64):
-        apart = apart + F.bit_count(F.get(F.col("sketch1"), F.lit(i)).bitwiseXOR(F.get(F.col("sketch2"), F.lit(i))))
-    pairs = side(1).join(side(2), "key").filter(
-        (F.col("root1") < F.col("root2")) & (100 * F.least("n1", "n2") >= percent * F.greatest("n1", "n2"))
-        & (F.least("pos1", "pos2") + 1 + F.least(room(1), room(2)) >= least) & (apart <= F.col("n1") + F.col("n2") - 2 * least)
-    ).select(F.col("c1").alias("a"), F.col("c2").alias("b")).distinct()
-    return components(found.unionByName(_verified(pairs, sets, percent))).withColumnRenamed("node", "c")
+    told = sent_back.groupBy("grp").applyInArrow(_survivors(percent), "c long, n int, keys binary, numbers binary, sketch array<long>")
+    sets = stored(told.groupBy("c").agg(*[F.first(x).alias(x) for x in ("n", "keys", "numbers", "sketch")]), "sets")
+    lists = stored(sets.select("c", "n", "keys", "numbers").mapInArrow(_prefixes, "key long, c long, n int, pos int, part long, parts long").withColumn("root", F.col("c")), "lists")
+    plain, full = ["c", "root", "n", "pos"], ["c", "root", "n", "pos", "sketch", "alone"]
 
+    hub = lists.groupBy("key", "part").agg(F.min(F.struct("n", "c", "root", "pos")).alias("hub"), F.count("*").alias("k")).filter("k > 1").select("key", "part", "hub.*")
+    near = _sides(lists, hub, ["key", "part"], plain).filter((F.col("root1") != F.col("root2")) & _possible(percent, False))
+    tried = _verified(near, sets, None, percent)
+    tops = _merged(tried)
+    part = _moved(sets.select("c", F.col("c").alias("root")), tops)
 
-def _named(prefixes: DataFrame, part: DataFrame | None) -> DataFrame:
-    """prefixes with each class's component so far."""
-    if part is None:
-        return prefixes.withColumn("root", F.col("c"))
-    return prefixes.join(part.withColumnRenamed("node", "c"), "c", "left").withColumn("root", F.coalesce("root", "c"))
+    shown = sets.select("c", "sketch", (F.col("n") - F.length("keys") / 8).cast("int").alias("alone"))
+    lists = stored(_mixed(stored(_moved(lists, tops), "lists")).join(shown, "c"), "lists")
+    for seed in range(1, HUB_ROUNDS):
+        if lists.isEmpty():
+            return part
+        # Of each list one class of each component, another each round; and of the largest of them, the one to meet.
+        one = lists.groupBy("key", "root", "parts").agg(F.count("*").alias("k"), F.min_by(F.struct("c", "n", "pos", "sketch", "alone"), F.xxhash64("c", "key", F.lit(seed))).alias("x"))
+        one = stored(one.select("key", F.pmod(F.xxhash64("root"), F.greatest(F.lit(1), F.shiftright("parts", 10 * seed))).alias("part"), "root", "k", "x.*"), "ones")
+        hub = one.groupBy("key", "part").agg(F.max_by(F.struct(*full), F.struct("k", F.xxhash64("c", "key", F.lit(seed)))).alias("hub")).select("key", "part", "hub.*")
+        near = _sides(one, hub, ["key", "part"], full).filter((F.col("root1") != F.col("root2")) & _possible(percent, True))
+        more = _verified(near, sets, tried, percent)
+        tried = tried.unionByName(more)
+        if more.filter("ok").isEmpty():
+            break
+        tops = _merged(more)
+        part = _moved(part, tops)
+        lists = stored(_mixed(stored(_moved(lists, tops), "lists")), "lists")
+    most = lists.groupBy("key", "root").agg(F.count("*").alias("k")).groupBy("key").agg(F.max_by("root", F.struct("k", "root")).alias("most"))
+    marked = lists.join(stored(most, "most"), "key")
+    beside = marked.filter("root <> most").withColumn("part", F.explode(F.sequence(F.lit(0).cast("long"), F.col("parts") - 1)))
+    every = marked.withColumn("part", F.pmod(F.xxhash64("c"), "parts"))
+    pairs = _sides(beside, every, ["key", "part"], [*full, "most"]).filter((F.col("root1") != F.col("root2")) & ((F.col("root2") == F.col("most2")) | (F.col("root1") < F.col("root2"))) & _possible(percent, True))
+    return _moved(part, _merged(_verified(pairs, sets, tried, percent)))
+
+
+def _mixed(lists: DataFrame) -> DataFrame:
+    """The lists that hold several components."""
+    several = lists.groupBy("key").agg(F.min("root").alias("r0"), F.max("root").alias("r1")).filter("r0 <> r1").select("key")
+    return lists.join(stored(several, "several"), "key", "left_semi")
 
 
 def _classes(docs: DataFrame, id_col: str, text_col: str, k: int) -> DataFrame:
@@ -301,8 +338,8 @@ def join(docs: DataFrame, id_col: str = "doc_id", text_col: str = "text", percen
     """doc_id, n_shingles and component_id (the smallest doc_id reachable by links) of every row."""
     rows = stored(_classes(docs, id_col, text_col, shingle_words), "classes")
     low = rows.filter("n_shingles > 0").groupBy("c").agg(F.min("doc_id").alias("low"))
-    named = low.join(links(docs.filter(F.col(id_col).isNotNull()), text_col, percent, shingle_words), "c", "left").withColumn("root", F.coalesce("root", "c"))
-    tops = named.groupBy("root").agg(F.min("low").alias("component_id"))
-    each = named.join(tops, "root").select("c", "component_id")
+    each = stored(low.join(links(docs.filter(F.col(id_col).isNotNull()), text_col, percent, shingle_words), "c", "left").withColumn("root", F.coalesce("root", "c")), "components")
+    tops = each.groupBy("root").agg(F.min("low").alias("top"), F.count("*").alias("k")).filter("k > 1").select("root", "top")
+    each = named(each, stored(tops, "tops"), "root").select("c", F.coalesce("top", "low").alias("component_id"))
     own = F.when(F.col("doc_id").isNotNull(), F.when(F.col("n_shingles") > 0, F.col("component_id")).otherwise(F.col("doc_id")))
     return rows.join(each, "c", "left").select("doc_id", "n_shingles", own.alias("component_id"))

@@ -2,8 +2,9 @@ import random
 
 import pytest
 
-from assayer.llm import jaccard
-from assayer.llm.components import components
+from assayer.llm import components as stars
+from assayer.llm import jaccard, native
+from assayer.llm.components import components, named
 
 
 def brute(rows, k=5, percent=75):
@@ -26,10 +27,14 @@ def brute(rows, k=5, percent=75):
     return {d: (len(s), top(d)) for d, s in sets}
 
 
-@pytest.mark.parametrize(("slice_bytes", "frequent"), [(8 << 20, 64), (600, 3)])
-def test_as_brute_force(spark, monkeypatch, slice_bytes, frequent):
+@pytest.mark.parametrize(("slice_bytes", "part", "rounds", "broadcast"), [(8 << 20, 1024, 6, 200_000), (600, 2, 4, 10), (600, 1024, 1, 200_000)])
+def test_as_brute_force(spark, monkeypatch, slice_bytes, part, rounds, broadcast):
+    """Also with parts of few classes and hot names over many, and with all pairs of components right after the first hubs."""
     monkeypatch.setattr(jaccard, "SLICE", slice_bytes)
-    monkeypatch.setattr(jaccard, "FREQUENT_LEAST", frequent)
+    monkeypatch.setattr(jaccard, "PART_CLASSES", part)
+    monkeypatch.setattr(jaccard, "HUB_ROUNDS", rounds)
+    monkeypatch.setattr(native, "BROADCAST_ROWS", broadcast)
+    monkeypatch.setattr(stars, "HOT_LEAST", 3)
     rnd = random.Random(11)
     word = lambda: "".join(rnd.choice("abcdefg") for _ in range(3))
     bases = [[word() for _ in range(rnd.randrange(5, 60))] for _ in range(12)]
@@ -62,3 +67,49 @@ def test_components(spark):
     assert all(got[i] == 100 for i in range(100, 131)) and 5 not in got
     for a, b in edges:
         assert a == b or got[a] == got[b]
+
+
+def test_few_pairs_in_a_large_group(spark, monkeypatch):
+    """Near copies of one text: each meets some hubs, whatever the size of the group; and none is verified twice."""
+    asked = []
+    plain = jaccard._verified
+
+    def counting(*args):
+        asked.append(plain(*args))
+        return asked[-1]
+
+    monkeypatch.setattr(jaccard, "_verified", counting)
+    monkeypatch.setattr(jaccard, "PART_CLASSES", 32)
+    kept = []
+    monkeypatch.setattr(jaccard, "scratch", lambda spark: __import__("contextlib").nullcontext())
+    for n in (100, 400):
+        rnd, rows = random.Random(n), []
+        base = [f"w{i}" for i in range(100)]
+        for d in range(n):
+            w = list(base)
+            for _ in range(3):
+                w[rnd.randrange(100)] = f"x{rnd.randrange(10**6)}"
+            rows.append((d, " ".join(w)))
+        asked.clear()
+        got = jaccard.join(spark.createDataFrame(rows, "doc_id long, text string").repartition(5))
+        assert {r.doc_id: (r.n_shingles, r.component_id) for r in got.collect()} == brute(rows)
+        pairs = [(r.c1, r.c2) for x in asked for r in x.collect()]
+        assert len(pairs) == len(set(pairs))
+        kept.append(len(pairs))
+    assert kept[1] <= 6 * kept[0]
+
+
+def test_very_long_text(spark):
+    words = [f"w{i * i % 9973}x{i}" for i in range(150_000)]
+    rows = [(1, " ".join(words)), (2, " ".join(words[:-9000])), (3, " ".join(words[: len(words) // 2])), (4, "a b c d e f")]
+    got = {r.doc_id: (r.n_shingles, r.component_id) for r in jaccard.join(spark.createDataFrame(rows, "doc_id long, text string")).collect()}
+    assert got == {1: (149_996, 1), 2: (140_996, 1), 3: (74_996, 3), 4: (2, 4)}
+
+
+def test_names_of_hot_rows(spark, monkeypatch):
+    monkeypatch.setattr(native, "BROADCAST_ROWS", 2)
+    monkeypatch.setattr(stars, "HOT_LEAST", 3)
+    rows = spark.createDataFrame([(i, i % 5 if i < 20 else 7) for i in range(40)] + [(40, 9)], "x long, root long")
+    names = jaccard.stored(spark.createDataFrame([(i, 10 * i) for i in range(8)], "root long, top long"), "t")
+    got = {r.x: r.top for r in named(rows, names, "root").collect()}
+    assert got == {i: 10 * (i % 5) if i < 20 else 70 for i in range(40)} | {40: None}
