@@ -1,15 +1,20 @@
 """Byte-level BPE encoding and decoding by tree concatenation.
 
-A text is cut into the pieces of the vocabulary's pre-tokenizer. A piece too long for one go (text without any break)
-is halved down to leaves; leaves are encoded in parallel, and neighbours are joined up the tree: a window of tokens
-around the join is encoded anew, and grows until its first token is the left side's and its last the right side's own.
-A token sequence is a BPE encoding exactly if each two neighbours are, so the joined sequence is the encoding of the
-whole: tokens outside the window keep their neighbours, and those at its edges have agreed.
+A text is halved down to leaves. Leaves are cut into the pieces of the vocabulary's pre-tokenizer, in parallel, and
+neighbours are joined up the tree: a window of pieces around the join is cut anew, and grows until it begins where the left
+side has a break that what follows can't move, and breaks off where the right side does too. From a common break on both
+go on alike, as the pattern never looks back; so the joined pieces are those of the whole.
+
+Pieces are encoded by merges, each distinct one once. One too long for a leaf (text without any break) is halved in the
+same way, and a window of tokens around each join is encoded anew, until its first token is the left side's and its last
+the right side's own. A token sequence is a BPE encoding exactly if each two neighbours are, so the joined sequence is the
+encoding of the whole: tokens outside the window keep their neighbours, and those at its edges have agreed.
 """
 
 from __future__ import annotations
 
 import hashlib
+import heapq
 import json
 import re
 from collections.abc import Iterator
@@ -17,16 +22,21 @@ from concurrent.futures import ThreadPoolExecutor
 
 import pyarrow as pa
 import regex
-import tiktoken
+import unicodedata
 from pyspark.sql import DataFrame
+from tokenizers import pre_tokenizers
 
 from .common import id_text, slices
 
 #: The byte-level pre-tokenizer's pattern.
 PATTERN = r"'s|'t|'re|'ve|'m|'ll|'d| ?\p{L}+| ?\p{N}+| ?[^\s\p{L}\p{N}]+|\s+(?!\S)|\s+"
-#: Pieces over this many bytes go through the tree; leaves are at most as long.
-LEAF_BYTES = 4096
-_LONG_BLANKS = re.compile(r"\s{%d}" % (LEAF_BYTES // 4))
+#: Texts over this many characters, and pieces over this many bytes, go through the tree; leaves are at most as long.
+LEAF = 4096
+#: Pieces from the end that a text going on may change: a match looks at two characters behind it and at three at least.
+UNSURE = 4
+#: Encoded pieces that a worker remembers.
+REMEMBERED = 400_000
+_NEVER = 1 << 30
 
 
 def default_vocabulary() -> str:
@@ -42,10 +52,27 @@ def _byte_chars() -> dict[str, int]:
     return {chr(b): b for b in shown} | {chr(256 + i): b for i, b in enumerate(hidden)}
 
 
+def _strangers() -> dict[int, str]:
+    """Characters that the pattern's engine puts in another class than the vocabulary's library (newer scripts), each with
+    a character of the right class."""
+    every = "".join(map(chr, [*range(0xD800), *range(0xE000, 0x110000)]))
+    of = {c: k for k in "LN" for c in regex.findall(rf"\p{{{k}}}", every)}
+    new = [c for c in every if unicodedata.category(c)[0] not in "ZC" or c in of]
+    new = [c for c in new if (k := unicodedata.category(c)[0]) != of.get(c) and (k in "LN" or c in of)]
+    library, out = pre_tokenizers.ByteLevel(add_prefix_space=False), {}
+    for c in new:
+        # Of a letter, a digit and a mark, the character stands with its own kind.
+        ends = {b for _, (_, b) in library.pre_tokenize_str(f"x{c}x7{c}7")}
+        kind = "L" if 1 not in ends and 2 not in ends else "N" if 5 not in ends and 4 not in ends else ""
+        if kind != of.get(c, ""):
+            out[ord(c)] = {"L": "x", "N": "7", "": "!"}[kind]
+    return out
+
+
 class Encoder:
     """Encodes and decodes as the vocabulary file's own library does, without special tokens added around a text."""
 
-    def __init__(self, path: str, leaf_bytes: int = LEAF_BYTES):
+    def __init__(self, path: str, leaf: int = LEAF):
         with open(path, encoding="utf-8") as f:
             spec = json.load(f)
         model, back = spec["model"], _byte_chars()
@@ -57,60 +84,142 @@ class Encoder:
             raise ValueError("the vocabulary's ids don't follow its merges")
         if spec["pre_tokenizer"]["type"] != "ByteLevel" or spec["pre_tokenizer"]["add_prefix_space"] or spec["normalizer"]:
             raise ValueError("not a plain byte-level vocabulary")
-        self.core = tiktoken.Encoding("piecewise", pat_str=PATTERN, mergeable_ranks=vocab, special_tokens={})
+        #: What two tokens merge into; the smaller, the earlier.
+        self.merges = {(vocab[as_bytes(a)], vocab[as_bytes(b)]): i for i, (a, b) in enumerate(merged, 256)}
+        self.byte = [vocab[bytes([i])] for i in range(256)]
         size = max([*vocab.values(), *self.special.values()]) + 1
         self.bytes_of = [b""] * size
         for t, i in [*vocab.items(), *((t.encode(), i) for t, i in self.special.items())]:
             self.bytes_of[i] = t
         self.decimal = [b"%d," % i for i in range(size)]
-        self.pieces = regex.compile(PATTERN)
+        self.pattern = regex.compile(PATTERN)
         self.split = re.compile("|".join(map(re.escape, sorted(self.special, key=len, reverse=True)))) if self.special else None
-        self.leaf_bytes = leaf_bytes
+        self.stand_in = _strangers()
+        self.strange = frozenset(map(chr, self.stand_in))
+        self.leaf = leaf
+        self.known: dict[str, list[int]] = {}
         self.pool: ThreadPoolExecutor | None = None
 
     def __getstate__(self):
         raise TypeError("made where it is used")
 
     def encode(self, text: str) -> list[int]:
-        if self.split is None or not self.split.search(text):
-            return self._plain(text)
-        out, at = [], 0
-        for m in self.split.finditer(text):
-            out += self._plain(text[at : m.start()])
+        out: list[int] = []
+        at = 0
+        for m in self.split.finditer(text) if self.split else ():
+            self._encode(text[at : m.start()], out)
             out.append(self.special[m[0]])
             at = m.end()
-        return out + self._plain(text[at:])
-
-    def _plain(self, text: str) -> list[int]:
-        longest = max(map(len, text.split()), default=0)
-        if longest < self.leaf_bytes // 4 and not _LONG_BLANKS.search(text):
-            return self.core.encode_ordinary(text)
-        out: list[int] = []
-        for m in self.pieces.finditer(text):
-            out += self.piece(m[0].encode())
+        self._encode(text[at:] if at else text, out)
         return out
 
-    def piece(self, raw: bytes) -> list[int]:
-        """Encodes one piece of the pre-tokenizer, of any length."""
-        one = self.core._encode_single_piece
-        if len(raw) <= self.leaf_bytes:
-            return one(raw)
-        leaves = [raw]
-        while len(leaves[0]) > self.leaf_bytes:
+    def _encode(self, text: str, out: list[int]) -> None:
+        known = self.known
+        for p in self.pieces(text):
+            ids = known.get(p)
+            if ids is None:
+                ids = self.piece(p.encode())
+                if len(known) >= REMEMBERED:
+                    known.clear()
+                if len(p) < 64:
+                    known[p] = ids
+            out += ids
+
+    def cut(self, text: str) -> list[str]:
+        """The pre-tokenizer's pieces in one go."""
+        if text.isascii() or self.strange.isdisjoint(text):
+            return self.pattern.findall(text, concurrent=True)
+        found, at = [], 0
+        for p in self.pattern.findall(text.translate(self.stand_in)):
+            found.append(text[at : at + len(p)])
+            at += len(p)
+        return found
+
+    def _tree(self, whole, one, join) -> list:
+        """Halves down to leaves, one() of each, and join() of neighbours; each level in parallel."""
+        leaves = [whole]
+        while max(map(len, leaves)) > self.leaf:
             leaves = [h for x in leaves for h in (x[: len(x) // 2], x[len(x) // 2 :])]
+        if len(leaves) == 1:
+            return one(whole)
         if self.pool is None:
             self.pool = ThreadPoolExecutor(2)
         row = list(self.pool.map(one, leaves))
         while len(row) > 1:
-            row = list(self.pool.map(self.join, row[0::2], row[1::2]))
+            row = list(self.pool.map(join, row[0::2], row[1::2]))
         return row[0]
 
+    def pieces(self, text: str) -> list[str]:
+        """The pre-tokenizer's pieces of a text of any length."""
+        return self._tree(text, self.cut, self.join_pieces)
+
+    def join_pieces(self, a: list[str], b: list[str]) -> list[str]:
+        """The pieces of two cut texts put together."""
+        k = 2 * UNSURE
+        while True:
+            begin = max(0, len(a) - k)
+            head, tail = "".join(a[begin:]), b[:k]
+            window = self.cut(head + "".join(tail))
+            breaks, at = {len(head): 0}, len(head)
+            for i, p in enumerate(tail, 1):
+                at += len(p)
+                breaks[at] = i
+            at = 0
+            for i, p in enumerate([*window, ""] if k >= len(b) else window[:-UNSURE]):
+                if at in breaks:
+                    return a[:begin] + window[:i] + b[breaks[at] :]
+                at += len(p)
+            k *= 2
+
+    def piece(self, raw: bytes) -> list[int]:
+        """Encodes one piece of the pre-tokenizer, of any length."""
+        return self._tree(raw, self.merge, self.join)
+
+    def merge(self, raw: bytes) -> list[int]:
+        """Merges a leaf: of all neighbours the earliest merge first, and the leftmost of its places."""
+        ids, get = list(map(self.byte.__getitem__, raw)), self.merges.get
+        if len(ids) > 64:
+            return self._merge_long(ids)
+        # What each token and the next merge into.
+        into = [get(x, _NEVER) for x in zip(ids, ids[1:], strict=False)]
+        while into and (low := min(into)) != _NEVER:
+            i = into.index(low)
+            ids[i] = low
+            del ids[i + 1], into[i]
+            if i:
+                into[i - 1] = get((ids[i - 1], low), _NEVER)
+            if i < len(into):
+                into[i] = get((low, ids[i + 1]), _NEVER)
+        return ids
+
+    def _merge_long(self, ids: list[int]) -> list[int]:
+        """The same over a heap of merges and a linked list of tokens."""
+        merges, n = self.merges, len(ids)
+        after, before = [*range(1, n + 1)], [*range(-1, n - 1)]
+        heap = [(m, i) for i, x in enumerate(zip(ids, ids[1:], strict=False)) if (m := merges.get(x)) is not None]
+        heapq.heapify(heap)
+        while heap:
+            m, i = heapq.heappop(heap)
+            j = after[i]
+            if ids[i] < 0 or j >= n or merges.get((ids[i], ids[j])) != m:
+                continue
+            ids[i], ids[j] = m, -1
+            after[i] = j = after[j]
+            if j < n:
+                before[j] = i
+                if (x := merges.get((m, ids[j]))) is not None:
+                    heapq.heappush(heap, (x, i))
+            h = before[i]
+            if h >= 0 and (x := merges.get((ids[h], m))) is not None:
+                heapq.heappush(heap, (x, h))
+        return [x for x in ids if x >= 0]
+
     def join(self, a: list[int], b: list[int]) -> list[int]:
         """The encoding of two encoded byte strings put together."""
         k = 4
         while True:
             ka, kb = min(k, len(a)), min(k, len(b))
-            window = self.core._encode_single_piece(b"".join(map(self.bytes_of.__getitem__, a[len(a) - ka :] + b[:kb])))
+            window = self.merge(b"".join(map(self.bytes_of.__getitem__, a[len(a) - ka :] + b[:kb])))
             if (ka == len(a) or window[0] == a[-ka]) and (kb == len(b) or window[-1] == b[kb - 1]):
                 return a[: len(a) - ka] + window + b[kb:]
             k *= 2

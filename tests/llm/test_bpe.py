@@ -30,14 +30,36 @@ def test_as_the_library(library):
 
 def test_tree_equals_the_whole(library):
     rnd = random.Random(2)
-    small = bpe.Encoder(bpe.default_vocabulary(), leaf_bytes=16)
-    for kind in ("abcdefgh", "a", "aab", "thereinston", "éñü", " ", "0123456789", ".,;!"):
+    whole, small = bpe.encoder(bpe.default_vocabulary()), bpe.Encoder(bpe.default_vocabulary(), leaf=16)
+    for kind in ("abcdefgh", "a", "aab", "thereinston", "éñü", " ", "0123456789", ".,;!", "a  \n", "l' re's", "日 1!\t"):
         for n in (17, 100, 1000, 5000):
             t = "".join(rnd.choice(kind) for _ in range(n))
-            assert small.piece(t.encode()) == small.core._encode_single_piece(t.encode())
+            assert small.piece(t.encode()) == whole.merge(t.encode())
+            assert small.pieces(t) == whole.cut(t)
             assert small.encode(t) == library.encode(t, add_special_tokens=False).ids
 
 
+def test_characters_of_every_script(library):
+    """Also those that came with later versions of Unicode."""
+    mine, every = bpe.encoder(bpe.default_vocabulary()), [chr(c) for c in range(0x110000) if not 0xD800 <= c < 0xE000]
+    for i in range(0, 0x30000, 512):
+        t = "".join(f"a{c}7{c}!{c} b" for c in every[i : i + 512])
+        assert mine.encode(t) == library.encode(t, add_special_tokens=False).ids
+
+
+def test_texts_are_joined(spark, library, monkeypatch):
+    """The query's own texts pass through the tree: each of over one leaf has joins, and the windows stay small."""
+    mine, joined = bpe.Encoder(bpe.default_vocabulary()), []
+    plain = mine.join_pieces
+    monkeypatch.setattr(mine, "join_pieces", lambda a, b: joined.append(1) or plain(a, b))
+    texts = [r.text for r in spark.read.parquet("/root/testdata/sf0.001/documents.parquet").select("text").collect() if r.text]
+    for t in texts:
+        joined.clear()
+        assert mine.encode(t) == library.encode(t, add_special_tokens=False).ids
+        assert (len(joined) > 0) == (len(t) > bpe.LEAF)
+    assert max(map(len, texts)) > bpe.LEAF
+
+
 def test_long_text_without_breaks(library):
     t = "x" + "then" * 30_000 + " end" + " " * 9000 + "z"
     assert bpe.encoder(bpe.default_vocabulary()).encode(t) == library.encode(t, add_special_tokens=False).ids
