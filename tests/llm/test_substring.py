@@ -23,6 +23,27 @@ def brute(rows, n):
     return out
 
 
+def greedy(rows, n):
+    """The parse over the texts themselves."""
+    words, first = {d: (t or "").split() for d, t in rows}, {}
+    at = lambda d, i: tuple(words[d][i : i + n]) if i + n <= len(words[d]) else None
+    out = {}
+    for d in sorted(words):
+        own, p = [], 0
+        for i in range(len(words[d]) - n + 1):
+            first.setdefault(at(d, i), (d, i))
+        while p <= len(words[d]) - n:
+            s, q = first[at(d, p)]
+            k = 0
+            if (s, q) != (d, p):
+                while at(d, p + k) is not None and at(d, p + k) == at(s, q + k):
+                    k += 1
+                own.append((p, k + n - 1, s, q))
+            p += max(1, k)
+        out[d] = own
+    return out
+
+
 @pytest.mark.parametrize("slice_bytes", [8 << 20, 300])
 def test_as_brute_force(spark, monkeypatch, slice_bytes):
     monkeypatch.setattr(substring, "SLICE", slice_bytes)
@@ -39,8 +60,9 @@ def test_as_brute_force(spark, monkeypatch, slice_bytes):
     got = {r.doc_id: (r.n_words, r.n_removed, r.kept_sha256) for r in substring.report(df, min_words=5).collect()}
     assert got == {k: v[:3] for k, v in want.items()}
     assert {r.doc_id: r.text or "" for r in substring.dedup(df, min_words=5).collect()} == {k: v[3] for k, v in want.items()}
-    texts = dict(rows)
+    texts, parsed = dict(rows), greedy(rows, 5)
     for r in substring.factors(df, min_words=5).collect():
+        assert [tuple(f) for f in r.factors] == parsed[r.doc_id]
         w = (texts[r.doc_id] or "").split()
         for f in r.factors:
             src = (texts[f.source_id] or "").split()
@@ -54,3 +76,12 @@ def test_odd_rows(spark):
     got = sorted((str(r.doc_id), r.n_words, r.n_removed) for r in substring.report(df, min_words=5).collect())
     assert got == [("0", 5, 5), ("1", 6, 0), ("1", 6, 0), ("2", 7, 6), ("3", 50_000, 49_999), ("None", 5, 0)]
     assert substring.report(df.limit(0)).count() == 0
+
+
+def test_source_goes_on_past_earlier_places(spark):
+    """A copy is one factor, though a passage in its source stands in an earlier document too."""
+    passage = " ".join(f"p{i}" for i in range(12))
+    source = f"a b c d e f g {passage} h i j k l m n"
+    rows = [(1, passage), (2, source), (3, source), (4, f"x {source} y {passage}")]
+    got = {r.doc_id: [tuple(f) for f in r.factors] for r in substring.factors(spark.createDataFrame(rows, "doc_id long, text string"), min_words=5).collect()}
+    assert got == {1: [], 2: [(7, 12, 1, 0)], 3: [(0, 26, 2, 0)], 4: [(1, 26, 2, 0), (28, 12, 1, 0)]}
