@@ -28,6 +28,8 @@ from .native import let, row_key, shingles, small, words
 SHINGLE_WORDS = 5
 SIMILARITY = 0.75
 RADIUS = 23
+#: Shingles of all items up to which they are broadcast, 8 bytes each.
+BROADCAST_SHINGLES = 2_000_000
 #: Bits of the radius + 1 blocks; they add up to 64.
 BLOCK_BITS = [3] * 16 + [2] * 8
 
@@ -87,7 +89,7 @@ def _items(benchmark: DataFrame, item_col: str, text_col: str) -> DataFrame:
 
 def matches(docs: DataFrame, benchmark: DataFrame, id_col: str = "doc_id", text_col: str = "text", item_col: str = "item_id", item_text_col: str = "text", threshold: float = SIMILARITY) -> DataFrame:
     """d, t (id and row_key of a document), item: every pair at or over the threshold, once."""
-    items = _items(benchmark, item_col, item_text_col).persist()
+    items = _items(benchmark, item_col, item_text_col)
     rows = docs.select(F.col(id_col).cast("long").alias("d"), row_key(text_col).alias("t"), F.col(text_col).alias("x"))
     found = [_of_length(rows, items.filter(F.col("k") == r.k), r.k, threshold) for r in items.select("k").distinct().collect()]
     if not found:
@@ -102,9 +104,10 @@ def _of_length(rows: DataFrame, items: DataFrame, k: int, threshold: float) -> D
     index = small(items.select("item", "m", F.explode(F.array_distinct("item_sh")).alias("s")))
     placed = rows.select("d", "t", F.posexplode(shingles(F.col("x"), k)).alias("pos", "s"))
     hits = placed.join(index, "s").groupBy("d", "t", "item", "m").agg(F.array_sort(F.collect_set("pos")).alias("at"))
-    least = F.ceil(F.col("m") * F.lit(threshold) - 1e-9)
-    held = lambda p: F.size(F.filter("at", lambda q: (q >= p) & (q < p + F.col("m"))))
-    full = hits.filter(F.size("at") >= least).select("d", "t", "m", F.filter("at", lambda p: held(p) >= least).alias("at"))
+    least = F.ceil(F.col("m") * F.lit(threshold) - 1e-9).cast("int")
+    # A window from a hit on holds enough if the last hit that it needs lies within it.
+    held = lambda p, i: F.coalesce(F.get("at", i + least - 1) < p + F.col("m"), F.lit(False))
+    full = hits.filter(F.size("at") >= least).select("d", "t", "m", F.filter("at", held).alias("at"))
     starts = full.filter(F.size("at") > 0).groupBy("d", "t").agg(F.collect_list(F.struct("m", "at")).alias("wanted"))
 
     named = starts.withColumnsRenamed({"d": "sd", "t": "st"})
@@ -113,12 +116,16 @@ def _of_length(rows: DataFrame, items: DataFrame, k: int, threshold: float) -> D
     begin = F.greatest(F.lit(0), F.least("pos", F.size("sh") - F.col("m"))) + 1
     windows = each.select("d", "t", "m", F.slice("sh", begin, F.col("m")).alias("win")).distinct().withColumn("fp", simhash(F.col("win")))
     keyed = items.select("item", "m", "item_sh", simhash(F.col("item_sh")).alias("item_fp"))
-    index2 = small(keyed.select("item", "item_sh", "m", "item_fp", F.inline(_blocks("item_fp"))))
+    index2 = small(keyed.select("item", "m", "item_fp", F.inline(_blocks("item_fp"))))
     met = windows.select("*", F.inline(_blocks("fp"))).join(index2, ["m", "block", "value"])
     near = met.filter(F.bit_count(F.col("fp").bitwiseXOR(F.col("item_fp"))) <= RADIUS)
     # A pair may meet in several blocks: only in the first that both share is it looked at.
     both = F.transform(F.arrays_zip(_blocks("fp").alias("a"), _blocks("item_fp").alias("b")), lambda z: F.when(z["a"]["value"] == z["b"]["value"], z["a"]["block"]))
     near = near.filter(F.array_min(both) == F.col("block"))
+    # The items' shingles are broadcast by their number, as a row's has no bound.
+    shown = keyed.select("item", "item_fp", "item_sh")
+    total = shown.agg(F.sum(F.size("item_sh"))).first()[0] or 0
+    near = near.join(F.broadcast(shown) if total <= BROADCAST_SHINGLES else shown, ["item", "item_fp"])
     return near.filter(similarity(F.col("win"), F.col("item_sh")) >= threshold - 1e-12).select("d", "t", "item").distinct()
 
 

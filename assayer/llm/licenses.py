@@ -268,10 +268,16 @@ def _detections(lower: Column) -> Column:
     return let(F.regexp_replace(lower, r"\s+", " "), gated)
 
 
+def lowered(text: Column) -> Column:
+    """A-Z alone in lower case; other letters stay."""
+    upper = "ABCDEFGHIJKLMNOPQRSTUVWXYZ"
+    return F.when(text.rlike(r"[^\x00-\x7F]"), F.translate(text, upper, upper.lower())).otherwise(F.lower(text))
+
+
 def scan(docs: DataFrame, id_col: str = "doc_id", text_col: str = "text") -> DataFrame:
     """doc_id, n_words, n_base, first_word, last_word, base_labels, labels, score, and detections (start, end in the
     blank-squeezed lower-cased text, class, label; null where no gate word occurs)."""
-    rows = id_text(docs, id_col, text_col).select("doc_id", F.lower(F.coalesce("text", F.lit(""))).alias("low"))
+    rows = id_text(docs, id_col, text_col).select("doc_id", lowered(F.coalesce("text", F.lit(""))).alias("low"))
     words_gate = F.contains("low", F.lit("license"))
     padded = F.concat(F.lit(" "), F.btrim(F.regexp_replace("low", NO_WORD, " ")), F.lit(" "))
     count = lambda c: F.regexp_count(c, F.lit("[^ ]+")).cast("long")

@@ -1,5 +1,8 @@
+import math
 import random
+from collections import Counter
 
+import numpy as np
 import pytest
 
 from assayer.llm import langid, toxicity
@@ -79,15 +82,65 @@ def test_langid(spark, corpus):
     assert {r.lang_pred for r in langid.identify(df, none).collect()} == {"und"}
 
 
-def test_kernel_as_plain():
-    """The multiplied-out weights give the same decisions as kernels against the landmarks."""
+def test_decisions_as_plain_kernels():
+    """Predictions and scores against kernels, Nyström map and ridge written out over sets of n-grams."""
     rnd = random.Random(3)
-    texts = ["".join(rnd.choice("abc éü") for _ in range(rnd.randrange(1, 60))).encode() for _ in range(40)]
-    slots, starts = langid.presence(texts)
-    for i, t in enumerate(texts):
-        low = t.lower()
-        grams = {low[a : a + n] for n in range(1, 5) for a in range(len(low) - n + 1)}
-        assert len(grams) == starts[i + 1] - starts[i] or len(grams) - (starts[i + 1] - starts[i]) < 3
+    letters = {"aa": "abcé", "bb": "cdeü", "cc": "efab"}
+    labels = [rnd.choice(list(letters)) for _ in range(60)]
+    texts = ["".join(rnd.choice(letters[x] + " ") for _ in range(rnd.randrange(8, 80))) + x[0] for x in labels]
+    fit, rest = texts[:40], texts[40:]
+
+    def slot(g):
+        x = int.from_bytes(g, "big") ^ (len(g) * 0x3C6EF372 & 0xFFFFFFFF)
+        return (x * 2654435761 & 0xFFFFFFFF) >> (32 - langid.SLOT_BITS)
+
+    def grams(t):
+        b = t.lower().encode()
+        return {slot(b[i : i + n]) for n in range(1, langid.MAX_N + 1) for i in range(len(b) - n + 1)}
+
+    sets = {t: grams(t) for t in texts}
+    kernel = lambda s, t: len(sets[s] & sets[t]) / math.sqrt(len(sets[s]) * len(sets[t]))
+    langs = sorted(set(labels[:40]))
+    marks = [t for x in langs for t in [t for t, y in zip(fit, labels, strict=False) if y == x][:10]]
+    gram = np.array([[kernel(s, t) for t in marks] for s in marks])
+    value, vector = np.linalg.eigh(gram)
+    root = vector / np.sqrt(np.maximum(value, 1e-6))
+    phi = np.array([[kernel(s, t) for t in marks] for s in fit]) @ root
+    target = np.array([[1.0 if y == x else -1.0 for x in langs] for y in labels[:40]])
+    w = np.linalg.solve(phi.T @ phi + langid.RIDGE * len(fit) * np.eye(len(marks)), phi.T @ target)
+    model = langid.Model.fit([t.encode() for t in fit], labels[:40], landmarks=10)
+    got, scores = model.predict(rest)
+    for t, lang, score in zip(rest, got, scores, strict=True):
+        d = np.array([kernel(t, m) for m in marks]) @ root @ w
+        low, *_, second, top = sorted(d)
+        assert lang == langs[int(d.argmax())]
+        assert score == pytest.approx((top - second) / (top - low), abs=2e-3)
+
+
+def test_toxic_score_as_plain(corpus):
+    """Odds, token scores, segments, expectations and the curve written out for each text."""
+    docs, labels = corpus
+    model = toxicity.Model.fit([t for _, t, _ in docs[:300]], [y for _, y in labels[:300]])
+    kept = toxicity._apart([t for _, t, _ in docs[:300]])
+    n = [sum(labels[i][1] == y for i in kept) for y in (0, 1)]
+    seen = [Counter(w for i in kept if labels[i][1] == y for w in set(docs[i][1].split())) for y in (0, 1)]
+    odds = {}
+    for word, y1 in seen[1].items():
+        y0, prior = seen[0][word], toxicity.PRIOR * (y1 + seen[0][word]) / sum(n)
+        a1, a0 = min(y1 + prior, n[1] + toxicity.PRIOR - 1e-9), min(y0 + prior, n[0] + toxicity.PRIOR - 1e-9)
+        ratio = math.log(a1 / (n[1] + toxicity.PRIOR - a1) / (a0 / (n[0] + toxicity.PRIOR - a0)))
+        if y1 >= 3 and ratio >= toxicity.STRONG and ratio / math.sqrt(1 / a1 + 1 / a0) >= toxicity.CLEAR:
+            odds[word] = ratio
+    assert odds and model.odds == pytest.approx(odds)
+    # A prefix is known by its own counts.
+    token = lambda w: odds.get(w, next((model.prefix_odds[w[:k]] for k in toxicity.PREFIXES if len(w) > k and w[:k] in model.prefix_odds), 0.0)) - toxicity.DRIFT
+    slope, offset = model.curve
+    for _, text, _ in docs[300:]:
+        s = [token(w) for w in text.split()]
+        expected = [model.k * len(s) * math.exp(-model.lam * x) for _, _, x in brute_segments(s)]
+        evidence = sum(-math.log(e) for e in expected if e < 1)
+        assert model.evidence(text) == pytest.approx(evidence)
+        assert model.score(evidence) == pytest.approx(1 / (1 + math.exp(-(slope * math.log(1 + evidence) + offset))))
 
 
 def test_toxic_sample_is_thinned_once(spark):

@@ -3,6 +3,8 @@ import re
 
 from tokenizers import Tokenizer
 
+import pytest
+
 import corpus_pipeline
 from assayer.llm import bpe
 
@@ -44,11 +46,35 @@ def test_as_brute_force(spark, tmp_path):
     assert bad and len(left) < len(rows) - 12
 
 
-def test_stages_keep_columns(spark):
-    docs = spark.createDataFrame([(1, "a b c", "en", "s", 5, 2.0), (None, "d e", None, None, None, None), (2, None, None, None, None, None)], "doc_id long, text string, lang string, source string, n_chars long, score double")
-    assert corpus_pipeline.near_copies(spark, docs, "").columns == docs.columns
-    assert sorted(str(r.doc_id) for r in corpus_pipeline.near_copies(spark, docs, "").collect()) == ["1", "2", "None"]
-    assert corpus_pipeline.lines(spark, docs, "").columns == docs.columns
+DOCS = "doc_id long, text string, lang string, source string, n_chars long"
+CLASHING = ["score", "lang_pred", "h", "d", "t", "x", "row", "fd", "ft", "c", "root", "component_id", "ids", "n_tokens", "pos", "item", "own"]
+
+
+@pytest.mark.parametrize("name", [n for n, _ in corpus_pipeline.STAGES])
+def test_stages_with_nulls_and_clashing_columns(spark, tmp_path, name):
+    """Every stage stands nulls in any column and further columns by names that it uses itself; an empty table too."""
+    stage, rnd = dict(corpus_pipeline.STAGES)[name], random.Random(5)
+    spark.createDataFrame([(1, "one two three four five six"), (2, None), (None, "seven eight")], "item_id long, text string").write.parquet(f"{tmp_path}/benchmark.parquet")
+    text = lambda: " ".join("".join(rnd.choice("abcdefgh") for _ in range(4)) for _ in range(12))
+    rows = [(i, text(), "aa", "s", 5) for i in range(8)] + [(None, "d e", None, None, None), (20, None, None, None, None), (21, "", "aa", None, 0), (20, text(), "aa", "s", 1)]
+    docs = spark.createDataFrame([(*r, *CLASHING) for r in rows], f"{DOCS}, {', '.join(f'{c} string' for c in CLASHING)}")
+    got = stage(spark, docs, str(tmp_path))
+    kept = got.collect()
+    if name == "tokens":
+        assert len(kept) == len(rows) and got.columns == ["doc_id", "n_tokens", "ids"]
+    else:
+        assert got.columns == docs.columns
+        assert all(all(r[c] == c for c in CLASHING) for r in kept)
+        gone = {"language": 2, "lines": 2}.get(name, 0)
+        assert len(kept) == len(rows) - gone
+    assert stage(spark, docs.limit(0), str(tmp_path)).count() == 0
+
+
+def test_empty_table(spark, tmp_path):
+    spark.createDataFrame([], DOCS).write.parquet(f"{tmp_path}/documents.parquet")
+    spark.createDataFrame([], "item_id long, text string").write.parquet(f"{tmp_path}/benchmark.parquet")
+    got = corpus_pipeline.run(spark, str(tmp_path))
+    assert got.columns == ["doc_id", "n_tokens", "ids"] and got.count() == 0
 
 
 def test_language_is_told(spark):
