@@ -18,7 +18,7 @@ from pyspark.sql import DataFrame, SparkSession
 from pyspark.sql import functions as F
 
 from assayer.llm import bpe, decontaminate, jaccard, langid, line_dedup
-from assayer.llm.common import crc_remainder, stored
+from assayer.llm.common import crc_remainder, scratch, stored
 from assayer.llm.native import small
 
 
@@ -26,8 +26,10 @@ def language(spark: SparkSession, docs: DataFrame, sf_dir: str) -> DataFrame:
     model = langid.train(docs.filter(crc_remainder("doc_id", 5) != 0))
     if not model.langs:
         return docs.filter(F.col("text").rlike(r"\p{L}"))
-    told = langid.identify(docs, model, keep=True)
-    return told.filter("lang_pred <> 'und'").withColumn("lang", F.col("lang_pred")).select(docs.columns)
+    # Columns go by number, so that none clashes with those that are added.
+    place = {c: f"_{i}" for i, c in enumerate(docs.columns)}
+    told = langid.identify(docs.toDF(*place.values()), model, text_col=place["text"], keep=True).filter("lang_pred <> 'und'")
+    return told.select(*[F.col("lang_pred" if c == "lang" else p).alias(c) for c, p in place.items()])
 
 
 def lines(spark: SparkSession, docs: DataFrame, sf_dir: str) -> DataFrame:
@@ -54,6 +56,9 @@ ORACLE_SQL: str | None = None
 
 def run(spark: SparkSession, sf_dir: str) -> DataFrame:
     docs = spark.read.parquet(f"{sf_dir}/documents.parquet")
-    for name, stage in STAGES:
-        docs = stored(stage(spark, docs, sf_dir), name)
-    return docs
+    *first, (last, end) = STAGES
+    with scratch(spark):
+        for name, stage in first:
+            with scratch(spark):
+                docs = stored(stage(spark, docs, sf_dir), name, keep=True)
+        return stored(end(spark, docs, sf_dir), last, keep=True)
