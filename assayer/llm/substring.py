@@ -16,7 +16,7 @@ Tasks settle windows that recur within their own slice of documents, and send on
 passage that is everywhere costs one entry a slice. Entries are packed in binary rows for each block, and blocks grow in
 number with the input. Back come only the windows with an earlier source, packed by document.
 
-Windows are compared by 64-bit hashes. A null text has no words. A null id comes before all others. Rows alike in id and
+Windows are compared by a hash of 64 bits and another of 32. A null text has no words. A null id comes before all others. Rows alike in id and
 text are one document: they are kept or cut alike. Rows of one id with different texts: the place with the smaller start
 is the earlier, and equal starts are both kept; a factor isn't followed on into such an id if both have earlier sources.
 """
@@ -33,7 +33,7 @@ from pyspark.sql import DataFrame
 from pyspark.sql import functions as F
 
 from .blobs import cuts, group_of, pack_sorted, slice_name, squeezed, unpack_sorted, unsqueezed
-from .common import Words, bounded, groups_for, scratch, slices, stored
+from .common import Words, bounded, groups_for, mix, scratch, slices, stored, windows
 
 MIN_WORDS = 20
 SLICE = 4 << 20
@@ -76,7 +76,8 @@ def _sliced(groups: int, n: int):
     def run(batches: Iterator[pa.RecordBatch]) -> Iterator[pa.RecordBatch]:
         for part in slices(batches, SLICE):
             w = Words(part)
-            keys, whole = w.runs(w.hashes(), n)
+            h = w.hashes()
+            keys, whole = w.runs(h, n)
             at = np.flatnonzero(whole)
             if not len(at):
                 continue
@@ -84,21 +85,22 @@ def _sliced(groups: int, n: int):
             name = slice_name(ids, marks)
             # Rows in the order of their ids, so that a stable sort by key leaves each key's places in order.
             keys, doc = keys[at], w.doc[at].astype(np.int32)
+            more = (windows(mix(h ^ _U(0x5851F42D4C957F2D)), n) >> _U(32)).astype(np.uint32)[at]
             pos = (at - w.first[doc]).astype(np.int32)
             if np.any(ids[1:] <= ids[:-1]):
                 by_place = np.lexsort((pos, ids[doc]))
-                keys, doc, pos = keys[by_place], doc[by_place], pos[by_place]
-            order = np.argsort(keys, kind="stable")
-            keys, doc, pos = keys[order], doc[order], pos[order]
-            head = np.concatenate([[True], keys[1:] != keys[:-1]])
+                keys, more, doc, pos = keys[by_place], more[by_place], doc[by_place], pos[by_place]
+            order = np.lexsort((more, keys))
+            keys, more, doc, pos = keys[order], more[order], doc[order], pos[order]
+            head = np.concatenate([[True], (keys[1:] != keys[:-1]) | (more[1:] != more[:-1])])
             first = np.maximum.accumulate(np.where(head, np.arange(len(keys), dtype=np.int32), 0))
             later = (ids[doc] > ids[doc[first]]) | (pos > pos[first])
             rows = [(_ROWS, _home(name, groups), name, len(ids), _steps(ids), squeezed(marks), b"", b"", b"")]
             if later.any():
                 rows.append(_places(name, groups, doc[later], pos[later], ids[doc[first[later]]], pos[first[later]], doc[first[later]]))
             # What ties with the first place isn't later; it is sent on by itself, as it may be later than another slice's.
-            keys, doc, pos = keys[~later], doc[~later], pos[~later]
-            rows += [(_WINDOWS, g, name, b - a, pack_sorted(keys[a:b]), squeezed(doc[a:b]), squeezed(pos[a:b]), _steps(ids[np.unique(doc[a:b])]), b"") for g, a, b in cuts(group_of(keys, groups))]
+            keys, more, doc, pos = keys[~later], more[~later], doc[~later], pos[~later]
+            rows += [(_WINDOWS, g, name, b - a, pack_sorted(keys[a:b]), squeezed(doc[a:b]), squeezed(pos[a:b]), _steps(ids[np.unique(doc[a:b])]), more[a:b].tobytes()) for g, a, b in cuts(group_of(keys, groups))]
             for a in range(0, len(rows), 64):
                 yield _batch(rows[a : a + 64])
 
@@ -110,7 +112,7 @@ def _block(groups: int):
     def run(table: pa.Table) -> pa.Table:
         if table["side"][0].as_py() != _WINDOWS:
             return table
-        rows = table.select(["slice", "a", "b", "c", "d"]).to_pylist()
+        rows = table.select(["slice", "a", "b", "c", "d", "e"]).to_pylist()
         keys = np.concatenate([unpack_sorted(r["a"]) for r in rows])
         which = np.repeat(np.arange(len(rows), dtype=np.int32), [len(r["a"]) // 8 for r in rows])
         order = np.argsort(keys, kind="stable")
@@ -122,10 +124,10 @@ def _block(groups: int):
         # A row's ids are those of its own documents alone.
         d = np.concatenate([_sums(r["d"], np.int64)[np.unique(x, return_inverse=True)[1]] for r, x in zip(rows, docs, strict=True)])[order]
         doc, pos = np.concatenate(docs)[order], np.concatenate([unsqueezed(r["c"], np.int32) for r in rows])[order]
-        keys, which = keys[order], which[order]
-        order = np.lexsort((pos, d, keys))
-        keys, which, doc, pos, d = (x[order] for x in (keys, which, doc, pos, d))
-        head = np.concatenate([[True], keys[1:] != keys[:-1]])
+        keys, which, more = keys[order], which[order], np.concatenate([np.frombuffer(r["e"], np.uint32) for r in rows])[order]
+        order = np.lexsort((pos, d, more, keys))
+        keys, more, which, doc, pos, d = (x[order] for x in (keys, more, which, doc, pos, d))
+        head = np.concatenate([[True], (keys[1:] != keys[:-1]) | (more[1:] != more[:-1])])
         first = np.maximum.accumulate(np.where(head, np.arange(len(keys)), 0))
         later = np.flatnonzero((d > d[first]) | (pos > pos[first]))
         out = []
@@ -265,10 +267,10 @@ def _factored(docs: DataFrame, id_col: str, text_col: str, n: int) -> DataFrame:
     return rows.join(found, (rows.d == found.fd) & (rows.mark == found.fm), "left").select("doc_id", "text", "start", "windows", "src", "src_start")
 
 
-def _kept(words: list[bytes], start: np.ndarray, windows: np.ndarray, n: int) -> list[bytes]:
+def _kept(words: list[bytes], start: np.ndarray, runs: np.ndarray, n: int) -> list[bytes]:
     gone = np.zeros(len(words) + 1, np.int32)
     np.add.at(gone, start, 1)
-    np.add.at(gone, start + windows + n - 1, -1)
+    np.add.at(gone, start + runs + n - 1, -1)
     return [x for x, g in zip(words, np.cumsum(gone[:-1]).tolist(), strict=True) if not g]
 
 
