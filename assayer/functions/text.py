@@ -28,14 +28,23 @@ def squeeze(c: Column) -> Column:
     return strip(F.regexp_replace(c, rf"(?U){_BLANK}+", " "))
 
 
+_STOPPED = f"(?<![a-zA-Z0-9])(?!(?i:{'|'.join(STOP_WORDS)})(?![a-zA-Z0-9]))[a-zA-Z0-9]+"
+
+
+def _runs(c: Column, pattern: str) -> Column:
+    """All matches (of ASCII letters and digits) in lower case; they are lowered in one go, not one by one."""
+    found = F.array_join(F.regexp_extract_all(F.coalesce(c, F.lit("")), F.lit(pattern), F.lit(0)), " ")
+    return F.transform(F.array(found), lambda s: F.when(s == "", F.array().cast("array<string>")).otherwise(F.split(F.lower(s), " ")))[0]
+
+
 def all_tokens(c: Column) -> Column:
     """Lower-cased ASCII letter and digit runs."""
-    return F.transform(F.regexp_extract_all(F.coalesce(c, F.lit("")), F.lit("[a-zA-Z0-9]+"), F.lit(0)), lambda t: F.lower(t))
+    return _runs(c, "[a-zA-Z0-9]+")
 
 
 def tokenize(c: Column) -> Column:
     """Tokens for retrieval: as all_tokens, without stop words."""
-    return F.filter(all_tokens(c), lambda t: ~t.isin(STOP_WORDS))
+    return _runs(c, _STOPPED)
 
 
 def token_set(c: Column) -> Column:
@@ -68,11 +77,21 @@ def units(c: Column) -> Column:
 
 def coverage(query: Column, text: Column, tokens=tokenize) -> Column:
     """Share of the query's distinct tokens that the text has; 0 for a query without any."""
-    q = F.array_distinct(tokens(query))
-    return F.when(F.size(q) > 0, F.size(F.array_intersect(q, tokens(text))) / F.size(q)).otherwise(F.lit(0.0))
+    return token_coverage(tokens(query), tokens(text))
+
+
+def token_coverage(query: Column, text: Column) -> Column:
+    """As coverage(), of arrays of tokens."""
+    q = F.array_distinct(query)
+    return F.when(F.size(q) > 0, F.size(F.array_intersect(q, text)) / F.size(q)).otherwise(F.lit(0.0))
 
 
 def phrase_bonus(query: Column, text: Column) -> Column:
     """1 if the query's tokens, joined by blanks, occur in the text's; queries of under five characters get 0."""
-    q = F.array_join(tokenize(query), " ")
-    return F.when((F.length(q) >= 5) & F.contains(F.array_join(tokenize(text), " "), q), F.lit(1.0)).otherwise(F.lit(0.0))
+    return token_phrase(tokenize(query), tokenize(text))
+
+
+def token_phrase(query: Column, text: Column) -> Column:
+    """As phrase_bonus(), of arrays of tokens."""
+    q = F.array_join(query, " ")
+    return F.when((F.length(q) >= 5) & F.contains(F.array_join(text, " "), q), F.lit(1.0)).otherwise(F.lit(0.0))

@@ -6,6 +6,8 @@ with `collection` columns on both sides they are kept apart by it.
 
 from __future__ import annotations
 
+import re
+from collections import Counter
 from collections.abc import Iterator
 
 import numpy as np
@@ -14,10 +16,13 @@ from pyspark.sql import Column, DataFrame, Window
 from pyspark.sql import functions as F
 
 from ..functions.numeric import clamp, py_round
-from ..functions.text import coverage, phrase_bonus, tokenize
+from ..functions.text import STOP_WORDS, token_coverage, token_phrase, tokenize
 
 #: Query vectors held at once in a task; more are taken in further passes.
 QUERY_BLOCK = 4096
+#: The same for lexical queries, and cells of queries and chunks scored at once.
+LEXICAL_BLOCK = 1 << 15
+_CELLS = 1 << 22
 #: Rows up to which a counted side is broadcast.
 BROADCAST_ROWS = 500_000
 MODES = ("dense", "lexical", "hybrid")
@@ -38,9 +43,10 @@ def lengths(chunks: DataFrame) -> DataFrame:
 
 
 def bm25(queries: DataFrame, chunks: DataFrame, k1: float = 1.5, b: float = 0.75) -> DataFrame:
-    """query_id, chunk_id, score (over the query's best, 6 digits) of all chunks that share a term with the query.
+    """query_id, chunk_id, score (over the query's best, 6 digits) of all chunks that share a term with the query: its result
+    is as large as there are such pairs. lexical_topk() doesn't make them all, but for collections.
 
-    Chunks are read once: postings of the queries' terms alone leave a task, summed by chunk before the shuffle."""
+    Postings of the queries' terms alone leave a task, summed by chunk before the shuffle."""
     by = ["collection"] if "collection" in chunks.columns and "collection" in queries.columns else []
     q = queries.select(*by, "query_id", F.explode(tokenize(F.col("query"))).alias("term")).groupBy(*by, "query_id", "term").agg(F.count("*").alias("qtf"))
     terms = small(q.select(*by, "term").distinct())
@@ -63,11 +69,104 @@ def _top(scored: DataFrame, k: int, by: list[str], score: str = "score") -> Data
     return scored.withColumn("rank", F.row_number().over(w)).filter(F.col("rank") <= k)
 
 
+_TOKEN = re.compile("[a-zA-Z0-9]+")
+_STOP = frozenset(STOP_WORDS)
+
+
+def _terms(text: str | None) -> list[str]:
+    """As tokenize()."""
+    return [t for t in " ".join(_TOKEN.findall(text or "")).lower().split() if t not in _STOP]
+
+
+def _postings(texts: list[str | None], number: dict[str, int]) -> tuple[np.ndarray, np.ndarray, np.ndarray, np.ndarray]:
+    """Lengths of the texts in tokens; and row, term and count of the numbered terms in them."""
+    lengths, rows, terms, counts = [], [], [], []
+    for i, t in enumerate(texts):
+        tokens = _terms(t)
+        lengths.append(len(tokens))
+        for k, n in Counter(map(number.get, tokens)).items():
+            if k is not None:
+                rows.append(i)
+                terms.append(k)
+                counts.append(n)
+    return np.array(lengths, np.int64), np.array(rows, np.int64), np.array(terms, np.int64), np.array(counts, np.float64)
+
+
+def _statistics(chunks: DataFrame, number: dict[str, int]) -> tuple[int, float, np.ndarray]:
+    """Chunks, their mean length, and in how many each numbered term is: one row from each batch of chunks."""
+    sent = chunks.sparkSession.sparkContext.broadcast(number)
+
+    def run(batches: Iterator[pa.RecordBatch]) -> Iterator[pa.RecordBatch]:
+        for b in batches:
+            lengths, _, terms, _ = _postings(b.column("text").to_pylist(), sent.value)
+            term, n = np.unique(terms, return_counts=True)
+            # Term -1 has the number of chunks, -2 the sum of lengths.
+            yield pa.RecordBatch.from_arrays([pa.array([-1, -2, *term.tolist()], pa.int64()), pa.array([len(lengths), int(lengths.sum()), *n.tolist()], pa.int64())], ["term", "n"])
+
+    found = {r.term: r.n for r in chunks.select("text").mapInArrow(run, "term long, n long").groupBy("term").agg(F.sum("n").alias("n")).toLocalIterator()}
+    df = np.zeros(len(number))
+    for k, n in found.items():
+        if k >= 0:
+            df[k] = n
+    total = found.get(-1, 0)
+    return total, max(1.0, found.get(-2, 0) / total if total else 0.0), df
+
+
+def _lexical_best(queries: DataFrame, chunks: DataFrame, k: int, k1: float = 1.5, b: float = 0.75) -> DataFrame:
+    """query_id, chunk_id, raw: of each batch of chunks the k best of each query and all that could round to them. As a
+    chunk's postings are in one place, no pair of query and chunk is shuffled but these. Statistics are of all chunks."""
+    spark, found = chunks.sparkSession, None
+    ids = queries.select("query_id", "query").orderBy("query_id")
+    total = ids.count()
+    kind, key = queries.schema["query_id"].dataType.simpleString(), chunks.schema["chunk_id"].dataType.simpleString()
+    for at in range(0, max(total, 1), LEXICAL_BLOCK):
+        block = ids.offset(at).limit(LEXICAL_BLOCK).toArrow()
+        wanted = [Counter(_terms(q)) for q in block["query"].to_pylist()]
+        number = {t: i for i, t in enumerate(sorted({t for w in wanted for t in w}))}
+        n, mean, df = _statistics(chunks, number)
+        idf = np.log(1 + (n - df + 0.5) / (df + 0.5))
+        # By term: its queries and their weights.
+        of = sorted((number[t], q, c) for q, w in enumerate(wanted) for t, c in w.items())
+        term, query, weight = (np.array(x) for x in zip(*of, strict=True)) if of else (np.zeros(0, np.int64),) * 3
+        weight = weight * idf[term]
+        first = np.searchsorted(term, np.arange(len(number) + 1))
+        most = np.bincount(query, weight * (k1 + 1), len(wanted)) if len(of) else np.zeros(len(wanted))
+        sent = spark.sparkContext.broadcast((block["query_id"].combine_chunks(), number, query, weight, first, most, mean))
+
+        def run(batches: Iterator[pa.RecordBatch], sent=sent) -> Iterator[pa.RecordBatch]:
+            names, number, query, weight, first, most, mean = sent.value
+            size = max(1, _CELLS // max(1, len(names)))
+            for batch in batches:
+                for a in range(0, batch.num_rows, size):
+                    part = batch.slice(a, size)
+                    lengths, row, term, tf = _postings(part.column("text").to_pylist(), number)
+                    if not len(row):
+                        continue
+                    share = tf * (k1 + 1) / np.maximum(tf + k1 * (1 - b + b * lengths[row] / mean), 1e-12)
+                    many = first[term + 1] - first[term]
+                    each = np.repeat(np.arange(len(row)), many)
+                    place = first[term[each]] + np.arange(len(each)) - np.repeat(np.cumsum(many) - many, many)
+                    raw = np.bincount(query[place] * part.num_rows + row[each], weight[place] * share[each], len(names) * part.num_rows).reshape(len(names), -1)
+                    floor = np.partition(raw, -k, axis=1)[:, -k] - 2e-6 * most if part.num_rows > k else np.zeros(len(names))
+                    i, j = np.nonzero((raw >= floor[:, None]) & (raw > 0))
+                    yield pa.RecordBatch.from_arrays([names.take(pa.array(i)), part.column("chunk_id").take(pa.array(j)), pa.array(raw[i, j])], ["query_id", "chunk_id", "raw"])
+
+        one = chunks.select("chunk_id", "text").mapInArrow(run, f"query_id {kind}, chunk_id {key}, raw double")
+        found = one if found is None else found.unionByName(one)
+    return found
+
+
 def lexical_topk(queries: DataFrame, chunks: DataFrame, k: int, **kw) -> DataFrame:
     """query_id, chunk_id, lexical_score (4 digits), rank. Chunks without a common term fill up to k by id; at least one."""
     by = ["collection"] if "collection" in chunks.columns and "collection" in queries.columns else []
     k = max(1, k)
-    scored = _top(bm25(queries, chunks, **kw), k, [*by, "query_id"]).drop("rank")
+    if by:
+        scored = bm25(queries, chunks, **kw)
+    else:
+        raw = _lexical_best(queries, chunks, k, **kw)
+        best = F.max("raw").over(Window.partitionBy("query_id"))
+        scored = raw.select("query_id", "chunk_id", py_round(F.col("raw") / best, 6).alias("score"))
+    scored = _top(scored, k, [*by, "query_id"]).drop("rank")
     if by:
         first = _top(chunks.select(*by, "chunk_id").withColumn("score", F.lit(0.0)), k, by).select(*by, "chunk_id")
         pad = queries.select(*by, "query_id").join(first, by)
@@ -124,10 +223,10 @@ def rrf(dense_rank: Column, lexical_rank: Column, k: int = 60) -> Column:
 
 
 def rerank(query: Column, text: Column, dense: Column, lexical: Column, fused: Column, dense_weight: float = 0.6, rerank_weight: float = 0.2) -> Column:
-    """Weighted similarity blended with term coverage, phrase and rank fusion; 0 to 1, 6 digits."""
+    """Weighted similarity blended with term coverage, phrase and rank fusion; 0 to 1, 6 digits. query, text: tokens."""
     w, r = min(1.0, max(0.0, dense_weight)), min(1.0, max(0.0, rerank_weight))
     base = w * F.greatest(F.lit(0.0), dense) + (1.0 - w) * F.greatest(F.lit(0.0), lexical)
-    signal = 0.55 * coverage(query, text) + 0.25 * phrase_bonus(query, text) + 0.20 * F.least(F.lit(1.0), fused * 30.5)
+    signal = 0.55 * token_coverage(query, text) + 0.25 * token_phrase(query, text) + 0.20 * F.least(F.lit(1.0), fused * 30.5)
     return py_round(clamp((1.0 - r) * base + r * signal), 6)
 
 
@@ -137,8 +236,11 @@ def hybrid_topk(queries: DataFrame, chunks: DataFrame, k: int, dense_weight: flo
     d = dense_topk(queries, chunks, depth).withColumnRenamed("rank", "dense_rank")
     x = lexical_topk(queries, chunks, depth).withColumnRenamed("rank", "lexical_rank")
     merged = d.join(x, ["query_id", "chunk_id"], "full_outer").withColumn("fused", rrf(F.col("dense_rank"), F.col("lexical_rank"), rrf_k)).fillna(0.0, ["dense_score", "lexical_score"])
-    full = merged.join(chunks.select("chunk_id", "text"), "chunk_id").join(queries.select("query_id", "query"), "query_id")
-    scored = full.withColumn("rerank_score", rerank(F.col("query"), F.col("text"), F.col("dense_score"), F.col("lexical_score"), F.col("fused"), dense_weight, rerank_weight))
+    # Of the candidates alone the texts are cut into tokens, each once.
+    wanted = small(merged.select("chunk_id").distinct())
+    texts = chunks.select("chunk_id", "text").join(wanted, "chunk_id", "left_semi").select("chunk_id", tokenize(F.col("text")).alias("_t"))
+    full = merged.join(texts, "chunk_id").join(queries.select("query_id", tokenize(F.col("query")).alias("_q")), "query_id")
+    scored = full.withColumn("rerank_score", rerank(F.col("_q"), F.col("_t"), F.col("dense_score"), F.col("lexical_score"), F.col("fused"), dense_weight, rerank_weight))
     return _top(scored, k, ["query_id"], "rerank_score").select("query_id", "chunk_id", "dense_score", "lexical_score", "rerank_score", "rank")
 
 

@@ -95,18 +95,50 @@ def doc_pages(spark, sf_dir) -> DataFrame:
     return d.select("doc_id", F.sha2(F.col("text").cast("binary"), 256).alias("document_hash"), F.concat(F.lit("doc-"), F.col("doc_id").cast("string"), F.lit(".txt")).alias("source_doc"), F.lit(1).alias("page_number"), "text")
 
 
-@query("chunk_greedy")
+def trim_sql(x: str) -> str:
+    return f"regexp_replace({x}, '^\\s+|\\s+$', '', 'g')"
+
+
+def tail_sql(x: str, n: str) -> str:
+    """The end of x, n characters at most, from behind its first blank on."""
+    return f"(CASE WHEN {n} <= 0 THEN '' WHEN contains(right({x}, {n}), ' ') THEN substr(right({x}, {n}), strpos(right({x}, {n}), ' ') + 1) ELSE right({x}, {n}) END)"
+
+
+def chunks_sql(pages: str, size: int = 1800, overlap: int = 220) -> str:
+    """CTEs up to ch (id, k, text, char_start, char_end) from the pages (id, text): units, hard splits, packing, places."""
+    seed, cut = tail_sql("held", str(overlap)), f"greatest(0, {size} - length(u) - 1)"
+    return f"""pg AS ({pages}),
+un AS (SELECT id, generate_subscripts(u, 1) AS i, unnest(u) AS u FROM (SELECT id, {UNITS_SQL} AS u FROM pg)),
+hs AS (SELECT id, i, 0 AS j, NULL::VARCHAR AS head, u AS rest FROM un UNION ALL
+  SELECT id, i, j + 1, {trim_sql('left(rest, cut)')}, {trim_sql('substr(rest, cut + 1)')} FROM (SELECT *, CASE WHEN contains(substr(rest, {size // 2 + 1}, {size - size // 2}), ' ') THEN {size // 2} + length(regexp_extract(substr(rest, {size // 2 + 1}, {size - size // 2}), '(?s)^(.*) ', 1)) ELSE {size} END AS cut FROM hs WHERE length(rest) > {size})),
+pc AS (SELECT id, row_number() OVER (PARTITION BY id ORDER BY i, j) AS n, u FROM (SELECT id, i, j, head AS u FROM hs WHERE j > 0 UNION ALL SELECT id, i, j + 1, rest FROM hs WHERE length(rest) <= {size} AND rest <> '')),
+pk AS (SELECT id, 0::BIGINT AS n, '' AS held, NULL::VARCHAR AS done FROM pg UNION ALL
+  SELECT id, n, CASE WHEN full_ THEN {trim_sql(f"(CASE WHEN length(seed) > {cut} THEN {tail_sql('seed', cut)} ELSE seed END) || ' ' || u")} ELSE {trim_sql("held || ' ' || u")} END, CASE WHEN full_ THEN held END
+  FROM (SELECT pk.id, pc.n, held, u, held <> '' AND length(held) + 1 + length(u) > {size} AS full_, {seed} AS seed FROM pk JOIN pc ON pc.id = pk.id AND pc.n = pk.n + 1)),
+tx AS (SELECT id, row_number() OVER (PARTITION BY id ORDER BY n) AS k, t AS text FROM (SELECT id, n, done AS t FROM pk WHERE done IS NOT NULL UNION ALL SELECT id, 1000000000, arg_max(held, n) FROM pk GROUP BY id HAVING arg_max(held, n) <> '')),
+ch AS (SELECT id, 0::BIGINT AS k, NULL::VARCHAR AS text, 0::BIGINT AS char_start, 0::BIGINT AS char_end FROM pg UNION ALL
+  SELECT id, k, t, place, least(whole, place + length(t)) FROM (SELECT id, k, t, whole, CASE WHEN found > 0 THEN begin + found - 1 ELSE 0 END AS place FROM (SELECT tx.id, tx.k, tx.text AS t, length(pg.text) AS whole, greatest(0, ch.char_end - {overlap}) AS begin, strpos(substr(pg.text, greatest(0, ch.char_end - {overlap}) + 1), left(tx.text, 80)) AS found FROM ch JOIN tx ON tx.id = ch.id AND tx.k = ch.k + 1 JOIN pg ON pg.id = ch.id)))"""
+
+
+ALL_PAGES_SQL = "SELECT doc_id AS id, text FROM documents WHERE text IS NOT NULL"
+
+
+@query("chunk_greedy", f"""WITH RECURSIVE {chunks_sql(ALL_PAGES_SQL)} SELECT doc_id, left(sha256(d.text), 12) || '_p1_c' || k AS chunk_id, sha256(d.text) AS document_hash, 'doc-' || doc_id || '.txt' AS source_doc, 1::INTEGER AS page_number, ch.text, char_start::INTEGER AS char_start, char_end::INTEGER AS char_end
+FROM ch JOIN documents d ON d.doc_id = ch.id WHERE k > 0""")
 def chunk_greedy(spark, sf_dir):
     return chunking.chunk_pages(doc_pages(spark, sf_dir), keep=["doc_id"])
 
 
-@query("ingest_manifest")
+@query("ingest_manifest", f"""WITH RECURSIVE {chunks_sql(ALL_PAGES_SQL)}, n AS (SELECT sha256(d.text) AS h, count(*) AS chunks FROM ch JOIN documents d ON d.doc_id = ch.id WHERE k > 0 GROUP BY h)
+SELECT sha256(text) AS document_hash, 'doc-' || doc_id || '.txt' AS source_doc, 1::BIGINT AS pages, '' AS warnings, CASE WHEN coalesce(chunks, 0) = 0 THEN 'no_chunks' END AS error_code, coalesce(chunks, 0) AS chunks FROM documents LEFT JOIN n ON n.h = sha256(text)""")
 def ingest_manifest(spark, sf_dir):
     pages = doc_pages(spark, sf_dir).withColumns({"warnings": F.array().cast("array<string>"), "error_code": F.lit(None).cast("string")})
-    return chunking.manifest(pages, chunking.chunk_pages(pages))
+    return chunking.manifest(pages, chunking.chunk_pages(pages)).withColumn("warnings", F.array_join("warnings", ","))
 
 
-@query("session_admission")
+@query("session_admission", """WITH RECURSIVE t AS (SELECT conv_id, turn, trunc(1 + length(text) / 100.0)::BIGINT AS chunks, row_number() OVER (PARTITION BY conv_id ORDER BY turn) AS n FROM conversations),
+a AS (SELECT DISTINCT conv_id, 0::BIGINT AS n, 0::BIGINT AS total, false AS ok FROM t UNION ALL SELECT t.conv_id, t.n, CASE WHEN a.total + t.chunks <= 12 THEN a.total + t.chunks ELSE a.total END, a.total + t.chunks <= 12 FROM a JOIN t ON t.conv_id = a.conv_id AND t.n = a.n + 1)
+SELECT t.conv_id, t.turn, t.chunks, a.ok AS admitted FROM t JOIN a ON a.conv_id = t.conv_id AND a.n = t.n""")
 def session_admission(spark, sf_dir):
     turns = read(spark, sf_dir, "conversations").select("conv_id", "turn", (1 + F.length("text") / 100).cast("long").alias("chunks"))
     return chunking.admit(turns, 12, session="conv_id", order="turn")
@@ -260,7 +292,27 @@ def citation_canonical(spark, sf_dir):
     return said(spark, sf_dir).select("conv_id", "turn", F.sha2(citations.canonical(F.col("said")).cast("binary"), 256).alias("canonical_sha256"))
 
 
-@query("claim_coverage")
+def claims_sql(x: str) -> str:
+    """A list of [is cited] for each claim of the text."""
+    lines = f"list_transform(string_split(regexp_replace({x}, '\\r\\n|[\\n\\r]', chr(10), 'g'), chr(10)), lambda l: {trim_sql('l')})"
+    busy = f"list_filter({lines}, lambda l: NOT (l = '' OR starts_with(l, '#') OR starts_with(l, '```') OR (starts_with(l, '**') AND ends_with(l, '**'))))"
+    bullet = "^(?:[-*+]\\s+|\\d+[.)]\\s+)"
+    parts = f"flatten(list_transform({busy}, lambda l: CASE WHEN regexp_matches(l, '{bullet}') THEN [regexp_replace(l, '{bullet}', '')] ELSE string_split(regexp_replace(l, '([.!?])\\s+', '\\1' || chr(1), 'g'), chr(1)) END))"
+    claims = f"list_filter({parts}, lambda p: len(list_distinct(list_transform(regexp_extract_all(p, '[a-zA-Z0-9]{{2,}}'), lambda t: lower(t)))) >= 3)"
+    return f"list_transform({claims}, lambda p: len({cited_sql('p')}) > 0)"
+
+
+def cited_sql(x: str) -> str:
+    groups = f"list_filter(regexp_extract_all(replace(replace({x}, '【', '['), '】', ']'), '\\[[^\\]\\r\\n]{{1,80}}\\]'), lambda g: regexp_matches(g, '(?i)^\\[\\s*(?:S|Source)\\s*\\d+(?:\\s*(?:,|;|&|\\band\\b)\\s*(?:S|Source)\\s*\\d+)*\\s*\\]$'))"
+    return f"flatten(list_transform({groups}, lambda g: regexp_extract_all(g, '(?i)\\b(?:S|Source)\\s*(\\d+)\\b', 1)))"
+
+
+def covered_sql(claims: str, x: str) -> str:
+    return f"(CASE WHEN len({claims}) > 0 THEN {r(f'len(list_filter({claims}, lambda c: c)) / len({claims})', 3)} WHEN {trim_sql(x)} = '' THEN 1.0::DOUBLE ELSE 0.0::DOUBLE END)"
+
+
+@query("claim_coverage", f"""WITH s AS (SELECT conv_id, turn, {SAID_SQL} AS x FROM conversations), c AS (SELECT conv_id, turn, x, {claims_sql('x')} AS cl, {cited_sql('x')} AS ids FROM s)
+SELECT conv_id, turn, {covered_sql('cl', 'x')} AS coverage, CASE WHEN len(ids) > 0 THEN {r("len(list_filter(ids, lambda i: regexp_matches(i, '^[1-9][0-9]{0,8}$') AND i::BIGINT <= 4)) / len(ids)", 3)} END AS validity FROM c""")
 def claim_coverage(spark, sf_dir):
     x = F.col("said")
     return said(spark, sf_dir).select("conv_id", "turn", citations.claim_coverage(x).alias("coverage"), citations.citation_validity(x, F.lit(4)).alias("validity"))
@@ -444,7 +496,7 @@ def regression_gate(spark, sf_dir):
     return lab.regression_gate(*halves(spark, sf_dir))
 
 
-@query("run_metrics")
+@query("run_metrics", f"""WITH {CASE_SQL.replace('d.doc_id % 2 AS half', '0 AS half')}, {METRICS_SQL} SELECT (SELECT count(*) FROM cases) AS cases, wide.* EXCLUDE (half), NULL::DOUBLE AS answer_exact_match, NULL::DOUBLE AS citation_precision, tp, tn, fp, fn FROM wide JOIN ref ON ref.half = wide.half""")
 def run_metrics(spark, sf_dir):
     return reports.run_metrics(cases(spark, sf_dir))
 
