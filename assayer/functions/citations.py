@@ -103,7 +103,7 @@ def parse_answer(text: str | None, n_sources: int) -> tuple[bool | None, str | N
         if not isinstance(found.get("can_answer"), bool):
             raise ValueError("can_answer must be true or false")
         if not found["can_answer"]:
-            return False, "", " ".join(str(found.get("reason", "Evidence is insufficient.")).split())[:500], None
+            return False, "", " ".join(str(found.get("reason", "")).split())[:500], None
         items = found.get("items")
         if not isinstance(items, list) or not 1 <= len(items) <= 20:
             raise ValueError("1 to 20 items are needed")

@@ -2,6 +2,7 @@
 
 from __future__ import annotations
 
+import time
 from collections.abc import Iterator
 from typing import Protocol
 
@@ -12,6 +13,8 @@ from pyspark.sql import functions as F
 from ..functions.citations import canonical, citation_validity, cited_ids, claim_coverage, structured_answer
 from ..functions.numeric import clamp, py_round
 from ..functions.text import coverage, strip, token_set
+from . import retrieval
+from .storage import scratch, stored
 
 QUERY_CHARS = 2000
 HISTORY_TURNS, HISTORY_CHARS, REWRITE_CHARS = 3, 800, 300
@@ -25,7 +28,8 @@ REPAIR_RULES = "Give the draft's claims their source ids. Use the evidence and t
 
 
 class Provider(Protocol):
-    """A chat model. complete() gets system and user texts, and returns outputs of the same number (None: failed)."""
+    """A chat model. complete() gets system and user texts, and returns outputs of the same number (None: failed). One that
+    knows its use also has counted(system, user), which returns the text, and prompt and completion tokens."""
 
     name: str
     model: str
@@ -108,28 +112,59 @@ def cost(prompt_tokens: Column, completion_tokens: Column, input_price: float, o
     return F.when(prompt_tokens + completion_tokens > 0, py_round(spent, 8))
 
 
+def _one(provider: Provider, system: str, prompt: str) -> tuple[str | None, int, int, float]:
+    begun = time.perf_counter()
+    try:
+        text, before, after = provider.counted(system, prompt) if hasattr(provider, "counted") else (provider.complete([(system, prompt)])[0], 0, 0)
+    except Exception:
+        text, before, after = None, 0, 0
+    return text, before, after, 1000 * (time.perf_counter() - begun)
+
+
 def _asked(df: DataFrame, provider: Provider, system: str, prompt: str, out: str) -> DataFrame:
-    """Adds a provider's outputs. A failing batch gives nulls: a row, not the job, is lost."""
-    @F.pandas_udf("string")
-    def ask(batches: Iterator[pd.Series]) -> Iterator[pd.Series]:
+    """Adds a provider's reply as a struct: text (null: it failed), prompt_tokens, completion_tokens, ms. Prompts are asked
+    one by one, so a failure costs its own row alone. Store the result before it is used twice: each use asks anew."""
+    def ask(batches: Iterator[pd.Series]) -> Iterator[pd.DataFrame]:
         for s in batches:
-            try:
-                yield pd.Series(provider.complete([(system, p) for p in s]), dtype=object)
-            except Exception:
-                yield pd.Series([None] * len(s), dtype=object)
+            yield pd.DataFrame([_one(provider, system, p) for p in s], columns=["text", "prompt_tokens", "completion_tokens", "ms"]).astype({"text": object})
+
+    udf = F.pandas_udf(ask, "text string, prompt_tokens long, completion_tokens long, ms double").asNondeterministic()
+    return df.withColumn(out, udf(F.col(prompt)))
+
 
-    return df.withColumn(out, ask(F.col(prompt)))
+def history_of(turns: Column) -> Column:
+    """As history_text(), of one array of turns (role, content)."""
+    last = F.slice(turns, F.greatest(F.lit(1), F.size(turns) - HISTORY_TURNS + 1), HISTORY_TURNS)
+    return F.coalesce(F.array_join(F.transform(last, lambda t: F.concat(t["role"], F.lit(": "), F.substring(t["content"], 1, HISTORY_CHARS))), "\n"), F.lit(""))
 
 
 def rewrite(questions: DataFrame, provider: Provider) -> DataFrame:
-    """Adds standalone_query and rewrite_failed to questions (query, history): only those with a history are asked about;
-    where the provider fails, the question stays as it is."""
+    """Adds standalone_query, rewrite_failed and rewrite_ms to questions (query, history): only those with a history are asked
+    about; where the provider fails, the question stays as it is."""
     has = F.coalesce(F.col("history"), F.lit("")) != ""
     prompt = F.concat(F.lit("CONVERSATION:\n"), F.col("history"), F.lit("\n\nLATEST QUESTION:\n"), F.col("query"))
-    asked = _asked(questions.filter(has).withColumn("_prompt", prompt), provider, REWRITE_RULES, "_prompt", "_out").drop("_prompt")
-    alone = questions.filter(~has).withColumn("_out", F.lit(None).cast("string"))
-    both = asked.withColumn("rewrite_failed", F.col("_out").isNull()).unionByName(alone.withColumn("rewrite_failed", F.lit(False)))
-    return both.withColumn("standalone_query", rewritten(F.col("query"), F.col("history"), F.col("_out"))).drop("_out")
+    asked = _asked(questions.filter(has).withColumn("_prompt", prompt), provider, REWRITE_RULES, "_prompt", "_r").drop("_prompt")
+    asked = asked.withColumns({"_out": F.col("_r.text"), "rewrite_failed": F.col("_r.text").isNull(), "rewrite_ms": F.col("_r.ms")}).drop("_r")
+    alone = questions.filter(~has).withColumns({"_out": F.lit(None).cast("string"), "rewrite_failed": F.lit(False), "rewrite_ms": F.lit(0.0)})
+    return asked.unionByName(alone).withColumn("standalone_query", rewritten(F.col("query"), F.col("history"), F.col("_out"))).drop("_out")
+
+
+def turn(questions: DataFrame, chunks: DataFrame, provider: Provider, mode: str = "dense", threshold: float = 0.4, k: int = 4, multiplier: int = 3, max_chars: int = 16_000, embedder=None, rewriter: Provider | None = None, prices: tuple[float, float] = (0.0, 0.0), **kw) -> DataFrame:
+    """The whole turn for every question (query_id, query; history if there is one): rewritten to stand alone, candidates
+    retrieved, gated, answered. chunks have vectors unless the mode is lexical; embedder(df, column) gives the questions'.
+
+    Steps are stored, as they are timed and the provider is asked once. A step that serves the whole batch is shared evenly:
+    retrieval_ms is its time over the number of questions."""
+    if "history" not in questions.columns:
+        questions = questions.withColumn("history", F.lit(""))
+    clean = questions.withColumn("query", F.substring(strip(F.coalesce("query", F.lit(""))), 1, QUERY_CHARS))
+    with scratch(questions.sparkSession):
+        told = stored(rewrite(clean.select("query_id", "query", "history"), rewriter or provider), "questions")
+        ask = told.filter("query <> ''").select("query_id", F.col("standalone_query").alias("query"))
+        begun = time.perf_counter()
+        found = stored(retrieval.candidates(embedder(ask, "query") if embedder and mode != "lexical" else ask, chunks, k, multiplier, mode, **kw), "retrieved")
+        each = 1000 * (time.perf_counter() - begun) / max(1, told.count())
+        return stored(answer(told.drop("history").withColumn("retrieval_ms", F.lit(each)), found, chunks, provider, threshold, k, max_chars, prices), "traces", keep=True)
 
 
 class LastQuestion:
@@ -162,35 +197,48 @@ class Extractive:
         return out
 
 
-def answer(questions: DataFrame, retrieved: DataFrame, chunks: DataFrame, provider: Provider, threshold: float = 0.4, k: int = 4, max_chars: int = 16_000) -> DataFrame:
-    """One trace for each question (query_id, query; standalone_query if there is one).
+def _or(df: DataFrame, name: str, kind: str, default=None) -> Column:
+    return (F.col(name) if name in df.columns else F.lit(default)).cast(kind).alias(name)
+
+
+def answer(questions: DataFrame, retrieved: DataFrame, chunks: DataFrame, provider: Provider, threshold: float = 0.4, k: int = 4, max_chars: int = 16_000, prices: tuple[float, float] = (0.0, 0.0)) -> DataFrame:
+    """One trace for each question (query_id, query; of turn()'s steps before standalone_query, rewrite_failed, rewrite_ms and
+    retrieval_ms if there are any). retrieved: as of retrieve(), component scores and method if there are any.
 
     Questions below the gate never reach the provider. Drafts without complete, known citations are asked for once more,
-    and refused if that doesn't help. A provider's failure leaves provider_error."""
-    q = questions.select("query_id", F.substring(strip(F.coalesce("query", F.lit(""))), 1, QUERY_CHARS).alias("query"), *(["standalone_query"] if "standalone_query" in questions.columns else []))
-    if "standalone_query" not in q.columns:
-        q = q.withColumn("standalone_query", F.col("query"))
+    and refused if that doesn't help. A provider's failure leaves provider_error. Drafts are stored when this is called:
+    no use of the result asks again."""
+    q = questions.select(
+        "query_id", F.substring(strip(F.coalesce("query", F.lit(""))), 1, QUERY_CHARS).alias("query"), _or(questions, "standalone_query", "string"),
+        _or(questions, "rewrite_failed", "boolean", False), _or(questions, "rewrite_ms", "double", 0.0), _or(questions, "retrieval_ms", "double", 0.0),
+    )
+    q = q.withColumn("standalone_query", F.coalesce("standalone_query", "query"))
+    scores = [_or(retrieved, c, "double") for c in ("dense_score", "lexical_score", "rerank_score")]
+    retrieved = retrieved.select("query_id", "chunk_id", "rank", "similarity", *scores, _or(retrieved, "retrieval_method", "string"))
     gated = gate(retrieved, threshold, k).join(chunks.select("chunk_id", "source_doc", "page_number", "text"), "chunk_id")
     kept = pack_context(gated.filter("passed and shown"), max_chars)
     below = gated.filter("not passed and shown").withColumns({"position": F.col("rank"), "block": F.lit(None).cast("string")})
     shown = kept.unionByName(below.select(kept.columns))
-    item = F.struct("position", "chunk_id", "source_doc", "page_number", "similarity", "text", "block")
+    item = F.struct("position", "chunk_id", "source_doc", "page_number", "similarity", "dense_score", "lexical_score", "rerank_score", "retrieval_method", "text", "block")
     by = shown.groupBy("query_id").agg(F.array_sort(F.collect_list(item)).alias("retrieved"), F.max("top_similarity").alias("top_similarity"), F.max("passed").alias("passed"))
     any_chunk = not chunks.limit(1).isEmpty()
     t = q.join(by, "query_id", "left").withColumn("passed", F.coalesce("passed", F.lit(False)) & (F.col("query") != ""))
     t = t.withColumn("retrieved", F.when(F.col("query") != "", F.col("retrieved"))).withColumn("retrieved", F.coalesce("retrieved", F.array().cast(t.schema["retrieved"].dataType)))
+    t = stored(t, "gated")
     context = F.array_join(F.transform("retrieved", lambda r: r["block"]), "\n\n")
     asked = F.concat(F.lit("EVIDENCE:\n"), context, F.lit("\n\nQUESTION:\n"), F.col("standalone_query"))
-    live = _asked(t.filter("passed").select("query_id", F.size("retrieved").alias("n"), asked.alias("prompt")), provider, RULES, "prompt", "output")
-    live = _checked(live, "output")
+    live = _asked(t.filter("passed").select("query_id", F.size("retrieved").alias("n"), asked.alias("prompt")), provider, RULES, "prompt", "reply")
+    live = _checked(stored(live, "drafts"))
     again = live.filter("output is not null and can_answer is distinct from false and not good")
     allowed = F.array_join(F.transform(F.sequence(F.lit(1), F.col("n")), lambda i: F.concat(F.lit("[S"), i.cast("string"), F.lit("]"))), ", ")
     again = again.select("query_id", "n", F.concat("prompt", F.lit("\n\nALLOWED SOURCE IDS:\n"), allowed, F.lit("\n\nDRAFT:\n"), "draft").alias("prompt"))
-    again = _checked(_asked(again, provider, REPAIR_RULES, "prompt", "output"), "output").filter("can_answer is not null").select("query_id", *[F.col(c).alias(f"r_{c}") for c in ("can_answer", "draft", "ids", "covered", "good", "bad")])
+    again = _checked(stored(_asked(again, provider, REPAIR_RULES, "prompt", "reply"), "repairs"))
+    checked = ["can_answer", "draft", "ids", "covered", "good", "bad"]
+    again = again.select("query_id", F.col("reply").alias("r_reply"), *[F.col(c).alias(f"r_{c}") for c in checked])
     done = live.join(again, "query_id", "left").withColumn("repaired", F.col("r_can_answer").isNotNull())
-    for c in ("can_answer", "draft", "ids", "covered", "good", "bad"):
-        done = done.withColumn(c, F.when(F.col("repaired"), F.col(f"r_{c}")).otherwise(F.col(c)))
-    done = done.select("query_id", "output", "can_answer", "draft", "ids", "covered", "good", "bad", (F.col("r_can_answer").isNotNull()).alias("repaired"))
+    both = lambda n: (F.col(f"reply.{n}") + F.coalesce(f"r_reply.{n}", F.lit(0))).alias(n)
+    # A second draft takes the first one's place if it is strict JSON.
+    done = done.select("query_id", "output", "repaired", both("prompt_tokens"), both("completion_tokens"), both("ms"), *[F.when(F.col("repaired"), F.col(f"r_{c}")).otherwise(F.col(c)).alias(c) for c in checked])
     f = t.join(done, "query_id", "left")
     reason = (
         F.when(F.col("query") == "", "empty_query").when(F.lit(not any_chunk), "no_documents").when(~F.col("passed"), "similarity_threshold")
@@ -208,16 +256,24 @@ def answer(questions: DataFrame, retrieved: DataFrame, chunks: DataFrame, provid
     f = f.withColumn("confidence", F.when(early, "Low (safe refusal)").otherwise(confidence_label(F.col("top_similarity"), threshold, covered)))
     f = f.withColumn("confidence_score", F.when(~refused, confidence_score(F.col("top_similarity"), threshold, covered)))
     f = f.withColumn("invalid_citations", F.when(F.col("refusal_reason") == "citation_validation", F.col("bad")).otherwise(F.array().cast("array<string>")))
+    # Tokens are told where the provider counts them.
+    spent = F.col("prompt_tokens") + F.col("completion_tokens")
+    f = f.withColumns({"generation_ms": F.coalesce("ms", F.lit(0.0)), "_used": F.when(spent > 0, F.struct("prompt_tokens", "completion_tokens", spent.alias("total_tokens")))})
+    f = f.withColumn("total_ms", F.col("rewrite_ms") + F.col("retrieval_ms") + F.col("generation_ms"))
+    metrics = diagnostics(F.coalesce("generated_answer", "answer"), F.col("standalone_query"), F.transform("retrieved", lambda r: r["similarity"]), threshold, F.col("total_ms"))
+    used = lambda n: F.col(f"_used.{n}")
     return f.select(
-        "query_id", "query", "standalone_query", "answer", F.transform("retrieved", lambda r: r.dropFields("block")).alias("retrieved"), "is_refusal", "refusal_reason", "confidence", "confidence_score",
-        "top_similarity", "generated_answer", "citation_validation_error", F.coalesce("repaired", F.lit(False)).alias("citation_repair_used"), "invalid_citations", F.lit(provider.name).alias("provider"), F.lit(provider.model).alias("model"),
+        "query_id", "query", "standalone_query", "rewrite_failed", "answer", F.transform("retrieved", lambda r: r.dropFields("block")).alias("retrieved"), "is_refusal", "refusal_reason", "confidence", "confidence_score",
+        py_round(F.col("top_similarity"), 4).alias("top_similarity"), "generated_answer", "citation_validation_error", F.coalesce("repaired", F.lit(False)).alias("citation_repair_used"), "invalid_citations",
+        F.get("retrieved", F.lit(0))["retrieval_method"].alias("retrieval_mode"), F.lit(provider.name).alias("provider"), F.lit(provider.model).alias("model"), "retrieval_ms", "generation_ms", "total_ms",
+        *[used(n).alias(n) for n in ("prompt_tokens", "completion_tokens", "total_tokens")], cost(used("prompt_tokens"), used("completion_tokens"), *prices).alias("estimated_cost_usd"), metrics.alias("metrics"),
     )
 
 
-def _checked(df: DataFrame, output: str) -> DataFrame:
-    """Adds can_answer (null: no strict JSON), draft, ids, bad (ids beyond the sources), covered, good."""
-    df = df.withColumn("_p", structured_answer(F.col(output), F.col("n")))
-    df = df.withColumn("can_answer", F.col("_p.can_answer")).withColumn("draft", F.when(F.col("_p.error").isNull(), F.col("_p.answer")).otherwise(canonical(F.col(output)))).drop("_p")
+def _checked(df: DataFrame) -> DataFrame:
+    """Adds output (the reply's text), can_answer (null: no strict JSON), draft, ids, bad (ids beyond the sources), covered, good."""
+    df = df.withColumn("output", F.col("reply.text")).withColumn("_p", structured_answer(F.col("output"), F.col("n")))
+    df = df.withColumn("can_answer", F.col("_p.can_answer")).withColumn("draft", F.when(F.col("_p.error").isNull(), F.col("_p.answer")).otherwise(canonical(F.col("output")))).drop("_p")
     ids = cited_ids(F.col("draft"))
     bad = F.array_sort(F.array_distinct(F.filter(ids, lambda i: ~(i.rlike(r"\A[1-9]\d{0,8}\z") & (i.cast("long") <= F.col("n"))))))
     df = df.withColumns({"ids": ids, "bad": bad, "covered": claim_coverage(F.col("draft"))})

@@ -8,7 +8,7 @@ import pyarrow as pa
 from pyspark.sql import Column, DataFrame, Window
 from pyspark.sql import functions as F
 
-from ..functions.text import units
+from ..functions.text import strip, units
 
 PROBE_CHARS = 80
 
@@ -110,6 +110,48 @@ def collection_name(session: Column, prefix: str = "evidence_") -> Column:
     return F.concat(F.lit(prefix), F.coalesce(F.nullif(F.substring(F.regexp_replace(session, "[^a-zA-Z0-9]", ""), 1, 40), F.lit("")), F.lit("session")))
 
 
+def all_chunks(chunks: DataFrame) -> DataFrame:
+    """Chunks that can be shown: with a text that isn't blank, and with what names their place."""
+    return chunks.filter((strip(F.col("text")) != "") & F.col("document_hash").isNotNull() & F.col("source_doc").isNotNull() & F.col("page_number").isNotNull())
+
+
+def document_names(chunks: DataFrame) -> DataFrame:
+    """source_doc of each document, in order without regard to case."""
+    return chunks.select("source_doc").distinct().orderBy(F.lower("source_doc"), "source_doc")
+
+
+def guarded(uploads: DataFrame, limit: int, session: str = "session_id") -> DataFrame:
+    """Adds `taken`: whether a session's uploads are looked at; none of them is, if there are more than the limit."""
+    return uploads.join(uploads.groupBy(session).agg((F.count("*") <= limit).alias("taken")), session)
+
+
+def ingest(files: DataFrame, limits, known: DataFrame | None = None) -> tuple[DataFrame, DataFrame]:
+    """files (filename, content) of one session to chunks and a manifest: counted against limits.max_files, checked, hashed,
+    parsed and packed. limits: a sources.config.Config. Refused files and those without text or chunks have an error_code;
+    `duplicate` is one whose content is in known (document_hash) or in a file before it by name."""
+    from ..sources import uploads
+
+    if files.count() > limits.max_files:
+        raise ValueError(f"at most {limits.max_files} files at once")
+    named = files.select(uploads.sanitize_filename(F.col("filename")).alias("source_doc"), "content", uploads.document_hash(F.col("content")).alias("document_hash"), uploads.upload_error(F.col("filename"), F.col("content"), limits.max_file_mb * 1024 * 1024).alias("error_code"))
+    n = F.row_number().over(Window.partitionBy("document_hash").orderBy("source_doc"))
+    seen = F.lit(False)
+    if known is not None:
+        named = named.join(known.select("document_hash").distinct().withColumn("_known", F.lit(True)), "document_hash", "left")
+        seen = F.col("_known").isNotNull()
+    named = named.withColumn("error_code", F.coalesce("error_code", F.when(seen | (n > 1), "duplicate"))).drop("_known")
+    pages = uploads.parse_documents(named.filter("error_code is null"), limits.max_pages)
+    chunks = chunk_pages(pages, limits.chunk_size_chars, limits.chunk_overlap_chars)
+    none = F.array().cast("array<string>")
+    refused = named.filter("error_code is not null").select("document_hash", "source_doc", F.lit(0).cast("long").alias("pages"), none.alias("warnings"), "error_code", F.lit(0).cast("long").alias("chunks"))
+    return chunks, manifest(pages, chunks).unionByName(refused)
+
+
+def total_chunks(done: DataFrame) -> DataFrame:
+    """One row: the chunks of a manifest's documents."""
+    return done.agg(F.coalesce(F.sum("chunks"), F.lit(0).cast("long")).alias("total_chunks"))
+
+
 def indexed(documents: DataFrame, chunks: DataFrame) -> DataFrame:
     """The documents (by document_hash) that have chunks."""
     return documents.join(chunks.select("document_hash"), "document_hash", "left_semi")

@@ -18,6 +18,7 @@ GROUP = r"(?i)\[(?:S|Source)\s*\d+(?:\s*(?:,|;|&|and)\s*(?:S|Source)\s*\d+)*\]"
 BULLETS = r"(?m)^\s*(?:[-*+]\s+|\d+[.)]\s+)"
 LABEL_SCORES = {"high": 0.85, "medium": 0.65, "low": 0.25}
 MISMATCH, SURE, UNSURE = 0.8, 0.8, 0.4
+JUDGE_RULES = "Say how far the evidence alone bears out the answer. Reply with JSON: score (0 to 1), unsupported_claims, reasoning."
 
 
 def clean_answer(c: Column) -> Column:
@@ -93,9 +94,12 @@ def failures(expected: Column, answered: Column, correct: Column, recall: Column
 
 
 def evaluate(gold: DataFrame, traces: DataFrame, answer_f1_threshold: float = 0.8, latency_slo_seconds: float | None = None) -> DataFrame:
-    """One row for each case: the labels, all metrics, failures and tags. Cases and traces meet by case_id."""
+    """One row for each case: the labels, all metrics, failures and tags. Cases and traces meet by case_id; a case without a
+    trace, or a trace without its case, fails the run."""
     g = gold.select("case_id", "query", "expected_answerable", "expected_answer", "expected_chunk_ids", "expected_source_docs", F.col("expected_standalone_query").alias("_standalone"), "tags")
-    c = g.join(traces.drop("query"), "case_id")
+    both = g.withColumn("_case", F.lit(True)).join(traces.drop("query").withColumn("_trace", F.lit(True)), "case_id", "full_outer")
+    alone = F.when(F.col("_case").isNull() | F.col("_trace").isNull(), F.raise_error(F.concat(F.lit("no case or no trace: "), F.col("case_id").cast("string"))).cast("boolean"))
+    c = both.withColumn("is_refusal", F.coalesce(alone, F.col("is_refusal")))
     goal, shown = wanted(F.col("expected_chunk_ids"), F.col("expected_source_docs")), identities(F.col("expected_chunk_ids"), F.col("retrieved"))
     has_answer = F.coalesce(F.col("expected_answer"), F.lit("")) != ""
     answered = ~F.col("is_refusal")
@@ -117,3 +121,27 @@ def evaluate(gold: DataFrame, traces: DataFrame, answer_f1_threshold: float = 0.
         F.col("_hit.reciprocal_rank").alias("reciprocal_rank"), F.col("_cite.precision").alias("citation_precision"), F.col("_cite.recall").alias("citation_recall"), F.col("_cite.f1").alias("citation_f1"),
         "rewrite_token_f1", "confidence_score", py_round(F.col("_s"), 4).alias("latency_seconds"), wrong.alias("failures"), "tags",
     )
+
+
+def judged(traces: DataFrame, provider) -> DataFrame:
+    """Adds faithfulness (0 to 1), unsupported_claims, judge_reason and judge_failed, as a judging model says. Refusals aren't
+    judged, unless a rejected draft is there: they and failures have null."""
+    from ..sources.providers import ProviderError, judge
+    from .answering import _asked
+
+    draft = F.when(~F.col("is_refusal"), F.coalesce("generated_answer", "answer")).otherwise(F.col("generated_answer"))
+    evidence = F.array_join(F.transform("retrieved", lambda r, i: F.concat(F.lit("[S"), (i + 1).cast("string"), F.lit("] "), r["text"])), "\n\n")
+    rows = traces.withColumn("_prompt", F.when(F.size("retrieved") > 0, F.concat(F.lit("EVIDENCE:\n"), evidence, F.lit("\n\nANSWER:\n"), draft)))
+
+    @F.udf("score double, claims array<string>, reason string")
+    def read(text):
+        try:
+            return None if text is None else judge(text)
+        except ProviderError:
+            return None
+
+    asked = _asked(rows.filter("_prompt is not null"), provider, JUDGE_RULES, "_prompt", "_reply")
+    asked = asked.withColumn("_j", read(F.col("_reply.text"))).drop("_reply")
+    rest = rows.filter("_prompt is null").withColumn("_j", F.lit(None).cast(asked.schema["_j"].dataType))
+    out = asked.withColumn("judge_failed", F.col("_j").isNull()).unionByName(rest.withColumn("judge_failed", F.lit(False)))
+    return out.withColumns({"faithfulness": F.col("_j.score"), "unsupported_claims": F.col("_j.claims"), "judge_reason": F.col("_j.reason")}).drop("_prompt", "_j")

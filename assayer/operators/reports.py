@@ -11,6 +11,11 @@ MEANS = {
     "answer_exact_match": "answer_exact_match", "answer_token_f1": "answer_token_f1", "retrieval_recall_at_k": "retrieval_recall", "mrr": "reciprocal_rank", "citation_precision": "citation_precision",
     "citation_recall": "citation_recall", "citation_f1": "citation_f1", "rewrite_token_f1": "rewrite_token_f1", "mean_latency_seconds": "latency_seconds",
 }
+#: A case evaluation's columns, as stored runs have them.
+CASE_COLUMNS = [
+    "case_id", "query", "expected_answerable", "predicted_answerable", "correct", "answer_exact_match", "answer_token_f1", "retrieval_recall", "reciprocal_rank", "citation_precision", "citation_recall",
+    "citation_f1", "rewrite_token_f1", "confidence_score", "latency_seconds", "failures", "tags",
+]
 #: Tags of the safety summary and the names of their figures.
 SAFETY = {"red-team": "red_team", "safe-refusal": "safe_refusal", "conversational": "conversational"}
 
@@ -71,7 +76,8 @@ def metrics_long(metrics: DataFrame) -> DataFrame:
 
 
 def failure_counts(cases: DataFrame) -> DataFrame:
-    return cases.select(F.explode("failures").alias("failure")).groupBy("failure").agg(F.count("*").alias("count"))
+    """failure and count, the most frequent first."""
+    return cases.select(F.explode("failures").alias("failure")).groupBy("failure").agg(F.count("*").alias("count")).orderBy(F.desc("count"), "failure")
 
 
 def slices(cases: DataFrame) -> DataFrame:
@@ -102,24 +108,33 @@ def efficiency(traces: DataFrame) -> DataFrame:
     )
 
 
+def run_metadata(cases: DataFrame, traces: DataFrame) -> DataFrame:
+    """One row: efficiency, red_blue, slices and telemetry (of each case its times, tokens and cost)."""
+    one = efficiency(traces).select(F.struct("*").alias("efficiency")).crossJoin(safety_summary(cases).select(F.struct("*").alias("red_blue")))
+    one = one.crossJoin(slices(cases).agg(F.array_sort(F.collect_list(F.struct("*"))).alias("slices")))
+    told = [c for c in ("retrieval_ms", "generation_ms", "total_ms", "prompt_tokens", "completion_tokens", "total_tokens", "estimated_cost_usd", "provider", "model") if c in traces.columns]
+    return one.crossJoin(traces.agg(F.array_sort(F.collect_list(F.struct("case_id", *told))).alias("telemetry")))
+
+
 def benchmark_run(cases: DataFrame, variant: str = "", traces: DataFrame | None = None) -> DataFrame:
-    """One row: run_id, created_at, variant, metrics, confusion, failure_counts, metadata, cases; as JSON by to_json(struct(*))."""
+    """One row: run_id, created_at, variant, metrics, confusion, failure_counts, cases and, with traces, metadata. A run is one
+    document, as sources.labels stores and reads it, so its cases (labelled by hand, so not many) are gathered in the row."""
     m = run_metrics(cases)
     names = [c for c in m.columns if c not in ("tp", "tn", "fp", "fn")]
+    entries = lambda of: F.map_from_arrays(F.array(*[F.lit(n) for n in of]), F.array(*of))
     f = failure_counts(cases).agg(F.map_from_entries(F.array_sort(F.collect_list(F.struct("failure", "count")))).alias("failure_counts"))
-    out = m.crossJoin(f).select(
+    own = cases.agg(F.array_sort(F.collect_list(F.struct(*CASE_COLUMNS))).alias("cases"))
+    out = m.select(*[F.col(n).cast("double").alias(n) for n in names], "tp", "tn", "fp", "fn").crossJoin(f).select(
         F.replace(F.uuid(), F.lit("-"), F.lit("")).alias("run_id"), F.date_format(F.current_timestamp(), "yyyy-MM-dd'T'HH:mm:ss.SSSSSSXXX").alias("created_at"), F.lit(variant.strip() or "default").alias("variant"),
-        F.struct(*names).alias("metrics"), F.struct("tp", "tn", "fp", "fn").alias("confusion"), "failure_counts",
+        entries(names).alias("metrics"), entries(["tp", "tn", "fp", "fn"]).alias("confusion"), "failure_counts",
     )
-    if traces is not None:
-        out = out.crossJoin(efficiency(traces).select(F.struct("*").alias("efficiency"))).crossJoin(safety_summary(cases).select(F.struct("*").alias("red_blue")))
-        out = out.crossJoin(slices(cases).agg(F.array_sort(F.collect_list(F.struct("*"))).alias("slices")))
-    return out
+    out = out.crossJoin(own)
+    return out if traces is None else out.crossJoin(run_metadata(cases, traces).select(F.struct("*").alias("metadata")))
 
 
 def run_history(runs: DataFrame) -> DataFrame:
     """Runs, the newest first, with the figures of the overview."""
-    return runs.select("run_id", "created_at", "variant", *[F.col(f"metrics.{c}").alias(c) for c in ("cases", "overall_accuracy", "answerability_accuracy", "refusal_f1", "retrieval_recall_at_k", "citation_f1", "brier_score", "ece", "mean_latency_seconds")]).orderBy(F.desc("created_at"), "run_id")
+    return runs.select("run_id", "created_at", "variant", *[F.col("metrics")[c].alias(c) for c in ("cases", "overall_accuracy", "answerability_accuracy", "refusal_f1", "retrieval_recall_at_k", "citation_f1", "brier_score", "ece", "mean_latency_seconds")]).orderBy(F.desc("created_at"), "run_id")
 
 
 def add_runs(known: DataFrame, more: DataFrame) -> DataFrame:
@@ -128,13 +143,22 @@ def add_runs(known: DataFrame, more: DataFrame) -> DataFrame:
 
 
 def evidence_view(traces: DataFrame) -> DataFrame:
-    """Shown chunks of each trace, with the number they are cited by."""
-    return traces.select("query_id", F.posexplode("retrieved").alias("n", "r")).select("query_id", (F.col("n") + 1).alias("position"), "r.chunk_id", "r.source_doc", "r.page_number", "r.similarity", "r.text")
+    """Shown chunks of each trace, with the number they are cited by, their scores and how they were found."""
+    cols = ["chunk_id", "source_doc", "page_number", "similarity", "dense_score", "lexical_score", "rerank_score", "retrieval_method", "text"]
+    return traces.select("query_id", F.posexplode("retrieved").alias("n", "r")).select("query_id", (F.col("n") + 1).alias("position"), *[F.col(f"r.{c}").alias(c) for c in cols])
 
 
 def trace_view(traces: DataFrame) -> DataFrame:
     """A line for each trace."""
-    return traces.select("query_id", "query", "standalone_query", "is_refusal", "refusal_reason", "confidence", "confidence_score", "top_similarity", F.size("retrieved").alias("sources"), "citation_validation_error", "citation_repair_used", "invalid_citations", "provider", "model")
+    return traces.select(
+        "query_id", "query", "standalone_query", "rewrite_failed", "retrieval_mode", "is_refusal", "refusal_reason", "confidence", "confidence_score", "top_similarity", F.size("retrieved").alias("sources"),
+        "citation_validation_error", "citation_repair_used", "invalid_citations", "provider", "model", "retrieval_ms", "generation_ms", "total_ms", "total_tokens", "estimated_cost_usd",
+    )
+
+
+def case_audit(cases: DataFrame) -> DataFrame:
+    """Cases that failed, with their labels, the worst first."""
+    return cases.filter(~F.col("correct") | (F.size("failures") > 0)).select("case_id", "query", "expected_answerable", "predicted_answerable", "correct", F.array_join("failures", ", ").alias("failures"), "confidence_score").orderBy("correct", F.desc(F.size(F.split("failures", ","))), "case_id")
 
 
 def report_markdown(traces: DataFrame) -> DataFrame:

@@ -223,7 +223,12 @@ def rrf(dense_rank: Column, lexical_rank: Column, k: int = 60) -> Column:
 
 
 def rerank(query: Column, text: Column, dense: Column, lexical: Column, fused: Column, dense_weight: float = 0.6, rerank_weight: float = 0.2) -> Column:
-    """Weighted similarity blended with term coverage, phrase and rank fusion; 0 to 1, 6 digits. query, text: tokens."""
+    """Weighted similarity blended with term coverage, phrase and rank fusion; 0 to 1, 6 digits."""
+    return rerank_tokens(tokenize(query), tokenize(text), dense, lexical, fused, dense_weight, rerank_weight)
+
+
+def rerank_tokens(query: Column, text: Column, dense: Column, lexical: Column, fused: Column, dense_weight: float = 0.6, rerank_weight: float = 0.2) -> Column:
+    """As rerank(), of arrays of tokens."""
     w, r = min(1.0, max(0.0, dense_weight)), min(1.0, max(0.0, rerank_weight))
     base = w * F.greatest(F.lit(0.0), dense) + (1.0 - w) * F.greatest(F.lit(0.0), lexical)
     signal = 0.55 * token_coverage(query, text) + 0.25 * token_phrase(query, text) + 0.20 * F.least(F.lit(1.0), fused * 30.5)
@@ -240,7 +245,7 @@ def hybrid_topk(queries: DataFrame, chunks: DataFrame, k: int, dense_weight: flo
     wanted = small(merged.select("chunk_id").distinct())
     texts = chunks.select("chunk_id", "text").join(wanted, "chunk_id", "left_semi").select("chunk_id", tokenize(F.col("text")).alias("_t"))
     full = merged.join(texts, "chunk_id").join(queries.select("query_id", tokenize(F.col("query")).alias("_q")), "query_id")
-    scored = full.withColumn("rerank_score", rerank(F.col("_q"), F.col("_t"), F.col("dense_score"), F.col("lexical_score"), F.col("fused"), dense_weight, rerank_weight))
+    scored = full.withColumn("rerank_score", rerank_tokens(F.col("_q"), F.col("_t"), F.col("dense_score"), F.col("lexical_score"), F.col("fused"), dense_weight, rerank_weight))
     return _top(scored, k, ["query_id"], "rerank_score").select("query_id", "chunk_id", "dense_score", "lexical_score", "rerank_score", "rank")
 
 
@@ -256,3 +261,8 @@ def retrieve(queries: DataFrame, chunks: DataFrame, k: int, mode: str = "dense",
     else:
         raise ValueError(f"mode must be one of {MODES}: {mode}")
     return out.select("query_id", "chunk_id", "similarity", "rank", "dense_score", "lexical_score", "rerank_score", F.lit(mode).alias("retrieval_method"))
+
+
+def candidates(queries: DataFrame, chunks: DataFrame, top_k: int = 4, multiplier: int = 3, mode: str = "dense", **kw) -> DataFrame:
+    """What a gate of top_k chooses from: multiplier times as many."""
+    return retrieve(queries, chunks, top_k * multiplier, mode, **kw)

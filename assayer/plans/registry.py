@@ -168,23 +168,27 @@ def doc_chunks(spark, sf_dir) -> DataFrame:
     return read(spark, sf_dir, "documents").select(F.col("doc_id").alias("chunk_id"), "text")
 
 
-TF_SQL = f"""dt AS (SELECT doc_id AS chunk_id, {tok('text')} AS tokens FROM documents),
+DOC_CHUNKS_SQL, ITEMS_SQL = "SELECT doc_id AS chunk_id, text FROM documents", "SELECT item_id AS query_id, text AS query FROM benchmark"
+
+
+def tf_sql(chunks: str = DOC_CHUNKS_SQL) -> str:
+    return f"""cks AS ({chunks}), dt AS (SELECT chunk_id, {tok('text')} AS tokens FROM cks),
 tf AS (SELECT chunk_id, len(tokens) AS length, term, count(*) AS tf FROM (SELECT chunk_id, tokens, unnest(tokens) AS term FROM dt) GROUP BY chunk_id, length, term)"""
 
 
-@query("term_stats", f"WITH {TF_SQL} SELECT term, count(*) AS df, sum(tf)::BIGINT AS total_tf FROM tf GROUP BY term")
+@query("term_stats", f"WITH {tf_sql()} SELECT term, count(*) AS df, sum(tf)::BIGINT AS total_tf FROM tf GROUP BY term")
 def term_stats(spark, sf_dir):
     return retrieval.term_stats(doc_chunks(spark, sf_dir))
 
 
-def lexical_sql(k: int) -> str:
-    return f"""{TF_SQL},
-qt AS (SELECT query_id, term, count(*) AS qtf FROM (SELECT item_id AS query_id, unnest({tok('text')}) AS term FROM benchmark) GROUP BY query_id, term),
+def lexical_sql(k: int, chunks: str = DOC_CHUNKS_SQL, asks: str = ITEMS_SQL) -> str:
+    return f"""{tf_sql(chunks)}, qs AS ({asks}),
+qt AS (SELECT query_id, term, count(*) AS qtf FROM (SELECT query_id, unnest({tok('query')}) AS term FROM qs) GROUP BY query_id, term),
 st AS (SELECT count(*) AS n, greatest(1.0, avg(len(tokens))) AS mean_length FROM dt),
 dfs AS (SELECT term, count(*) AS df FROM tf GROUP BY term),
 raw AS (SELECT query_id, chunk_id, sum(qtf * ln(1 + (n - df + 0.5) / (df + 0.5)) * tf * 2.5 / greatest(tf + 1.5 * (1 - 0.75 + 0.75 * length / mean_length), 1e-12)) AS raw FROM qt JOIN tf USING (term) JOIN dfs USING (term), st GROUP BY query_id, chunk_id),
 sc AS (SELECT query_id, chunk_id, {r('raw / max(raw) OVER (PARTITION BY query_id)', 6)} AS score FROM raw),
-al AS (SELECT q.item_id AS query_id, d.doc_id AS chunk_id, coalesce(sc.score, 0.0) AS score FROM benchmark q CROSS JOIN documents d LEFT JOIN sc ON sc.query_id = q.item_id AND sc.chunk_id = d.doc_id),
+al AS (SELECT qs.query_id, cks.chunk_id, coalesce(sc.score, 0.0) AS score FROM qs CROSS JOIN cks LEFT JOIN sc ON sc.query_id = qs.query_id AND sc.chunk_id = cks.chunk_id),
 lex AS (SELECT query_id, chunk_id, {r('score')} AS lexical_score, row_number() OVER (PARTITION BY query_id ORDER BY score DESC, chunk_id)::INTEGER AS rank FROM al QUALIFY rank <= {k})"""
 
 
@@ -318,25 +322,70 @@ def claim_coverage(spark, sf_dir):
     return said(spark, sf_dir).select("conv_id", "turn", citations.claim_coverage(x).alias("coverage"), citations.citation_validity(x, F.lit(4)).alias("validity"))
 
 
-def _answers(spark, sf_dir, threshold=0.05):
-    q, pages = questions(spark, sf_dir), doc_pages(spark, sf_dir)
-    # Chunk ids follow the content: of documents alike in content the first is indexed.
+INDEXED_SQL = f"""{chunks_sql("SELECT min(doc_id) AS id, any_value(text) AS text FROM documents WHERE text IS NOT NULL GROUP BY sha256(text)")},
+ix AS (SELECT left(sha256(pg.text), 12) || '_p1_c' || ch.k AS chunk_id, 'doc-' || pg.id || '.txt' AS source_doc, ch.text FROM ch JOIN pg ON pg.id = ch.id WHERE ch.k > 0)"""
+
+
+def answers_sql(asks: str, t: float) -> str:
+    """CTEs up to tr, the traces of the extractive provider over the indexed documents. asks: query_id, query, standalone."""
+    first = trim_sql("it.text")
+    flat = f"regexp_replace({trim_sql('replace(replace(left(sentence, 300), chr(91), chr(40)), chr(93), chr(41))')}, '\\s+', ' ', 'g')"
+    good = "len(claims) > 0 AND len(list_filter(claims, lambda c: c)) = len(claims)"
+    refusal = "CASE WHEN NOT passed THEN 'similarity_threshold' WHEN NOT good THEN 'citation_validation' END"
+    quote = lambda x: "'" + x.replace("'", "''") + "'"
+    return f"""{INDEXED_SQL}, asks AS ({asks}), {lexical_sql(12, "SELECT chunk_id, text FROM ix", "SELECT query_id, standalone AS query FROM asks")},
+ga AS (SELECT *, max(lexical_score) OVER (PARTITION BY query_id) AS top, row_number() OVER (PARTITION BY query_id, lexical_score >= {t} ORDER BY rank) AS kk FROM lex),
+sh AS (SELECT query_id, chunk_id, lexical_score, top, top >= {t} AS passed, row_number() OVER (PARTITION BY query_id ORDER BY rank) AS position FROM ga WHERE CASE WHEN top >= {t} THEN lexical_score >= {t} AND kk <= 4 ELSE rank <= 4 END),
+it AS (SELECT sh.*, ix.source_doc, ix.text FROM sh JOIN ix ON ix.chunk_id = sh.chunk_id),
+bl AS (SELECT query_id, position, regexp_replace({flat}, '^[-*+ ]+', '') AS cl FROM (SELECT query_id, position, CASE WHEN regexp_matches({first}, '[.!?]\\s') THEN regexp_extract({first}, '(?s)^(.*?[.!?])\\s', 1) ELSE {first} END AS sentence FROM it WHERE passed)),
+dr AS (SELECT query_id, string_agg('- ' || CASE WHEN right(cl, 1) IN ('.', '!', '?') THEN left(cl, length(cl) - 1) || ' [S' || position || ']' || right(cl, 1) ELSE cl || ' [S' || position || ']' END, chr(10) ORDER BY position) AS draft FROM bl GROUP BY query_id),
+sm AS (SELECT query_id, any_value(top) AS top, bool_or(passed) AS passed, count(*)::INTEGER AS sources, list(source_doc ORDER BY position) AS docs, string_agg(chr(10) || '- [S' || position || '] ' || source_doc || ', page 1, score ' || printf('%.3f', lexical_score), '' ORDER BY position) AS listed FROM it GROUP BY query_id),
+jd AS (SELECT asks.*, sm.* EXCLUDE (query_id), draft, {claims_sql("coalesce(draft, '')")} AS claims FROM asks JOIN sm ON sm.query_id = asks.query_id LEFT JOIN dr ON dr.query_id = asks.query_id),
+rf AS (SELECT *, {refusal} AS refusal_reason, {covered_sql('claims', "coalesce(draft, '')")} AS covered FROM (SELECT *, {good} AS good FROM jd)),
+tr AS (SELECT *, refusal_reason IS NOT NULL AS is_refusal, draft AS generated, CASE refusal_reason WHEN 'similarity_threshold' THEN {quote(answering.INSUFFICIENT)} WHEN 'citation_validation' THEN {quote(answering.UNVERIFIED)} ELSE draft END AS answer,
+  CASE WHEN NOT passed THEN 'Low (safe refusal)' WHEN top - {t}::DOUBLE >= 0.25 AND covered >= 0.95 THEN 'High' WHEN top - {t}::DOUBLE >= 0.08 AND covered >= 0.7 THEN 'Medium' ELSE 'Low' END AS confidence,
+  CASE WHEN refusal_reason IS NULL THEN CASE WHEN top <= {t}::DOUBLE THEN 0.0::DOUBLE ELSE {r(f'0.75::DOUBLE * least(1.0, greatest(0.0, (top - {t}::DOUBLE) / {1.0 - t}::DOUBLE)) + 0.25::DOUBLE * covered')} END END AS confidence_score FROM rf)"""
+
+
+def indexed_pages(spark, sf_dir) -> DataFrame:
+    """Chunk ids follow the content: of documents alike in content the first is indexed."""
+    pages = doc_pages(spark, sf_dir)
     first = pages.groupBy("document_hash").agg(F.min("doc_id").alias("doc_id"))
-    chunks = chunking.chunk_pages(pages.join(first, ["document_hash", "doc_id"], "left_semi"))
-    found = retrieval.retrieve(q, chunks, 12, "lexical")
-    return answering.answer(q, found, chunks, answering.Extractive(), threshold)
+    return pages.join(first, ["document_hash", "doc_id"], "left_semi")
+
+
+def _answers(spark, sf_dir, threshold=0.05):
+    return answering.turn(questions(spark, sf_dir), chunking.chunk_pages(indexed_pages(spark, sf_dir)), answering.Extractive(), "lexical", threshold)
 
 
-@query("answer_traces")
+ASKS_SQL = "SELECT query_id, query, query AS standalone FROM (SELECT item_id AS query_id, left(regexp_replace(text, '^\\s+|\\s+$', '', 'g'), 2000) AS query FROM benchmark)"
+
+
+@query("answer_traces", f"""WITH RECURSIVE {answers_sql(ASKS_SQL, 0.05)} SELECT query_id, query, standalone AS standalone_query, false AS rewrite_failed, 'lexical' AS retrieval_mode, is_refusal, refusal_reason, confidence, confidence_score, {r('top')} AS top_similarity, sources,
+CASE WHEN refusal_reason = 'citation_validation' THEN 'incomplete_claim_citations' END AS citation_validation_error, coalesce(passed AND NOT good, false) AS citation_repair_used, '' AS invalid_citations, 'extractive' AS provider, 'first-sentence' AS model FROM tr""")
 def answer_traces(spark, sf_dir):
-    return reports.trace_view(_answers(spark, sf_dir))
+    """The trace's columns but for times, which differ each time."""
+    t = reports.trace_view(_answers(spark, sf_dir)).drop("retrieval_ms", "generation_ms", "total_ms", "total_tokens", "estimated_cost_usd")
+    return t.withColumn("invalid_citations", F.array_join("invalid_citations", ","))
 
 
-@query("answer_reports")
+@query("answer_reports", f"""WITH RECURSIVE {answers_sql(ASKS_SQL, 0.05)} SELECT query_id, '# ' || query || chr(10) || chr(10) || answer || chr(10) || chr(10) || 'Confidence: ' || confidence || chr(10) || chr(10) || '## Sources' || chr(10) || listed AS report_md FROM tr""")
 def answer_reports(spark, sf_dir):
     return reports.report_markdown(_answers(spark, sf_dir))
 
 
+@query("answer_evidence", f"""WITH RECURSIVE {answers_sql(ASKS_SQL, 0.05)} SELECT query_id, position::INTEGER AS position, chunk_id, source_doc, 1::INTEGER AS page_number, lexical_score AS similarity, NULL::DOUBLE AS dense_score, lexical_score, lexical_score AS rerank_score, 'lexical' AS retrieval_method, text FROM it""")
+def answer_evidence(spark, sf_dir):
+    return reports.evidence_view(_answers(spark, sf_dir))
+
+
+@query("answer_diagnostics", f"""WITH RECURSIVE {answers_sql(ASKS_SQL, 0.05)}, x AS (SELECT *, coalesce(generated, answer) AS said, list_distinct(list_transform(regexp_extract_all(standalone, '[a-zA-Z0-9]{{2,}}'), lambda t: lower(t))) AS qt FROM tr),
+y AS (SELECT *, list_distinct(list_transform(regexp_extract_all(said, '[a-zA-Z0-9]{{2,}}'), lambda t: lower(t))) AS st, {claims_sql('said')} AS cl, {cited_sql('said')} AS ids FROM x), z AS (SELECT query_id, count(*) FILTER (WHERE lexical_score >= 0.05) AS above FROM it GROUP BY query_id)
+SELECT y.query_id, {covered_sql('cl', 'said')} AS citation_coverage, CASE WHEN len(ids) > 0 THEN {r("len(list_filter(ids, lambda i: i::BIGINT BETWEEN 1 AND sources)) / len(ids)", 3)} END AS citation_validity, CASE WHEN len(qt) = 0 THEN 0.0 ELSE {r('len(list_intersect(qt, st)) / len(qt)', 3)} END AS answer_relevance_proxy, {r('above / sources', 3)} AS context_precision_proxy FROM y JOIN z ON z.query_id = y.query_id""")
+def answer_diagnostics(spark, sf_dir):
+    return _answers(spark, sf_dir).select("query_id", "metrics.*").drop("latency_seconds")
+
+
 # ---- labelled metrics --------------------------------------------------------------------------------------------
 
 CLEAN_SQL = r"regexp_replace(lower(trim(regexp_replace(regexp_replace({c}, '(?i)\[(?:S|Source)\s*\d+(?:\s*(?:,|;|&|and)\s*(?:S|Source)\s*\d+)*\]', ' ', 'g'), '(?m)^\s*(?:[-*+]\s+|\d+[.)]\s+)', '', 'g'), ' ' || chr(9) || chr(10) || chr(13))), '\s+', ' ', 'g')"
@@ -517,27 +566,48 @@ def windows_of_latency(spark, sf_dir):
 # ---- whole runs over the regression set --------------------------------------------------------------------------
 
 
-def full_run(spark: SparkSession, mode: str = "hybrid", threshold: float = 0.3) -> tuple[DataFrame, DataFrame]:
-    """Case evaluations and traces of the built-in cases with the extractive provider."""
-    gold = regression_set.cases(spark)
-    chunks = embedding.embed(chunking.chunk_pages(regression_set.pages(spark), 800, 100))
-    q = embedding.embed(lab.probe_queries(gold), "query")
-    found = retrieval.retrieve(q, chunks, 12, mode)
-    traces = answering.answer(q, found, chunks, answering.Extractive(), threshold).withColumnRenamed("query_id", "case_id").withColumn("total_ms", F.lit(0.0))
+def full_run(spark: SparkSession, mode: str = "hybrid", threshold: float = 0.3, gold: DataFrame | None = None, chunks: DataFrame | None = None) -> tuple[DataFrame, DataFrame]:
+    """Case evaluations and traces of labelled cases (the built-in ones), each asked in its own words with its history; the
+    labels are seen by the evaluation alone. Without a model: the extractive provider, and the last question as rewriter."""
+    gold = regression_set.cases(spark) if gold is None else gold
+    chunks = embedding.embed(chunking.chunk_pages(regression_set.pages(spark), 800, 100)) if chunks is None else chunks
+    asked = gold.select(F.col("case_id").alias("query_id"), "query", answering.history_of(F.col("history")).alias("history"))
+    traces = answering.turn(asked, chunks, answering.Extractive(), mode, threshold, embedder=embedding.embed, rewriter=answering.LastQuestion()).withColumnRenamed("query_id", "case_id")
     return evaluation.evaluate(gold, traces, latency_slo_seconds=8.0), traces
 
 
-@query("labelled_run")
+def conversation_cases(spark, sf_dir) -> DataFrame:
+    """document_cases() as conversations: the first half of an item is said before, the second half is asked."""
+    half = F.floor(F.length("query") / 2).cast("int")
+    said = F.struct(F.lit("user").alias("role"), F.expr("substring(query, 1, cast(floor(length(query) / 2) as int))").alias("content"))
+    asked = F.expr("substring(query, cast(floor(length(query) / 2) as int) + 1)")
+    c = document_cases(spark, sf_dir).withColumns({"expected_answer": F.lit(None).cast("string"), "expected_standalone_query": F.col("query"), "history": F.when(half > 0, F.array(said)), "tags": F.array(F.lit("conversational"))})
+    return c.withColumn("query", asked)
+
+
+F1_SQL = """xs AS (SELECT case_id, t, count(*) AS n FROM (SELECT case_id, unnest(regexp_extract_all(a, '[a-z0-9]+')) AS t FROM {of}) GROUP BY ALL), ys AS (SELECT case_id, t, count(*) AS n FROM (SELECT case_id, unnest(regexp_extract_all(b, '[a-z0-9]+')) AS t FROM {of}) GROUP BY ALL),
+bt AS (SELECT xs.case_id, sum(least(xs.n, ys.n)) AS bth FROM xs JOIN ys ON xs.case_id = ys.case_id AND xs.t = ys.t GROUP BY xs.case_id)"""
+CONVERSATION_SQL = r"SELECT query_id, query, CASE WHEN half > 0 THEN left(trim(left(left(text, half), 100) || ' ' || query), 300) ELSE query END AS standalone FROM (SELECT item_id AS query_id, text, length(text) // 2 AS half, regexp_replace(substr(text, length(text) // 2 + 1), '^\s+|\s+$', '', 'g') AS query FROM benchmark)"
+RUN_SQL = f"""{answers_sql(CONVERSATION_SQL, 0.3)},
+fl AS (SELECT item_id AS case_id, text AS whole, substr(text, length(text) // 2 + 1) AS query, trim(regexp_replace(lower(text), '\\s+', ' ', 'g')) AS flat FROM benchmark),
+gd AS (SELECT fl.case_id, list_sort(list(DISTINCT 'doc-' || pg.id || '.txt')) AS goal FROM fl JOIN pg ON contains(trim(regexp_replace(lower(pg.text), '\\s+', ' ', 'g')), flat) WHERE flat <> '' GROUP BY fl.case_id),
+cs AS (SELECT fl.case_id, fl.query, fl.whole, goal IS NOT NULL AS e, coalesce(goal, []) AS goal, tr.docs, NOT is_refusal AS p, coalesce(generated, answer) AS said, standalone, confidence, confidence_score, {CLEAN_SQL.format(c='standalone')} AS a, {CLEAN_SQL.format(c='whole')} AS b FROM fl JOIN tr ON tr.query_id = fl.case_id LEFT JOIN gd ON gd.case_id = fl.case_id),
+{F1_SQL.format(of='cs')},
+m1 AS (SELECT cs.*, len(list_intersect(goal, docs)) AS found, list_min(list_filter(list_transform(goal, lambda g: list_position(docs, g)), lambda i: i > 0)) AS first, list_distinct(list_transform(list_filter({cited_sql('said')}, lambda i: i::BIGINT BETWEEN 1 AND len(docs)), lambda i: docs[i::BIGINT])) AS cited, len(regexp_extract_all(a, '[a-z0-9]+'))::DOUBLE AS na, len(regexp_extract_all(b, '[a-z0-9]+'))::DOUBLE AS nb, bth FROM cs LEFT JOIN bt ON bt.case_id = cs.case_id),
+m2 AS (SELECT *, CASE WHEN len(goal) > 0 THEN {r('found / len(goal)')} END AS recall, CASE WHEN len(goal) > 0 THEN CASE WHEN first IS NULL THEN 0.0::DOUBLE ELSE {r('1.0 / first')} END END AS rr, len(list_intersect(cited, goal)) AS hit, CASE WHEN na = 0 AND nb = 0 THEN 1.0::DOUBLE WHEN na = 0 OR nb = 0 OR bth IS NULL THEN 0.0::DOUBLE ELSE {r('2 * (bth / na) * (bth / nb) / (bth / na + bth / nb)')} END AS rewrite_token_f1 FROM m1),
+m3 AS (SELECT *, CASE WHEN len(goal) > 0 THEN CASE WHEN len(cited) = 0 THEN 0.0::DOUBLE ELSE {r('hit / len(cited)')} END END AS cp, CASE WHEN len(goal) > 0 THEN {r('hit / len(goal)')} END AS cr, CASE WHEN len(goal) > 0 THEN CASE WHEN hit = 0 THEN 0.0::DOUBLE ELSE {r('2 * (hit::DOUBLE / len(cited)) * (hit::DOUBLE / len(goal)) / (hit::DOUBLE / len(cited) + hit::DOUBLE / len(goal))')} END END AS cf,
+  CASE WHEN NOT e THEN NOT p WHEN NOT p THEN false ELSE recall > 0 END AS correct, CASE WHEN confidence_score IS NOT NULL THEN confidence_score WHEN confidence = 'High' THEN 0.85::DOUBLE WHEN confidence = 'Medium' THEN 0.65::DOUBLE ELSE 0.25::DOUBLE END AS conf FROM m2),
+ev AS (SELECT case_id, query, e AS expected_answerable, p AS predicted_answerable, correct, NULL::DOUBLE AS answer_exact_match, NULL::DOUBLE AS answer_token_f1, recall AS retrieval_recall, rr AS reciprocal_rank, cp AS citation_precision, cr AS citation_recall, cf AS citation_f1, rewrite_token_f1, conf AS confidence_score,
+array_to_string(list_filter([CASE WHEN e AND NOT p THEN 'WRONG_REFUSAL' END, CASE WHEN NOT e AND p THEN 'WRONG_ANSWERABILITY' END, CASE WHEN e AND recall = 0 THEN 'RETRIEVAL_MISS' END, CASE WHEN rewrite_token_f1 < 0.8 THEN 'QUERY_REWRITE_DRIFT' END, CASE WHEN e AND p AND cr = 0 THEN 'CITATION_MISS' END,
+CASE WHEN cr > 0 AND cr < 1 THEN 'CITATION_OFF_GOLD' END, CASE WHEN NOT correct AND conf >= 0.8 THEN 'OVERCONFIDENT_ERROR' END, CASE WHEN p AND correct AND conf <= 0.4 THEN 'UNDERCONFIDENT_CORRECT' END], lambda x: x IS NOT NULL), ',') AS failures, 'conversational' AS tags FROM m3)"""
+
+
+@query("labelled_run", f"WITH RECURSIVE {RUN_SQL} SELECT * FROM ev")
 def labelled_run(spark, sf_dir):
-    c, _ = full_run(spark)
-    return c.withColumns({"failures": F.array_join("failures", ","), "tags": F.array_join("tags", ",")})
-
-
-def indexed_pages(spark, sf_dir) -> DataFrame:
-    """Chunk ids follow the content: of documents alike in content the first is indexed."""
-    pages = doc_pages(spark, sf_dir)
-    first = pages.groupBy("document_hash").agg(F.min("doc_id").alias("doc_id"))
-    return pages.join(first, ["document_hash", "doc_id"], "left_semi")
+    """Evaluations but for the latency, which differs each time."""
+    chunks = chunking.chunk_pages(indexed_pages(spark, sf_dir))
+    c, _ = full_run(spark, "lexical", 0.3, conversation_cases(spark, sf_dir), chunks)
+    return c.withColumns({"failures": F.array_join(F.array_remove("failures", "LATENCY_REGRESSION"), ","), "tags": F.array_join("tags", ",")}).drop("latency_seconds")
 
 
 def document_cases(spark, sf_dir) -> DataFrame:

@@ -26,39 +26,39 @@ def _case(raw: str) -> tuple:
     except json.JSONDecodeError:
         raise ValueError("invalid JSON") from None
     if not isinstance(row, dict):
-        raise ValueError("each row must be a JSON object")
+        raise ValueError("not a JSON object")
 
     def needed(name: str) -> str:
         value = str(row.get(name, "")).strip()
         if not value:
-            raise ValueError(f"{name} is required")
+            raise ValueError(f"{name} is missing")
         return value
 
     def text(name: str) -> str | None:
         value = row.get(name)
         if value is not None and not isinstance(value, str):
-            raise ValueError(f"{name} must be a string or null")
+            raise ValueError(f"{name} is neither text nor null")
         return value if value is None else value.strip()
 
     def texts(name: str) -> list[str]:
         value = row.get(name)
         if value is not None and not (isinstance(value, list) and all(isinstance(x, str) and x.strip() for x in value)):
-            raise ValueError(f"{name} must be a list of non-empty strings")
+            raise ValueError(f"{name} is no list of texts")
         return [x.strip() for x in value or []]
 
     def turns() -> list[dict]:
         value = row.get("history")
         if value is not None and not (isinstance(value, list) and all(isinstance(x, dict) and x.get("role") in ROLES and isinstance(x.get("content"), str) for x in value)):
-            raise ValueError("history needs objects with a role (user, assistant, system) and string content")
+            raise ValueError("a turn of history needs a role and content")
         return [{"role": x["role"], "content": x["content"]} for x in value or []]
 
     head = needed("case_id"), needed("query")
     answerable = row.get("expected_answerable")
     if not isinstance(answerable, bool):
-        raise ValueError("expected_answerable must be boolean")
+        raise ValueError("expected_answerable is neither true nor false")
     case = (*head, answerable, text("expected_answer"), texts("expected_chunk_ids"), texts("expected_source_docs"), text("expected_standalone_query"), turns(), texts("tags"), str(row.get("notes", "")).strip())
     if answerable and not any(case[3:6]):
-        raise ValueError("answerable cases need expected_answer or expected evidence")
+        raise ValueError("an answerable case needs an answer or evidence")
     return case
 
 
@@ -93,7 +93,7 @@ def load_cases(spark: SparkSession, text: str) -> DataFrame:
     if bad:
         raise ValueError("; ".join(f"line {r.line_no}: {r.error}" for r in bad))
     if cases.isEmpty():
-        raise ValueError("no labelled cases found")
+        raise ValueError("there is no labelled case")
     return cases
 
 

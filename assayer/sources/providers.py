@@ -11,7 +11,7 @@ from dataclasses import dataclass, replace
 from ..operators.answering import Extractive
 
 #: What is told of a failed request; never the server's own words.
-STATUS = {401: "the key was refused", 403: "access was refused", 404: "the model is not known", 413: "the request is too large", 429: "the rate limit is reached"}
+STATUS = {400: "the request was not understood", 401: "the key was refused", 403: "access was refused", 404: "the model is not known", 413: "the request is too large", 429: "the rate limit is reached"}
 
 
 class ProviderError(RuntimeError):
@@ -42,7 +42,7 @@ class HttpChat:
         headers = {"Content-Type": "application/json"} | ({"Authorization": f"Bearer {os.environ.get(self.key_env, '')}"} if self.key_env else {})
         return urllib.request.Request(self.url, json.dumps(body).encode(), headers)
 
-    def one(self, system: str, user: str) -> tuple[str, int, int]:
+    def counted(self, system: str, user: str) -> tuple[str, int, int]:
         """The text, and the prompt and completion tokens that the service counted."""
         try:
             with urllib.request.urlopen(self.request(system, user), timeout=self.timeout) as r:
@@ -60,7 +60,7 @@ class HttpChat:
         out: list[str | None] = []
         for system, user in prompts:
             try:
-                out.append(self.one(system, user)[0])
+                out.append(self.counted(system, user)[0])
             except (ProviderError, KeyError, IndexError, TypeError):
                 out.append(None)
         return out
@@ -85,6 +85,6 @@ def judge(output: str | None) -> tuple[float | None, list[str], str]:
     try:
         found = json.loads(text[text.index("{") : text.rindex("}") + 1])
         score = min(1.0, max(0.0, float(found["score"])))
-        return score, [str(x)[:300] for x in found.get("unsupported_claims", [])[:10]], str(found.get("reasoning", "No reasoning returned"))[:1000]
+        return score, [str(x)[:300] for x in found.get("unsupported_claims", [])[:10]], str(found.get("reasoning", "without a reason"))[:1000]
     except (ValueError, KeyError, TypeError) as e:
         raise ProviderError("the judging model returned no valid JSON") from e

@@ -77,11 +77,11 @@ def test_cases(spark):
 
 def test_regression_set(spark, tmp_path):
     c = regression_set.cases(spark)
-    assert c.count() == c.select("case_id").distinct().count() == 150
-    assert {t for r in c.collect() for t in r.tags} == {"plain", "reworded", "conversational", "safe-refusal", "red-team"}
+    assert c.count() == c.select("case_id").distinct().count() == 160
+    assert {t for r in c.collect() for t in r.tags} == {"plain", "reworded", "conversational", "safe-refusal", "red-team", "multi-document"}
     labels.write_jsonl(c.coalesce(1), f"{tmp_path}/gold")
     text = spark.read.text(f"{tmp_path}/gold").collect()
-    assert labels.load_cases(spark, "\n".join(r.value for r in text)).count() == 150
+    assert labels.load_cases(spark, "\n".join(r.value for r in text)).count() == 160
 
 
 def test_providers():
