@@ -1,12 +1,8 @@
-"""Helpers shared by the operators: shared files, Arrow text columns, vectorised words and hashes."""
+"""Helpers shared by the operators: Arrow text columns, vectorised words and hashes."""
 
 from __future__ import annotations
 
-import re
-import tempfile
-import uuid
 from collections.abc import Iterator
-from contextlib import contextmanager
 
 import numpy as np
 import pyarrow as pa
@@ -14,6 +10,10 @@ import pyarrow.compute as pc
 from pyspark.sql import DataFrame, SparkSession
 from pyspark.sql import functions as F
 
+from ..operators.storage import scratch, shared_dir, stored
+
+__all__ = ["scratch", "shared_dir", "stored"]
+
 #: Texts are handled in slices of about this many bytes, so that a task's memory doesn't follow the batch size.
 SLICE_BYTES = 4 << 20
 HASHED_BYTES = 1 << 19
@@ -30,48 +30,6 @@ def documents(spark: SparkSession, sf_dir: str) -> DataFrame:
     return spark.read.parquet(f"{sf_dir}/documents.parquet")
 
 
-def shared_dir(spark: SparkSession) -> str:
-    """The folder that the driver and all executors share. Where the session names none, a local one; but only where
-    driver and executors are one process."""
-    named = spark.conf.get("spark.checkpoint.dir", None)
-    if named:
-        return named
-    sc = spark.sparkContext
-    if sc.getCheckpointDir() is None:
-        if not re.fullmatch(r"local(\[.*\])?", sc.master):
-            raise ValueError("spark.checkpoint.dir must name a folder that all executors share")
-        sc.setCheckpointDir(tempfile.mkdtemp(prefix="assayer-"))
-    return sc.getCheckpointDir()
-
-
-_OPEN: list[list[str]] = []
-
-
-@contextmanager
-def scratch(spark: SparkSession) -> Iterator[None]:
-    """What is stored within is deleted at the end, but for what is kept. Results must not read it lazily afterwards."""
-    _OPEN.append([])
-    try:
-        yield
-    finally:
-        jvm, conf = spark.sparkContext._jvm, spark.sparkContext._jsc.hadoopConfiguration()
-        for path in _OPEN.pop():
-            p = jvm.org.apache.hadoop.fs.Path(path)
-            p.getFileSystem(conf).delete(p, True)
-
-
-def stored(df: DataFrame, what: str, keep: bool = False) -> DataFrame:
-    """Writes df as Parquet into the shared folder and reads it back: lineage ends there, and each reader scans it. It stays
-    as long as the scratch() around it; with keep, as the one around that. Without one, it is the caller's to delete."""
-    spark = df.sparkSession
-    path = f"{shared_dir(spark).rstrip('/')}/{what}-{uuid.uuid4().hex}"
-    around = _OPEN[: len(_OPEN) - keep]
-    if around:
-        around[-1].append(path)
-    df.write.parquet(path)
-    return spark.read.schema(df.schema).parquet(path)
-
-
 def bounded(docs: DataFrame) -> DataFrame:
     """docs, after its session has been told to cut Arrow batches at BATCH_BYTES (where the bound is larger or written with a unit): batches of
     10,000 long texts would not fit a Python worker."""
