@@ -112,9 +112,14 @@ def _of_length(rows: DataFrame, items: DataFrame, k: int, threshold: float) -> D
 
     named = starts.withColumnsRenamed({"d": "sd", "t": "st"})
     there = rows.join(named, rows.d.eqNullSafe(named.sd) & (rows.t == named.st)).select("d", "t", shingles(F.col("x"), k).alias("sh"), "wanted").dropDuplicates(["d", "t"])
-    each = there.select("d", "t", "sh", F.inline("wanted")).select("d", "t", "sh", "m", F.explode("at").alias("pos"))
-    begin = F.greatest(F.lit(0), F.least("pos", F.size("sh") - F.col("m"))) + 1
-    windows = each.select("d", "t", "m", F.slice("sh", begin, F.col("m")).alias("win")).distinct().withColumn("fp", simhash(F.col("win")))
+
+    def cut(w: Column) -> Column:
+        """The windows of one item's hits, equal ones once; made before they become rows, so that none carries the text."""
+        win = lambda p: F.slice("sh", F.greatest(F.lit(0), F.least(p, F.size("sh") - w["m"])) + 1, w["m"])
+        first = lambda h: F.filter(w["at"], lambda p, i: F.array_position(h, F.get(h, i)) == i + 1)
+        return F.transform(let(F.transform(w["at"], lambda p: F.xxhash64(win(p))), first), lambda p: F.struct(w["m"].alias("m"), win(p).alias("win")))
+
+    windows = there.select("d", "t", F.inline(F.flatten(F.transform("wanted", cut)))).distinct().withColumn("fp", simhash(F.col("win")))
     keyed = items.select("item", "m", "item_sh", simhash(F.col("item_sh")).alias("item_fp"))
     index2 = small(keyed.select("item", "m", "item_fp", F.inline(_blocks("item_fp"))))
     met = windows.select("*", F.inline(_blocks("fp"))).join(index2, ["m", "block", "value"])

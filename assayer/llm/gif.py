@@ -16,6 +16,7 @@ import hashlib
 import struct
 import zlib
 from collections.abc import Iterator
+from itertools import islice
 
 import numpy as np
 import pyarrow as pa
@@ -28,6 +29,8 @@ SIDE = 24
 FRAME_BYTES = SIDE * SIDE
 DELAY_CS = 4
 BINS = 8
+#: Frames whose code streams are decoded together.
+FRAMES_HELD = 1024
 _GREY = bytes(v for i in range(256) for v in (i, i, i))
 _TABLE = 4096
 
@@ -217,7 +220,14 @@ def _blocks(raw: bytes, at: int) -> tuple[bytes, int]:
 
 
 def decode(raw: bytes) -> tuple[int, int, list[tuple[int, np.ndarray]]]:
-    """Width, height, and for each frame its delay in ms and the canvas shown (height x width x RGBA)."""
+    """As shown_in(), all frames at once."""
+    width, height, shown = shown_in(raw)
+    return width, height, list(shown)
+
+
+def shown_in(raw: bytes) -> tuple[int, int, Iterator[tuple[int, np.ndarray]]]:
+    """Width, height, and for each frame its delay in ms and the canvas shown (height x width x RGBA). Frames are decoded some
+    at a time as they are taken, so that memory doesn't follow their number."""
     if raw[:6] not in (b"GIF87a", b"GIF89a"):
         raise ValueError("not a GIF")
     width, height, flags, _, _ = struct.unpack("<HHBBB", raw[6:13])
@@ -251,20 +261,25 @@ def decode(raw: bytes) -> tuple[int, int, list[tuple[int, np.ndarray]]]:
             delay, disposal, clear_index = 0, 0, None
         else:
             raise ValueError("a block of no known kind")
-    samples = [b""] * len(drawn)
-    for low_bits in {d[6] for d in drawn}:
-        here = [i for i, d in enumerate(drawn) if d[6] == low_bits]
-        for i, got in zip(here, lzw_decode_all([drawn[i][7] for i in here], low_bits, [drawn[i][2] * drawn[i][3] for i in here]), strict=True):
-            samples[i] = got
-    return width, height, _shown(width, height, drawn, samples)
+    return width, height, _shown(width, height, drawn)
+
+
+def _samples(drawn: list[tuple]) -> Iterator[bytes]:
+    for a in range(0, len(drawn), FRAMES_HELD):
+        part = drawn[a : a + FRAMES_HELD]
+        samples = [b""] * len(part)
+        for low_bits in {d[6] for d in part}:
+            here = [i for i, d in enumerate(part) if d[6] == low_bits]
+            for i, got in zip(here, lzw_decode_all([part[i][7] for i in here], low_bits, [part[i][2] * part[i][3] for i in here]), strict=True):
+                samples[i] = got
+        yield from samples
 
 
-def _shown(width: int, height: int, drawn: list[tuple], samples: list[bytes]) -> list[tuple[int, np.ndarray]]:
+def _shown(width: int, height: int, drawn: list[tuple]) -> Iterator[tuple[int, np.ndarray]]:
     """The canvas after each image, under disposal and transparency."""
     canvas = np.zeros((height, width, 4), np.uint8)
-    frames: list[tuple[int, np.ndarray]] = []
     last, full = None, np.zeros((256, 4), np.uint8)
-    for (x, y, w, h, woven, palette, _, _, delay, disposal, clear_index), got in zip(drawn, samples, strict=True):
+    for (x, y, w, h, woven, palette, _, _, delay, disposal, clear_index), got in zip(drawn, _samples(drawn), strict=True):
         index = np.frombuffer(got.ljust(w * h, b"\0"), np.uint8).reshape(h, w)
         if woven:
             rows = np.concatenate([np.arange(a, h, s) for a, s in ((0, 8), (4, 8), (2, 4), (1, 2))])
@@ -282,12 +297,11 @@ def _shown(width: int, height: int, drawn: list[tuple], samples: list[bytes]) ->
         else:
             solid = index != clear_index
             here[solid] = full[index[solid]]
-        frames.append((delay, canvas.copy()))
+        yield delay, canvas.copy()
         if disposal == 2:
             here[:] = 0
         elif disposal == 3:
             canvas = before
-    return frames
 
 
 def histogram(canvas: np.ndarray, bins: int = BINS) -> np.ndarray:
@@ -329,7 +343,7 @@ def frames(media: DataFrame, id_col: str = "doc_id", media_col: str = "media") -
                     continue
                 rows, start = [], 0
                 try:
-                    w, h, shown = decode(raw)
+                    w, h, shown = shown_in(raw)
                     for i, (delay, canvas) in enumerate(shown):
                         rows.append((i, start, delay, w, h, canvas[..., :3].tobytes(), histogram(canvas).tolist(), None))
                         start += delay
@@ -349,12 +363,15 @@ def report(docs: DataFrame, id_col: str = "doc_id", text_col: str = "text") -> D
 
     def one(text: str | None) -> tuple:
         media = from_text(text)
-        _, _, shown = decode(media)
-        back = b"".join(c[..., 0].tobytes() for _, c in shown)
-        grey = np.bincount(np.frombuffer(back, np.uint8) // (256 // BINS), minlength=BINS)
-        feature = f"frames={len(shown)};ms={sum(d for d, _ in shown)};grey={','.join(map(str, grey))}"
-        sha = lambda b: hashlib.sha256(b).hexdigest()
-        return len((text or "").encode()), len(back), sha(back), zlib.crc32(back[-32:]), len(media), sha(media), feature
+        _, _, shown = shown_in(media)
+        n, ms, size, whole, tail, grey = 0, 0, 0, hashlib.sha256(), b"", np.zeros(BINS, np.int64)
+        while some := list(islice(shown, FRAMES_HELD)):
+            back = b"".join(c[..., 0].tobytes() for _, c in some)
+            n, ms, size, tail = n + len(some), ms + sum(d for d, _ in some), size + len(back), (tail + back)[-32:]
+            whole.update(back)
+            grey += np.bincount(np.frombuffer(back, np.uint8) // (256 // BINS), minlength=BINS)
+        feature = f"frames={n};ms={ms};grey={','.join(map(str, grey))}"
+        return len((text or "").encode()), size, whole.hexdigest(), zlib.crc32(tail), len(media), hashlib.sha256(media).hexdigest(), feature
 
     def run(batches: Iterator[pa.RecordBatch]) -> Iterator[pa.RecordBatch]:
         types = [pa.int64(), pa.int64(), pa.string(), pa.int64(), pa.int64(), pa.string(), pa.string()]

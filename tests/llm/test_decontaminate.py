@@ -79,3 +79,11 @@ def test_numbered(spark):
     more = [([5] * 4 + [3] * 100,)]
     other = spark.createDataFrame(more, "h array<bigint>").select(numbered("h").alias("n")).first().n
     assert len(set(got[0]) & set(other)) == 3 + 70
+
+
+def test_item_everywhere_in_a_long_text(spark):
+    """An item's shingle at each place of a long text: windows are found in one pass over the hits."""
+    items = [(1, "x " * 30), (2, "a b c d e f g h i j")]
+    docs = [(1, "x " * 40_000), (2, "x y " * 30_000), (3, "a b c d e f g h i j " * 3000), (4, "w " * 50_000)]
+    got = {r.doc_id: r.items for r in report(spark.createDataFrame(docs, "doc_id long, text string"), spark.createDataFrame(items, "item_id long, text string")).collect()}
+    assert got == {1: "1", 2: "", 3: "2", 4: ""}

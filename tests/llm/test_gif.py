@@ -121,3 +121,13 @@ def test_frames_and_report(spark):
     bad = spark.createDataFrame([(1, bytearray(b"no")), (2, None), (3, bytearray(gif.from_text("a")[:-40]))], "doc_id long, media binary")
     assert [x.error is not None for x in gif.frames(bad).collect()] == [True, True]
     assert gif.report(df.limit(0)).count() == 0
+
+
+def test_very_long_text(spark, monkeypatch):
+    t = "".join(chr(97 + i * i % 23) for i in range(1_500_000))
+    p = t.encode() + b"\xff" * (-len(t) % 576)
+    df = spark.createDataFrame([(1, t)], "doc_id long, text string")
+    want = gif.report(df).first()
+    assert (want.n_bytes, want.payload_bytes, want.payload_sha256, want.tail_crc32) == (len(t), len(p), hashlib.sha256(p).hexdigest(), zlib.crc32(p[-32:]))
+    assert want.feature.startswith(f"frames={len(p) // 576};ms={40 * (len(p) // 576)};grey=0,0,0,{len(t)},0,0,0,{len(p) - len(t)}")
+    assert len(list(gif.shown_in(gif.from_text(t))[2])) == len(p) // 576 > 2 * gif.FRAMES_HELD

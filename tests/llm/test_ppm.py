@@ -77,3 +77,13 @@ def test_without_training(spark):
     r = ppm.score(df, F.lit(False)).collect()[0]
     assert (r.n_tokens, r.n_known, r.train_tokens) == (3, 0, 0) and abs(r.score - 5 * math.log10(1 / 256)) < 1e-9
     assert ppm.score(df.limit(0), F.lit(True)).count() == 0
+
+
+def test_very_long_text(spark):
+    """One text of some slices among short ones."""
+    rnd = random.Random(4)
+    long = " ".join("".join(rnd.choice("abcde") for _ in range(rnd.randrange(1, 7))) for _ in range(12_000))
+    rows = [(1, long), (2, "abc abd"), (3, "abc")]
+    got = {r.doc_id: r for r in ppm.score(spark.createDataFrame(rows, "doc_id long, text string"), F.col("doc_id") != 3).collect()}
+    for d, t in rows:
+        assert got[d].score == pytest.approx(brute([long, rows[1][1]], t)) and got[d].base_score == pytest.approx(base([long, rows[1][1]], t)[3])
