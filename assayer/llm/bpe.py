@@ -35,7 +35,7 @@ LEAF = 4096
 #: Pieces from the end that a text going on may change: a match looks at two characters behind it and at three at least.
 UNSURE = 4
 #: Encoded pieces that a worker remembers.
-REMEMBERED = 400_000
+REMEMBERED = 200_000
 _NEVER = 1 << 30
 
 
@@ -55,10 +55,14 @@ def _byte_chars() -> dict[str, int]:
 def _strangers() -> dict[int, str]:
     """Characters that the pattern's engine puts in another class than the vocabulary's library (newer scripts), each with
     a character of the right class."""
-    every = "".join(map(chr, [*range(0xD800), *range(0xE000, 0x110000)]))
-    of = {c: k for k in "LN" for c in regex.findall(rf"\p{{{k}}}", every)}
-    new = [c for c in every if unicodedata.category(c)[0] not in "ZC" or c in of]
-    new = [c for c in new if (k := unicodedata.category(c)[0]) != of.get(c) and (k in "LN" or c in of)]
+    new: list[str] = []
+    of: dict[str, str] = {}
+    for a in range(0, 0x110000, 0x1000):
+        every = "".join(chr(c) for c in range(a, a + 0x1000) if not 0xD800 <= c < 0xE000)
+        here = {c: k for k in "LN" for c in regex.findall(rf"\p{{{k}}}", every)}
+        some = [c for c in every if (k := unicodedata.category(c)[0]) != here.get(c) and (k in "LN" or c in here)]
+        of |= {c: here[c] for c in some if c in here}
+        new += some
     library, out = pre_tokenizers.ByteLevel(add_prefix_space=False), {}
     for c in new:
         # Of a letter, a digit and a mark, the character stands with its own kind.
@@ -252,6 +256,7 @@ def encode(docs: DataFrame, id_col: str = "doc_id", text_col: str = "text", voca
         for part in slices(batches):
             ids = [bpe.encode(t or "") for t in part.column("text").to_pylist()]
             yield pa.RecordBatch.from_arrays([part.column("doc_id"), pa.array(ids, pa.list_(pa.int32()))], ["doc_id", "ids"])
+        bpe.known.clear()
 
     return id_text(docs, id_col, text_col).mapInArrow(run, "doc_id long, ids array<int>")
 
@@ -285,5 +290,6 @@ def round_trip(docs: DataFrame, id_col: str = "doc_id", text_col: str = "text",
                 of_ids.append(sha(b"".join(map(bpe.decimal.__getitem__, ids))[:-1]))
                 of_text.append(sha(bpe.decode_bytes(ids)))
             yield pa.RecordBatch.from_arrays([part.column("doc_id"), pa.array(n, pa.int64()), pa.array(of_ids, pa.string()), pa.array(of_text, pa.string())], ["doc_id", "n_tokens", "ids_sha256", "decoded_sha256"])
+        bpe.known.clear()
 
     return id_text(docs, id_col, text_col).mapInArrow(run, "doc_id long, n_tokens long, ids_sha256 string, decoded_sha256 string")

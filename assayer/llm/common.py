@@ -2,6 +2,7 @@
 
 from __future__ import annotations
 
+import ctypes
 from collections.abc import Iterator
 
 import numpy as np
@@ -50,6 +51,16 @@ def groups_for(docs: DataFrame, per_split: int = 16) -> int:
     return max(64, per_split * docs.rdd.getNumPartitions())
 
 
+_TRIM = getattr(ctypes.CDLL(None), "malloc_trim", None)
+
+
+def release() -> None:
+    """Gives freed memory back. Python workers live on through many tasks, and would else hold what the largest slice took."""
+    pa.default_memory_pool().release_unused()
+    if _TRIM is not None:
+        _TRIM(0)
+
+
 def slices(batches: Iterator[pa.RecordBatch], max_bytes: int = SLICE_BYTES) -> Iterator[pa.RecordBatch]:
     """Cuts batches (with a text column) where about max_bytes of text are reached; a single long text stays whole."""
     for batch in batches:
@@ -63,6 +74,7 @@ def slices(batches: Iterator[pa.RecordBatch], max_bytes: int = SLICE_BYTES) -> I
             upto = max(upto, at + 1)
             yield batch.slice(at, upto - at)
             at = upto
+    release()
 
 
 class Words:

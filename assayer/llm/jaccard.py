@@ -31,7 +31,7 @@ from pyspark.sql import DataFrame
 from pyspark.sql import functions as F
 
 from .blobs import cuts, group_of, pack, pack_sorted, slice_name, squeezed, unpack, unpack_sorted, unsqueezed
-from .common import Words, bounded, groups_for, mix, powers, scratch, slices, stored, windows
+from .common import Words, bounded, groups_for, mix, powers, release, scratch, slices, stored, windows
 from .components import components, named
 from .native import small
 
@@ -43,6 +43,8 @@ PART_CLASSES = 1 << 10
 #: Rounds in which lists meet hubs before all pairs of components are looked at.
 HUB_ROUNDS = 6
 SLICE = 4 << 20
+#: Rows of a group after which a worker gives memory back.
+TRIMMED_ROWS = 256
 _U = np.uint64
 _SENT = "side byte, grp int, slice long, a binary, b binary, c binary"
 _NAMES = ["side", "grp", "slice", "a", "b", "c"]
@@ -187,6 +189,8 @@ def _survivors(percent: int):
             first, told = of(_CLASSES), of(_TOLD)
             if first and told:
                 out += _of_slice(first[0], of(_OWN), told, percent)
+        if len(table) > TRIMMED_ROWS:
+            release()
         cols = zip(*out, strict=True) if out else [()] * 5
         return pa.table([pa.array(x, t) for x, t in zip(cols, [pa.int64(), pa.int32(), pa.binary(), pa.binary(), pa.list_(pa.int64())], strict=True)], ["c", "n", "keys", "numbers", "sketch"])
 
