@@ -2,13 +2,15 @@
 
 from __future__ import annotations
 
+import uuid
+
 from pyspark.sql import DataFrame, SparkSession
 from pyspark.sql import functions as F
 
 from ..functions import citations, text
 from ..functions.numeric import py_round
-from ..operators import answering, chunking, embedding, evaluation, lab, reports, retrieval
-from ..sources import regression_set, uploads
+from ..operators import answering, chunking, embedding, evaluation, lab, reports, retrieval, storage
+from ..sources import labels, regression_set, uploads
 from ..streaming.landing import latency_windows
 
 QUERIES: dict = {}
@@ -154,7 +156,88 @@ def upsert_latest(spark, sf_dir):
 
 @query("document_names", "SELECT DISTINCT source AS source_doc FROM documents")
 def document_names(spark, sf_dir):
-    return read(spark, sf_dir, "documents").select(F.col("source").alias("source_doc")).distinct().orderBy(F.lower("source_doc"), "source_doc")
+    return chunking.document_names(read(spark, sf_dir, "documents").withColumnRenamed("source", "source_doc"))
+
+
+def files(spark, sf_dir) -> DataFrame:
+    """Documents as uploads: UTF-8 text, a CSV with a formula, text in another encoding, and DOCX, by turns."""
+    @F.udf("binary")
+    def docx(t):
+        return uploads.docx_bytes([x for x in (t or "").split("\n")])
+
+    d, turn, number = read(spark, sf_dir, "documents"), F.col("doc_id") % 4, F.col("doc_id").cast("string")
+    table = F.concat(F.lit("id,lang,note\n"), number, F.lit(","), F.coalesce("lang", F.lit("none")), F.lit(",=1+"), number).cast("binary")
+    latin = F.concat(F.unhex(F.lit("636166E920")), number.cast("binary"))
+    content = F.when(turn == 0, F.col("text").cast("binary")).when(turn == 1, table).when(turn == 2, latin).otherwise(docx("text"))
+    name = F.concat(F.lit("doc-"), number, F.lit("."), F.when(turn == 0, "txt").when(turn == 1, "csv").when(turn == 2, "md").otherwise("docx"))
+    return d.select("doc_id", name.alias("source_doc"), content.alias("content"), F.sha2(content, 256).alias("document_hash"))
+
+
+PARSED_SQL = f"""SELECT doc_id, 'doc-' || doc_id || '.' || ['txt', 'csv', 'md', 'docx'][doc_id % 4 + 1] AS source_doc, CASE doc_id % 4 WHEN 0 THEN {NORMAL_SQL} WHEN 1 THEN 'Row 1: id | lang | note' || chr(10) || 'Row 2: ' || doc_id || ' | ' || coalesce(lang, 'none') || ' | ''=1+' || doc_id WHEN 2 THEN 'café ' || doc_id ELSE (SELECT {NORMAL_SQL} FROM (SELECT array_to_string(list_filter(string_split(d.text, chr(10)), lambda p: NOT regexp_matches(p, '^\\s*$')), chr(10) || chr(10)) AS text)) END AS page FROM documents d"""
+
+
+@query("parse_files", f"SELECT source_doc, CASE WHEN page <> '' THEN 1 END::INTEGER AS page_number, CASE WHEN page <> '' THEN sha256(page) END AS text_sha256, CASE WHEN page = '' THEN 'no_text' END AS error_code FROM ({PARSED_SQL})")
+def parse_files(spark, sf_dir):
+    done = uploads.parse_documents(files(spark, sf_dir).select("document_hash", "source_doc", "content"))
+    return done.select("source_doc", "page_number", F.sha2(F.col("text").cast("binary"), 256).alias("text_sha256"), "error_code")
+
+
+@query("upload_guard", "SELECT conv_id, turn, count(*) OVER (PARTITION BY conv_id) <= 5 AS taken FROM conversations")
+def upload_guard(spark, sf_dir):
+    return chunking.guarded(read(spark, sf_dir, "conversations").select("conv_id", "turn"), 5, "conv_id")
+
+
+@query("total_chunks", f"WITH RECURSIVE {chunks_sql('SELECT doc_id AS id, text FROM documents WHERE text IS NOT NULL')} SELECT count(*) AS total_chunks FROM ch WHERE k > 0")
+def total_chunks(spark, sf_dir):
+    return chunking.total_chunks(chunking.chunk_pages(doc_pages(spark, sf_dir)).groupBy("document_hash").agg(F.count("*").alias("chunks")))
+
+
+def doc_rows(spark, sf_dir) -> DataFrame:
+    """Documents as rows of an index: some with a blank text, some without a name, in collections by language."""
+    d = read(spark, sf_dir, "documents")
+    text_ = F.when(F.col("doc_id") % 5 == 0, F.lit(" \n")).otherwise(F.col("text"))
+    return d.select(F.col("doc_id").alias("chunk_id"), F.sha2(F.col("text").cast("binary"), 256).alias("document_hash"), F.when(F.col("doc_id") % 7 != 0, F.col("source")).alias("source_doc"), F.lit(1).alias("page_number"), text_.alias("text"), chunking.collection_name(F.concat(F.col("lang"), F.lit("-"), F.col("source"))).alias("collection"))
+
+
+ROWS_SQL = "rows_ AS (SELECT doc_id AS chunk_id, sha256(text) AS document_hash, CASE WHEN doc_id % 7 <> 0 THEN source END AS source_doc, CASE WHEN doc_id % 5 = 0 THEN ' ' ELSE text END AS text, 'evidence_' || coalesce(nullif(left(regexp_replace(lang || '-' || source, '[^a-zA-Z0-9]', '', 'g'), 40), ''), 'session') AS collection FROM documents)"
+
+
+@query("all_chunks", f"WITH {ROWS_SQL} SELECT chunk_id, source_doc, collection FROM rows_ WHERE NOT regexp_matches(text, '^\\s*$') AND source_doc IS NOT NULL")
+def all_chunks(spark, sf_dir):
+    return chunking.all_chunks(doc_rows(spark, sf_dir)).select("chunk_id", "source_doc", "collection")
+
+
+@query("clear_collection", f"WITH {ROWS_SQL} SELECT collection, count(*) AS chunks FROM rows_ WHERE collection IS DISTINCT FROM 'evidence_enweb' GROUP BY collection")
+def clear_collection(spark, sf_dir):
+    return chunking.without_collection(doc_rows(spark, sf_dir), "evidence_enweb").groupBy("collection").agg(F.count("*").alias("chunks"))
+
+
+@query("contains_document", "SELECT doc_id, sha256(text) IN (SELECT sha256(text) FROM documents WHERE doc_id % 3 = 0) AS known FROM documents")
+def contains_document(spark, sf_dir):
+    d = read(spark, sf_dir, "documents").select("doc_id", F.sha2(F.col("text").cast("binary"), 256).alias("document_hash"))
+    found = chunking.indexed(d, d.filter("doc_id % 3 = 0")).select("doc_id", F.lit(True).alias("known"))
+    return d.select("doc_id").join(found, "doc_id", "left").fillna(False, ["known"])
+
+
+@query("label_lines", """SELECT item_id * 2 + 1 AS line_no, CASE item_id % 6 WHEN 0 THEN NULL WHEN 1 THEN 'invalid JSON' WHEN 2 THEN 'query is missing' WHEN 3 THEN 'expected_answerable is neither true nor false' WHEN 4 THEN 'an answerable case needs an answer or evidence' ELSE 'duplicate case_id c0' END AS error,
+CASE WHEN item_id % 6 = 0 THEN 'c' || item_id END AS case_id, CASE WHEN item_id % 6 = 0 THEN trim(text, ' ' || chr(10)) END AS query, CASE WHEN item_id % 6 = 0 THEN 'user' END AS role FROM benchmark""")
+def label_lines(spark, sf_dir):
+    """Labelled cases from JSON lines, most of them wrong in some way, between empty lines and remarks."""
+    b, turn = read(spark, sf_dir, "benchmark"), F.col("item_id") % 6
+    word = F.concat(F.lit("c"), F.col("item_id").cast("string"))
+    turns = F.array(F.struct(F.lit("user").alias("role"), F.lit("hi").alias("content")))
+    full = lambda case, query, answerable, answer: F.to_json(F.struct(case.alias("case_id"), query.alias("query"), answerable.alias("expected_answerable"), answer.alias("expected_answer"), turns.alias("history")))
+    yes, some = F.lit(True), F.lit("x")
+    line = (
+        F.when(turn == 1, F.lit("{")).when(turn == 2, full(word, F.lit(" "), yes, some)).when(turn == 3, full(word, F.col("text"), F.lit("yes"), some))
+        .when(turn == 4, full(word, F.col("text"), yes, F.lit(None).cast("string"))).when(turn == 5, full(F.lit("c0"), F.col("text"), yes, some)).otherwise(full(word, F.col("text"), yes, some))
+    )
+    lines = b.select(F.explode(F.array(F.struct((F.col("item_id") * 2 + 1).alias("line_no"), line.alias("value")), F.struct((F.col("item_id") * 2 + 2).alias("line_no"), F.lit("# note").alias("value")))).alias("l")).select("l.*")
+    cases_, refused = labels.parse_cases(lines)
+    number = (F.substring("case_id", 2, 20).cast("long") * 2 + 1).alias("line_no")
+    good = cases_.select(number, F.lit(None).cast("string").alias("error"), "case_id", "query", F.get("history", F.lit(0))["role"].alias("role"))
+    null = F.lit(None).cast("string")
+    return good.unionByName(refused.select("line_no", "error", null.alias("case_id"), null.alias("query"), null.alias("role")))
 
 
 # ---- retrieval ---------------------------------------------------------------------------------------------------
@@ -269,11 +352,11 @@ def history_window(spark, sf_dir):
     return answering.history_text(read(spark, sf_dir, "conversations")).select("conv_id", "turn", "history")
 
 
-@query("rewrite_queries", "WITH h AS (SELECT conv_id, turn, role, text, coalesce(string_agg(role || ': ' || left(text, 800), chr(10)) OVER (PARTITION BY conv_id ORDER BY turn ROWS BETWEEN 3 PRECEDING AND 1 PRECEDING), '') AS history FROM conversations) SELECT conv_id, turn, history <> '' AS asked, false AS rewrite_failed FROM h WHERE role = 'user'")
+@query("rewrite_queries", "WITH h AS (SELECT conv_id, turn, role, text, coalesce(string_agg(role || ': ' || left(text, 800), chr(10)) OVER (PARTITION BY conv_id ORDER BY turn ROWS BETWEEN 3 PRECEDING AND 1 PRECEDING), '') AS history FROM conversations) SELECT conv_id, turn, history <> '' AS asked, false AS rewrite_failed, CASE WHEN history = '' THEN text ELSE coalesce(nullif(left(replace(trim(left(list_last(string_split('CONVERSATION:' || chr(10) || history, ': ')), 100) || ' ' || text, ' ' || chr(10)), chr(10), ' '), 300), ''), text) END AS standalone_query FROM h WHERE role = 'user'")
 def rewrite_queries(spark, sf_dir):
     turns = answering.history_text(read(spark, sf_dir, "conversations")).filter("role = 'user'").withColumnRenamed("text", "query")
     done = answering.rewrite(turns.select("conv_id", "turn", "query", "history"), answering.LastQuestion())
-    return done.select("conv_id", "turn", (F.col("history") != "").alias("asked"), "rewrite_failed")
+    return done.select("conv_id", "turn", (F.col("history") != "").alias("asked"), "rewrite_failed", "standalone_query")
 
 
 SAID_SQL = "text || ' [S' || (turn + 1) || ', source 2]' || chr(10) || '- one more short claim 【S3】 [not one] [S4 and S5].'"
@@ -284,6 +367,36 @@ def said(spark, sf_dir) -> DataFrame:
     return read(spark, sf_dir, "conversations").select("conv_id", "turn", x.alias("said"))
 
 
+@query("confidence", f"""SELECT event_id, CASE WHEN t - 0.4::DOUBLE >= 0.25 AND c >= 0.95 THEN 'High' WHEN t - 0.4::DOUBLE >= 0.08 AND c >= 0.7 THEN 'Medium' ELSE 'Low' END AS label, CASE WHEN t <= 0.4::DOUBLE THEN 0.0 ELSE {r('0.75::DOUBLE * least(1.0, greatest(0.0, (t - 0.4::DOUBLE) / 0.6::DOUBLE)) + 0.25::DOUBLE * c')} END AS score,
+CASE WHEN event_id % 3 = 0 THEN least(1.0, t) WHEN t - 0.4::DOUBLE >= 0.25 AND c >= 0.95 THEN 0.85::DOUBLE WHEN t - 0.4::DOUBLE >= 0.08 AND c >= 0.7 THEN 0.65::DOUBLE ELSE 0.25::DOUBLE END AS stated FROM (SELECT event_id, (user_id % 113) / 100.0::DOUBLE AS t, (event_id % 11) / 10.0::DOUBLE AS c FROM events)""")
+def confidence(spark, sf_dir):
+    e = read(spark, sf_dir, "events").select("event_id", ((F.col("user_id") % 113) / 100).alias("t"), ((F.col("event_id") % 11) / 10).alias("c"))
+    label = answering.confidence_label(F.col("t"), 0.4, F.col("c"))
+    stated = evaluation.stated_confidence(F.when(F.col("event_id") % 3 == 0, F.col("t")), label)
+    return e.select("event_id", label.alias("label"), answering.confidence_score(F.col("t"), 0.4, F.col("c")).alias("score"), stated.alias("stated"))
+
+
+@query("usage_cost", f"SELECT event_id, greatest(0, a - b) AS prompt_tokens, greatest(0, b - a) AS completion_tokens, CASE WHEN a <> b THEN {r('greatest(0, a - b) / 1000000.0::DOUBLE * 0.5::DOUBLE + greatest(0, b - a) / 1000000.0::DOUBLE * 1.5::DOUBLE', 8)} END AS cost FROM (SELECT event_id, user_id % 100 AS a, event_id % 50 AS b FROM events)")
+def usage_cost(spark, sf_dir):
+    e = read(spark, sf_dir, "events").select("event_id", (F.col("user_id") % 100).alias("a"), (F.col("event_id") % 50).alias("b"))
+    u = e.select("event_id", answering.usage(F.col("b"), F.col("a")).alias("prompt_tokens"), answering.usage(F.col("a"), F.col("b")).alias("completion_tokens"))
+    return u.withColumn("cost", answering.cost(F.col("prompt_tokens"), F.col("completion_tokens"), 0.5, 1.5))
+
+
+@query("structured_answers", r"""SELECT conv_id, turn, CASE k WHEN 0 THEN true WHEN 1 THEN true WHEN 2 THEN false END AS can_answer, CASE k WHEN 0 THEN '- Claim ' || turn || ' holds [S1] [S2].' WHEN 1 THEN '- no mark [S2]' WHEN 2 THEN '' END AS answer, CASE k WHEN 0 THEN '' WHEN 1 THEN '' WHEN 2 THEN 'too little' END AS reason, k > 2 AS refused FROM (SELECT conv_id, turn, turn % 7 AS k FROM conversations)""")
+def structured_answers(spark, sf_dir):
+    """Models' outputs in turn: strict JSON, fenced JSON in other words, a refusal; then those that are refused."""
+    k, turn = F.col("turn") % 7, F.col("turn").cast("string")
+    out = (
+        F.when(k == 0, F.concat(F.lit('{"can_answer": true, "items": [{"claim": " - Claim '), turn, F.lit('  holds.", "source_ids": ["S1", "Source 2", "S1"]}]}')))
+        .when(k == 1, F.lit('```json\n{"can_answer": true, "items": [{"claim": "no mark", "source_ids": ["s2"]}]}\n```')).when(k == 2, F.lit('Well: {"can_answer": false, "reason": "too  little"} .'))
+        .when(k == 3, F.lit('{"can_answer": "true", "items": []}')).when(k == 4, F.lit('{"can_answer": true, "items": []}'))
+        .when(k == 5, F.lit('{"can_answer": true, "items": [{"claim": "x", "source_ids": ["S9"]}]}')).otherwise(F.lit("no JSON"))
+    )
+    found = read(spark, sf_dir, "conversations").withColumn("p", citations.structured_answer(out, F.lit(2)))
+    return found.select("conv_id", "turn", "p.can_answer", "p.answer", "p.reason", F.col("p.error").isNotNull().alias("refused"))
+
+
 @query("citation_ids", f"""WITH s AS (SELECT conv_id, turn, replace(replace({SAID_SQL}, '【', '['), '】', ']') AS x FROM conversations),
 g AS (SELECT conv_id, turn, list_filter(regexp_extract_all(x, '\\[[^\\]\\r\\n]{{1,80}}\\]'), lambda g: regexp_matches(g, '(?i)^\\[\\s*(?:S|Source)\\s*\\d+(?:\\s*(?:,|;|&|\\band\\b)\\s*(?:S|Source)\\s*\\d+)*\\s*\\]$')) AS gs FROM s)
 SELECT conv_id, turn, array_to_string(flatten(list_transform(gs, lambda g: regexp_extract_all(g, '(?i)\\b(?:S|Source)\\s*(\\d+)\\b', 1))), ',') AS ids FROM g""")
@@ -471,15 +584,35 @@ def failure_taxonomy(spark, sf_dir):
     return cases(spark, sf_dir).select("case_id", F.array_join("failures", ",").alias("failures"))
 
 
+def mean_sql(c: str) -> str:
+    return r(f"sum(round({c} * 10000)::BIGINT) / (10000.0::DOUBLE * count({c}))")
+
+
+@query("run_documents", f"""WITH {CASE_SQL}, {FAIL_SQL} SELECT variant, v.half AS half, count(*) AS cases, {mean_sql('correct::INTEGER')} AS overall_accuracy, {mean_sql('retrieval_recall')} AS retrieval_recall_at_k, count(*) FILTER (WHERE expected_answerable AND predicted_answerable) AS tp, sum(len(failures))::BIGINT AS failures
+FROM f JOIN (SELECT unnest(['model::a', 'model::b']) AS variant, unnest([0, 1]) AS half) v ON v.half = f.half GROUP BY ALL""")
+def run_documents(spark, sf_dir):
+    """Two runs written as JSON documents, read back strictly, and merged with known ones by id."""
+    path = f"{storage.shared_dir(spark).rstrip('/')}/runs-{uuid.uuid4().hex}"
+    for i, variant in enumerate(("model::a", "model::b")):
+        c = cases(spark, sf_dir).filter(F.col("half") == i).withColumns({"case_id": F.col("case_id").cast("string"), "query": F.lit("q"), "failures": F.col("failures")})
+        labels.write_jsonl(reports.benchmark_run(c, variant), f"{path}/{i}")
+    runs = labels.read_runs(spark, f"{path}/*")
+    every = reports.add_runs(runs.filter("variant = 'model::a'"), runs)
+    shown = reports.run_history(every).join(every.select("run_id", "confusion", "failure_counts", F.size("cases").alias("n")), "run_id")
+    total = F.aggregate(F.map_values("failure_counts"), F.lit(0).cast("long"), lambda a, b: a + b)
+    return shown.select("variant", F.when(F.col("variant") == "model::a", 0).otherwise(1).alias("half"), F.col("n").cast("long").alias("cases"), "overall_accuracy", "retrieval_recall_at_k", F.col("confusion")["tp"].alias("tp"), total.alias("failures"))
+
+
+@query("case_audit", f"""WITH {CASE_SQL}, {FAIL_SQL} SELECT case_id, expected_answerable, predicted_answerable, correct, array_to_string(failures, ', ') AS failures, confidence_score FROM f WHERE NOT correct OR len(failures) > 0""")
+def case_audit(spark, sf_dir):
+    return reports.case_audit(cases(spark, sf_dir).withColumn("query", F.lit(""))).drop("query")
+
+
 @query("failure_counts", f"WITH {CASE_SQL}, {FAIL_SQL} SELECT failure, count(*) AS count FROM (SELECT unnest(failures) AS failure FROM f) GROUP BY failure")
 def failure_counts(spark, sf_dir):
     return reports.failure_counts(cases(spark, sf_dir))
 
 
-def mean_sql(c: str) -> str:
-    return r(f"sum(round({c} * 10000)::BIGINT) / (10000.0::DOUBLE * count({c}))")
-
-
 CONFUSION_SQL = "count(*) FILTER (WHERE expected_answerable AND predicted_answerable) AS tp, count(*) FILTER (WHERE NOT expected_answerable AND NOT predicted_answerable) AS tn, count(*) FILTER (WHERE NOT expected_answerable AND predicted_answerable) AS fp, count(*) FILTER (WHERE expected_answerable AND NOT predicted_answerable) AS fn"
 
 
