@@ -8,8 +8,11 @@ never seen are equally likely. The score is the log10 of the product.
 
 * Training: tasks count (ORDER + 1)-grams and words of their share; sums are shuffled by key. All shorter grams are sums of
   these. So what is gathered grows with the corpus, and no count is cut.
-* Scoring: a symbol's whole chain of contexts shares the byte before it. The grams are split by that byte into blocks of
-  at most BLOCK_GRAMS (a single byte's grams stay together), and each block is broadcast for one pass over the texts.
+* Scoring: a symbol's whole chain of contexts shares the two bytes before it, by which the grams are dealt into groups;
+  pairs of bytes with over 1/HOT_PAIRS of all grams are split by a third byte (which leaves 2**24 grams at most in one
+  part). The texts are cut into slices, and a slice sends its distinct grams to the groups, where each is scored, and gets
+  their values back. What no group has whole is broadcast: the counts of two bytes (2**16 at most), and those of three
+  bytes that begin with a split pair (256 * HOT_PAIRS at most). No other gram reaches the driver.
 * Words: those with at least 1/2**20 of all tokens (so at most 2**20 of them) are broadcast; the counts of the others reach
   the texts by a join on the word's hash, in which no key has more than that share.
 
@@ -19,21 +22,26 @@ scored alike; each input row gives one. Without training texts all scores are th
 
 from __future__ import annotations
 
-import uuid
 from collections.abc import Iterator
+from dataclasses import dataclass
 
 import numpy as np
 import pyarrow as pa
+from pyspark import TaskContext
 from pyspark.sql import Column, DataFrame
 from pyspark.sql import functions as F
 
-from .common import Words, bounded, mix, slices, stored
+from .blobs import cuts, squeezed, unsqueezed
+from .common import Words, bounded, mix, release, slices, stored
 
 ORDER = 5
-BLOCK_GRAMS = 4_000_000
+GROUP_GRAMS = 250_000
+GROUPS_LEAST = 64
+HOT_PAIRS = 1 << 12
 HOT_SHARE = 1 << 20
 END = 0xFF
-SLICE = 2 << 20
+PART = 2 << 20
+SLICE = 16 << 20
 _U = np.uint64
 
 
@@ -98,17 +106,47 @@ class Table:
         return got
 
 
+@dataclass
+class Outline:
+    """What all groups of grams share; its size has a bound.
+
+    pairs, triples: grams of two bytes, and those of three bytes that begin with a split pair, each with counts;
+    split: for each pair of bytes whether its grams are dealt by a third byte; groups: how many there are."""
+
+    pairs: tuple[np.ndarray, np.ndarray]
+    triples: tuple[np.ndarray, np.ndarray]
+    split: np.ndarray
+    groups: int
+
+    def group(self, g: np.ndarray) -> np.ndarray:
+        before = g >> _U(8)
+        pair = before & _U(0xFFFF)
+        shard = np.where(self.split[pair.astype(np.int64)], (before & _U(0xFFFFFF)) | _U(1 << 24), pair)
+        return ((mix(shard) >> _U(32)) * _U(self.groups) >> _U(32)).astype(np.int32)
+
+    def dealt(self, g: np.ndarray) -> tuple[np.ndarray, np.ndarray]:
+        """The order that brings rising grams group by group, and the groups in it."""
+        group = self.group(g)
+        order = np.argsort(group, kind="stable")
+        return order, group[order]
+
+
 class Trie:
-    """A block of the model: counts of its (ORDER + 1)-grams, and of all single symbols (of all blocks)."""
+    """A group of the model: counts of its (ORDER + 1)-grams, and of the shorter ones that the outline has."""
 
-    def __init__(self, keys: np.ndarray, counts: np.ndarray, single: np.ndarray):
-        self.single = single
+    def __init__(self, keys: np.ndarray, counts: np.ndarray, outline: Outline):
+        self.single = np.bincount((outline.pairs[0] & _U(255)).astype(np.int64), outline.pairs[1], 256).astype(np.int64)
         self.levels = {}
         full = counts.astype(np.int64)
         for k in range(ORDER, 0, -1):
             # grams of k + 1 bytes: a context of k bytes and a symbol
+            if k == 2:
+                whole = ~outline.split[(keys >> _U(8)).astype(np.int64)]
+                keys, full = np.concatenate([keys[whole], outline.triples[0]]), np.concatenate([full[whole], outline.triples[1]])
+            if k == 1:
+                keys, full = outline.pairs
             self.levels[k] = (Table(keys), keys, full)
-            if k > 1:
+            if k > 2:
                 keys, full = counted(keys & _U((1 << 8 * k) - 1), full)
         self.contexts = {}
         for k in range(1, ORDER + 1):
@@ -164,7 +202,7 @@ def _train(rows: DataFrame) -> tuple[DataFrame, DataFrame]:
                         part = k[a : a + 100_000]
                         yield pa.RecordBatch.from_arrays([pa.array(np.full(len(part), kind, np.int8)), pa.array(part.view(np.int64)), pa.array(n[a : a + 100_000])], ["kind", "key", "n"])
 
-        for part in slices(batches, SLICE):
+        for part in slices(batches, PART):
             words = Words(part, lower=True)
             yield from put(0, counted(words.hashes()))
             yield from put(1, counted(grams(words.parts)[0]))
@@ -175,60 +213,138 @@ def _train(rows: DataFrame) -> tuple[DataFrame, DataFrame]:
     return found.filter("kind = 0").select("key", "n"), found.filter("kind = 1").select("key", "n")
 
 
-def _blocks(found: DataFrame) -> Iterator[tuple[np.ndarray, np.ndarray, np.ndarray, np.ndarray]]:
-    """Which bytes-before each block has, its grams and counts, and the counts of all single symbols."""
-    byte = lambda shift: F.shiftright("key", shift).bitwiseAND(F.lit(255))
-    single = np.zeros(256, np.int64)
-    for r in found.groupBy(byte(0).alias("b")).agg(F.sum("n").alias("n")).collect():
-        single[r.b] = r.n
-    sizes = {r.b: r.n for r in found.groupBy(byte(8).alias("b")).agg(F.count("*").alias("n")).collect()}
-    parts, now, held = [], [], 0
-    for b in range(256):
-        if now and held + sizes.get(b, 0) > BLOCK_GRAMS:
-            parts.append(now)
-            now, held = [], 0
-        now.append(b)
-        held += sizes.get(b, 0)
-    for own in [*parts, now]:
-        t = found.filter(byte(8).isin(own)).toArrow()
-        inside = np.zeros(256, bool)
-        inside[own] = True
-        yield inside, t["key"].to_numpy().view(_U), t["n"].to_numpy(), single
-
-
-_TRIES: dict[str, Trie] = {}
-
-
-def _trie(name: str, block) -> Trie:
-    """One at a time in each Python worker."""
-    if name not in _TRIES:
-        _TRIES.clear()
-        _TRIES[name] = Trie(*block[1:])
-    return _TRIES[name]
-
-
-def _part(part: pa.RecordBatch, name: str, block) -> np.ndarray:
-    """For each text the sum over the symbols of a block."""
-    g, begin = grams([t or b"" for t in part.column("text").cast(pa.binary()).to_pylist()])
-    p = np.zeros(len(g))
-    here = np.flatnonzero(block[0][((g >> _U(8)) & _U(255)).astype(np.int64)])
-    trie = _trie(name, block)
-    for a in range(0, len(here), 1 << 18):
-        at = here[a : a + (1 << 18)]
-        p[at] = trie.log10p(g[at])
-    return np.add.reduceat(p, begin)
-
-
-def _scored(rows: DataFrame, sent, name: str) -> DataFrame:
-    """rows with a block's part added to their score: a pass over the texts."""
-    names = rows.schema.fieldNames()
+def _outline(found: DataFrame, splits: int) -> Outline:
+    """splits: of the input; there is a group for every 16 of them at least."""
+    triples = stored(found.groupBy(F.col("key").bitwiseAND(F.lit(0xFFFFFF)).alias("key")).agg(F.sum("n").alias("n"), F.count("*").alias("grams")), "lm-triples")
+
+    def told(t: DataFrame) -> tuple[np.ndarray, np.ndarray]:
+        t = t.toArrow()
+        return t["key"].to_numpy().view(_U), t["n"].to_numpy().astype(np.int64)
+
+    pairs = told(triples.groupBy(F.col("key").bitwiseAND(F.lit(0xFFFF)).alias("key")).agg(F.sum("n").alias("n")))
+    pair, size = told(triples.groupBy(F.shiftright("key", 8).alias("key")).agg(F.sum("grams").alias("n")))
+    total = int(size.sum())
+    often = pair[size * HOT_PAIRS > total].astype(np.int64)
+    split = np.zeros(1 << 16, bool)
+    split[often] = True
+    return Outline(pairs, told(triples.filter(F.shiftright("key", 8).isin(often.tolist())).select("key", "n")), split, max(GROUPS_LEAST, total // GROUP_GRAMS, splits // 16))
+
+
+_SLICE = "slice long, kind byte, grp int, texts binary, grams binary, n binary"
+
+
+def _rows(of: list[tuple]) -> pa.RecordBatch:
+    """Rows of slice, kind, grp, texts, grams and n."""
+    kinds = (pa.int64(), pa.int8(), pa.int32(), pa.binary(), pa.binary(), pa.binary())
+    return pa.RecordBatch.from_arrays([pa.array(c, k) for c, k in zip(zip(*of, strict=True), kinds, strict=True)], ["slice", "kind", "grp", "texts", "grams", "n"])
+
+
+def _texts(part: pa.RecordBatch) -> list[bytes]:
+    return [t or b"" for t in part.column("text").cast(pa.binary()).to_pylist()]
 
+
+def _distinct(parts: list[pa.RecordBatch]) -> np.ndarray:
+    """The distinct grams of a slice, from those of its parts."""
+    return counted(np.concatenate([counted(grams(_texts(p))[0])[0] for p in parts]))[0]
+
+
+def _gathered(batches: Iterator[pa.RecordBatch]) -> Iterator[list[pa.RecordBatch]]:
+    """Slices of about SLICE bytes, in parts of PART: the larger a slice, the fewer distinct grams for its size."""
+    held, size = [], 0
+    for part in slices(batches, PART):
+        if held and size + part.nbytes > SLICE:
+            yield held
+            held, size = [], 0
+        held.append(part)
+        size += part.nbytes
+    if held:
+        yield held
+
+
+def _cut(rows: DataFrame, sent) -> DataFrame:
+    """rows in slices: for each a row (of grp -1) with its texts and other columns, and one for each group with its distinct
+    grams. A slice has its task's number in the upper half of its own."""
+    def run(batches: Iterator[pa.RecordBatch]) -> Iterator[pa.RecordBatch]:
+        task = TaskContext.get().partitionId() << 32
+        for i, parts in enumerate(_gathered(batches)):
+            sink = pa.BufferOutputStream()
+            with pa.ipc.new_stream(sink, parts[0].schema, options=pa.ipc.IpcWriteOptions(compression="zstd")) as out:
+                for part in parts:
+                    out.write_batch(part)
+            yield _rows([(task | i, 1, -1, sink.getvalue().to_pybytes(), None, None)])
+            g = _distinct(parts)
+            order, group = sent.value.dealt(g)
+            g = g[order]
+            yield _rows([(task | i, 1, k, None, squeezed(np.diff(g[a:b], prepend=_U(0))), None) for k, a, b in cuts(group)])
+
+    return stored(rows.mapInArrow(run, _SLICE), "lm-slices")
+
+
+def _model(found: DataFrame, sent) -> DataFrame:
+    """The grams and their counts in groups: some rows for each."""
     def run(batches: Iterator[pa.RecordBatch]) -> Iterator[pa.RecordBatch]:
-        for part in slices(batches, SLICE):
-            total = _part(part, name, sent.value) + part.column("score").to_numpy()
-            yield pa.RecordBatch.from_arrays([pa.array(total) if n == "score" else part.column(n) for n in names], names)
+        held, size = [], 0
+
+        def put() -> pa.RecordBatch:
+            t = pa.Table.from_batches(held)
+            g, n = counted(t["key"].to_numpy().view(_U), t["n"].to_numpy())
+            order, group = sent.value.dealt(g)
+            g, n = g[order], n[order]
+            return _rows([(0, 0, k, None, squeezed(np.diff(g[a:b], prepend=_U(0))), squeezed(n[a:b])) for k, a, b in cuts(group)])
 
-    return rows.mapInArrow(run, rows.schema)
+        for batch in batches:
+            held.append(batch)
+            size += batch.num_rows
+            if size >= 1_000_000:
+                yield put()
+                held, size = [], 0
+        if size:
+            yield put()
+
+    return found.mapInArrow(run, _SLICE)
+
+
+def _keys(raw: bytes) -> np.ndarray:
+    return np.cumsum(unsqueezed(raw, _U), dtype=_U)
+
+
+def _valued(model: DataFrame, asked: DataFrame, sent) -> DataFrame:
+    """slice, kind 0, grp and n, the values of the grams that the slice has sent to the group. A task has one group: first its
+    grams, then those asked of it, one slice after the other."""
+    def run(batches: Iterator[pa.RecordBatch]) -> Iterator[pa.RecordBatch]:
+        held, trie = [], None
+        for batch in batches:
+            out = []
+            for r in batch.to_pylist():
+                if r["kind"] == 0:
+                    held.append((_keys(r["grams"]), unsqueezed(r["n"], np.int64)))
+                    continue
+                if trie is None:
+                    none = [(np.zeros(0, _U), np.zeros(0, np.int64))]
+                    trie = Trie(*counted(*map(np.concatenate, zip(*(held or none), strict=True))), sent.value)
+                    held = []
+                g = _keys(r["grams"])
+                p = [trie.log10p(g[a : a + (1 << 18)]) for a in range(0, len(g), 1 << 18)]
+                out.append((r["slice"], 0, r["grp"], None, None, squeezed(np.concatenate(p))))
+            if out:
+                yield _rows(out)
+        trie = None
+        release()
+
+    groups = sent.value.groups
+    return model.unionByName(asked).repartitionById(groups, "grp").sortWithinPartitions("kind", "slice").mapInArrow(run, _SLICE)
+
+
+def _summed(parts: list[pa.RecordBatch], values: list[np.ndarray], outline: Outline) -> Iterator[tuple[pa.RecordBatch, np.ndarray]]:
+    """The parts of a slice, and for each text the sum over its symbols, from the values that the groups have sent, in their
+    order."""
+    keys = _distinct(parts)
+    p = np.empty(len(keys))
+    p[outline.dealt(keys)[0]] = np.concatenate(values)
+    table = Table(keys)
+    for part in parts:
+        g, begin = grams(_texts(part))
+        yield part, np.add.reduceat(p[table.find(g)], begin)
 
 
 def score(docs: DataFrame, training: Column, id_col: str = "doc_id", text_col: str = "text") -> DataFrame:
@@ -247,12 +363,23 @@ def score(docs: DataFrame, training: Column, id_col: str = "doc_id", text_col: s
     hot = rows.sparkSession.sparkContext.broadcast((keys[order], counts[order]))
     rare = words.filter(F.col("n") < hot_from) if distinct > HOT_SHARE else words.limit(0)
 
+    def told(batches: Iterator[pa.RecordBatch]) -> Iterator[tuple[pa.RecordBatch, np.ndarray]]:
+        """The parts of each slice with their scores; a slice's values come before it."""
+        values = []
+        for batch in batches:
+            for r in batch.to_pylist():
+                if r["kind"] == 0:
+                    values.append(unsqueezed(r["n"], np.float64))
+                else:
+                    yield from _summed(list(pa.ipc.open_stream(r["texts"])), values, sent.value)
+                    values = []
+        release()
+
     def run(batches: Iterator[pa.RecordBatch]) -> Iterator[pa.RecordBatch]:
         """For each row one entry with what is known of it here, and one for each distinct other word."""
         keys, counts = hot.value
-        for part in slices(batches, SLICE):
+        for part, score in told(batches):
             w = Words(part, lower=True)
-            score = _part(part, name, sent.value) + part.column("score").to_numpy()
             h = w.hashes()
             by_key = np.argsort(h, kind="stable")
             h, doc = h[by_key], w.doc[by_key]
@@ -274,13 +401,14 @@ def score(docs: DataFrame, training: Column, id_col: str = "doc_id", text_col: s
                 pa.concat_arrays([pa.array(score), pa.nulls(len(rest), pa.float64())]), pa.concat_arrays([part.column("training"), pa.nulls(len(rest), pa.bool_())]),
             ], ["doc_id", "mark", "key", "n", "base", "known", "score", "training"])
 
-    told = rows.withColumn("mark", F.xxhash64("text", "training")).withColumn("score", F.lit(0.0))
-    sent = None
-    for i, block in enumerate(_blocks(found)):
-        if sent is not None:
-            told = _scored(told, sent, name)
-        sent, name = rows.sparkSession.sparkContext.broadcast(block), f"{uuid.uuid4().hex}-{i}"
-    entries = told.mapInArrow(run, "doc_id long, mark long, key long, n long, base double, known long, score double, training boolean")
+    sent = rows.sparkSession.sparkContext.broadcast(_outline(found, rows.rdd.getNumPartitions()))
+    cut = _cut(rows.withColumn("mark", F.xxhash64("text", "training")), sent)
+    task = F.shiftright("slice", 32).cast("int")
+    tasks = (cut.filter("grp = -1").agg(F.max(task).alias("n")).first().n or 0) + 1
+    asked = cut.filter("grp >= 0").select("slice", "kind", "grp", F.lit(None).cast("binary").alias("texts"), "grams", "n")
+    texts = cut.filter("grp = -1").select("slice", "kind", "grp", "texts", F.lit(None).cast("binary").alias("grams"), "n")
+    back = _valued(_model(found, sent), asked, sent).unionByName(texts).repartitionById(tasks, task).sortWithinPartitions("slice", "kind", "grp")
+    entries = back.mapInArrow(run, "doc_id long, mark long, key long, n long, base double, known long, score double, training boolean")
     joined = entries.join(rare.withColumnsRenamed({"key": "word", "n": "c"}), F.col("key") == F.col("word"), "left")
     own = F.col("score").isNotNull()
     word_known = F.when(own, F.col("known")).otherwise(F.when(F.col("c").isNotNull(), F.col("n")).otherwise(0))

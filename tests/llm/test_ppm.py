@@ -45,10 +45,13 @@ def base(training, t):
     return len(tokens), sum(c[w] > 0 for w in tokens), n, sum(math.log10((c[w] + 0.1) / (n + 0.1 * (v + 1))) for w in tokens)
 
 
-@pytest.mark.parametrize(("hot", "block"), [(1 << 20, 4_000_000), (8, 60)])
-def test_as_brute_force(spark, monkeypatch, hot, block):
+@pytest.mark.parametrize(("hot", "pairs", "size"), [(1 << 20, 1 << 12, 16 << 20), (8, 12, 400)])
+def test_as_brute_force(spark, monkeypatch, hot, pairs, size):
+    """As it is, and with rare words, pairs on both sides of the bound for a split, and slices of a few texts."""
     monkeypatch.setattr(ppm, "HOT_SHARE", hot)
-    monkeypatch.setattr(ppm, "BLOCK_GRAMS", block)
+    monkeypatch.setattr(ppm, "HOT_PAIRS", pairs)
+    monkeypatch.setattr(ppm, "SLICE", size)
+    monkeypatch.setattr(ppm, "PART", size // 4)
     rnd = random.Random(7)
     rows = [(i, " ".join("".join(rnd.choice("abé") for _ in range(rnd.randrange(1, 5))) for _ in range(rnd.randrange(20)))) for i in range(30)]
     rows += [(30, "ZZ top\n\tzz"), (31, ""), (32, None), (33, "ab ab"), (33, "ab ab"), (33, "ba"), (None, "ab é")]
@@ -65,8 +68,8 @@ def test_probabilities_add_up():
     texts = [b"aba abb", b"bab a", b"cc"]
     g, _ = ppm.grams(texts)
     keys, counts = ppm.counted(g)
-    single = np.bincount((g & np.uint64(255)).astype(int), minlength=256)
-    trie = ppm.Trie(keys, counts, single)
+    none = np.zeros(0, np.uint64), np.zeros(0, np.int64)
+    trie = ppm.Trie(keys, counts, ppm.Outline(ppm.counted(keys & np.uint64(0xFFFF), counts), none, np.zeros(1 << 16, bool), 1))
     for context in (b"\xff" * 5, b" aba ", b"azzab", b"xxxxx", b"\xff\xffabb"):
         at = int.from_bytes(context) << 8
         assert abs((10 ** trie.log10p(np.array([at + s for s in range(256)], np.uint64))).sum() - 1) < 1e-9
