@@ -1,7 +1,9 @@
 import random
 from collections import Counter
 
-from assayer.llm.decontaminate import clean, matches, numbered, report
+from pyspark.sql import functions as F
+
+from assayer.llm.decontaminate import RADIUS, _blocks, clean, matches, numbered, report, simhash
 
 
 def brute(docs, items):
@@ -87,3 +89,17 @@ def test_item_everywhere_in_a_long_text(spark):
     docs = [(1, "x " * 40_000), (2, "x y " * 30_000), (3, "a b c d e f g h i j " * 3000), (4, "w " * 50_000)]
     got = {r.doc_id: r.items for r in report(spark.createDataFrame(docs, "doc_id long, text string"), spark.createDataFrame(items, "item_id long, text string")).collect()}
     assert got == {1: "1", 2: "", 3: "2", 4: ""}
+
+
+def test_radius_at_the_threshold(spark):
+    """Pairs of sets at a similarity of exactly 0.75: nearly all fingerprints are within the radius, and all of these share a
+    block. The binomial tail gives 0.00009 beyond it at most, so that 6000 pairs have four with a probability under 0.01."""
+    # x and y share 6/7 of m elements each
+    part = lambda name, n: F.transform(F.sequence(F.lit(1), (F.col("m") * n / 7).cast("int")), lambda i: F.xxhash64("id", F.lit(name), i))
+    pairs = spark.range(6000).withColumn("m", F.element_at(F.array(*map(F.lit, (7, 28, 56))), (F.col("id") % 3 + 1).cast("int")))
+    pairs = pairs.withColumn("m", F.col("m").cast("int")).select(*[F.array_union(part("c", 6), part(s, 1)).alias(s) for s in "xy"])
+    told = pairs.select(simhash(F.col("x")).alias("x"), simhash(F.col("y")).alias("y"))
+    near = F.bit_count(F.col("x").bitwiseXOR(F.col("y"))) <= RADIUS
+    got = told.select(near.alias("near"), F.arrays_overlap(_blocks("x"), _blocks("y")).alias("meet")).groupBy("near", "meet").count().collect()
+    got = {(r.near, r.meet): r["count"] for r in got}
+    assert (True, False) not in got and got[True, True] >= 5997
