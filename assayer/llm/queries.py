@@ -5,7 +5,7 @@ from __future__ import annotations
 from pyspark.sql import DataFrame, SparkSession
 from pyspark.sql import functions as F
 
-from . import bpe, decontaminate, gif, jaccard, langid, licenses, line_dedup, ppm, substring, toxicity
+from . import bpe, decontaminate, divergence, gif, jaccard, langid, licenses, line_dedup, ppm, substring, toxicity
 from .common import crc_remainder, documents
 
 
@@ -38,8 +38,10 @@ QUERIES = {
     "op8_line_dedup": lambda spark, sf_dir: line_dedup.line_report(documents(spark, sf_dir)),
     "op9_decontaminate": lambda spark, sf_dir: decontaminate.report(documents(spark, sf_dir), spark.read.parquet(f"{sf_dir}/benchmark.parquet")),
     "op10_langid": language,
+    "op11_divergence": lambda spark, sf_dir: divergence.audit(documents(spark, sf_dir)),
 }
 ORACLES = {
     "op8_line_dedup": line_dedup.ORACLE,
     "op9_decontaminate": decontaminate.ORACLE,
+    "op11_divergence": divergence.ORACLE,
 }
