@@ -5,7 +5,7 @@ from __future__ import annotations
 from pyspark.sql import DataFrame, SparkSession
 from pyspark.sql import functions as F
 
-from . import bpe, decontaminate, divergence, gif, jaccard, langid, licenses, line_dedup, packing, ppm, substring, toxicity
+from . import bpe, centroids, decontaminate, divergence, gif, jaccard, langid, licenses, line_dedup, packing, ppm, substring, toxicity
 from .common import crc_remainder, documents
 
 
@@ -39,10 +39,12 @@ QUERIES = {
     "op9_decontaminate": lambda spark, sf_dir: decontaminate.report(documents(spark, sf_dir), spark.read.parquet(f"{sf_dir}/benchmark.parquet")),
     "op10_langid": language,
     "op11_divergence": lambda spark, sf_dir: divergence.audit(documents(spark, sf_dir)),
+    "op12_centroids": lambda spark, sf_dir: centroids.cluster(spark.read.parquet(f"{sf_dir}/embeddings.parquet")).drop("exact_share"),
     "op13_packing": lambda spark, sf_dir: packing.pack(documents(spark, sf_dir), value=F.crc32("ids").alias("ids_crc32")),
 }
 ORACLES = {
     "op8_line_dedup": line_dedup.ORACLE,
     "op9_decontaminate": decontaminate.ORACLE,
     "op11_divergence": divergence.ORACLE,
+    "op12_centroids": centroids.ORACLE,
 }
