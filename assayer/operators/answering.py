@@ -153,14 +153,17 @@ def turn(questions: DataFrame, chunks: DataFrame, provider: Provider, mode: str
     """The whole turn for every question (query_id, query; history if there is one): rewritten to stand alone, candidates
     retrieved, gated, answered. chunks have vectors unless the mode is lexical; embedder(df, column) gives the questions'.
 
+    With `collection` on both sides a question is answered from its collection alone; query_id is unique over all of them.
+
     Steps are stored, as they are timed and the provider is asked once. A step that serves the whole batch is shared evenly:
     retrieval_ms is its time over the number of questions."""
     if "history" not in questions.columns:
         questions = questions.withColumn("history", F.lit(""))
     clean = questions.withColumn("query", F.substring(strip(F.coalesce("query", F.lit(""))), 1, QUERY_CHARS))
     with scratch(questions.sparkSession):
-        told = stored(rewrite(clean.select("query_id", "query", "history"), rewriter or provider), "questions")
-        ask = told.filter("query <> ''").select("query_id", F.col("standalone_query").alias("query"))
+        by = [c for c in ("collection",) if c in questions.columns and c in chunks.columns]
+        told = stored(rewrite(clean.select(*by, "query_id", "query", "history"), rewriter or provider), "questions")
+        ask = told.filter("query <> ''").select(*by, "query_id", F.col("standalone_query").alias("query"))
         begun = time.perf_counter()
         found = stored(retrieval.candidates(embedder(ask, "query") if embedder and mode != "lexical" else ask, chunks, k, multiplier, mode, **kw), "retrieved")
         each = 1000 * (time.perf_counter() - begun) / max(1, told.count())
@@ -208,20 +211,24 @@ def answer(questions: DataFrame, retrieved: DataFrame, chunks: DataFrame, provid
     Questions below the gate never reach the provider. Drafts without complete, known citations are asked for once more,
     and refused if that doesn't help. A provider's failure leaves provider_error. Drafts are stored when this is called:
     no use of the result asks again."""
+    apart = [c for c in ("collection",) if c in questions.columns and c in retrieved.columns and c in chunks.columns]
     q = questions.select(
-        "query_id", F.substring(strip(F.coalesce("query", F.lit(""))), 1, QUERY_CHARS).alias("query"), _or(questions, "standalone_query", "string"),
+        *apart, "query_id", F.substring(strip(F.coalesce("query", F.lit(""))), 1, QUERY_CHARS).alias("query"), _or(questions, "standalone_query", "string"),
         _or(questions, "rewrite_failed", "boolean", False), _or(questions, "rewrite_ms", "double", 0.0), _or(questions, "retrieval_ms", "double", 0.0),
     )
     q = q.withColumn("standalone_query", F.coalesce("standalone_query", "query"))
     scores = [_or(retrieved, c, "double") for c in ("dense_score", "lexical_score", "rerank_score")]
-    retrieved = retrieved.select("query_id", "chunk_id", "rank", "similarity", *scores, _or(retrieved, "retrieval_method", "string"))
-    gated = gate(retrieved, threshold, k).join(chunks.select("chunk_id", "source_doc", "page_number", "text"), "chunk_id")
+    retrieved = retrieved.select(*apart, "query_id", "chunk_id", "rank", "similarity", *scores, _or(retrieved, "retrieval_method", "string"))
+    gated = gate(retrieved, threshold, k).join(chunks.select(*apart, "chunk_id", "source_doc", "page_number", "text"), [*apart, "chunk_id"])
     kept = pack_context(gated.filter("passed and shown"), max_chars)
     below = gated.filter("not passed and shown").withColumns({"position": F.col("rank"), "block": F.lit(None).cast("string")})
     shown = kept.unionByName(below.select(kept.columns))
     item = F.struct("position", "chunk_id", "source_doc", "page_number", "similarity", "dense_score", "lexical_score", "rerank_score", "retrieval_method", "text", "block")
     by = shown.groupBy("query_id").agg(F.array_sort(F.collect_list(item)).alias("retrieved"), F.max("top_similarity").alias("top_similarity"), F.max("passed").alias("passed"))
-    any_chunk = not chunks.limit(1).isEmpty()
+    if apart:
+        q = q.join(chunks.select(*apart).distinct().withColumn("any_chunk", F.lit(True)), apart, "left").drop(*apart)
+    else:
+        q = q.withColumn("any_chunk", F.lit(not chunks.limit(1).isEmpty()))
     t = q.join(by, "query_id", "left").withColumn("passed", F.coalesce("passed", F.lit(False)) & (F.col("query") != ""))
     t = t.withColumn("retrieved", F.when(F.col("query") != "", F.col("retrieved"))).withColumn("retrieved", F.coalesce("retrieved", F.array().cast(t.schema["retrieved"].dataType)))
     t = stored(t, "gated")
@@ -241,7 +248,7 @@ def answer(questions: DataFrame, retrieved: DataFrame, chunks: DataFrame, provid
     done = done.select("query_id", "output", "repaired", both("prompt_tokens"), both("completion_tokens"), both("ms"), *[F.when(F.col("repaired"), F.col(f"r_{c}")).otherwise(F.col(c)).alias(c) for c in checked])
     f = t.join(done, "query_id", "left")
     reason = (
-        F.when(F.col("query") == "", "empty_query").when(F.lit(not any_chunk), "no_documents").when(~F.col("passed"), "similarity_threshold")
+        F.when(F.col("query") == "", "empty_query").when(~F.coalesce("any_chunk", F.lit(False)), "no_documents").when(~F.col("passed"), "similarity_threshold")
         .when(F.col("output").isNull(), "provider_error").when(F.col("can_answer") == False, "model_insufficient_evidence").when(~F.col("good"), "citation_validation")  # noqa: E712
     )
     f = f.withColumn("refusal_reason", reason)

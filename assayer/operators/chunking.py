@@ -9,6 +9,7 @@ from pyspark.sql import Column, DataFrame, Window
 from pyspark.sql import functions as F
 
 from ..functions.text import strip, units
+from .storage import stored
 
 PROBE_CHARS = 80
 
@@ -127,24 +128,40 @@ def guarded(uploads: DataFrame, limit: int, session: str = "session_id") -> Data
 
 def ingest(files: DataFrame, limits, known: DataFrame | None = None) -> tuple[DataFrame, DataFrame]:
     """files (filename, content) of one session to chunks and a manifest: counted against limits.max_files, checked, hashed,
-    parsed and packed. limits: a sources.config.Config. Refused files and those without text or chunks have an error_code;
-    `duplicate` is one whose content is in known (document_hash) or in a file before it by name."""
+    parsed, packed and admitted. limits: a sources.config.Config. known: the chunks (document_hash) that the session has.
+
+    Files that bring no chunks have an error_code: why they are refused or can't be parsed; `duplicate`, whose content is in
+    known or in a valid file before it: by seq, the order of upload, if there is one, else by name; and `session_limit`, whose
+    chunks don't fit limits.max_session_chunks any more. A file that is refused takes no other's place."""
     from ..sources import uploads
 
     if files.count() > limits.max_files:
         raise ValueError(f"at most {limits.max_files} files at once")
-    named = files.select(uploads.sanitize_filename(F.col("filename")).alias("source_doc"), "content", uploads.document_hash(F.col("content")).alias("document_hash"), uploads.upload_error(F.col("filename"), F.col("content"), limits.max_file_mb * 1024 * 1024).alias("error_code"))
-    n = F.row_number().over(Window.partitionBy("document_hash").orderBy("source_doc"))
-    seen = F.lit(False)
+    at = F.col("seq").cast("long") if "seq" in files.columns else F.lit(0).cast("long")
+    named = files.select(at.alias("_at"), uploads.sanitize_filename(F.col("filename")).alias("source_doc"), "content", uploads.document_hash(F.col("content")).alias("document_hash"), uploads.upload_error(F.col("filename"), F.col("content"), limits.max_file_mb * 1024 * 1024).alias("error_code"))
+    n = F.row_number().over(Window.partitionBy("document_hash", F.col("error_code").isNull()).orderBy("_at", "source_doc"))
+    seen, present = F.lit(False), 0
     if known is not None:
+        present = known.count()
         named = named.join(known.select("document_hash").distinct().withColumn("_known", F.lit(True)), "document_hash", "left")
         seen = F.col("_known").isNotNull()
     named = named.withColumn("error_code", F.coalesce("error_code", F.when(seen | (n > 1), "duplicate"))).drop("_known")
-    pages = uploads.parse_documents(named.filter("error_code is null"), limits.max_pages)
+    valid = named.filter("error_code is null")
+    pages = uploads.parse_documents(valid.drop("_at"), limits.max_pages)
     chunks = chunk_pages(pages, limits.chunk_size_chars, limits.chunk_overlap_chars)
+    told = stored(manifest(pages, chunks).join(valid.select("document_hash", "_at"), "document_hash"), "manifest", keep=True)
+    over = F.lit(False)
+    if present + total_chunks(told).first().total_chunks > limits.max_session_chunks:
+        # One session's uploads, of which there are at most max_files: in their order, each that still fits.
+        order = F.struct("_at", "source_doc", "document_hash")
+        told = admit(told.withColumns({"_order": order, "_session": F.lit(0)}), limits.max_session_chunks, present, "_session", "_order")
+        over = ~F.col("admitted") & (F.col("chunks") > 0)
+    told = told.withColumns({"error_code": F.coalesce("error_code", F.when(over, "session_limit")), "chunks": F.when(over, 0).otherwise(F.col("chunks"))})
     none = F.array().cast("array<string>")
+    columns = ["document_hash", "source_doc", "pages", "warnings", "error_code", "chunks"]
     refused = named.filter("error_code is not null").select("document_hash", "source_doc", F.lit(0).cast("long").alias("pages"), none.alias("warnings"), "error_code", F.lit(0).cast("long").alias("chunks"))
-    return chunks, manifest(pages, chunks).unionByName(refused)
+    kept = chunks.join(told.filter("error_code is null").select("document_hash"), "document_hash", "left_semi").select(chunks.columns)
+    return kept, told.select(columns).unionByName(refused)
 
 
 def total_chunks(done: DataFrame) -> DataFrame:

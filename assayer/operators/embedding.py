@@ -36,9 +36,9 @@ def hashed(texts: list[str], dimensions: int = DIMENSIONS) -> np.ndarray:
 def embed(df: DataFrame, text_col: str = "text", model: Callable[[list[str]], np.ndarray] = hashed, out: str = "vec") -> DataFrame:
     """Adds an array<double> column. model: a picklable function of a list of texts; it is called in Arrow batches. Null
     texts are embedded as the empty one."""
-    @F.pandas_udf("array<double>")
     def vectors(batches: Iterator[pd.Series]) -> Iterator[pd.Series]:
         for s in batches:
             yield pd.Series(list(model(s.fillna("").tolist())), dtype=object)
 
-    return df.withColumn(out, vectors(F.col(text_col)))
+    # Not deterministic by mark, so that a filter on the vectors isn't pushed below and evaluates them anew.
+    return df.withColumn(out, F.pandas_udf(vectors, "array<double>").asNondeterministic()(F.col(text_col)))

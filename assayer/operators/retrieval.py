@@ -1,7 +1,10 @@
 """Lexical, dense and hybrid retrieval for whole batches of queries.
 
-queries: query_id, query (and vec for dense); chunks: chunk_id, text (and vec). Statistics are those of the chunks given;
-with `collection` columns on both sides they are kept apart by it.
+queries: query_id, query (and vec for dense); chunks: chunk_id, text (and vec). Statistics are those of the chunks given.
+
+With `collection` columns on both sides every mode keeps collections apart: blocks of a collection's questions meet parts of
+its chunks (grouped.py), statistics are of the collection, and ids need be unique within it alone. A null collection is none: it
+is never searched.
 """
 
 from __future__ import annotations
@@ -12,24 +15,25 @@ from collections.abc import Iterator
 
 import numpy as np
 import pyarrow as pa
+import pyarrow.compute as pc
 from pyspark.sql import Column, DataFrame, Window
 from pyspark.sql import functions as F
 
 from ..functions.numeric import clamp, py_round
 from ..functions.text import STOP_WORDS, token_coverage, token_phrase, tokenize
+from .grouped import Best, met, small
+from .storage import scratch, stored
 
 #: Query vectors held at once in a task; more are taken in further passes.
 QUERY_BLOCK = 4096
 #: The same for lexical queries, and cells of queries and chunks scored at once.
 LEXICAL_BLOCK = 1 << 15
 _CELLS = 1 << 22
-#: Rows up to which a counted side is broadcast.
-BROADCAST_ROWS = 500_000
 MODES = ("dense", "lexical", "hybrid")
 
 
-def small(df: DataFrame) -> DataFrame:
-    return F.broadcast(df) if df.limit(BROADCAST_ROWS + 1).count() <= BROADCAST_ROWS else df
+def _by(queries: DataFrame, chunks: DataFrame) -> list[str]:
+    return ["collection"] if "collection" in chunks.columns and "collection" in queries.columns else []
 
 
 def term_stats(chunks: DataFrame) -> DataFrame:
@@ -47,7 +51,7 @@ def bm25(queries: DataFrame, chunks: DataFrame, k1: float = 1.5, b: float = 0.75
     is as large as there are such pairs. lexical_topk() doesn't make them all, but for collections.
 
     Postings of the queries' terms alone leave a task, summed by chunk before the shuffle."""
-    by = ["collection"] if "collection" in chunks.columns and "collection" in queries.columns else []
+    by = _by(queries, chunks)
     q = queries.select(*by, "query_id", F.explode(tokenize(F.col("query"))).alias("term")).groupBy(*by, "query_id", "term").agg(F.count("*").alias("qtf"))
     terms = small(q.select(*by, "term").distinct())
     tokens = chunks.select(*by, "chunk_id", tokenize(F.col("text")).alias("tokens"))
@@ -112,11 +116,27 @@ def _statistics(chunks: DataFrame, number: dict[str, int]) -> tuple[int, float,
     return total, max(1.0, found.get(-2, 0) / total if total else 0.0), df
 
 
+def _weights(wanted: list[dict[str, float]], number: dict[str, int]) -> tuple[np.ndarray, np.ndarray, np.ndarray]:
+    """By term: its questions and their weights, and where each term's begin."""
+    of = sorted((number[t], q, c) for q, w in enumerate(wanted) for t, c in w.items())
+    term, query, weight = (np.array(x) for x in zip(*of, strict=True)) if of else (np.zeros(0, np.int64), np.zeros(0, np.int64), np.zeros(0))
+    return query, weight, np.searchsorted(term, np.arange(len(number) + 1))
+
+
+def _raw(asked: int, query: np.ndarray, weight: np.ndarray, first: np.ndarray, row: np.ndarray, term: np.ndarray, tf: np.ndarray, lengths: np.ndarray, mean: float, k1: float, b: float) -> np.ndarray:
+    """Scores of all questions for some chunks, from the chunks' postings (row, term, tf)."""
+    share = tf * (k1 + 1) / np.maximum(tf + k1 * (1 - b + b * lengths[row] / mean), 1e-12)
+    many = first[term + 1] - first[term]
+    each = np.repeat(np.arange(len(row)), many)
+    place = first[term[each]] + np.arange(len(each)) - np.repeat(np.cumsum(many) - many, many)
+    return np.bincount(query[place] * len(lengths) + row[each], weight[place] * share[each], asked * len(lengths)).reshape(asked, -1)
+
+
 def _lexical_best(queries: DataFrame, chunks: DataFrame, k: int, k1: float = 1.5, b: float = 0.75) -> DataFrame:
-    """query_id, chunk_id, raw: of each batch of chunks the k best of each query and all that could round to them. As a
+    """query_id, chunk_id, raw: of each task's chunks the k best of each query and all that could round to them. As a
     chunk's postings are in one place, no pair of query and chunk is shuffled but these. Statistics are of all chunks."""
     spark, found = chunks.sparkSession, None
-    ids = queries.select("query_id", "query").orderBy("query_id")
+    ids = stored(queries.select("query_id", "query"), "asked").orderBy("query_id")
     total = ids.count()
     kind, key = queries.schema["query_id"].dataType.simpleString(), chunks.schema["chunk_id"].dataType.simpleString()
     for at in range(0, max(total, 1), LEXICAL_BLOCK):
@@ -125,47 +145,84 @@ def _lexical_best(queries: DataFrame, chunks: DataFrame, k: int, k1: float = 1.5
         number = {t: i for i, t in enumerate(sorted({t for w in wanted for t in w}))}
         n, mean, df = _statistics(chunks, number)
         idf = np.log(1 + (n - df + 0.5) / (df + 0.5))
-        # By term: its queries and their weights.
-        of = sorted((number[t], q, c) for q, w in enumerate(wanted) for t, c in w.items())
-        term, query, weight = (np.array(x) for x in zip(*of, strict=True)) if of else (np.zeros(0, np.int64),) * 3
-        weight = weight * idf[term]
-        first = np.searchsorted(term, np.arange(len(number) + 1))
-        most = np.bincount(query, weight * (k1 + 1), len(wanted)) if len(of) else np.zeros(len(wanted))
+        query, weight, first = _weights([{t: c * idf[number[t]] for t, c in w.items()} for w in wanted], number)
+        most = np.bincount(query, weight * (k1 + 1), len(wanted)) if len(query) else np.zeros(len(wanted))
         sent = spark.sparkContext.broadcast((block["query_id"].combine_chunks(), number, query, weight, first, most, mean))
 
         def run(batches: Iterator[pa.RecordBatch], sent=sent) -> Iterator[pa.RecordBatch]:
             names, number, query, weight, first, most, mean = sent.value
-            size = max(1, _CELLS // max(1, len(names)))
+            size, best = max(1, _CELLS // max(1, len(names))), Best(k, 2e-6 * most)
             for batch in batches:
                 for a in range(0, batch.num_rows, size):
                     part = batch.slice(a, size)
                     lengths, row, term, tf = _postings(part.column("text").to_pylist(), number)
-                    if not len(row):
-                        continue
-                    share = tf * (k1 + 1) / np.maximum(tf + k1 * (1 - b + b * lengths[row] / mean), 1e-12)
-                    many = first[term + 1] - first[term]
-                    each = np.repeat(np.arange(len(row)), many)
-                    place = first[term[each]] + np.arange(len(each)) - np.repeat(np.cumsum(many) - many, many)
-                    raw = np.bincount(query[place] * part.num_rows + row[each], weight[place] * share[each], len(names) * part.num_rows).reshape(len(names), -1)
-                    floor = np.partition(raw, -k, axis=1)[:, -k] - 2e-6 * most if part.num_rows > k else np.zeros(len(names))
-                    i, j = np.nonzero((raw >= floor[:, None]) & (raw > 0))
-                    yield pa.RecordBatch.from_arrays([names.take(pa.array(i)), part.column("chunk_id").take(pa.array(j)), pa.array(raw[i, j])], ["query_id", "chunk_id", "raw"])
+                    if len(row):
+                        best.add(_raw(len(names), query, weight, first, row, term, tf, lengths, mean, k1, b), part.column("chunk_id"), 0.0)
+            yield from best.rows(["query_id", "chunk_id", "raw"], names)
 
         one = chunks.select("chunk_id", "text").mapInArrow(run, f"query_id {kind}, chunk_id {key}, raw double")
         found = one if found is None else found.unionByName(one)
     return found
 
 
+def _tokens(chunks: DataFrame) -> DataFrame:
+    """collection, chunk_id, length, terms and tfs of each chunk."""
+    key = chunks.schema["chunk_id"].dataType.simpleString()
+
+    def run(batches: Iterator[pa.RecordBatch]) -> Iterator[pa.RecordBatch]:
+        for b in batches:
+            counts = [Counter(_terms(t)) for t in b.column("text").to_pylist()]
+            lengths = pa.array([sum(c.values()) for c in counts], pa.int64())
+            yield pa.RecordBatch.from_arrays(
+                [b.column("collection"), b.column("chunk_id"), lengths, pa.array([list(c) for c in counts], pa.list_(pa.string())), pa.array([list(c.values()) for c in counts], pa.list_(pa.int64()))],
+                ["collection", "chunk_id", "length", "terms", "tfs"],
+            )
+
+    return chunks.select(F.col("collection").cast("string"), "chunk_id", "text").mapInArrow(run, f"collection string, chunk_id {key}, length long, terms array<string>, tfs array<long>")
+
+
+def _lexical_cell(left: pa.Table, right: pa.Table, k: int, k1: float, b: float) -> Iterator[pa.RecordBatch]:
+    """Chunks (as _tokens()) and questions (terms, weights, mean_length) of one collection."""
+    left, right = left.combine_chunks(), right.combine_chunks()
+    wanted = [dict(zip(t, w, strict=True)) for t, w in zip(right["terms"].to_pylist(), right["weights"].to_pylist(), strict=True)]
+    every = sorted({t for w in wanted for t in w})
+    query, weight, first = _weights(wanted, {t: i for i, t in enumerate(every)})
+    most = np.bincount(query, weight * (k1 + 1), len(wanted)) if len(query) else np.zeros(len(wanted))
+    best, size, known = Best(k, 2e-6 * most), max(1, _CELLS // max(1, len(wanted))), pa.array(every, pa.string())
+    for a in range(0, left.num_rows, size):
+        part = left.slice(a, size).combine_chunks()
+        term = pc.index_in(pc.list_flatten(part["terms"]), known)
+        row, tf = pc.list_parent_indices(part["terms"]).to_numpy(), pc.list_flatten(part["tfs"]).to_numpy()
+        here = pc.is_valid(term).to_numpy()
+        if here.any():
+            raw = _raw(len(wanted), query, weight, first, row[here], term.drop_null().to_numpy(), tf[here].astype(float), part["length"].to_numpy(), right["mean_length"][0].as_py(), k1, b)
+            best.add(raw, part["chunk_id"].combine_chunks(), 0.0)
+    return best.rows(["collection", "query_id", "chunk_id", "raw"], right["query_id"].combine_chunks(), left["collection"][0])
+
+
+def _lexical_grouped(queries: DataFrame, chunks: DataFrame, k: int, k1: float = 1.5, b: float = 0.75) -> DataFrame:
+    """As _lexical_best(), by collection: chunks are cut into tokens once, and go to where their collection's questions are."""
+    q = queries.select(F.col("collection").cast("string"), "query_id", F.explode(tokenize(F.col("query"))).alias("term")).groupBy("collection", "query_id", "term").agg(F.count("*").alias("qtf"))
+    q = stored(q.filter("collection is not null"), "asked")
+    tokens = stored(_tokens(chunks.join(small(q.select("collection").distinct()), "collection", "left_semi")), "tokens")
+    sizes = tokens.groupBy("collection").agg(F.count("*").alias("n"), F.greatest(F.lit(1.0), F.avg("length")).alias("mean_length"))
+    posting = tokens.select("collection", F.explode("terms").alias("term")).join(small(q.select("collection", "term").distinct()), ["collection", "term"], "left_semi")
+    df = posting.groupBy("collection", "term").agg(F.count("*").alias("df"))
+    idf = F.ln(1 + (F.col("n") - F.col("df") + 0.5) / (F.col("df") + 0.5))
+    weighed = q.join(small(df), ["collection", "term"]).join(small(sizes), "collection")
+    weighed = weighed.groupBy("collection", "query_id").agg(F.collect_list("term").alias("terms"), F.collect_list(F.col("qtf") * idf).alias("weights"), F.first("mean_length").alias("mean_length"))
+    return met(stored(weighed, "weighed"), tokens, lambda left, right: _lexical_cell(left, right, k, k1, b), "raw")
+
+
 def lexical_topk(queries: DataFrame, chunks: DataFrame, k: int, **kw) -> DataFrame:
-    """query_id, chunk_id, lexical_score (4 digits), rank. Chunks without a common term fill up to k by id; at least one."""
-    by = ["collection"] if "collection" in chunks.columns and "collection" in queries.columns else []
-    k = max(1, k)
-    if by:
-        scored = bm25(queries, chunks, **kw)
-    else:
-        raw = _lexical_best(queries, chunks, k, **kw)
-        best = F.max("raw").over(Window.partitionBy("query_id"))
-        scored = raw.select("query_id", "chunk_id", py_round(F.col("raw") / best, 6).alias("score"))
+    """query_id, chunk_id, lexical_score (4 digits), rank. Chunks without a common term fill up to k by id; at least one.
+
+    What is scored is stored when this is called."""
+    by, k = _by(queries, chunks), max(1, k)
+    with scratch(chunks.sparkSession):
+        raw = stored((_lexical_grouped if by else _lexical_best)(queries, chunks, k, **kw), "lexical", keep=True)
+    best = F.max("raw").over(Window.partitionBy(*by, "query_id"))
+    scored = raw.select(*by, "query_id", "chunk_id", py_round(F.col("raw") / best, 6).alias("score"))
     scored = _top(scored, k, [*by, "query_id"]).drop("rank")
     if by:
         first = _top(chunks.select(*by, "chunk_id").withColumn("score", F.lit(0.0)), k, by).select(*by, "chunk_id")
@@ -177,38 +234,67 @@ def lexical_topk(queries: DataFrame, chunks: DataFrame, k: int, **kw) -> DataFra
     return both.select(*by, "query_id", "chunk_id", py_round(F.col("score"), 4).alias("lexical_score"), "rank")
 
 
-def dense_topk(queries: DataFrame, chunks: DataFrame, k: int) -> DataFrame:
-    """query_id, chunk_id, dense_score (cosine, 4 digits, from -1 to 1), rank: exact, ties by id.
+def _vectors(batch: pa.RecordBatch | pa.Table) -> np.ndarray:
+    v = batch.column("vec")
+    v = v.combine_chunks() if isinstance(v, pa.ChunkedArray) else v
+    return _unit(np.asarray(v.flatten(), float).reshape(batch.num_rows, -1))
 
-    Tasks hold a block of query vectors and multiply batches of chunk vectors with it; each batch passes on what can be
-    among the k best. A null vector is never found; a zero vector has similarity 0."""
-    found = None
-    vectors = queries.filter(F.col("vec").isNotNull()).select("query_id", F.col("vec").cast("array<double>").alias("vec")).orderBy("query_id")
+
+def _cosines(q: np.ndarray, d: np.ndarray) -> np.ndarray:
+    return np.clip(q @ d.T, -1, 1)
+
+
+#: Scores are compared after rounding: whatever may round to the k-th best goes on.
+_ROUNDED = 1e-4
+
+
+def _dense_best(vectors: DataFrame, chunks: DataFrame, k: int) -> DataFrame:
+    """query_id, chunk_id, sim: of each task's chunks what can be among the k best. Tasks hold a block of query vectors and
+    multiply batches of chunk vectors with it."""
+    found, vectors = None, stored(vectors, "asked").orderBy("query_id")
     n = vectors.count()
-    kind, key = queries.schema["query_id"].dataType.simpleString(), chunks.schema["chunk_id"].dataType.simpleString()
+    kind, key = vectors.schema["query_id"].dataType.simpleString(), chunks.schema["chunk_id"].dataType.simpleString()
     for at in range(0, max(n, 1), QUERY_BLOCK):
         t = vectors.offset(at).limit(QUERY_BLOCK).toArrow()
-        ids = t["query_id"].combine_chunks()
-        rows = np.array(t["vec"].to_pylist(), float).reshape(len(ids), -1)
-        sent = queries.sparkSession.sparkContext.broadcast((ids, _unit(rows)))
+        sent = vectors.sparkSession.sparkContext.broadcast((t["query_id"].combine_chunks(), _vectors(t) if len(t) else None))
 
         def run(batches: Iterator[pa.RecordBatch], sent=sent) -> Iterator[pa.RecordBatch]:
             ids, q = sent.value
+            best = Best(k, _ROUNDED)
             for b in batches:
-                if not len(ids) or not b.num_rows:
-                    continue
-                v = b.column("vec")
-                d = np.asarray(v.flatten(), float).reshape(b.num_rows, -1)
-                sim = np.clip(q @ _unit(d).T, -1, 1)
-                # Scores are compared after rounding: whatever may round to the k-th best goes on.
-                floor = np.partition(sim, -k, axis=1)[:, -k] - 1e-4 if sim.shape[1] > k else np.full(len(ids), -2.0)
-                i, j = np.nonzero(sim >= floor[:, None])
-                yield pa.RecordBatch.from_arrays([ids.take(pa.array(i)), b.column("chunk_id").take(pa.array(j)), pa.array(sim[i, j])], ["query_id", "chunk_id", "sim"])
-
-        part = chunks.filter(F.col("vec").isNotNull()).select("chunk_id", F.col("vec").cast("array<double>").alias("vec")).mapInArrow(run, f"query_id {kind}, chunk_id {key}, sim double")
+                if len(ids) and b.num_rows:
+                    best.add(_cosines(q, _vectors(b)), b.column("chunk_id"))
+            yield from best.rows(["query_id", "chunk_id", "sim"], ids)
+
+        part = chunks.mapInArrow(run, f"query_id {kind}, chunk_id {key}, sim double")
         found = part if found is None else found.unionByName(part)
-    scored = found.select("query_id", "chunk_id", py_round(F.col("sim"), 4).alias("dense_score"))
-    return _top(scored, k, ["query_id"], "dense_score")
+    return found
+
+
+def _dense_cell(left: pa.Table, right: pa.Table, k: int) -> Iterator[pa.RecordBatch]:
+    best, q = Best(k, _ROUNDED), _vectors(right)
+    for a in range(0, left.num_rows, QUERY_BLOCK):
+        part = left.slice(a, QUERY_BLOCK).combine_chunks()
+        best.add(_cosines(q, _vectors(part)), part["chunk_id"].combine_chunks())
+    return best.rows(["collection", "query_id", "chunk_id", "sim"], right["query_id"].combine_chunks(), left["collection"][0])
+
+
+def dense_topk(queries: DataFrame, chunks: DataFrame, k: int) -> DataFrame:
+    """query_id, chunk_id, dense_score (cosine, 4 digits, from -1 to 1), rank: exact, ties by id. A null vector is never
+    found; a zero vector has similarity 0.
+
+    Similarities that can be among the k best are stored when this is called, so that vectors are made once."""
+    by = _by(queries, chunks)
+    rows = lambda df, i: df.filter(F.col("vec").isNotNull()).select(*[F.col(c).cast("string") for c in by], i, F.col("vec").cast("array<double>").alias("vec"))
+    q, c = rows(queries, "query_id"), rows(chunks, "chunk_id")
+    with scratch(chunks.sparkSession):
+        if by:
+            found = met(stored(q, "asked"), stored(c, "vectors"), lambda left, right: _dense_cell(left, right, k), "sim")
+        else:
+            found = _dense_best(q, c, k)
+        found = stored(found, "dense", keep=True)
+    scored = found.select(*by, "query_id", "chunk_id", py_round(F.col("sim"), 4).alias("dense_score"))
+    return _top(scored, k, [*by, "query_id"], "dense_score")
 
 
 def _unit(rows: np.ndarray) -> np.ndarray:
@@ -236,21 +322,27 @@ def rerank_tokens(query: Column, text: Column, dense: Column, lexical: Column, f
 
 
 def hybrid_topk(queries: DataFrame, chunks: DataFrame, k: int, dense_weight: float = 0.6, rerank_weight: float = 0.2, rrf_k: int = 60, lexical_candidates: int = 40) -> DataFrame:
-    """query_id, chunk_id, dense_score, lexical_score, rerank_score, rank: both lists merged, each to its depth."""
-    depth = max(3 * k, k, lexical_candidates)
-    d = dense_topk(queries, chunks, depth).withColumnRenamed("rank", "dense_rank")
-    x = lexical_topk(queries, chunks, depth).withColumnRenamed("rank", "lexical_rank")
-    merged = d.join(x, ["query_id", "chunk_id"], "full_outer").withColumn("fused", rrf(F.col("dense_rank"), F.col("lexical_rank"), rrf_k)).fillna(0.0, ["dense_score", "lexical_score"])
-    # Of the candidates alone the texts are cut into tokens, each once.
-    wanted = small(merged.select("chunk_id").distinct())
-    texts = chunks.select("chunk_id", "text").join(wanted, "chunk_id", "left_semi").select("chunk_id", tokenize(F.col("text")).alias("_t"))
-    full = merged.join(texts, "chunk_id").join(queries.select("query_id", tokenize(F.col("query")).alias("_q")), "query_id")
-    scored = full.withColumn("rerank_score", rerank_tokens(F.col("_q"), F.col("_t"), F.col("dense_score"), F.col("lexical_score"), F.col("fused"), dense_weight, rerank_weight))
-    return _top(scored, k, ["query_id"], "rerank_score").select("query_id", "chunk_id", "dense_score", "lexical_score", "rerank_score", "rank")
+    """query_id, chunk_id, dense_score, lexical_score, rerank_score, rank: both lists merged, each to its depth.
+
+    The result is stored when this is called; so an embedder that made the vectors sees each text once."""
+    by, depth = _by(queries, chunks), max(3 * k, k, lexical_candidates)
+    pair = [*by, "query_id", "chunk_id"]
+    with scratch(chunks.sparkSession):
+        d = dense_topk(queries, chunks, depth).withColumnRenamed("rank", "dense_rank")
+        x = lexical_topk(queries.drop("vec"), chunks.drop("vec"), depth).withColumnRenamed("rank", "lexical_rank")
+        merged = d.join(x, pair, "full_outer").withColumn("fused", rrf(F.col("dense_rank"), F.col("lexical_rank"), rrf_k)).fillna(0.0, ["dense_score", "lexical_score"])
+        merged = stored(merged, "merged")
+        # Of the candidates alone the texts are cut into tokens, each once.
+        wanted = small(merged.select(*by, "chunk_id").distinct())
+        texts = chunks.select(*by, "chunk_id", "text").join(wanted, [*by, "chunk_id"], "left_semi").select(*by, "chunk_id", tokenize(F.col("text")).alias("_t"))
+        full = merged.join(texts, [*by, "chunk_id"]).join(queries.select(*by, "query_id", tokenize(F.col("query")).alias("_q")), [*by, "query_id"])
+        scored = full.withColumn("rerank_score", rerank_tokens(F.col("_q"), F.col("_t"), F.col("dense_score"), F.col("lexical_score"), F.col("fused"), dense_weight, rerank_weight))
+        return stored(_top(scored, k, [*by, "query_id"], "rerank_score").select(*pair, "dense_score", "lexical_score", "rerank_score", "rank"), "hybrid", keep=True)
 
 
 def retrieve(queries: DataFrame, chunks: DataFrame, k: int, mode: str = "dense", **kw) -> DataFrame:
-    """query_id, chunk_id, similarity, rank, dense_score, lexical_score, rerank_score, retrieval_method."""
+    """query_id, chunk_id, similarity, rank, dense_score, lexical_score, rerank_score, retrieval_method; before them
+    collection, if both sides have one."""
     null = F.lit(None).cast("double")
     if mode == "dense":
         out = dense_topk(queries, chunks, k).withColumns({"similarity": F.col("dense_score"), "lexical_score": null, "rerank_score": F.col("dense_score")})
@@ -260,7 +352,7 @@ def retrieve(queries: DataFrame, chunks: DataFrame, k: int, mode: str = "dense",
         out = hybrid_topk(queries, chunks, k, **kw).withColumn("similarity", F.col("rerank_score"))
     else:
         raise ValueError(f"mode must be one of {MODES}: {mode}")
-    return out.select("query_id", "chunk_id", "similarity", "rank", "dense_score", "lexical_score", "rerank_score", F.lit(mode).alias("retrieval_method"))
+    return out.select(*_by(queries, chunks), "query_id", "chunk_id", "similarity", "rank", "dense_score", "lexical_score", "rerank_score", F.lit(mode).alias("retrieval_method"))
 
 
 def candidates(queries: DataFrame, chunks: DataFrame, top_k: int = 4, multiplier: int = 3, mode: str = "dense", **kw) -> DataFrame:

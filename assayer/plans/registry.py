@@ -3,6 +3,7 @@
 from __future__ import annotations
 
 import uuid
+from dataclasses import replace
 
 from pyspark.sql import DataFrame, SparkSession
 from pyspark.sql import functions as F
@@ -10,7 +11,7 @@ from pyspark.sql import functions as F
 from ..functions import citations, text
 from ..functions.numeric import py_round
 from ..operators import answering, chunking, embedding, evaluation, lab, reports, retrieval, storage
-from ..sources import labels, regression_set, uploads
+from ..sources import config, labels, regression_set, uploads
 from ..streaming.landing import latency_windows
 
 QUERIES: dict = {}
@@ -138,6 +139,20 @@ def ingest_manifest(spark, sf_dir):
     return chunking.manifest(pages, chunking.chunk_pages(pages)).withColumn("warnings", F.array_join("warnings", ","))
 
 
+@query("ingest_uploads", """WITH f AS (SELECT 2 * doc_id AS seq, 'doc-' || doc_id || CASE WHEN doc_id % 3 = 0 THEN '.exe' ELSE '.md' END AS source_doc, text FROM documents
+UNION ALL SELECT 2 * doc_id + 1, 'doc-' || doc_id || '.txt', text FROM documents),
+n AS (SELECT *, row_number() OVER (PARTITION BY text, source_doc LIKE '%.exe' ORDER BY seq) AS n FROM f)
+SELECT sha256(text) AS document_hash, source_doc, CASE WHEN source_doc LIKE '%.exe' THEN 'unsupported_type' WHEN n > 1 THEN 'duplicate' END AS error_code FROM n WHERE text <> ''""")
+def ingest_uploads(spark, sf_dir):
+    """Every document uploaded twice, under another name; a third of the first ones with a name that is refused."""
+    d = read(spark, sf_dir, "documents").filter("text <> ''")
+    name = lambda end: F.concat(F.lit("doc-"), F.col("doc_id").cast("string"), end)
+    first = d.select((2 * F.col("doc_id")).alias("seq"), name(F.when(F.col("doc_id") % 3 == 0, ".exe").otherwise(".md")).alias("filename"), F.col("text").cast("binary").alias("content"))
+    second = d.select((2 * F.col("doc_id") + 1).alias("seq"), name(F.lit(".txt")).alias("filename"), F.col("text").cast("binary").alias("content"))
+    limits = replace(config.Config(), max_files=2**62, max_session_chunks=2**62)
+    return chunking.ingest(first.unionByName(second), limits)[1].select("document_hash", "source_doc", "error_code")
+
+
 @query("session_admission", """WITH RECURSIVE t AS (SELECT conv_id, turn, trunc(1 + length(text) / 100.0)::BIGINT AS chunks, row_number() OVER (PARTITION BY conv_id ORDER BY turn) AS n FROM conversations),
 a AS (SELECT DISTINCT conv_id, 0::BIGINT AS n, 0::BIGINT AS total, false AS ok FROM t UNION ALL SELECT t.conv_id, t.n, CASE WHEN a.total + t.chunks <= 12 THEN a.total + t.chunks ELSE a.total END, a.total + t.chunks <= 12 FROM a JOIN t ON t.conv_id = a.conv_id AND t.n = a.n + 1)
 SELECT t.conv_id, t.turn, t.chunks, a.ok AS admitted FROM t JOIN a ON a.conv_id = t.conv_id AND a.n = t.n""")
@@ -313,19 +328,78 @@ HASHED_SQL = """{n}t AS (SELECT {id} AS id, (('0x' || substr(md5(lower(t)), 1, 4
 {n}n AS (SELECT id, sqrt(sum(c * c)) AS norm FROM {n}t GROUP BY id)"""
 
 
+RERANK_SQL = """greatest(0.0, least(1.0, (1.0::DOUBLE - 0.2::DOUBLE) * (0.6::DOUBLE * greatest(0.0, dense_score) + (1.0::DOUBLE - 0.6::DOUBLE) * greatest(0.0, lexical_score)) + 0.2::DOUBLE * (0.55::DOUBLE * (CASE WHEN len(qt) = 0 THEN 0.0 ELSE len(list_intersect(list_distinct(qt), list_distinct(dt)))::DOUBLE / len(list_distinct(qt)) END) + 0.25::DOUBLE * (CASE WHEN length(array_to_string(qt, ' ')) >= 5 AND contains(array_to_string(dt, ' '), array_to_string(qt, ' ')) THEN 1.0 ELSE 0.0 END)::DOUBLE + 0.20::DOUBLE * least(1.0::DOUBLE, fused * 30.5::DOUBLE))))"""
+
+
 @query("hybrid_topk", f"""WITH {lexical_sql(40)}, {HASHED_SQL.format(n='documents', id='doc_id')}, {HASHED_SQL.format(n='benchmark', id='item_id')},
 dots AS (SELECT q.id AS query_id, d.id AS chunk_id, sum(q.c * d.c) AS dot FROM benchmarkt q JOIN documentst d ON q.i = d.i GROUP BY 1, 2),
 al2 AS (SELECT q.item_id AS query_id, d.doc_id AS chunk_id, {r('greatest(-1, least(1, coalesce(dot / (qn.norm * dn.norm), 0.0)))')} AS dense_score FROM benchmark q CROSS JOIN documents d LEFT JOIN dots ON dots.query_id = q.item_id AND dots.chunk_id = d.doc_id LEFT JOIN benchmarkn qn ON qn.id = q.item_id LEFT JOIN documentsn dn ON dn.id = d.doc_id),
 den AS (SELECT *, row_number() OVER (PARTITION BY query_id ORDER BY dense_score DESC, chunk_id) AS rank FROM al2 QUALIFY rank <= 40),
 m AS (SELECT coalesce(den.query_id, lex.query_id) AS query_id, coalesce(den.chunk_id, lex.chunk_id) AS chunk_id, coalesce(dense_score, 0.0) AS dense_score, coalesce(lexical_score, 0.0) AS lexical_score, coalesce(1.0::DOUBLE / (60 + den.rank), 0.0) + coalesce(1.0::DOUBLE / (60 + lex.rank), 0.0) AS fused FROM den FULL JOIN lex ON den.query_id = lex.query_id AND den.chunk_id = lex.chunk_id),
 p AS (SELECT m.*, {tok('q.text')} AS qt, {tok('d.text')} AS dt FROM m JOIN benchmark q ON q.item_id = m.query_id JOIN documents d ON d.doc_id = m.chunk_id),
-f AS (SELECT query_id, chunk_id, dense_score, lexical_score, {r('''greatest(0.0, least(1.0, (1.0::DOUBLE - 0.2::DOUBLE) * (0.6::DOUBLE * greatest(0.0, dense_score) + (1.0::DOUBLE - 0.6::DOUBLE) * greatest(0.0, lexical_score)) + 0.2::DOUBLE * (0.55::DOUBLE * (CASE WHEN len(qt) = 0 THEN 0.0 ELSE len(list_intersect(list_distinct(qt), list_distinct(dt)))::DOUBLE / len(list_distinct(qt)) END) + 0.25::DOUBLE * (CASE WHEN length(array_to_string(qt, ' ')) >= 5 AND contains(array_to_string(dt, ' '), array_to_string(qt, ' ')) THEN 1.0 ELSE 0.0 END)::DOUBLE + 0.20::DOUBLE * least(1.0::DOUBLE, fused * 30.5::DOUBLE))))''', 6)} AS rerank_score FROM p)
+f AS (SELECT query_id, chunk_id, dense_score, lexical_score, {r(RERANK_SQL, 6)} AS rerank_score FROM p)
 SELECT query_id, chunk_id, dense_score, lexical_score, rerank_score, row_number() OVER (PARTITION BY query_id ORDER BY rerank_score DESC, chunk_id)::INTEGER AS rank FROM f QUALIFY rank <= 10""")
 def hybrid_topk(spark, sf_dir):
     q, d = questions(spark, sf_dir), doc_chunks(spark, sf_dir)
     return retrieval.hybrid_topk(embedding.embed(q, "query"), embedding.embed(d), 10)
 
 
+# ---- retrieval within collections --------------------------------------------------------------------------------
+
+
+def shelf_chunks(spark, sf_dir) -> DataFrame:
+    """Documents in collections by language and source."""
+    shelf = F.concat_ws("/", F.coalesce("lang", F.lit("")), F.coalesce("source", F.lit("")))
+    return read(spark, sf_dir, "documents").select(shelf.alias("collection"), F.col("doc_id").alias("chunk_id"), "text")
+
+
+def shelf_questions(spark, sf_dir) -> DataFrame:
+    """Every benchmark item, asked in each collection."""
+    return shelf_chunks(spark, sf_dir).select("collection").distinct().crossJoin(F.broadcast(questions(spark, sf_dir)))
+
+
+SHELF_LEXICAL_SQL = f"""cks AS (SELECT coalesce(lang, '') || '/' || coalesce(source, '') AS collection, doc_id AS chunk_id, text, {tok('text')} AS dt FROM documents),
+qs AS (SELECT collection, item_id AS query_id, text AS query, {tok('text')} AS qt FROM (SELECT DISTINCT collection FROM cks), benchmark),
+tf AS (SELECT collection, chunk_id, length, term, count(*) AS tf FROM (SELECT collection, chunk_id, len(dt) AS length, unnest(dt) AS term FROM cks) GROUP BY ALL),
+qf AS (SELECT collection, query_id, term, count(*) AS qtf FROM (SELECT collection, query_id, unnest(qt) AS term FROM qs) GROUP BY ALL),
+st AS (SELECT collection, count(*) AS n, greatest(1.0, avg(len(dt))) AS mean_length FROM cks GROUP BY collection),
+dfs AS (SELECT collection, term, count(*) AS df FROM tf GROUP BY ALL),
+raw AS (SELECT collection, query_id, chunk_id, sum(qtf * ln(1 + (n - df + 0.5) / (df + 0.5)) * tf * 2.5 / greatest(tf + 1.5 * (1 - 0.75 + 0.75 * length / mean_length), 1e-12)) AS raw
+  FROM qf JOIN tf USING (collection, term) JOIN dfs USING (collection, term) JOIN st USING (collection) GROUP BY ALL),
+sc AS (SELECT collection, query_id, chunk_id, {r('raw / max(raw) OVER (PARTITION BY collection, query_id)', 6)} AS score FROM raw),
+al AS (SELECT qs.collection, qs.query_id, cks.chunk_id, coalesce(sc.score, 0.0) AS score FROM qs JOIN cks USING (collection) LEFT JOIN sc ON sc.collection = qs.collection AND sc.query_id = qs.query_id AND sc.chunk_id = cks.chunk_id),
+ranked AS (SELECT *, row_number() OVER (PARTITION BY collection, query_id ORDER BY score DESC, chunk_id)::INTEGER AS rank FROM al)"""
+SHELF_DENSE_SQL = f"""{HASHED_SQL.format(n='documents', id='doc_id')}, {HASHED_SQL.format(n='benchmark', id='item_id')},
+dots AS (SELECT q.id AS query_id, d.id AS chunk_id, sum(q.c * d.c) AS dot FROM benchmarkt q JOIN documentst d ON q.i = d.i GROUP BY 1, 2),
+sims AS (SELECT collection, query_id, chunk_id, {r('greatest(-1, least(1, coalesce(dot / (qn.norm * dn.norm), 0.0)))')} AS dense_score
+  FROM qs JOIN cks USING (collection) LEFT JOIN dots USING (query_id, chunk_id) LEFT JOIN benchmarkn qn ON qn.id = query_id LEFT JOIN documentsn dn ON dn.id = chunk_id),
+near AS (SELECT *, row_number() OVER (PARTITION BY collection, query_id ORDER BY dense_score DESC, chunk_id)::INTEGER AS rank FROM sims)"""
+
+
+@query("bm25_by_collection", f"WITH {SHELF_LEXICAL_SQL} SELECT collection, query_id, chunk_id, {r('score')} AS lexical_score, rank FROM ranked WHERE rank <= 10")
+def bm25_by_collection(spark, sf_dir):
+    return retrieval.lexical_topk(shelf_questions(spark, sf_dir), shelf_chunks(spark, sf_dir), 10)
+
+
+@query("dense_by_collection", f"WITH {SHELF_LEXICAL_SQL}, {SHELF_DENSE_SQL} SELECT collection, query_id, chunk_id, dense_score, rank FROM near WHERE rank <= 10")
+def dense_by_collection(spark, sf_dir):
+    asked = embedding.embed(questions(spark, sf_dir), "query")
+    asked = shelf_chunks(spark, sf_dir).select("collection").distinct().crossJoin(F.broadcast(asked))
+    return retrieval.dense_topk(asked, embedding.embed(shelf_chunks(spark, sf_dir)), 10)
+
+
+@query("hybrid_by_collection", f"""WITH {SHELF_LEXICAL_SQL}, {SHELF_DENSE_SQL},
+m AS (SELECT collection, query_id, chunk_id, coalesce(dense_score, 0.0) AS dense_score, coalesce(lexical_score, 0.0) AS lexical_score, coalesce(1.0::DOUBLE / (60 + d.rank), 0.0) + coalesce(1.0::DOUBLE / (60 + x.rank), 0.0) AS fused
+  FROM (SELECT * FROM near WHERE rank <= 40) d FULL JOIN (SELECT *, {r('score')} AS lexical_score FROM ranked WHERE rank <= 40) x USING (collection, query_id, chunk_id)),
+p AS (SELECT m.*, qt, dt FROM m JOIN qs USING (collection, query_id) JOIN cks USING (collection, chunk_id)),
+f AS (SELECT collection, query_id, chunk_id, dense_score, lexical_score, {r(RERANK_SQL, 6)} AS rerank_score FROM p)
+SELECT *, row_number() OVER (PARTITION BY collection, query_id ORDER BY rerank_score DESC, chunk_id)::INTEGER AS rank FROM f QUALIFY rank <= 10""")
+def hybrid_by_collection(spark, sf_dir):
+    asked = embedding.embed(questions(spark, sf_dir), "query")
+    asked = shelf_chunks(spark, sf_dir).select("collection").distinct().crossJoin(F.broadcast(asked))
+    return retrieval.hybrid_topk(asked, embedding.embed(shelf_chunks(spark, sf_dir)), 10)
+
+
 # ---- gate, context, citations ------------------------------------------------------------------------------------
 
 
