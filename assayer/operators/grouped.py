@@ -6,6 +6,7 @@ from collections.abc import Callable, Iterator
 
 import numpy as np
 import pyarrow as pa
+import pyarrow.compute as pc
 from pyspark.sql import DataFrame
 from pyspark.sql import functions as F
 
@@ -20,31 +21,32 @@ def small(df: DataFrame) -> DataFrame:
 
 
 class Best:
-    """The k best chunks of each question over many batches, and all whose score is no further than slack from the k-th."""
+    """The k best chunks of each question over many batches, and those whose score is no further than slack from the k-th."""
 
     def __init__(self, k: int, slack: float | np.ndarray):
         self.k, self.slack, self.held = k, slack, []
 
-    def add(self, scores: np.ndarray, ids: pa.Array, over: float = -np.inf) -> None:
-        """scores: of questions by chunks; only those above `over` count."""
+    def add(self, scores: np.ndarray, ids: pa.Array, over: float = -np.inf, who: np.ndarray | None = None) -> None:
+        """scores: of questions (all, or those numbered in who) by chunks; only those above `over` count."""
+        slack = self.slack if who is None or not np.ndim(self.slack) else self.slack[who]
         floor = np.full(len(scores), -np.inf)
         if scores.shape[1] > self.k:
-            floor = np.partition(scores, -self.k, axis=1)[:, -self.k] - self.slack
+            floor = np.partition(scores, -self.k, axis=1)[:, -self.k] - slack
         i, j = np.nonzero((scores >= floor[:, None]) & (scores > over))
-        self.held.append((i, ids.take(pa.array(j)), scores[i, j]))
+        self.held.append((i if who is None else who[i], ids.take(pa.array(j)), scores[i, j]))
         if sum(len(x[0]) for x in self.held) > max(1 << 16, 4 * self.k * len(scores)):
             self._prune()
 
     def _prune(self) -> None:
-        i = np.concatenate([x[0] for x in self.held])
+        i, score = (np.concatenate([x[n] for x in self.held]) for n in (0, 2))
         ids = pa.concat_arrays([x[1] for x in self.held])
-        score = np.concatenate([x[2] for x in self.held])
-        order = np.lexsort((-score, i))
-        i, score = i[order], score[order]
-        first = np.searchsorted(i, i)
-        slack = np.broadcast_to(self.slack, (int(i.max()) + 1 if len(i) and np.ndim(self.slack) == 0 else np.size(self.slack),))
+        order = pc.sort_indices(pa.table({"i": i, "score": score, "id": ids}), [("i", "ascending"), ("score", "descending"), ("id", "ascending")]).to_numpy()
+        i, score, n = i[order], score[order], np.arange(len(i))
+        begin = lambda change: np.maximum.accumulate(np.where(np.concatenate([[True], change]), n, 0)) if len(n) else n
+        first, same = begin(i[1:] != i[:-1]), begin((i[1:] != i[:-1]) | (score[1:] != score[:-1]))
         last = np.minimum(first + self.k - 1, np.searchsorted(i, i, "right") - 1)
-        keep = score >= score[last] - slack[i] if len(i) else np.zeros(0, bool)
+        # Of equal scores the k smallest ids are enough; so copies don't pile up.
+        keep = (n - same < self.k) & (score >= score[last] - (self.slack[i] if np.ndim(self.slack) else self.slack))
         self.held = [(i[keep], ids.take(pa.array(order[keep])), score[keep])]
 
     def rows(self, names: list[str], questions: pa.Array, collection: pa.Scalar | None = None) -> Iterator[pa.RecordBatch]:

@@ -4,6 +4,7 @@ from __future__ import annotations
 
 import re
 import tempfile
+import threading
 import uuid
 from collections.abc import Iterator
 from contextlib import contextmanager
@@ -25,29 +26,42 @@ def shared_dir(spark: SparkSession) -> str:
     return sc.getCheckpointDir()
 
 
-_OPEN: list[list[str]] = []
+class _Open(threading.local):
+    """Paths of each scratch() that is open in this thread."""
+
+    def __init__(self):
+        self.stack: list[list[str]] = []
+
+
+_OPEN = _Open()
 
 
 @contextmanager
 def scratch(spark: SparkSession) -> Iterator[None]:
     """What is stored within is deleted at the end, but for what is kept. Results must not read it lazily afterwards."""
-    _OPEN.append([])
+    _OPEN.stack.append([])
     try:
         yield
     finally:
         jvm, conf = spark.sparkContext._jvm, spark.sparkContext._jsc.hadoopConfiguration()
-        for path in _OPEN.pop():
+        for path in _OPEN.stack.pop():
             p = jvm.org.apache.hadoop.fs.Path(path)
             p.getFileSystem(conf).delete(p, True)
 
 
-def stored(df: DataFrame, what: str, keep: bool = False) -> DataFrame:
-    """Writes df as Parquet into the shared folder and reads it back: lineage ends there, and each reader scans it. It stays
-    as long as the scratch() around it; with keep, as the one around that. Without one, it is the caller's to delete."""
-    spark = df.sparkSession
+def place(spark: SparkSession, what: str, keep: bool = False) -> str:
+    """A new path in the shared folder. What is written there stays as long as the scratch() around it; with keep, as the one
+    around that. Without one, it is the caller's to delete."""
     path = f"{shared_dir(spark).rstrip('/')}/{what}-{uuid.uuid4().hex}"
-    around = _OPEN[: len(_OPEN) - keep]
+    around = _OPEN.stack[: len(_OPEN.stack) - keep]
     if around:
         around[-1].append(path)
+    return path
+
+
+def stored(df: DataFrame, what: str, keep: bool = False) -> DataFrame:
+    """Writes df as Parquet into a place() and reads it back: lineage ends there, and each reader scans it."""
+    spark = df.sparkSession
+    path = place(spark, what, keep)
     df.write.parquet(path)
     return spark.read.schema(df.schema).parquet(path)

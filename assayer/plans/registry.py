@@ -10,7 +10,7 @@ from pyspark.sql import functions as F
 
 from ..functions import citations, text
 from ..functions.numeric import py_round
-from ..operators import answering, chunking, embedding, evaluation, lab, reports, retrieval, storage
+from ..operators import ann, answering, chunking, embedding, evaluation, lab, reports, retrieval, storage
 from ..sources import config, labels, regression_set, uploads
 from ..streaming.landing import latency_windows
 
@@ -324,6 +324,14 @@ def dense_topk(spark, sf_dir):
     return retrieval.dense_topk(vector_queries(spark, sf_dir), vector_chunks(spark, sf_dir), 10)
 
 
+@query("dense_index_topk")
+def dense_index_topk(spark, sf_dir):
+    """As dense_topk through a stored index of lists; approximate, so tests measure its recall instead of SQL."""
+    with storage.scratch(spark):
+        index = ann.build(vector_chunks(spark, sf_dir), storage.place(spark, "index"))
+        return storage.stored(ann.search(index, vector_queries(spark, sf_dir), 10), "nearest", keep=True)
+
+
 HASHED_SQL = """{n}t AS (SELECT {id} AS id, (('0x' || substr(md5(lower(t)), 1, 4))::BIGINT % 64) AS i, count(*) AS c FROM (SELECT {id}, unnest(regexp_extract_all(text, '[a-zA-Z0-9]+')) AS t FROM {n}) GROUP BY 1, 2),
 {n}n AS (SELECT id, sqrt(sum(c * c)) AS norm FROM {n}t GROUP BY id)"""
 
