@@ -98,12 +98,12 @@ def admit(uploads: DataFrame, limit: int, present: int = 0, session: str = "sess
     return uploads.join(taken, session).withColumn("admitted", F.array_contains("taken", F.col(order))).drop("taken")
 
 
-def upsert(old: DataFrame, new: DataFrame, key: str = "chunk_id") -> DataFrame:
+def upsert(old: DataFrame, new: DataFrame, key: str | list[str] = "chunk_id") -> DataFrame:
     """New rows in place of old ones with the same key; of new rows with one key, the last by seq if there is one."""
     if "seq" in new.columns:
-        w = Window.partitionBy(key).orderBy(F.desc("seq"))
+        w = Window.partitionBy(*([key] if isinstance(key, str) else key)).orderBy(F.desc("seq"))
         new = new.withColumn("_n", F.row_number().over(w)).filter("_n = 1").drop("_n", "seq")
-    return old.join(new.select(key), key, "left_anti").unionByName(new)
+    return old.join(new.select(key), key, "left_anti").select(old.columns).unionByName(new)
 
 
 def collection_name(session: Column, prefix: str = "evidence_") -> Column:

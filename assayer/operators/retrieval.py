@@ -218,9 +218,14 @@ def lexical_topk(queries: DataFrame, chunks: DataFrame, k: int, **kw) -> DataFra
     """query_id, chunk_id, lexical_score (4 digits), rank. Chunks without a common term fill up to k by id; at least one.
 
     What is scored is stored when this is called."""
-    by, k = _by(queries, chunks), max(1, k)
     with scratch(chunks.sparkSession):
-        raw = stored((_lexical_grouped if by else _lexical_best)(queries, chunks, k, **kw), "lexical", keep=True)
+        raw = stored((_lexical_grouped if _by(queries, chunks) else _lexical_best)(queries, chunks, max(1, k), **kw), "lexical", keep=True)
+    return ranked(raw, queries, chunks, k)
+
+
+def ranked(raw: DataFrame, queries: DataFrame, chunks: DataFrame, k: int) -> DataFrame:
+    """As lexical_topk(), from raw, which holds each question's best and all that may round to them. Of chunks only ids are read."""
+    by, k = _by(queries, chunks), max(1, k)
     best = F.max("raw").over(Window.partitionBy(*by, "query_id"))
     scored = raw.select(*by, "query_id", "chunk_id", py_round(F.col("raw") / best, 6).alias("score"))
     scored = _top(scored, k, [*by, "query_id"]).drop("rank")

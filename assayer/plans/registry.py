@@ -10,7 +10,7 @@ from pyspark.sql import functions as F
 
 from ..functions import citations, text
 from ..functions.numeric import py_round
-from ..operators import ann, answering, chunking, embedding, evaluation, lab, reports, retrieval, storage
+from ..operators import ann, answering, chunking, embedding, evaluation, inverted, lab, reports, retrieval, storage, tables
 from ..sources import config, labels, regression_set, uploads
 from ..streaming.landing import latency_windows
 
@@ -169,6 +169,42 @@ def upsert_latest(spark, sf_dir):
     return chunking.upsert(old, both)
 
 
+STORED_SQL = """st AS (SELECT coalesce(lang, '') AS collection, doc_id AS chunk_id, CASE WHEN doc_id % 7 = 0 THEN text || ' revised revised' ELSE text END AS text
+  FROM documents WHERE coalesce(lang, '') <> 'fr' AND doc_id % 11 <> 0 UNION ALL SELECT coalesce(lang, ''), doc_id, text FROM documents WHERE coalesce(lang, '') = 'fr' AND doc_id % 5 = 0)"""
+
+
+def changed_table(spark, sf_dir) -> tables.ChunkTable:
+    """Documents as a stored table in collections by language: some revised (twice in one change), some deleted, a collection
+    cleared and filled again in part."""
+    d = read(spark, sf_dir, "documents").select(F.coalesce("lang", F.lit("")).alias("collection"), F.col("doc_id").alias("chunk_id"), "text")
+    table = tables.ChunkTable(spark, storage.place(spark, "table"), "collection string, chunk_id long, text string")
+    table.upsert(d)
+    revised = d.filter("chunk_id % 7 = 0")
+    text_of = lambda n: F.concat("text", F.lit(" revised" * n)).alias("text")
+    table.upsert(revised.select(*tables.KEY, text_of(1), F.lit(1).alias("seq")).unionByName(revised.select(*tables.KEY, text_of(2), F.lit(2).alias("seq"))))
+    table.delete(d.filter("chunk_id % 11 = 0"))
+    table.clear("fr")
+    table.upsert(d.filter("collection = 'fr' and chunk_id % 5 = 0"))
+    return table
+
+
+@query("stored_chunks", f"WITH {STORED_SQL} SELECT collection, chunk_id, sha256(text) AS text_sha256 FROM st")
+def stored_chunks(spark, sf_dir):
+    with storage.scratch(spark):
+        rows = changed_table(spark, sf_dir).read()
+        return storage.stored(rows.select(*tables.KEY, F.sha2(F.col("text").cast("binary"), 256).alias("text_sha256")), "rows", keep=True)
+
+
+@query("stored_term_stats", f"""WITH {STORED_SQL}, tk AS (SELECT collection, chunk_id, {tok('text')} AS t FROM st),
+tf AS (SELECT collection, chunk_id, term, count(*) AS n FROM (SELECT collection, chunk_id, unnest(t) AS term FROM tk) GROUP BY ALL)
+SELECT collection, NULL::VARCHAR AS term, count(*) AS chunks, sum(len(t))::BIGINT AS tokens, 0::BIGINT AS df, 0::BIGINT AS total_tf FROM tk GROUP BY collection
+UNION ALL SELECT collection, term, 0, 0, count(*), sum(n)::BIGINT FROM tf GROUP BY collection, term""")
+def stored_term_stats(spark, sf_dir):
+    """The table's statistics, from the deltas of its changes."""
+    with storage.scratch(spark):
+        return storage.stored(changed_table(spark, sf_dir).statistics(), "statistics", keep=True)
+
+
 @query("document_names", "SELECT DISTINCT source AS source_doc FROM documents")
 def document_names(spark, sf_dir):
     return chunking.document_names(read(spark, sf_dir, "documents").withColumnRenamed("source", "source_doc"))
@@ -305,6 +341,23 @@ def coverage_phrase(spark, sf_dir):
     return pairs.select("query_id", "chunk_id", text.coverage(F.col("query"), F.col("text")).alias("coverage"), text.phrase_bonus(F.col("query"), F.col("text")).alias("phrase"))
 
 
+@query("inverted_topk", ORACLES["bm25_topk"])
+def inverted_topk(spark, sf_dir):
+    """bm25_topk through a stored index."""
+    with storage.scratch(spark):
+        index = inverted.build(doc_chunks(spark, sf_dir), storage.place(spark, "index"))
+        return storage.stored(inverted.search(index, questions(spark, sf_dir), 10), "found", keep=True)
+
+
+@query("inverted_matches", ORACLES["coverage_phrase"])
+def inverted_matches(spark, sf_dir):
+    """coverage_phrase from the index's positions: no text is read again."""
+    with storage.scratch(spark):
+        index = inverted.build(doc_chunks(spark, sf_dir), storage.place(spark, "index"))
+        found = inverted.search(index, questions(spark, sf_dir), 10)
+        return storage.stored(inverted.matches(index, found, questions(spark, sf_dir)), "matches", keep=True)
+
+
 def vector_queries(spark, sf_dir) -> DataFrame:
     """The fixed query set: every vector whose id is divisible by 100."""
     return read(spark, sf_dir, "embeddings").filter("vec_id % 100 = 0").select(F.col("vec_id").alias("query_id"), F.col("embedding").alias("vec"))
