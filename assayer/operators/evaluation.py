@@ -125,13 +125,13 @@ def evaluate(gold: DataFrame, traces: DataFrame, answer_f1_threshold: float = 0.
 
 def judged(traces: DataFrame, provider) -> DataFrame:
     """Adds faithfulness (0 to 1), unsupported_claims, judge_reason and judge_failed, as a judging model says. Refusals aren't
-    judged, unless a rejected draft is there: they and failures have null."""
+    judged, unless a rejected draft is there: they and failures have null. Answers without evidence are judged."""
     from ..sources.providers import ProviderError, judge
     from .answering import _asked
 
     draft = F.when(~F.col("is_refusal"), F.coalesce("generated_answer", "answer")).otherwise(F.col("generated_answer"))
     evidence = F.array_join(F.transform("retrieved", lambda r, i: F.concat(F.lit("[S"), (i + 1).cast("string"), F.lit("] "), r["text"])), "\n\n")
-    rows = traces.withColumn("_prompt", F.when(F.size("retrieved") > 0, F.concat(F.lit("EVIDENCE:\n"), evidence, F.lit("\n\nANSWER:\n"), draft)))
+    rows = traces.withColumn("_prompt", F.concat(F.lit("QUESTION:\n"), F.coalesce("standalone_query", "query"), F.lit("\n\nEVIDENCE:\n"), evidence, F.lit("\n\nANSWER:\n"), draft))
 
     @F.udf("score double, claims array<string>, reason string")
     def read(text):

@@ -100,12 +100,13 @@ def load_cases(spark: SparkSession, text: str) -> DataFrame:
 RUN = (
     "run_id string, created_at string, variant string, metrics map<string,double>, confusion map<string,bigint>, failure_counts map<string,bigint>, "
     "cases array<struct<case_id:string,query:string,expected_answerable:boolean,predicted_answerable:boolean,correct:boolean,answer_exact_match:double,answer_token_f1:double,retrieval_recall:double,"
-    "reciprocal_rank:double,citation_precision:double,citation_recall:double,citation_f1:double,rewrite_token_f1:double,confidence_score:double,latency_seconds:double,failures:array<string>,tags:array<string>>>"
+    "reciprocal_rank:double,citation_precision:double,citation_recall:double,citation_f1:double,rewrite_token_f1:double,confidence_score:double,latency_seconds:double,failures:array<string>,tags:array<string>>>, metadata string"
 )
 
 
 def read_runs(spark: SparkSession, path: str) -> DataFrame:
-    """Stored runs; a file that isn't one fails the read."""
+    """Stored runs; a file that isn't one fails the read. metadata is its JSON text (null: none), whose fields follow the
+    run; it is written and read again as such."""
     return spark.read.schema(RUN).option("multiLine", True).option("mode", "FAILFAST").json(path)
 
 

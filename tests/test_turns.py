@@ -1,5 +1,6 @@
 """Whole turns, labelled runs, ingestion, judging and stored runs."""
 
+import json
 from dataclasses import replace
 
 import pytest
@@ -106,8 +107,17 @@ def test_judge(spark, chunks):
 
     q = spark.createDataFrame([(1, "kite permit"), (2, "sales"), (3, "zzz")], "query_id int, query string")
     traces = answering.turn(q, chunks, answering.Extractive(), "lexical", 0.3, k=1)
-    got = {r.query_id: (r.faithfulness, r.judge_failed) for r in evaluation.judged(traces, Judge()).collect()}
+    told = evaluation.judged(traces, Judge())
+    got = {r.query_id: (r.faithfulness, r.judge_failed) for r in told.collect()}
     assert got == {1: (0.5, False), 2: (None, True), 3: (None, False)}
+    none = traces.filter("query_id = 1").withColumn("retrieved", F.filter("retrieved", lambda r: F.lit(False)))
+    assert evaluation.judged(none, Judge()).first().faithfulness == 0.5
+
+    class Echo(Judge):
+        def complete(self, prompts):
+            return ['{"score": 1, "unsupported_claims": [], "reasoning": "question was there"}' if u.startswith("QUESTION:\nkite permit\n") else "no" for _, u in prompts]
+
+    assert evaluation.judged(none, Echo()).first().judge_reason == "question was there"
 
 
 def test_runs_are_read_back(spark, tmp_path):
@@ -116,6 +126,10 @@ def test_runs_are_read_back(spark, tmp_path):
     assert len(run.first().metadata.telemetry) == c.count()
     labels.write_jsonl(run, f"{tmp_path}/run")
     back = labels.read_runs(spark, f"{tmp_path}/run").first()
+    metadata = json.loads(back.metadata)
+    assert len(metadata["telemetry"]) == c.count() and metadata["efficiency"]
+    labels.write_jsonl(labels.read_runs(spark, f"{tmp_path}/run"), f"{tmp_path}/again")
+    assert json.loads(labels.read_runs(spark, f"{tmp_path}/again").first().metadata) == metadata
     assert len(back.cases) == c.count() and back.variant == "first" and back.metrics["cases"] == c.count()
     counts = [r["count"] for r in reports.failure_counts(c).collect()]
     assert counts == sorted(counts, reverse=True) and sum(back.failure_counts.values()) == sum(counts)
