@@ -93,5 +93,10 @@ def phrase_bonus(query: Column, text: Column) -> Column:
 
 def token_phrase(query: Column, text: Column) -> Column:
     """As phrase_bonus(), of arrays of tokens."""
+    return joined_phrase(query, F.array_join(text, " "))
+
+
+def joined_phrase(query: Column, text: Column) -> Column:
+    """As token_phrase(), of a text whose tokens are joined by blanks."""
     q = F.array_join(query, " ")
-    return F.when((F.length(q) >= 5) & F.contains(F.array_join(text, " "), q), F.lit(1.0)).otherwise(F.lit(0.0))
+    return F.when((F.length(q) >= 5) & F.contains(text, q), F.lit(1.0)).otherwise(F.lit(0.0))

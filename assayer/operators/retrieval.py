@@ -20,8 +20,8 @@ from pyspark.sql import Column, DataFrame, Window
 from pyspark.sql import functions as F
 
 from ..functions.numeric import clamp, py_round
-from ..functions.text import STOP_WORDS, token_coverage, token_phrase, tokenize
-from .grouped import Best, met, small
+from ..functions.text import STOP_WORDS, joined_phrase, token_coverage, token_phrase, tokenize
+from .grouped import BROADCAST_ROWS, Best, met, small
 from .storage import scratch, stored
 
 #: Query vectors held at once in a task; more are taken in further passes.
@@ -165,14 +165,18 @@ def _lexical_best(queries: DataFrame, chunks: DataFrame, k: int, k1: float = 1.5
     return found
 
 
-def _tokens(chunks: DataFrame) -> DataFrame:
-    """collection, chunk_id, length, terms and tfs of each chunk."""
+def _tokens(chunks: DataFrame, asked: DataFrame) -> DataFrame:
+    """collection, chunk_id, length (of all terms), terms and tfs of each chunk: of the terms asked for, if these are few."""
     key = chunks.schema["chunk_id"].dataType.simpleString()
+    some = asked.limit(BROADCAST_ROWS + 1).toArrow()["term"].to_pylist()
+    wanted = chunks.sparkSession.sparkContext.broadcast(frozenset(some) if len(some) <= BROADCAST_ROWS else None)
 
     def run(batches: Iterator[pa.RecordBatch]) -> Iterator[pa.RecordBatch]:
         for b in batches:
             counts = [Counter(_terms(t)) for t in b.column("text").to_pylist()]
             lengths = pa.array([sum(c.values()) for c in counts], pa.int64())
+            if (few := wanted.value) is not None:
+                counts = [{t: n for t, n in c.items() if t in few} for c in counts]
             yield pa.RecordBatch.from_arrays(
                 [b.column("collection"), b.column("chunk_id"), lengths, pa.array([list(c) for c in counts], pa.list_(pa.string())), pa.array([list(c.values()) for c in counts], pa.list_(pa.int64()))],
                 ["collection", "chunk_id", "length", "terms", "tfs"],
@@ -204,7 +208,7 @@ def _lexical_grouped(queries: DataFrame, chunks: DataFrame, k: int, k1: float =
     """As _lexical_best(), by collection: chunks are cut into tokens once, and go to where their collection's questions are."""
     q = queries.select(F.col("collection").cast("string"), "query_id", F.explode(tokenize(F.col("query"))).alias("term")).groupBy("collection", "query_id", "term").agg(F.count("*").alias("qtf"))
     q = stored(q.filter("collection is not null"), "asked")
-    tokens = stored(_tokens(chunks.join(small(q.select("collection").distinct()), "collection", "left_semi")), "tokens")
+    tokens = stored(_tokens(chunks.join(small(q.select("collection").distinct()), "collection", "left_semi"), q.select("term").distinct()), "tokens")
     sizes = tokens.groupBy("collection").agg(F.count("*").alias("n"), F.greatest(F.lit(1.0), F.avg("length")).alias("mean_length"))
     posting = tokens.select("collection", F.explode("terms").alias("term")).join(small(q.select("collection", "term").distinct()), ["collection", "term"], "left_semi")
     df = posting.groupBy("collection", "term").agg(F.count("*").alias("df"))
@@ -320,9 +324,13 @@ def rerank(query: Column, text: Column, dense: Column, lexical: Column, fused: C
 
 def rerank_tokens(query: Column, text: Column, dense: Column, lexical: Column, fused: Column, dense_weight: float = 0.6, rerank_weight: float = 0.2) -> Column:
     """As rerank(), of arrays of tokens."""
+    return _blended(token_coverage(query, text), token_phrase(query, text), dense, lexical, fused, dense_weight, rerank_weight)
+
+
+def _blended(coverage: Column, phrase: Column, dense: Column, lexical: Column, fused: Column, dense_weight: float, rerank_weight: float) -> Column:
     w, r = min(1.0, max(0.0, dense_weight)), min(1.0, max(0.0, rerank_weight))
     base = w * F.greatest(F.lit(0.0), dense) + (1.0 - w) * F.greatest(F.lit(0.0), lexical)
-    signal = 0.55 * token_coverage(query, text) + 0.25 * token_phrase(query, text) + 0.20 * F.least(F.lit(1.0), fused * 30.5)
+    signal = 0.55 * coverage + 0.25 * phrase + 0.20 * F.least(F.lit(1.0), fused * 30.5)
     return py_round(clamp((1.0 - r) * base + r * signal), 6)
 
 
@@ -337,11 +345,11 @@ def hybrid_topk(queries: DataFrame, chunks: DataFrame, k: int, dense_weight: flo
         x = lexical_topk(queries.drop("vec"), chunks.drop("vec"), depth).withColumnRenamed("rank", "lexical_rank")
         merged = d.join(x, pair, "full_outer").withColumn("fused", rrf(F.col("dense_rank"), F.col("lexical_rank"), rrf_k)).fillna(0.0, ["dense_score", "lexical_score"])
         merged = stored(merged, "merged")
-        # Of the candidates alone the texts are cut into tokens, each once.
+        # Of the candidates alone the texts are cut into tokens, each once; joined again, they are half as large in the shuffle.
         wanted = small(merged.select(*by, "chunk_id").distinct())
-        texts = chunks.select(*by, "chunk_id", "text").join(wanted, [*by, "chunk_id"], "left_semi").select(*by, "chunk_id", tokenize(F.col("text")).alias("_t"))
+        texts = chunks.select(*by, "chunk_id", "text").join(wanted, [*by, "chunk_id"], "left_semi").select(*by, "chunk_id", F.array_join(tokenize(F.col("text")), " ").alias("_t"))
         full = merged.join(texts, [*by, "chunk_id"]).join(queries.select(*by, "query_id", tokenize(F.col("query")).alias("_q")), [*by, "query_id"])
-        scored = full.withColumn("rerank_score", rerank_tokens(F.col("_q"), F.col("_t"), F.col("dense_score"), F.col("lexical_score"), F.col("fused"), dense_weight, rerank_weight))
+        scored = full.withColumn("rerank_score", _blended(token_coverage(F.col("_q"), F.split("_t", " ")), joined_phrase(F.col("_q"), F.col("_t")), F.col("dense_score"), F.col("lexical_score"), F.col("fused"), dense_weight, rerank_weight))
         return stored(_top(scored, k, [*by, "query_id"], "rerank_score").select(*pair, "dense_score", "lexical_score", "rerank_score", "rank"), "hybrid", keep=True)
 
 
