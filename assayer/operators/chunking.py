@@ -55,19 +55,22 @@ def placed(page: str, texts: Iterator[str], overlap: int) -> Iterator[tuple[str,
         yield t, start, cursor
 
 
-def chunk_pages(pages: DataFrame, size: int = 1800, overlap: int = 220, keep: list[str] | None = None) -> DataFrame:
+def chunk_pages(pages: DataFrame, size: int | str = 1800, overlap: int | str = 220, keep: list[str] | None = None) -> DataFrame:
     """pages (document_hash, source_doc, page_number, text) to chunks: chunk_id, document_hash, source_doc, page_number,
     text, char_start, char_end; with further columns to keep. Pages without text have no chunks. The fold over units depends on
-    the data, so it runs in Arrow batches; a page is handled where it is read."""
+    the data, so it runs in Arrow batches; a page is handled where it is read. size and overlap are numbers, or columns to keep
+    that give each page its own."""
     keep = keep or []
+    each = lambda b, x: b.column(x).to_pylist() if isinstance(x, str) else [x] * b.num_rows
     names = [*keep, "chunk_id", "document_hash", "source_doc", "page_number", "text", "char_start", "char_end"]
     own = [pages.schema[c] for c in keep]
 
     def run(batches: Iterator[pa.RecordBatch]) -> Iterator[pa.RecordBatch]:
         for b in batches:
             take, rows = [], []
-            for i, (key, name, number, text, parts) in enumerate(zip(*(b.column(c).to_pylist() for c in ("document_hash", "source_doc", "page_number", "text", "parts")), strict=True)):
-                for k, (t, start, end) in enumerate(placed(text, packed(parts, size, overlap), overlap), 1):
+            columns = (b.column(c).to_pylist() for c in ("document_hash", "source_doc", "page_number", "text", "parts"))
+            for i, (key, name, number, text, parts, most, again) in enumerate(zip(*columns, each(b, size), each(b, overlap), strict=True)):
+                for k, (t, start, end) in enumerate(placed(text, packed(parts, most, again), again), 1):
                     take.append(i)
                     rows.append((f"{key[:12]}_p{number}_c{k}", key, name, number, t, start, end))
             kinds = [pa.string(), pa.string(), pa.string(), pa.int32(), pa.string(), pa.int32(), pa.int32()]

@@ -9,6 +9,7 @@ from ..functions.numeric import f1, py_round, ratio
 from . import chunking, retrieval
 from .evaluation import hits, identities, wanted
 from .reports import mean4
+from .storage import scratch, stored
 
 # Default grids, which way metrics are better, and tolerances.
 THRESHOLDS = [i / 20 for i in range(2, 17)]
@@ -32,12 +33,14 @@ def probe_queries(gold: DataFrame) -> DataFrame:
 
 
 def probes(gold: DataFrame, retrieved: DataFrame, chunks: DataFrame) -> DataFrame:
-    """A row for each case: its labels and its candidates in order (chunk_id, source_doc, similarity)."""
-    found = retrieved.join(chunks.select("chunk_id", "source_doc"), "chunk_id").groupBy(F.col("query_id").alias("case_id"), "retrieval_method")
+    """A row for each case: its labels and its candidates in order (chunk_id, source_doc, similarity). With collection on both
+    sides a row for each case and collection in which anything is found."""
+    by = ["collection"] if "collection" in retrieved.columns and "collection" in chunks.columns else []
+    found = retrieved.join(chunks.select(*by, "chunk_id", "source_doc"), [*by, "chunk_id"]).groupBy(F.col("query_id").alias("case_id"), "retrieval_method", *by)
     items = found.agg(F.transform(F.array_sort(F.collect_list(F.struct("rank", "chunk_id", "source_doc", "similarity"))), lambda x: x.dropFields("rank")).alias("candidates"))
     cases = gold.select("case_id", "expected_answerable", "expected_chunk_ids", "expected_source_docs")
-    modes = items.select("retrieval_method").distinct()
-    full = cases.crossJoin(F.broadcast(modes)).join(items, ["case_id", "retrieval_method"], "left")
+    modes = items.select("retrieval_method", *by).distinct()
+    full = cases.crossJoin(F.broadcast(modes)).join(items, ["case_id", "retrieval_method", *by], "left")
     return full.withColumn("candidates", F.coalesce("candidates", F.array().cast(full.schema["candidates"].dataType))).withColumnRenamed("retrieval_method", "mode")
 
 
@@ -80,15 +83,22 @@ def retrieval_ablation(cases: DataFrame, top_ks: list[int] | None = None, thresh
 
 
 def chunking_ablation(gold: DataFrame, pages: DataFrame, embedder, sizes: list[int] | None = None, overlaps: list[int] | None = None, mode: str = "hybrid", top_k: int = 4, threshold: float = 0.4) -> DataFrame:
-    """Retrieval figures for each chunk size and overlap (under the size), the best first."""
-    out, spark = None, gold.sparkSession
-    for seq, (size, overlap) in enumerate((s, o) for s in sizes or CHUNK_SIZES for o in overlaps or OVERLAPS if o < s):
-        chunks = embedder(chunking.chunk_pages(pages, size, overlap))
-        found = retrieval.retrieve(embedder(probe_queries(gold), "query"), chunks, top_k, mode)
-        cell = spark.createDataFrame([(seq, top_k, threshold)], "seq int, top_k int, threshold double")
-        row = score_probes(probes(gold, found, chunks), cell).withColumns({"chunk_size": F.lit(size), "overlap": F.lit(overlap)}).crossJoin(chunks.agg(F.count("*").alias("indexed_chunks")))
-        out = row if out is None else out.unionByName(row)
-    return out.orderBy(F.desc("balanced_accuracy"), F.desc("retrieval_recall_at_k"), F.desc("mrr"), "seq")
+    """Retrieval figures for each chunk size and overlap (under the size), the best first.
+
+    Each cell of the grid is a collection: one plan cuts, indexes, searches and scores all of them, each by its own statistics.
+    Chunks are made where they are read, not stored: they are the grid times as large as the pages."""
+    cells = [(f"{s}/{o}", s, o) for s in sizes or CHUNK_SIZES for o in overlaps or OVERLAPS if o < s]
+    variants = gold.sparkSession.createDataFrame([(seq, *c) for seq, c in enumerate(cells)], "seq int, collection string, chunk_size int, overlap int")
+    each = pages.crossJoin(F.broadcast(variants.drop("seq")))
+    with scratch(gold.sparkSession):
+        chunks = chunking.chunk_pages(each, "chunk_size", "overlap", ["collection", "chunk_size", "overlap"])
+        asked = variants.select("collection").crossJoin(stored(embedder(probe_queries(gold), "query"), "probes"))
+        found = retrieval.retrieve(asked, embedder(chunks), top_k, mode)
+        counts = chunks.groupBy("collection").agg(F.count("*").alias("indexed_chunks"))
+        cell = gold.sparkSession.createDataFrame([(0, top_k, threshold)], "seq int, top_k int, threshold double")
+        rows = score_probes(probes(gold, found, chunks), cell, ["mode", "collection"]).drop("seq")
+        rows = stored(rows.join(F.broadcast(variants), "collection").join(counts, "collection").drop("collection"), "grid", keep=True)
+    return rows.orderBy(F.desc("balanced_accuracy"), F.desc("retrieval_recall_at_k"), F.desc("mrr"), "seq")
 
 
 def compare_runs(base: DataFrame, candidate: DataFrame, tolerance: float = 0.02) -> DataFrame:

@@ -10,7 +10,7 @@ from pyspark.sql import functions as F
 
 from ..functions import citations, text
 from ..functions.numeric import py_round
-from ..operators import ann, answering, chunking, embedding, evaluation, inverted, lab, reports, retrieval, storage, tables
+from ..operators import ann, answering, chunking, embedding, evaluation, evidence, inverted, lab, reports, retrieval, storage, tables
 from ..sources import config, labels, regression_set, uploads
 from ..streaming.landing import latency_windows
 
@@ -419,8 +419,7 @@ def shelf_questions(spark, sf_dir) -> DataFrame:
     return shelf_chunks(spark, sf_dir).select("collection").distinct().crossJoin(F.broadcast(questions(spark, sf_dir)))
 
 
-SHELF_LEXICAL_SQL = f"""cks AS (SELECT coalesce(lang, '') || '/' || coalesce(source, '') AS collection, doc_id AS chunk_id, text, {tok('text')} AS dt FROM documents),
-qs AS (SELECT collection, item_id AS query_id, text AS query, {tok('text')} AS qt FROM (SELECT DISTINCT collection FROM cks), benchmark),
+BY_COLLECTION_SQL = f"""qs AS (SELECT collection, item_id AS query_id, text AS query, {tok('text')} AS qt FROM (SELECT DISTINCT collection FROM cks), benchmark),
 tf AS (SELECT collection, chunk_id, length, term, count(*) AS tf FROM (SELECT collection, chunk_id, len(dt) AS length, unnest(dt) AS term FROM cks) GROUP BY ALL),
 qf AS (SELECT collection, query_id, term, count(*) AS qtf FROM (SELECT collection, query_id, unnest(qt) AS term FROM qs) GROUP BY ALL),
 st AS (SELECT collection, count(*) AS n, greatest(1.0, avg(len(dt))) AS mean_length FROM cks GROUP BY collection),
@@ -430,13 +429,26 @@ raw AS (SELECT collection, query_id, chunk_id, sum(qtf * ln(1 + (n - df + 0.5) /
 sc AS (SELECT collection, query_id, chunk_id, {r('raw / max(raw) OVER (PARTITION BY collection, query_id)', 6)} AS score FROM raw),
 al AS (SELECT qs.collection, qs.query_id, cks.chunk_id, coalesce(sc.score, 0.0) AS score FROM qs JOIN cks USING (collection) LEFT JOIN sc ON sc.collection = qs.collection AND sc.query_id = qs.query_id AND sc.chunk_id = cks.chunk_id),
 ranked AS (SELECT *, row_number() OVER (PARTITION BY collection, query_id ORDER BY score DESC, chunk_id)::INTEGER AS rank FROM al)"""
-SHELF_DENSE_SQL = f"""{HASHED_SQL.format(n='documents', id='doc_id')}, {HASHED_SQL.format(n='benchmark', id='item_id')},
-dots AS (SELECT q.id AS query_id, d.id AS chunk_id, sum(q.c * d.c) AS dot FROM benchmarkt q JOIN documentst d ON q.i = d.i GROUP BY 1, 2),
+SHELF_LEXICAL_SQL = f"""cks AS (SELECT coalesce(lang, '') || '/' || coalesce(source, '') AS collection, doc_id AS chunk_id, text, {tok('text')} AS dt FROM documents),
+{BY_COLLECTION_SQL}"""
+
+
+def near_sql(chunks: str, chunk_id: str) -> str:
+    """CTEs up to near, the chunks by likeness within collections; behind cks and qs."""
+    return f"""{HASHED_SQL.format(n=chunks, id=chunk_id)}, {HASHED_SQL.format(n='benchmark', id='item_id')},
+dots AS (SELECT q.id AS query_id, d.id AS chunk_id, sum(q.c * d.c) AS dot FROM benchmarkt q JOIN {chunks}t d ON q.i = d.i GROUP BY 1, 2),
 sims AS (SELECT collection, query_id, chunk_id, {r('greatest(-1, least(1, coalesce(dot / (qn.norm * dn.norm), 0.0)))')} AS dense_score
-  FROM qs JOIN cks USING (collection) LEFT JOIN dots USING (query_id, chunk_id) LEFT JOIN benchmarkn qn ON qn.id = query_id LEFT JOIN documentsn dn ON dn.id = chunk_id),
+  FROM qs JOIN cks USING (collection) LEFT JOIN dots USING (query_id, chunk_id) LEFT JOIN benchmarkn qn ON qn.id = query_id LEFT JOIN {chunks}n dn ON dn.id = chunk_id),
 near AS (SELECT *, row_number() OVER (PARTITION BY collection, query_id ORDER BY dense_score DESC, chunk_id)::INTEGER AS rank FROM sims)"""
 
 
+SHELF_DENSE_SQL = near_sql("documents", "doc_id")
+FUSED_SQL = f"""m AS (SELECT collection, query_id, chunk_id, coalesce(dense_score, 0.0) AS dense_score, coalesce(lexical_score, 0.0) AS lexical_score, coalesce(1.0::DOUBLE / (60 + d.rank), 0.0) + coalesce(1.0::DOUBLE / (60 + x.rank), 0.0) AS fused
+  FROM (SELECT * FROM near WHERE rank <= 40) d FULL JOIN (SELECT *, {r('score')} AS lexical_score FROM ranked WHERE rank <= 40) x USING (collection, query_id, chunk_id)),
+p AS (SELECT m.*, qt, dt FROM m JOIN qs USING (collection, query_id) JOIN cks USING (collection, chunk_id)),
+f AS (SELECT collection, query_id, chunk_id, dense_score, lexical_score, {r(RERANK_SQL, 6)} AS rerank_score FROM p)"""
+
+
 @query("bm25_by_collection", f"WITH {SHELF_LEXICAL_SQL} SELECT collection, query_id, chunk_id, {r('score')} AS lexical_score, rank FROM ranked WHERE rank <= 10")
 def bm25_by_collection(spark, sf_dir):
     return retrieval.lexical_topk(shelf_questions(spark, sf_dir), shelf_chunks(spark, sf_dir), 10)
@@ -450,10 +462,7 @@ def dense_by_collection(spark, sf_dir):
 
 
 @query("hybrid_by_collection", f"""WITH {SHELF_LEXICAL_SQL}, {SHELF_DENSE_SQL},
-m AS (SELECT collection, query_id, chunk_id, coalesce(dense_score, 0.0) AS dense_score, coalesce(lexical_score, 0.0) AS lexical_score, coalesce(1.0::DOUBLE / (60 + d.rank), 0.0) + coalesce(1.0::DOUBLE / (60 + x.rank), 0.0) AS fused
-  FROM (SELECT * FROM near WHERE rank <= 40) d FULL JOIN (SELECT *, {r('score')} AS lexical_score FROM ranked WHERE rank <= 40) x USING (collection, query_id, chunk_id)),
-p AS (SELECT m.*, qt, dt FROM m JOIN qs USING (collection, query_id) JOIN cks USING (collection, chunk_id)),
-f AS (SELECT collection, query_id, chunk_id, dense_score, lexical_score, {r(RERANK_SQL, 6)} AS rerank_score FROM p)
+{FUSED_SQL}
 SELECT *, row_number() OVER (PARTITION BY collection, query_id ORDER BY rerank_score DESC, chunk_id)::INTEGER AS rank FROM f QUALIFY rank <= 10""")
 def hybrid_by_collection(spark, sf_dir):
     asked = embedding.embed(questions(spark, sf_dir), "query")
@@ -880,9 +889,8 @@ def labelled_run(spark, sf_dir):
 
 def document_cases(spark, sf_dir) -> DataFrame:
     """A case for each benchmark item: answerable if an indexed document holds its text, but for case and blanks."""
-    flat = lambda c: F.btrim(F.regexp_replace(F.lower(c), r"\s+", " "))
-    items = questions(spark, sf_dir).withColumn("flat", flat(F.col("query")))
-    held = indexed_pages(spark, sf_dir).select("source_doc", flat(F.col("text")).alias("page")).join(F.broadcast(items.filter("flat <> ''")), F.expr("contains(page, flat)"))
+    items = questions(spark, sf_dir)
+    held = evidence.holders(items, indexed_pages(spark, sf_dir), "query_id", "query", "source_doc", "text")
     docs = held.groupBy("query_id").agg(F.array_sort(F.collect_set("source_doc")).alias("docs"))
     none = F.array().cast("array<string>")
     return items.join(docs, "query_id", "left").select(
@@ -891,7 +899,49 @@ def document_cases(spark, sf_dir) -> DataFrame:
     )
 
 
-@query("retrieval_ablation_modes")
+def grid_sql(modes: dict[str, str], cells: str) -> str:
+    """CTEs up to o, the figures of each collection, mode and cell (seq, top_k, threshold) of a grid; behind cks (collection,
+    chunk_id, source_doc, text, dt) and pg, the indexed documents. modes: of each the rows collection, query_id, chunk_id, similarity, rank."""
+    every = " UNION ALL ".join(f"SELECT '{m}' AS mode, * FROM ({x})" for m, x in modes.items())
+    return f"""fl AS (SELECT item_id AS case_id, trim(regexp_replace(lower(text), '\\s+', ' ', 'g')) AS flat FROM benchmark),
+gd AS (SELECT fl.case_id, list_distinct(list(lower('doc-' || pg.id || '.txt'))) AS goal FROM fl JOIN pg ON contains(trim(regexp_replace(lower(pg.text), '\\s+', ' ', 'g')), flat) WHERE flat <> '' GROUP BY fl.case_id),
+cs AS (SELECT fl.case_id, goal IS NOT NULL AS e, coalesce(goal, []) AS goal FROM fl LEFT JOIN gd ON gd.case_id = fl.case_id),
+hit AS (SELECT x.*, lower(cks.source_doc) AS doc FROM ({every}) x JOIN cks USING (collection, chunk_id)), grid AS ({cells}),
+h AS (SELECT collection, mode, g.seq, g.top_k, g.threshold, case_id, any_value(e) AS e, any_value(len(goal)) AS goals, coalesce(max(similarity) FILTER (WHERE rank = 1), -1) >= g.threshold AS yes,
+  count(DISTINCT doc) FILTER (WHERE rank <= g.top_k AND similarity >= g.threshold AND list_contains(goal, doc)) AS found, min(rank) FILTER (WHERE rank <= g.top_k AND similarity >= g.threshold AND list_contains(goal, doc)) AS first
+  FROM cs JOIN hit ON hit.query_id = case_id, grid g GROUP BY collection, mode, g.seq, g.top_k, g.threshold, case_id),
+h2 AS (SELECT *, CASE WHEN goals > 0 THEN {r('found / goals')} END AS recall, CASE WHEN goals > 0 THEN CASE WHEN first IS NULL THEN 0.0::DOUBLE ELSE {r('1.0 / first')} END END AS rr FROM h),
+a AS (SELECT collection, mode, seq, top_k, threshold, count(*) AS cases, coalesce({mean_sql('recall')}, 0.0) AS recall, coalesce({mean_sql('rr')}, 0.0) AS mrr, count(*) FILTER (WHERE e AND yes) AS tp, count(*) FILTER (WHERE NOT e AND NOT yes) AS tn, count(*) FILTER (WHERE NOT e AND yes) AS fp, count(*) FILTER (WHERE e AND NOT yes) AS fn FROM h2 GROUP BY ALL),
+s AS (SELECT *, CASE WHEN tp + fp = 0 THEN 0.0 ELSE tp::DOUBLE / (tp + fp) END AS p, CASE WHEN tp + fn = 0 THEN 0.0 ELSE tp::DOUBLE / (tp + fn) END AS r, CASE WHEN tn + fp = 0 THEN 0.0 ELSE tn::DOUBLE / (tn + fp) END AS sp FROM a),
+o AS (SELECT collection, mode, seq, top_k, {r('threshold', 3)} AS threshold, cases, recall AS retrieval_recall_at_k, mrr, tp, tn, fp, fn, {r('(tp + tn)::DOUBLE / cases')} AS answerability_accuracy, {r('p')} AS answerable_precision, {r('r')} AS answerable_recall, {r('CASE WHEN p + r = 0 THEN 0.0 ELSE 2 * p * r / (p + r) END')} AS answerable_f1, {r('(r + sp) / 2')} AS balanced_accuracy FROM s)"""
+
+
+FIRST_PAGES_SQL = "SELECT min(doc_id) AS id, any_value(text) AS text FROM documents WHERE text IS NOT NULL GROUP BY sha256(text)"
+HYBRID_RANKED_SQL = "SELECT collection, query_id, chunk_id, rerank_score AS similarity, row_number() OVER (PARTITION BY collection, query_id ORDER BY rerank_score DESC, chunk_id)::INTEGER AS rank FROM f"
+MODES_SQL = {
+    "dense": "SELECT collection, query_id, chunk_id, dense_score AS similarity, rank FROM near",
+    "lexical": f"SELECT collection, query_id, chunk_id, {r('score')} AS similarity, rank FROM ranked",
+    "hybrid": HYBRID_RANKED_SQL,
+}
+CELLS_SQL = f"SELECT (row_number() OVER (ORDER BY k, t) - 1)::INTEGER AS seq, k::INTEGER AS top_k, t::DOUBLE AS threshold FROM (SELECT unnest({lab.TOP_KS}) AS k), (SELECT unnest({lab.ABLATION_THRESHOLDS}) AS t)"
+ABLATED_SQL = f"""pg AS ({FIRST_PAGES_SQL}),
+cks AS (SELECT '' AS collection, id::VARCHAR AS chunk_id, 'doc-' || id || '.txt' AS source_doc, text, {tok('text')} AS dt FROM pg),
+{BY_COLLECTION_SQL}, {near_sql('cks', 'chunk_id')}, {FUSED_SQL}, {grid_sql(MODES_SQL, CELLS_SQL)}"""
+VARIANTS = [(s, o) for s in lab.CHUNK_SIZES for o in lab.OVERLAPS]
+# Ids of chunks are led by the cell's, as they are unique within it alone.
+VARIANTS_SQL = " UNION ALL ".join(f"""SELECT * FROM (WITH RECURSIVE {chunks_sql(FIRST_PAGES_SQL, s, o)} SELECT '{i}' AS collection, '{i}#' || left(sha256(pg.text), 12) || '_p1_c' || ch.k AS chunk_id, 'doc-' || pg.id || '.txt' AS source_doc, ch.text FROM ch JOIN pg ON pg.id = ch.id WHERE ch.k > 0)""" for i, (s, o) in enumerate(VARIANTS))
+CHUNKED_SQL = f"""pg AS ({FIRST_PAGES_SQL}), cks AS MATERIALIZED (SELECT *, {tok('text')} AS dt FROM ({VARIANTS_SQL})),
+{BY_COLLECTION_SQL}, {near_sql('cks', 'chunk_id')}, {FUSED_SQL}, {grid_sql({'hybrid': HYBRID_RANKED_SQL}, 'SELECT 4::INTEGER AS top_k, 0.4::DOUBLE AS threshold, 0 AS seq')},
+vs AS (SELECT collection, count(*) AS indexed_chunks FROM cks GROUP BY collection), va AS (SELECT (row_number() OVER (ORDER BY s, o) - 1)::INTEGER AS seq, s::INTEGER AS chunk_size, o::INTEGER AS overlap FROM (SELECT unnest({lab.CHUNK_SIZES}) AS s), (SELECT unnest({lab.OVERLAPS}) AS o))"""
+
+
+@query("evidence_labels", f"""SELECT item_id, 'doc-' || pg.id || '.txt' AS source_doc FROM benchmark b JOIN ({FIRST_PAGES_SQL}) pg ON contains(trim(regexp_replace(lower(pg.text), '\\s+', ' ', 'g')), trim(regexp_replace(lower(b.text), '\\s+', ' ', 'g'))) WHERE trim(regexp_replace(lower(b.text), '\\s+', ' ', 'g')) <> ''""")
+def evidence_labels(spark, sf_dir):
+    """Each benchmark item with the indexed documents that hold it, but for case and blanks."""
+    return evidence.holders(read(spark, sf_dir, "benchmark"), indexed_pages(spark, sf_dir), "item_id", "text", "source_doc", "text")
+
+
+@query("retrieval_ablation_modes", f"WITH {ABLATED_SQL} SELECT * EXCLUDE (collection) FROM o")
 def retrieval_ablation_modes(spark, sf_dir):
     """All 36 cells: benchmark against documents in every mode. retrieval_ablation has the dense ones over embeddings, as its SQL."""
     gold = document_cases(spark, sf_dir).persist()
@@ -903,7 +953,7 @@ def retrieval_ablation_modes(spark, sf_dir):
     return lab.retrieval_ablation(lab.probes(gold, found, docs))
 
 
-@query("chunking_ablation")
+@query("chunking_ablation", f"WITH RECURSIVE {CHUNKED_SQL} SELECT o.* EXCLUDE (collection, seq), va.*, indexed_chunks FROM o JOIN vs USING (collection) JOIN va ON va.seq = o.collection::INTEGER")
 def chunking_ablation(spark, sf_dir):
     """The whole default grid of sizes and overlaps over all documents."""
     gold = document_cases(spark, sf_dir).persist()
