@@ -9,7 +9,7 @@ from pyspark.sql import Column, DataFrame, Window
 from pyspark.sql import functions as F
 
 from ..functions.text import strip, units
-from .storage import stored
+from .storage import small_batches, stored
 
 PROBE_CHARS = 80
 
@@ -77,7 +77,7 @@ def chunk_pages(pages: DataFrame, size: int | str = 1800, overlap: int | str = 2
             cols = zip(*rows, strict=True) if rows else [()] * 7
             yield pa.RecordBatch.from_arrays([*(b.column(c).take(pa.array(take, pa.int32())) for c in keep), *(pa.array(c, t) for c, t in zip(cols, kinds, strict=True))], names)
 
-    ready = pages.filter(F.col("text").isNotNull()).select(*keep, "document_hash", "source_doc", F.col("page_number").cast("int"), "text", units(F.col("text")).alias("parts"))
+    ready = small_batches(pages).filter(F.col("text").isNotNull()).select(*keep, "document_hash", "source_doc", F.col("page_number").cast("int"), "text", units(F.col("text")).alias("parts"))
     fields = "".join(f"`{f.name}` {f.dataType.simpleString()}, " for f in own)
     return ready.mapInArrow(run, f"{fields}chunk_id string, document_hash string, source_doc string, page_number int, text string, char_start int, char_end int")
 

@@ -12,6 +12,20 @@ from contextlib import contextmanager
 from pyspark.sql import DataFrame, SparkSession
 
 
+#: Bytes of an Arrow batch, where texts are long.
+BATCH_BYTES = 4 << 20
+
+
+def small_batches(df: DataFrame) -> DataFrame:
+    """df, after its session has been told to cut Arrow batches at BATCH_BYTES, unless they are smaller: ten thousand whole
+    texts at once don't fit a Python worker."""
+    conf, key = df.sparkSession.conf, "spark.sql.execution.arrow.maxBytesPerBatch"
+    now = conf.get(key).lower().rstrip("b")
+    if not now.isdigit() or int(now) > BATCH_BYTES:
+        conf.set(key, str(BATCH_BYTES))
+    return df
+
+
 def shared_dir(spark: SparkSession) -> str:
     """The folder that the driver and all executors share. Where the session names none, a local one; but only where
     driver and executors are one process."""
