@@ -15,6 +15,9 @@ STOP_WORDS = [
     "on", "or", "that", "the", "this", "to", "was", "what", "when", "where", "which", "who", "why", "with",
 ]
 
+#: Bytes of tokens in lower case, all others as blanks (those of characters outside ASCII are among them).
+LOWERED = bytes(c + 32 if 65 <= c <= 90 else c if 48 <= c <= 57 or 97 <= c <= 122 else 32 for c in range(256))
+
 _BLANK = r"[\s\x1c-\x1f]"
 
 

@@ -82,6 +82,44 @@ def chunk_pages(pages: DataFrame, size: int | str = 1800, overlap: int | str = 2
     return ready.mapInArrow(run, f"{fields}chunk_id string, document_hash string, source_doc string, page_number int, text string, char_start int, char_end int")
 
 
+def chunk_grid(pages: DataFrame, cells: list[tuple[str, int, int]]) -> DataFrame:
+    """pages as of chunk_pages() to the chunks of each cell (name, size, overlap) of a grid: collection (the name), chunk_id,
+    source_doc, text. A page's units are made once for all cells."""
+    names = ["collection", "chunk_id", "source_doc", "text"]
+
+    def run(batches: Iterator[pa.RecordBatch]) -> Iterator[pa.RecordBatch]:
+        for b in batches:
+            rows = list(zip(*(b.column(c).to_pylist() for c in ("document_hash", "source_doc", "page_number", "parts")), strict=True))
+            for cell, size, overlap in cells:
+                ids, docs, texts = [], [], []
+                for key, name, number, parts in rows:
+                    for k, t in enumerate(packed(parts, size, overlap), 1):
+                        ids.append(f"{key[:12]}_p{number}_c{k}")
+                        docs.append(name)
+                        texts.append(t)
+                yield pa.RecordBatch.from_arrays([pa.array([cell] * len(ids), pa.string()), *(pa.array(x, pa.string()) for x in (ids, docs, texts))], names)
+
+    return _units_of(pages).mapInArrow(run, "collection string, chunk_id string, source_doc string, text string")
+
+
+def grid_counts(pages: DataFrame, cells: list[tuple[str, int, int]]) -> DataFrame:
+    """collection and indexed_chunks, the number of chunks, for each cell of chunk_grid() that has any; no chunk leaves a task."""
+    def run(batches: Iterator[pa.RecordBatch]) -> Iterator[pa.RecordBatch]:
+        n = [0] * len(cells)
+        for b in batches:
+            for parts in b.column("parts").to_pylist():
+                for i, (_, size, overlap) in enumerate(cells):
+                    n[i] += sum(1 for _ in packed(parts, size, overlap))
+        yield pa.RecordBatch.from_arrays([pa.array([c for c, *_ in cells], pa.string()), pa.array(n, pa.int64())], ["collection", "n"])
+
+    found = _units_of(pages).select("parts").mapInArrow(run, "collection string, n long")
+    return found.groupBy("collection").agg(F.sum("n").alias("indexed_chunks")).filter("indexed_chunks > 0")
+
+
+def _units_of(pages: DataFrame) -> DataFrame:
+    return small_batches(pages).filter(F.col("text").isNotNull()).select("document_hash", "source_doc", F.col("page_number").cast("int"), units(F.col("text")).alias("parts"))
+
+
 def manifest(pages: DataFrame, chunks: DataFrame) -> DataFrame:
     """document_hash, source_doc, pages (with text), chunks, warnings, error_code (no_chunks beside the parsers' own)."""
     p = pages.groupBy("document_hash", "source_doc").agg(F.count("page_number").alias("pages"), F.first("warnings").alias("warnings"), F.max("error_code").alias("error_code"))

@@ -3,7 +3,6 @@
 from __future__ import annotations
 
 import hashlib
-import re
 from collections.abc import Callable, Iterator
 
 import numpy as np
@@ -11,8 +10,9 @@ import pandas as pd
 from pyspark.sql import DataFrame
 from pyspark.sql import functions as F
 
+from ..functions.text import LOWERED
+
 DIMENSIONS = 64
-_TOKEN = re.compile(r"[a-zA-Z0-9]+")
 
 
 def bucket(token: str, dimensions: int = DIMENSIONS) -> int:
@@ -20,16 +20,23 @@ def bucket(token: str, dimensions: int = DIMENSIONS) -> int:
     return int(hashlib.md5(token.encode()).hexdigest()[:4], 16) % dimensions
 
 
+class _Known(dict):
+    """Of each token its bucket, in two bytes."""
+
+    def __init__(self, dimensions: int):
+        self.dimensions = dimensions
+
+    def __missing__(self, token: bytes) -> bytes:
+        self[token] = found = bucket(token.decode(), self.dimensions).to_bytes(2, "little")
+        return found
+
+
 def hashed(texts: list[str], dimensions: int = DIMENSIONS) -> np.ndarray:
     """Counts of hashed lower-cased tokens."""
-    known: dict[str, int] = {}
-    out = np.zeros((len(texts), dimensions))
+    known, out = _Known(dimensions), np.zeros((len(texts), dimensions))
     for row, t in zip(out, texts, strict=True):
-        for w in _TOKEN.findall(t.lower()):
-            i = known.get(w)
-            if i is None:
-                i = known[w] = bucket(w, dimensions)
-            row[i] += 1
+        tokens = t.encode("utf-8", "surrogatepass").translate(LOWERED).split()
+        row += np.bincount(np.frombuffer(b"".join(map(known.__getitem__, tokens)), "<u2"), minlength=dimensions)
     return out
 
 

@@ -24,7 +24,7 @@ class Best:
     """The k best chunks of each question over many batches, and those whose score is no further than slack from the k-th."""
 
     def __init__(self, k: int, slack: float | np.ndarray):
-        self.k, self.slack, self.held = k, slack, []
+        self.k, self.slack, self.held, self.floor = k, slack, [], np.zeros(0)
 
     def add(self, scores: np.ndarray, ids: pa.Array, over: float = -np.inf, who: np.ndarray | None = None) -> None:
         """scores: of questions (all, or those numbered in who) by chunks; only those above `over` count."""
@@ -32,9 +32,13 @@ class Best:
         floor = np.full(len(scores), -np.inf)
         if scores.shape[1] > self.k:
             floor = np.partition(scores, -self.k, axis=1)[:, -self.k] - slack
+        last = len(scores) if who is None else int(who.max(initial=-1)) + 1
+        if last > len(self.floor):
+            self.floor = np.concatenate([self.floor, np.full(last - len(self.floor), -np.inf)])
+        floor = np.maximum(floor, self.floor[:last] if who is None else self.floor[who])
         i, j = np.nonzero((scores >= floor[:, None]) & (scores > over))
         self.held.append((i if who is None else who[i], ids.take(pa.array(j)), scores[i, j]))
-        if sum(len(x[0]) for x in self.held) > max(1 << 16, 4 * self.k * len(scores)):
+        if sum(len(x[0]) for x in self.held) > max(1 << 14, 4 * self.k * len(scores)):
             self._prune()
 
     def _prune(self) -> None:
@@ -46,6 +50,9 @@ class Best:
         first, same = begin(i[1:] != i[:-1]), begin((i[1:] != i[:-1]) | (score[1:] != score[:-1]))
         last = np.minimum(first + self.k - 1, np.searchsorted(i, i, "right") - 1)
         # Of equal scores the k smallest ids are enough; so copies don't pile up.
+        enough = n - first == self.k - 1
+        # From now on only what reaches the k-th best of a question is looked at.
+        self.floor[i[enough]] = score[enough] - (self.slack[i[enough]] if np.ndim(self.slack) else self.slack)
         keep = (n - same < self.k) & (score >= score[last] - (self.slack[i] if np.ndim(self.slack) else self.slack))
         self.held = [(i[keep], ids.take(pa.array(order[keep])), score[keep])]
 

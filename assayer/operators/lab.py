@@ -8,6 +8,7 @@ from pyspark.sql import functions as F
 from ..functions.numeric import f1, py_round, ratio
 from . import chunking, retrieval
 from .evaluation import hits, identities, wanted
+from .grouped import small
 from .reports import mean4
 from .storage import scratch, stored
 
@@ -86,18 +87,25 @@ def chunking_ablation(gold: DataFrame, pages: DataFrame, embedder, sizes: list[i
     """Retrieval figures for each chunk size and overlap (under the size), the best first.
 
     Each cell of the grid is a collection: one plan cuts, indexes, searches and scores all of them, each by its own statistics.
-    Chunks are made where they are read, not stored: they are the grid times as large as the pages."""
+    Chunks are made where they are read, not stored: they are the grid times as large as the pages. All cells share a page's
+    units; of the chunks found only the pages are cut again. Cells without chunks have no row."""
     cells = [(f"{s}/{o}", s, o) for s in sizes or CHUNK_SIZES for o in overlaps or OVERLAPS if o < s]
     variants = gold.sparkSession.createDataFrame([(seq, *c) for seq, c in enumerate(cells)], "seq int, collection string, chunk_size int, overlap int")
-    each = pages.crossJoin(F.broadcast(variants.drop("seq")))
+
+    def some(found: DataFrame) -> DataFrame:
+        """Chunks of the pages of some chunks, whose ids begin with 12 characters of the page's hash."""
+        keys = small(found.select(F.substring("chunk_id", 1, 12).alias("_key")).distinct())
+        own = pages.withColumn("_key", F.substring("document_hash", 1, 12)).join(keys, "_key", "left_semi")
+        return chunking.chunk_grid(own.drop("_key"), cells)
+
     with scratch(gold.sparkSession):
-        chunks = chunking.chunk_pages(each, "chunk_size", "overlap", ["collection", "chunk_size", "overlap"])
+        chunks = chunking.chunk_grid(pages, cells)
         asked = variants.select("collection").crossJoin(stored(embedder(probe_queries(gold), "query"), "probes"))
-        found = retrieval.retrieve(asked, embedder(chunks), top_k, mode)
-        counts = chunks.groupBy("collection").agg(F.count("*").alias("indexed_chunks"))
+        found = stored(retrieval.retrieve(asked, embedder(chunks), top_k, mode, **({"texts": some} if mode == "hybrid" else {})), "found")
         cell = gold.sparkSession.createDataFrame([(0, top_k, threshold)], "seq int, top_k int, threshold double")
-        rows = score_probes(probes(gold, found, chunks), cell, ["mode", "collection"]).drop("seq")
-        rows = stored(rows.join(F.broadcast(variants), "collection").join(counts, "collection").drop("collection"), "grid", keep=True)
+        rows = score_probes(probes(gold, found, some(found)), cell, ["mode", "collection"]).drop("seq")
+        counts = stored(chunking.grid_counts(pages, cells), "counts")
+        rows = stored(rows.join(F.broadcast(variants), "collection").join(F.broadcast(counts), "collection").drop("collection"), "grid", keep=True)
     return rows.orderBy(F.desc("balanced_accuracy"), F.desc("retrieval_recall_at_k"), F.desc("mrr"), "seq")
 
 

@@ -11,7 +11,8 @@ from __future__ import annotations
 
 import re
 from collections import Counter
-from collections.abc import Iterator
+from collections.abc import Callable, Iterator
+from dataclasses import dataclass
 
 import numpy as np
 import pyarrow as pa
@@ -20,14 +21,16 @@ from pyspark.sql import Column, DataFrame, Window
 from pyspark.sql import functions as F
 
 from ..functions.numeric import clamp, py_round
-from ..functions.text import STOP_WORDS, joined_phrase, token_coverage, token_phrase, tokenize
+from ..functions.text import LOWERED, STOP_WORDS, joined_phrase, token_coverage, token_phrase, tokenize
 from .grouped import BROADCAST_ROWS, Best, met, small
-from .storage import scratch, stored
+from .storage import scratch, small_batches, stored
 
 #: Query vectors held at once in a task; more are taken in further passes.
 QUERY_BLOCK = 4096
 #: The same for lexical queries, and cells of queries and chunks scored at once.
 LEXICAL_BLOCK = 1 << 15
+#: Bytes of query vectors that are broadcast at once.
+VECTOR_BYTES = 32 << 20
 _CELLS = 1 << 22
 MODES = ("dense", "lexical", "hybrid")
 
@@ -82,38 +85,167 @@ def _terms(text: str | None) -> list[str]:
     return [t for t in " ".join(_TOKEN.findall(text or "")).lower().split() if t not in _STOP]
 
 
-def _postings(texts: list[str | None], number: dict[str, int]) -> tuple[np.ndarray, np.ndarray, np.ndarray, np.ndarray]:
-    """Lengths of the texts in tokens; and row, term and count of the numbered terms in them."""
-    lengths, rows, terms, counts = [], [], [], []
-    for i, t in enumerate(texts):
-        tokens = _terms(t)
-        lengths.append(len(tokens))
-        for k, n in Counter(map(number.get, tokens)).items():
-            if k is not None:
-                rows.append(i)
-                terms.append(k)
-                counts.append(n)
-    return np.array(lengths, np.int64), np.array(rows, np.int64), np.array(terms, np.int64), np.array(counts, np.float64)
-
-
-def _statistics(chunks: DataFrame, number: dict[str, int]) -> tuple[int, float, np.ndarray]:
-    """Chunks, their mean length, and in how many each numbered term is: one row from each batch of chunks."""
-    sent = chunks.sparkSession.sparkContext.broadcast(number)
+_STOPPED = {w.encode(): -1 for w in STOP_WORDS}
+
+
+def _postings(texts: pa.Array, number: dict[bytes, int]) -> tuple[np.ndarray, np.ndarray, np.ndarray, np.ndarray]:
+    """Lengths of the texts in tokens; and row, term and count of the numbered terms in them. number: with _STOPPED."""
+    lengths, sizes, terms, counts = [], [], [], []
+    for t in texts.cast(pa.binary()).to_pylist():
+        tokens = (t or b"").translate(LOWERED).split()
+        found = Counter(map(number.get, tokens))
+        found.pop(None, None)
+        lengths.append(len(tokens) - found.pop(-1, 0))
+        sizes.append(len(found))
+        terms.extend(found)
+        counts.extend(found.values())
+    return np.array(lengths, np.int64), np.repeat(np.arange(len(sizes)), sizes), np.array(terms, np.int64), np.array(counts, np.float64)
+
+
+@dataclass
+class _Asked:
+    """The questions of one collection. own: the numbers of their terms; query, term (its place in own) and n: what each asks
+    for. at and vectors: those that have a vector. Once chunks are counted: their mean length, and as of _weights()."""
+
+    ids: pa.Array
+    own: np.ndarray
+    query: np.ndarray
+    term: np.ndarray
+    n: np.ndarray
+    at: np.ndarray
+    vectors: np.ndarray | None
+    mean: float = 1.0
+    weights: tuple | None = None
+    most: np.ndarray | None = None
+
+    def places(self, term: np.ndarray, terms: int) -> tuple[np.ndarray, np.ndarray | slice]:
+        """Places in own of numbered terms, and which of them are there. terms: how many there are in all."""
+        if len(self.own) == terms or not len(self.own):
+            return term[: len(term) if len(self.own) else 0], slice(None) if len(self.own) else slice(0)
+        at = np.minimum(np.searchsorted(self.own, term), len(self.own) - 1)
+        here = self.own[at] == term
+        return at[here], here
+
+
+def _questions(block: pa.Table) -> tuple[dict[str | None, _Asked], dict[bytes, int]]:
+    """Questions by collection (None: there are none), and numbers of all their terms."""
+    texts = block["query"].to_pylist() if "query" in block.column_names else [None] * len(block)
+    counted = {t: Counter(_terms(t)) for t in set(texts)}
+    number = {t: i for i, t in enumerate(sorted({t for w in counted.values() for t in w}))}
+    numbered = {t: (np.array([number[x] for x in w], np.int64), np.array(list(w.values()), float)) for t, w in counted.items()}
+    rows: dict[str | None, list[int]] = {}
+    for i, c in enumerate(block["collection"].to_pylist() if "collection" in block.column_names else [None] * len(block)):
+        rows.setdefault(c, []).append(i)
+    groups = {}
+    for c, own_rows in rows.items():
+        part = block.take(pa.array(own_rows)).combine_chunks()
+        asked = [numbered[texts[i]] for i in own_rows]
+        term, n = np.concatenate([x[0] for x in asked]), np.concatenate([x[1] for x in asked])
+        own, at = np.unique(term, return_inverse=True)
+        where, vectors = np.zeros(0, np.int64), None
+        if "vec" in block.column_names:
+            valid = pc.is_valid(part["vec"])
+            where = np.flatnonzero(valid.to_numpy())
+            vectors = _vectors(part.filter(valid).combine_chunks()) if len(where) else None
+        ids = part["query_id"]
+        groups[c] = _Asked(ids.combine_chunks() if isinstance(ids, pa.ChunkedArray) else ids, own, np.repeat(np.arange(len(asked)), [len(x[0]) for x in asked]), at, n, where, vectors)
+    return groups, {t.encode(): i for t, i in number.items()}
+
+
+def _apart(batch: pa.RecordBatch, groups: dict[str | None, _Asked]) -> Iterator[tuple[str | None, pa.RecordBatch]]:
+    """The rows of each collection that is asked in."""
+    if "collection" not in batch.schema.names:
+        if None in groups:
+            yield None, batch
+        return
+    coded = batch.column("collection").dictionary_encode()
+    code = coded.indices.fill_null(-1).to_numpy()
+    order = np.argsort(code, kind="stable")
+    ends = np.searchsorted(code[order], np.arange(len(coded.dictionary) + 1))
+    for i, c in enumerate(coded.dictionary.to_pylist()):
+        if c in groups:
+            yield c, batch.take(pa.array(order[ends[i] : ends[i + 1]]))
+
+
+def _count(chunks: DataFrame, groups: dict[str | None, _Asked], number: dict[bytes, int], k1: float, b: float) -> None:
+    """Weighs the questions' terms by the chunks of their collection, of which a task tells the numbers for these terms alone."""
+    sent = chunks.sparkSession.sparkContext.broadcast((groups, number))
 
     def run(batches: Iterator[pa.RecordBatch]) -> Iterator[pa.RecordBatch]:
-        for b in batches:
-            lengths, _, terms, _ = _postings(b.column("text").to_pylist(), sent.value)
-            term, n = np.unique(terms, return_counts=True)
-            # Term -1 has the number of chunks, -2 the sum of lengths.
-            yield pa.RecordBatch.from_arrays([pa.array([-1, -2, *term.tolist()], pa.int64()), pa.array([len(lengths), int(lengths.sum()), *n.tolist()], pa.int64())], ["term", "n"])
+        groups, number = sent.value
+        known, held = number | _STOPPED, {}
+        for batch in batches:
+            for c, part in _apart(batch, groups):
+                g, (lengths, _, term, _) = groups[c], _postings(part.column("text"), known)
+                # Behind the terms: chunks, and the sum of their lengths.
+                n = held.setdefault(c, np.zeros(len(g.own) + 2, np.int64))
+                n[: len(g.own)] += np.bincount(g.places(term, len(number))[0], minlength=len(g.own))
+                n[-2:] += len(lengths), lengths.sum()
+        for c, n in held.items():
+            yield pa.RecordBatch.from_arrays([pa.array([c] * len(n), pa.string()), pa.array(np.arange(len(n))), pa.array(n)], ["c", "at", "n"])
+
+    columns = [x for x in ("collection", "text") if x in chunks.columns]
+    told = chunks.select(columns).mapInArrow(run, "c string, at long, n long").groupBy("c", "at").agg(F.sum("n").alias("n")).toArrow()
+    totals = {c: np.zeros(len(g.own) + 2) for c, g in groups.items()}
+    coded = told["c"].combine_chunks()
+    who, at, n = coded.to_pylist(), told["at"].to_numpy(), told["n"].to_numpy()
+    for c, i, x in zip(who, at, n, strict=True):
+        totals[c][i] = x
+    for c, g in groups.items():
+        df, chunks_, length = totals[c][:-2], totals[c][-2], totals[c][-1]
+        g.mean = max(1.0, length / chunks_ if chunks_ else 0.0)
+        weight = g.n * np.log(1 + (chunks_ - df + 0.5) / (df + 0.5))[g.term]
+        order = np.argsort(g.term, kind="stable")
+        g.weights = g.query[order], weight[order], np.searchsorted(g.term[order], np.arange(len(g.own) + 1))
+        g.most = np.bincount(g.query, weight * (k1 + 1), len(g.ids))
+
+
+def _here(asked: DataFrame, chunks: DataFrame, k: int, block: int, k1: float = 1.5, b: float = 0.75) -> DataFrame:
+    """query_id, chunk_id, raw and sim (one of them null), by collection if there is one: of each task's chunks the k best of each
+    question by terms (where it has a query) and by vectors (where it has one), and all that could round to them. Chunks are
+    scored where they are read: no pair of question and chunk is shuffled but these. Statistics are of all chunks."""
+    spark, found = chunks.sparkSession, None
+    by = [x for x in ("collection",) if x in asked.columns]
+    lexical, dense = "query" in asked.columns, "vec" in asked.columns
+    asked, total = asked.orderBy(*by, "query_id"), asked.count()
+    kind, key = asked.schema["query_id"].dataType.simpleString(), chunks.schema["chunk_id"].dataType.simpleString()
+    chunks = small_batches(chunks).select(*[F.col(c).cast("string") for c in by], "chunk_id", *["text"] * lexical, *[F.col("vec").cast("array<double>").alias("vec")] * dense)
+    for start in range(0, max(total, 1), block):
+        groups, number = _questions(asked.offset(start).limit(block).toArrow())
+        if lexical:
+            _count(chunks.drop("vec"), groups, number, k1, b)
+        sent = spark.sparkContext.broadcast((groups, number))
 
-    found = {r.term: r.n for r in chunks.select("text").mapInArrow(run, "term long, n long").groupBy("term").agg(F.sum("n").alias("n")).toLocalIterator()}
-    df = np.zeros(len(number))
-    for k, n in found.items():
-        if k >= 0:
-            df[k] = n
-    total = found.get(-1, 0)
-    return total, max(1.0, found.get(-2, 0) / total if total else 0.0), df
+        def run(batches: Iterator[pa.RecordBatch], sent=sent) -> Iterator[pa.RecordBatch]:
+            groups, number = sent.value
+            known, best = number | _STOPPED, {}
+            for batch in batches:
+                for c, rows in _apart(batch, groups):
+                    g = groups[c]
+                    if c not in best:
+                        best[c] = Best(k, 2e-6 * g.most if lexical else 0.0), Best(k, _ROUNDED)
+                    size = max(1, _CELLS // max(1, len(g.ids)))
+                    for a in range(0, rows.num_rows, size):
+                        part = rows.slice(a, size)
+                        if lexical:
+                            lengths, row, term, tf = _postings(part.column("text"), known)
+                            at, here = g.places(term, len(number))
+                            if len(at):
+                                best[c][0].add(_raw(len(g.ids), *g.weights, row[here], at, tf[here], lengths, g.mean, k1, b), part.column("chunk_id"), 0.0)
+                        if g.vectors is not None:
+                            part = part.filter(pc.is_valid(part.column("vec")))
+                            if part.num_rows:
+                                best[c][1].add(_cosines(g.vectors, _vectors(part)), part.column("chunk_id"), who=g.at)
+            for c, (terms, vectors) in best.items():
+                for which, x in (("raw", terms), ("sim", vectors)):
+                    for r in x.rows(["q", "c", which], groups[c].ids):
+                        no = pa.nulls(r.num_rows, pa.float64())
+                        scores = [r.column(2), no] if which == "raw" else [no, r.column(2)]
+                        yield pa.RecordBatch.from_arrays([*[pa.repeat(pa.scalar(c, pa.string()), r.num_rows) for _ in by], r.column(0), r.column(1), *scores], [*by, "query_id", "chunk_id", "raw", "sim"])
+
+        one = chunks.mapInArrow(run, f"{'collection string, ' if by else ''}query_id {kind}, chunk_id {key}, raw double, sim double")
+        found = one if found is None else found.unionByName(one)
+    return found
 
 
 def _weights(wanted: list[dict[str, float]], number: dict[str, int]) -> tuple[np.ndarray, np.ndarray, np.ndarray]:
@@ -132,39 +264,6 @@ def _raw(asked: int, query: np.ndarray, weight: np.ndarray, first: np.ndarray, r
     return np.bincount(query[place] * len(lengths) + row[each], weight[place] * share[each], asked * len(lengths)).reshape(asked, -1)
 
 
-def _lexical_best(queries: DataFrame, chunks: DataFrame, k: int, k1: float = 1.5, b: float = 0.75) -> DataFrame:
-    """query_id, chunk_id, raw: of each task's chunks the k best of each query and all that could round to them. As a
-    chunk's postings are in one place, no pair of query and chunk is shuffled but these. Statistics are of all chunks."""
-    spark, found = chunks.sparkSession, None
-    ids = stored(queries.select("query_id", "query"), "asked").orderBy("query_id")
-    total = ids.count()
-    kind, key = queries.schema["query_id"].dataType.simpleString(), chunks.schema["chunk_id"].dataType.simpleString()
-    for at in range(0, max(total, 1), LEXICAL_BLOCK):
-        block = ids.offset(at).limit(LEXICAL_BLOCK).toArrow()
-        wanted = [Counter(_terms(q)) for q in block["query"].to_pylist()]
-        number = {t: i for i, t in enumerate(sorted({t for w in wanted for t in w}))}
-        n, mean, df = _statistics(chunks, number)
-        idf = np.log(1 + (n - df + 0.5) / (df + 0.5))
-        query, weight, first = _weights([{t: c * idf[number[t]] for t, c in w.items()} for w in wanted], number)
-        most = np.bincount(query, weight * (k1 + 1), len(wanted)) if len(query) else np.zeros(len(wanted))
-        sent = spark.sparkContext.broadcast((block["query_id"].combine_chunks(), number, query, weight, first, most, mean))
-
-        def run(batches: Iterator[pa.RecordBatch], sent=sent) -> Iterator[pa.RecordBatch]:
-            names, number, query, weight, first, most, mean = sent.value
-            size, best = max(1, _CELLS // max(1, len(names))), Best(k, 2e-6 * most)
-            for batch in batches:
-                for a in range(0, batch.num_rows, size):
-                    part = batch.slice(a, size)
-                    lengths, row, term, tf = _postings(part.column("text").to_pylist(), number)
-                    if len(row):
-                        best.add(_raw(len(names), query, weight, first, row, term, tf, lengths, mean, k1, b), part.column("chunk_id"), 0.0)
-            yield from best.rows(["query_id", "chunk_id", "raw"], names)
-
-        one = chunks.select("chunk_id", "text").mapInArrow(run, f"query_id {kind}, chunk_id {key}, raw double")
-        found = one if found is None else found.unionByName(one)
-    return found
-
-
 def _tokens(chunks: DataFrame, asked: DataFrame) -> DataFrame:
     """collection, chunk_id, length (of all terms), terms and tfs of each chunk: of the terms asked for, if these are few."""
     key = chunks.schema["chunk_id"].dataType.simpleString()
@@ -205,7 +304,7 @@ def _lexical_cell(left: pa.Table, right: pa.Table, k: int, k1: float, b: float)
 
 
 def _lexical_grouped(queries: DataFrame, chunks: DataFrame, k: int, k1: float = 1.5, b: float = 0.75) -> DataFrame:
-    """As _lexical_best(), by collection: chunks are cut into tokens once, and go to where their collection's questions are."""
+    """As _here() by terms, for more questions than are broadcast: chunks are cut into tokens once, and go to where their collection's questions are."""
     q = queries.select(F.col("collection").cast("string"), "query_id", F.explode(tokenize(F.col("query"))).alias("term")).groupBy("collection", "query_id", "term").agg(F.count("*").alias("qtf"))
     q = stored(q.filter("collection is not null"), "asked")
     tokens = stored(_tokens(chunks.join(small(q.select("collection").distinct()), "collection", "left_semi"), q.select("term").distinct()), "tokens")
@@ -218,29 +317,60 @@ def _lexical_grouped(queries: DataFrame, chunks: DataFrame, k: int, k1: float =
     return met(stored(weighed, "weighed"), tokens, lambda left, right: _lexical_cell(left, right, k, k1, b), "raw")
 
 
+def _vector_rows(df: DataFrame, by: list[str], key: str) -> DataFrame:
+    return df.filter(F.col("vec").isNotNull()).select(*[F.col(c).cast("string") for c in by], key, F.col("vec").cast("array<double>").alias("vec"))
+
+
+def _lists(queries: DataFrame, chunks: DataFrame, k: int, lexical: bool, dense: bool, **kw) -> tuple[DataFrame | None, DataFrame | None]:
+    """What can be among each question's k best: by terms (raw), and by vectors (sim). Stored.
+
+    Questions are broadcast, and chunks scored where they are read; within collections so long as all questions fit one
+    block, else blocks of a collection's questions meet parts of its chunks."""
+    by, spark = _by(queries, chunks), chunks.sparkSession
+    with scratch(spark):
+        asked = queries.select(*[F.col(c).cast("string") for c in by], "query_id", *["query"] * lexical, *[F.col("vec").cast("array<double>").alias("vec")] * dense)
+        asked = stored(asked.filter("collection is not null") if by else asked, "asked")
+        block = LEXICAL_BLOCK
+        if dense:
+            first = asked.filter("vec is not null").select(F.size("vec").alias("n")).first()
+            block = min(block if by else QUERY_BLOCK, max(1, VECTOR_BYTES // (8 * max(1, first.n if first else 1))))
+        if by and asked.limit(block + 1).count() > block:
+            x = stored(_lexical_grouped(asked, chunks.drop("vec"), k, **kw), "lexical", keep=True) if lexical else None
+            d = None
+            if dense:
+                vectors = [stored(_vector_rows(df, by, i), i) for df, i in ((asked, "query_id"), (chunks, "chunk_id"))]
+                d = stored(met(*vectors, lambda left, right: _dense_cell(left, right, k), "sim"), "dense", keep=True)
+            return x, d
+        found = stored(_here(asked, chunks, k, block, **kw), "best", keep=True)
+    return tuple(found.filter(f"{n} is not null").select(*by, "query_id", "chunk_id", n) if on else None for n, on in (("raw", lexical), ("sim", dense)))
+
+
 def lexical_topk(queries: DataFrame, chunks: DataFrame, k: int, **kw) -> DataFrame:
     """query_id, chunk_id, lexical_score (4 digits), rank. Chunks without a common term fill up to k by id; at least one.
 
     What is scored is stored when this is called."""
-    with scratch(chunks.sparkSession):
-        raw = stored((_lexical_grouped if _by(queries, chunks) else _lexical_best)(queries, chunks, max(1, k), **kw), "lexical", keep=True)
-    return ranked(raw, queries, chunks, k)
+    return ranked(_lists(queries, chunks, max(1, k), True, False, **kw)[0], queries, chunks, k)
 
 
 def ranked(raw: DataFrame, queries: DataFrame, chunks: DataFrame, k: int) -> DataFrame:
-    """As lexical_topk(), from raw, which holds each question's best and all that may round to them. Of chunks only ids are read."""
+    """As lexical_topk(), from raw, which holds each question's best and all that may round to them. Of chunks only ids are read,
+    and only if a question has fewer than k with a common term."""
     by, k = _by(queries, chunks), max(1, k)
     best = F.max("raw").over(Window.partitionBy(*by, "query_id"))
     scored = raw.select(*by, "query_id", "chunk_id", py_round(F.col("raw") / best, 6).alias("score"))
-    scored = _top(scored, k, [*by, "query_id"]).drop("rank")
-    if by:
-        first = _top(chunks.select(*by, "chunk_id").withColumn("score", F.lit(0.0)), k, by).select(*by, "chunk_id")
-        pad = queries.select(*by, "query_id").join(first, by)
-    else:
-        pad = queries.select("query_id").crossJoin(F.broadcast(chunks.select("chunk_id").orderBy("chunk_id").limit(k)))
-    rest = pad.join(scored, [*by, "query_id", "chunk_id"], "left_anti").withColumn("score", F.lit(0.0))
-    both = _top(scored.unionByName(rest), k, [*by, "query_id"])
-    return both.select(*by, "query_id", "chunk_id", py_round(F.col("score"), 4).alias("lexical_score"), "rank")
+    scored = _top(scored, k, [*by, "query_id"])
+    full = scored.filter(F.col("rank") == k).select(*by, "query_id")
+    short = queries.select(*by, "query_id").join(full, [*by, "query_id"], "left_anti")
+    if not short.isEmpty():
+        scored = scored.drop("rank")
+        if by:
+            first = _top(chunks.select(*by, "chunk_id").withColumn("score", F.lit(0.0)), k, by).select(*by, "chunk_id")
+            pad = short.join(first, by)
+        else:
+            pad = short.crossJoin(F.broadcast(chunks.select("chunk_id").orderBy("chunk_id").limit(k)))
+        rest = pad.join(scored, [*by, "query_id", "chunk_id"], "left_anti").withColumn("score", F.lit(0.0))
+        scored = _top(scored.unionByName(rest), k, [*by, "query_id"])
+    return scored.select(*by, "query_id", "chunk_id", py_round(F.col("score"), 4).alias("lexical_score"), "rank")
 
 
 def _vectors(batch: pa.RecordBatch | pa.Table) -> np.ndarray:
@@ -257,29 +387,6 @@ def _cosines(q: np.ndarray, d: np.ndarray) -> np.ndarray:
 _ROUNDED = 1e-4
 
 
-def _dense_best(vectors: DataFrame, chunks: DataFrame, k: int) -> DataFrame:
-    """query_id, chunk_id, sim: of each task's chunks what can be among the k best. Tasks hold a block of query vectors and
-    multiply batches of chunk vectors with it."""
-    found, vectors = None, stored(vectors, "asked").orderBy("query_id")
-    n = vectors.count()
-    kind, key = vectors.schema["query_id"].dataType.simpleString(), chunks.schema["chunk_id"].dataType.simpleString()
-    for at in range(0, max(n, 1), QUERY_BLOCK):
-        t = vectors.offset(at).limit(QUERY_BLOCK).toArrow()
-        sent = vectors.sparkSession.sparkContext.broadcast((t["query_id"].combine_chunks(), _vectors(t) if len(t) else None))
-
-        def run(batches: Iterator[pa.RecordBatch], sent=sent) -> Iterator[pa.RecordBatch]:
-            ids, q = sent.value
-            best = Best(k, _ROUNDED)
-            for b in batches:
-                if len(ids) and b.num_rows:
-                    best.add(_cosines(q, _vectors(b)), b.column("chunk_id"))
-            yield from best.rows(["query_id", "chunk_id", "sim"], ids)
-
-        part = chunks.mapInArrow(run, f"query_id {kind}, chunk_id {key}, sim double")
-        found = part if found is None else found.unionByName(part)
-    return found
-
-
 def _dense_cell(left: pa.Table, right: pa.Table, k: int) -> Iterator[pa.RecordBatch]:
     best, q = Best(k, _ROUNDED), _vectors(right)
     for a in range(0, left.num_rows, QUERY_BLOCK):
@@ -293,15 +400,10 @@ def dense_topk(queries: DataFrame, chunks: DataFrame, k: int) -> DataFrame:
     found; a zero vector has similarity 0.
 
     Similarities that can be among the k best are stored when this is called, so that vectors are made once."""
-    by = _by(queries, chunks)
-    rows = lambda df, i: df.filter(F.col("vec").isNotNull()).select(*[F.col(c).cast("string") for c in by], i, F.col("vec").cast("array<double>").alias("vec"))
-    q, c = rows(queries, "query_id"), rows(chunks, "chunk_id")
-    with scratch(chunks.sparkSession):
-        if by:
-            found = met(stored(q, "asked"), stored(c, "vectors"), lambda left, right: _dense_cell(left, right, k), "sim")
-        else:
-            found = _dense_best(q, c, k)
-        found = stored(found, "dense", keep=True)
+    return _nearest(_lists(queries, chunks, k, False, True)[1], k, _by(queries, chunks))
+
+
+def _nearest(found: DataFrame, k: int, by: list[str]) -> DataFrame:
     scored = found.select(*by, "query_id", "chunk_id", py_round(F.col("sim"), 4).alias("dense_score"))
     return _top(scored, k, [*by, "query_id"], "dense_score")
 
@@ -334,38 +436,67 @@ def _blended(coverage: Column, phrase: Column, dense: Column, lexical: Column, f
     return py_round(clamp((1.0 - r) * base + r * signal), 6)
 
 
-def hybrid_topk(queries: DataFrame, chunks: DataFrame, k: int, dense_weight: float = 0.6, rerank_weight: float = 0.2, rrf_k: int = 60, lexical_candidates: int = 40) -> DataFrame:
+def hybrid_topk(queries: DataFrame, chunks: DataFrame, k: int, dense_weight: float = 0.6, rerank_weight: float = 0.2, rrf_k: int = 60, lexical_candidates: int = 40, texts: Callable[[DataFrame], DataFrame] | None = None) -> DataFrame:
     """query_id, chunk_id, dense_score, lexical_score, rerank_score, rank: both lists merged, each to its depth.
 
-    The result is stored when this is called; so an embedder that made the vectors sees each text once."""
-    by, depth = _by(queries, chunks), max(3 * k, k, lexical_candidates)
-    pair = [*by, "query_id", "chunk_id"]
+    The result is stored when this is called; so an embedder that made the vectors sees each text once. texts: where chunks are
+    costly to make, what gives the texts of some (chunk_id, and collection if there is one) without making all."""
+    by, depth = _by(queries, chunks), _depth(k, lexical_candidates)
     with scratch(chunks.sparkSession):
-        d = dense_topk(queries, chunks, depth).withColumnRenamed("rank", "dense_rank")
-        x = lexical_topk(queries.drop("vec"), chunks.drop("vec"), depth).withColumnRenamed("rank", "lexical_rank")
-        merged = d.join(x, pair, "full_outer").withColumn("fused", rrf(F.col("dense_rank"), F.col("lexical_rank"), rrf_k)).fillna(0.0, ["dense_score", "lexical_score"])
-        merged = stored(merged, "merged")
-        # Of the candidates alone the texts are cut into tokens, each once; joined again, they are half as large in the shuffle.
-        wanted = small(merged.select(*by, "chunk_id").distinct())
-        texts = chunks.select(*by, "chunk_id", "text").join(wanted, [*by, "chunk_id"], "left_semi").select(*by, "chunk_id", F.array_join(tokenize(F.col("text")), " ").alias("_t"))
-        full = merged.join(texts, [*by, "chunk_id"]).join(queries.select(*by, "query_id", tokenize(F.col("query")).alias("_q")), [*by, "query_id"])
-        scored = full.withColumn("rerank_score", _blended(token_coverage(F.col("_q"), F.split("_t", " ")), joined_phrase(F.col("_q"), F.col("_t")), F.col("dense_score"), F.col("lexical_score"), F.col("fused"), dense_weight, rerank_weight))
-        return stored(_top(scored, k, [*by, "query_id"], "rerank_score").select(*pair, "dense_score", "lexical_score", "rerank_score", "rank"), "hybrid", keep=True)
+        raw, sim = _lists(queries, chunks, depth, True, True)
+        d, x = _nearest(sim, depth, by), ranked(raw, queries.drop("vec"), chunks.drop("vec"), depth)
+        return stored(_merged(d, x, queries, chunks, k, by, dense_weight, rerank_weight, rrf_k, texts), "hybrid", keep=True)
 
 
-def retrieve(queries: DataFrame, chunks: DataFrame, k: int, mode: str = "dense", **kw) -> DataFrame:
-    """query_id, chunk_id, similarity, rank, dense_score, lexical_score, rerank_score, retrieval_method; before them
-    collection, if both sides have one."""
+def _depth(k: int, lexical_candidates: int = 40) -> int:
+    return max(3 * k, k, lexical_candidates)
+
+
+def _merged(d: DataFrame, x: DataFrame, queries: DataFrame, chunks: DataFrame, k: int, by: list[str], dense_weight: float = 0.6, rerank_weight: float = 0.2, rrf_k: int = 60, texts: Callable[[DataFrame], DataFrame] | None = None) -> DataFrame:
+    """As hybrid_topk(), from both lists."""
+    pair = [*by, "query_id", "chunk_id"]
+    both = d.withColumnRenamed("rank", "dense_rank").join(x.withColumnRenamed("rank", "lexical_rank"), pair, "full_outer")
+    both = stored(both.withColumn("fused", rrf(F.col("dense_rank"), F.col("lexical_rank"), rrf_k)).fillna(0.0, ["dense_score", "lexical_score"]), "merged")
+    # Of the candidates alone the texts are cut into tokens, each once; a text meets all its questions, so it is moved once at most.
+    own = small(both.groupBy(*by, "chunk_id").agg(F.collect_list(F.struct("query_id", "dense_score", "lexical_score", "fused")).alias("_c")))
+    some = chunks if texts is None else texts(both.select(*by, "chunk_id").distinct())
+    each = some.select(*by, "chunk_id", "text").join(own, [*by, "chunk_id"]).select(*by, "chunk_id", F.array_join(tokenize(F.col("text")), " ").alias("_t"), "_c")
+    full = each.select(*by, "chunk_id", "_t", F.explode("_c").alias("_c")).select(*by, "chunk_id", "_t", "_c.*")
+    full = full.join(small(queries.select(*by, "query_id", tokenize(F.col("query")).alias("_q"))), [*by, "query_id"])
+    scored = full.withColumn("rerank_score", _blended(token_coverage(F.col("_q"), F.split("_t", " ")), joined_phrase(F.col("_q"), F.col("_t")), F.col("dense_score"), F.col("lexical_score"), F.col("fused"), dense_weight, rerank_weight))
+    return _top(scored.select(*pair, "dense_score", "lexical_score", "rerank_score"), k, [*by, "query_id"], "rerank_score")
+
+
+def _retrieved(found: DataFrame, mode: str, by: list[str]) -> DataFrame:
     null = F.lit(None).cast("double")
     if mode == "dense":
-        out = dense_topk(queries, chunks, k).withColumns({"similarity": F.col("dense_score"), "lexical_score": null, "rerank_score": F.col("dense_score")})
+        out = found.withColumns({"similarity": F.col("dense_score"), "lexical_score": null, "rerank_score": F.col("dense_score")})
     elif mode == "lexical":
-        out = lexical_topk(queries, chunks, k).withColumns({"similarity": F.col("lexical_score"), "dense_score": null, "rerank_score": F.col("lexical_score")})
-    elif mode == "hybrid":
-        out = hybrid_topk(queries, chunks, k, **kw).withColumn("similarity", F.col("rerank_score"))
+        out = found.withColumns({"similarity": F.col("lexical_score"), "dense_score": null, "rerank_score": F.col("lexical_score")})
     else:
+        out = found.withColumn("similarity", F.col("rerank_score"))
+    return out.select(*by, "query_id", "chunk_id", "similarity", "rank", "dense_score", "lexical_score", "rerank_score", F.lit(mode).alias("retrieval_method"))
+
+
+def retrieve(queries: DataFrame, chunks: DataFrame, k: int, mode: str = "dense", **kw) -> DataFrame:
+    """query_id, chunk_id, similarity, rank, dense_score, lexical_score, rerank_score, retrieval_method; before them
+    collection, if both sides have one."""
+    if mode not in MODES:
         raise ValueError(f"mode must be one of {MODES}: {mode}")
-    return out.select(*_by(queries, chunks), "query_id", "chunk_id", "similarity", "rank", "dense_score", "lexical_score", "rerank_score", F.lit(mode).alias("retrieval_method"))
+    found = hybrid_topk(queries, chunks, k, **kw) if mode == "hybrid" else (dense_topk if mode == "dense" else lexical_topk)(queries, chunks, k)
+    return _retrieved(found, mode, _by(queries, chunks))
+
+
+def every_mode(queries: DataFrame, chunks: DataFrame, k: int) -> DataFrame:
+    """retrieve() in all modes, the chunks scored once: the k best by terms or vectors lead the lists that hybrid search merges."""
+    by, depth = _by(queries, chunks), _depth(k)
+    with scratch(chunks.sparkSession):
+        raw, sim = _lists(queries, chunks, depth, True, True)
+        d = stored(_nearest(sim, depth, by), "dense")
+        x = stored(ranked(raw, queries.drop("vec"), chunks.drop("vec"), depth), "lexical")
+        best = {"dense": d.filter(F.col("rank") <= k), "lexical": x.filter(F.col("rank") <= max(1, k)), "hybrid": _merged(d, x, queries, chunks, k, by)}
+        dense, lexical, hybrid = (_retrieved(best[m], m, by) for m in MODES)
+        return stored(dense.unionByName(lexical).unionByName(hybrid), "modes", keep=True)
 
 
 def candidates(queries: DataFrame, chunks: DataFrame, top_k: int = 4, multiplier: int = 3, mode: str = "dense", **kw) -> DataFrame:

@@ -11,6 +11,7 @@ from pyspark.sql import functions as F
 from ..functions import citations, text
 from ..functions.numeric import py_round
 from ..operators import ann, answering, chunking, embedding, evaluation, evidence, inverted, lab, reports, retrieval, storage, tables
+from ..operators.grouped import small
 from ..sources import config, labels, regression_set, uploads
 from ..streaming.landing import latency_windows
 
@@ -605,10 +606,13 @@ tr AS (SELECT *, refusal_reason IS NOT NULL AS is_refusal, draft AS generated, C
 
 
 def indexed_pages(spark, sf_dir) -> DataFrame:
-    """Chunk ids follow the content: of documents alike in content the first is indexed."""
+    """Chunk ids follow the content: of documents alike in content the first is indexed. Stored, as they are read several times."""
     pages = doc_pages(spark, sf_dir)
-    first = pages.groupBy("document_hash").agg(F.min("doc_id").alias("doc_id"))
-    return pages.join(first, ["document_hash", "doc_id"], "left_semi")
+    hashes = storage.stored(pages.select("document_hash", "doc_id"), "hashes")
+    first = hashes.groupBy("document_hash").agg(F.min("doc_id").alias("doc_id"))
+    # Copies are few: as they alone are broadcast, texts stay where they are read.
+    again = hashes.join(first, ["document_hash", "doc_id"], "left_anti")
+    return storage.stored(pages.filter("document_hash is not null").join(small(again), ["document_hash", "doc_id"], "left_anti").select(pages.columns), "indexed")
 
 
 def _answers(spark, sf_dir, threshold=0.05):
@@ -853,12 +857,12 @@ def full_run(spark: SparkSession, mode: str = "hybrid", threshold: float = 0.3,
     return evaluation.evaluate(gold, traces, latency_slo_seconds=8.0), traces
 
 
-def conversation_cases(spark, sf_dir) -> DataFrame:
+def conversation_cases(spark, sf_dir, pages: DataFrame | None = None) -> DataFrame:
     """document_cases() as conversations: the first half of an item is said before, the second half is asked."""
     half = F.floor(F.length("query") / 2).cast("int")
     said = F.struct(F.lit("user").alias("role"), F.expr("substring(query, 1, cast(floor(length(query) / 2) as int))").alias("content"))
     asked = F.expr("substring(query, cast(floor(length(query) / 2) as int) + 1)")
-    c = document_cases(spark, sf_dir).withColumns({"expected_answer": F.lit(None).cast("string"), "expected_standalone_query": F.col("query"), "history": F.when(half > 0, F.array(said)), "tags": F.array(F.lit("conversational"))})
+    c = document_cases(spark, sf_dir, pages).withColumns({"expected_answer": F.lit(None).cast("string"), "expected_standalone_query": F.col("query"), "history": F.when(half > 0, F.array(said)), "tags": F.array(F.lit("conversational"))})
     return c.withColumn("query", asked)
 
 
@@ -887,10 +891,13 @@ def labelled_run(spark, sf_dir):
     return c.withColumns({"failures": F.array_join(F.array_remove("failures", "LATENCY_REGRESSION"), ","), "tags": F.array_join("tags", ",")}).drop("latency_seconds")
 
 
-def document_cases(spark, sf_dir) -> DataFrame:
-    """A case for each benchmark item: answerable if an indexed document holds its text, but for case and blanks."""
+def document_cases(spark, sf_dir, pages: DataFrame | None = None) -> DataFrame:
+    """A case for each benchmark item: answerable if an indexed document (pages, if they are stored) holds its text, but for
+    case and blanks."""
     items = questions(spark, sf_dir)
-    held = evidence.holders(items, indexed_pages(spark, sf_dir), "query_id", "query", "source_doc", "text")
+    with storage.scratch(spark):
+        held = evidence.holders(items, indexed_pages(spark, sf_dir) if pages is None else pages, "query_id", "query", "source_doc", "text")
+        held = storage.stored(held, "labels", keep=True)
     docs = held.groupBy("query_id").agg(F.array_sort(F.collect_set("source_doc")).alias("docs"))
     none = F.array().cast("array<string>")
     return items.join(docs, "query_id", "left").select(
@@ -956,5 +963,9 @@ def retrieval_ablation_modes(spark, sf_dir):
 @query("chunking_ablation", f"WITH RECURSIVE {CHUNKED_SQL} SELECT o.* EXCLUDE (collection, seq), va.*, indexed_chunks FROM o JOIN vs USING (collection) JOIN va ON va.seq = o.collection::INTEGER")
 def chunking_ablation(spark, sf_dir):
     """The whole default grid of sizes and overlaps over all documents."""
-    gold = document_cases(spark, sf_dir).persist()
-    return lab.chunking_ablation(gold, indexed_pages(spark, sf_dir), lambda df, c="text": embedding.embed(df, c))
+    with storage.scratch(spark):
+        pages = indexed_pages(spark, sf_dir)
+        gold = storage.stored(document_cases(spark, sf_dir, pages), "cases")
+        rows = lab.chunking_ablation(gold, pages, lambda df, c="text": embedding.embed(df, c))
+        rows = storage.stored(rows, "rows", keep=True)
+    return rows.orderBy(F.desc("balanced_accuracy"), F.desc("retrieval_recall_at_k"), F.desc("mrr"), "chunk_size", "overlap")
