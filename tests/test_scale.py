@@ -39,3 +39,21 @@ def test_the_chunking_grid_embeds_each_chunk_once(spark):
     gold = spark.createDataFrame([(1, "red kite", None, True, [], ["d1.txt"])], "case_id long, query string, expected_standalone_query string, expected_answerable boolean, expected_chunk_ids array<string>, expected_source_docs array<string>")
     rows = lab.chunking_ablation(gold, p, lambda df, c="text": embedding.embed(df, c, model), [200, 400], [30]).collect()
     assert len(rows) == 2 and seen.value == 1 + sum(r.indexed_chunks for r in rows)
+
+
+def collections(spark, n=90):
+    rnd = random.Random(4)
+    chunks = [(f"c{i % 3}", i, text(rnd, 1 + i % 9), [rnd.uniform(-1, 1) for _ in range(3)]) for i in range(n)]
+    asked = [(f"c{c}", q, text(rnd, 3), [rnd.uniform(-1, 1) for _ in range(3)]) for c in range(4) for q in range(5)]
+    return spark.createDataFrame(asked, "collection string, query_id int, query string, vec array<double>"), spark.createDataFrame(chunks, "collection string, chunk_id int, text string, vec array<double>")
+
+
+@pytest.mark.parametrize("mode", retrieval.MODES)
+def test_chunks_are_scored_where_they_are_read_within_collections(spark, monkeypatch, mode):
+    asked, chunks = collections(spark)
+    with monkeypatch.context() as m:
+        m.setattr(retrieval, "met", lambda *_: pytest.fail("parts of a collection are gathered"))
+        got = {tuple(r) for r in retrieval.retrieve(asked, chunks, 4, mode).collect()}
+    # More questions than are broadcast meet parts of their collection; rows are the same.
+    monkeypatch.setattr(retrieval, "LEXICAL_BLOCK", 7)
+    assert got == {tuple(r) for r in retrieval.retrieve(asked, chunks, 4, mode).collect()} and len(got) == 3 * 5 * 4
