@@ -15,15 +15,17 @@ from __future__ import annotations
 from collections.abc import Iterator
 from dataclasses import dataclass
 
+import numpy as np
 import pyarrow as pa
+import pyarrow.compute as pc
 from pyspark import TaskContext
 from pyspark.sql import Column, DataFrame, SparkSession
 from pyspark.sql import functions as F
 from pyspark.sql.window import Window
 
 from ..functions.text import tokenize
-from .grouped import small
-from .retrieval import _terms, ranked
+from .grouped import Best, small
+from .retrieval import _raw, _terms, ranked
 from .storage import scratch, stored
 
 CELL, BUCKETS = 256, 64
@@ -117,8 +119,8 @@ class _Search:
         self.postings = index.of(asked).join(terms, "term", "left_semi")
         sums = index.blocks().filter("bucket = -1").agg(F.sum("n"), F.sum(F.aggregate("lengths", F.lit(0).cast("long"), lambda a, x: a + x))).first()
         chunks, mean = sums[0] or 0, max(1.0, (sums[1] or 0) / sums[0] if sums[0] else 0.0)
-        self.share = lambda tf, length: _share(tf, length, mean, k1, b)
-        bounds = stored(self.postings.select("term", "cell", "n", self.share("max_tf", "min_length").alias("bound")), "bounds")
+        self.model = mean, k1, b
+        bounds = stored(self.postings.select("term", "cell", "n", _share("max_tf", "min_length", mean, k1, b).alias("bound")), "bounds")
         df = bounds.groupBy("term").agg(F.sum("n").alias("df"))
         idf = F.ln(1 + (F.lit(chunks) - F.col("df") + 0.5) / (F.col("df") + 0.5))
         self.weights = stored(asked.join(small(df), "term").select("query_id", "term", (F.col("qtf") * idf).alias("weight")), "weights")
@@ -127,11 +129,36 @@ class _Search:
         self.slack = self.weights.groupBy("query_id").agg((2e-6 * (k1 + 1) * F.sum("weight")).alias("slack"))
 
     def scored(self, cells: DataFrame) -> DataFrame:
-        """query_id, chunk_id, raw of all chunks in some cells of questions (query_id, cell) that share a term with them."""
-        wanted = cells.select("query_id", "cell").join(small(self.weights), "query_id")
-        each = self.postings.select("term", "cell", F.arrays_zip("chunk_ids", "lengths", "tfs").alias("x")).join(wanted, ["term", "cell"]).select("query_id", "weight", F.explode("x").alias("x"))
-        each = each.select("query_id", F.col("x.chunk_ids").alias("chunk_id"), "weight", F.col("x.tfs").alias("tf"), F.col("x.lengths").alias("length"))
-        return each.groupBy("query_id", "chunk_id").agg(F.sum(F.col("weight") * self.share("tf", "length")).alias("raw"))
+        """query_id, chunk_id, raw: of the chunks in some cells of questions (query_id, cell) that share a term with them, for each
+        cell what can be among a question's k best. A cell's postings and questions meet in one task; no posting is repeated."""
+        k, (mean, k1, b) = self.k, self.model
+        own = self.weights.groupBy("query_id").agg(F.collect_list("term").alias("terms"), F.collect_list("weight").alias("weights"))
+        wanted = cells.select("query_id", "cell").join(small(own), "query_id")
+        rows = self.postings.select("term", "cell", "chunk_ids", "lengths", "tfs").join(small(cells.select("cell").distinct()), "cell", "left_semi")
+        schema = f"query_id {wanted.schema['query_id'].dataType.simpleString()}, chunk_id {rows.schema['chunk_ids'].dataType.elementType.simpleString()}, raw double"
+        none = cells.sparkSession.createDataFrame([], schema).toArrow()
+
+        def run(left: pa.Table, right: pa.Table) -> pa.Table:
+            if not left.num_rows or not right.num_rows:
+                return none
+            left, right = left.combine_chunks(), right.combine_chunks()
+            flat = lambda t, c: pc.list_flatten(t[c].combine_chunks())
+            of = lambda t, c: pc.list_parent_indices(t[c].combine_chunks()).to_numpy()
+            coded, row = flat(left, "chunk_ids").dictionary_encode(), of(left, "chunk_ids")
+            chunk, lengths = coded.indices.to_numpy(), np.zeros(len(coded.dictionary))
+            lengths[chunk] = flat(left, "lengths").to_numpy()
+            query, weight = of(right, "terms"), flat(right, "weights").to_numpy()
+            slack = 2e-6 * (k1 + 1) * np.bincount(query, weight, right.num_rows)
+            term = pc.index_in(flat(right, "terms"), left["term"].combine_chunks()).fill_null(-1).to_numpy()
+            order = np.argsort(term, kind="stable")[np.count_nonzero(term < 0) :]
+            first = np.searchsorted(term[order], np.arange(left.num_rows + 1))
+            raw = _raw(right.num_rows, query[order], weight[order], first, chunk, row, flat(left, "tfs").to_numpy().astype(float), lengths, mean, k1, b)
+            best = Best(k, slack)
+            best.add(raw, coded.dictionary, 0.0)
+            found = list(best.rows(["query_id", "chunk_id", "raw"], right["query_id"].combine_chunks()))
+            return pa.Table.from_batches(found) if found else none
+
+        return rows.groupBy("cell").cogroup(wanted.groupBy("cell")).applyInArrow(run, schema)
 
     def first(self) -> DataFrame:
         w = Window.partitionBy("query_id").orderBy(F.desc("most"), "cell")
@@ -195,7 +222,7 @@ def matches(index: Index, pairs: DataFrame, queries: DataFrame) -> DataFrame:
         def met(terms: DataFrame) -> DataFrame:
             """Places of the questions' terms in the pairs' chunks: blocks of the terms in their cells, then those chunks alone."""
             wanted = pairs.select("query_id", "cell").distinct().join(small(terms), "query_id")
-            rows = zipped.join(wanted, ["term", "cell"]).withColumn("x", F.explode("x"))
+            rows = zipped.join(small(wanted), ["term", "cell"]).withColumn("x", F.explode("x"))
             rows = rows.select(*terms.columns, F.col("x.chunk_ids").alias("chunk_id"), F.col("x.positions").alias("at"))
             return rows.join(small(pairs.select("query_id", "chunk_id").distinct()), ["query_id", "chunk_id"], "left_semi")
 

@@ -5,7 +5,7 @@ import random
 import pytest
 from pyspark.sql import functions as F
 
-from assayer.operators import chunking, embedding, lab, retrieval, tables
+from assayer.operators import chunking, embedding, inverted, lab, retrieval, storage, tables
 
 WORDS = "kite permit red blue sales review days opening hours fee Kelvin É 42 ſ".split()
 
@@ -59,6 +59,28 @@ def test_chunks_are_scored_where_they_are_read_within_collections(spark, monkeyp
     assert got == {tuple(r) for r in retrieval.retrieve(asked, chunks, 4, mode).collect()} and len(got) == 3 * 5 * 4
 
 
+def plans(monkeypatch, module):
+    """Plans of what a module stores, as they are made."""
+    seen, keep = [], module.stored
+    monkeypatch.setattr(module, "stored", lambda df, what, **kw: (seen.append((what, df._jdf.queryExecution().executedPlan().toString())), keep(df, what, **kw))[1])
+    return seen
+
+
+def test_an_index_is_searched_without_a_row_for_each_posting_and_question(spark, tmp_path, monkeypatch):
+    rnd = random.Random(8)
+    chunks = spark.createDataFrame([(i, text(rnd, i % 40)) for i in range(150)], "chunk_id long, text string")
+    asked = spark.createDataFrame([(q, text(rnd, q)) for q in range(8)], "query_id long, query string")
+    index = inverted.build(chunks, str(tmp_path / "index"), 8)
+    seen = plans(monkeypatch, inverted)
+    got = {tuple(r) for r in inverted.search(index, asked, 6).collect()}
+    assert got == {tuple(r) for r in retrieval.lexical_topk(asked, chunks, 6).collect()} and len(got) == 48
+    assert "Generate explode(x" not in "".join(p for _, p in seen)
+    cells = spark.range(19).select(F.lit(7).cast("long").alias("query_id"), F.col("id").alias("cell"))
+    with storage.scratch(spark):
+        s = inverted._Search(index, asked, 2, 1.5, 0.75)
+        assert s.scored(cells).count() <= 19 * (2 + 2)
+
+
 def test_statistics_of_a_table_are_counted_where_rows_are(spark, tmp_path, monkeypatch):
     rnd = random.Random(9)
     rows = spark.createDataFrame([(f"c{i % 2}", i, text(rnd, 60)) for i in range(400)], "collection string, chunk_id long, text string").coalesce(2)
