@@ -951,13 +951,13 @@ def evidence_labels(spark, sf_dir):
 @query("retrieval_ablation_modes", f"WITH {ABLATED_SQL} SELECT * EXCLUDE (collection) FROM o")
 def retrieval_ablation_modes(spark, sf_dir):
     """All 36 cells: benchmark against documents in every mode. retrieval_ablation has the dense ones over embeddings, as its SQL."""
-    gold = document_cases(spark, sf_dir).persist()
-    docs = embedding.embed(indexed_pages(spark, sf_dir).withColumn("chunk_id", F.col("doc_id").cast("string")).filter("text is not null")).persist()
-    q, found = embedding.embed(lab.probe_queries(gold), "query"), None
-    for mode in retrieval.MODES:
-        one = retrieval.retrieve(q, docs, max(lab.TOP_KS), mode)
-        found = one if found is None else found.unionByName(one)
-    return lab.retrieval_ablation(lab.probes(gold, found, docs))
+    with storage.scratch(spark):
+        pages = indexed_pages(spark, sf_dir)
+        gold = storage.stored(document_cases(spark, sf_dir, pages), "cases")
+        docs = pages.withColumn("chunk_id", F.col("doc_id").cast("string")).filter("text is not null")
+        found = retrieval.every_mode(embedding.embed(lab.probe_queries(gold), "query"), embedding.embed(docs), max(lab.TOP_KS))
+        cases = storage.stored(lab.probes(gold, found, docs), "probes", keep=True)
+    return lab.retrieval_ablation(cases)
 
 
 @query("chunking_ablation", f"WITH RECURSIVE {CHUNKED_SQL} SELECT o.* EXCLUDE (collection, seq), va.*, indexed_chunks FROM o JOIN vs USING (collection) JOIN va ON va.seq = o.collection::INTEGER")

@@ -59,6 +59,20 @@ def test_chunks_are_scored_where_they_are_read_within_collections(spark, monkeyp
     assert got == {tuple(r) for r in retrieval.retrieve(asked, chunks, 4, mode).collect()} and len(got) == 3 * 5 * 4
 
 
+def test_all_modes_read_the_chunks_once(spark):
+    seen = spark.sparkContext.accumulator(0)
+
+    def model(texts):
+        seen.add(len(texts))
+        return embedding.hashed(texts)
+
+    asked, chunks = (df.filter("collection = 'c1'").drop("collection", "vec") for df in collections(spark))
+    vectors = embedding.embed(asked, "query"), embedding.embed(chunks, "text", model)
+    got = {tuple(r) for r in retrieval.every_mode(*vectors, 5).collect()}
+    assert seen.value == chunks.count()
+    assert got == {tuple(r) for m in retrieval.MODES for r in retrieval.retrieve(*vectors, 5, m).collect()}
+
+
 def plans(monkeypatch, module):
     """Plans of what a module stores, as they are made."""
     seen, keep = [], module.stored
