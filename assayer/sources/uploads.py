@@ -13,6 +13,8 @@ import pyarrow as pa
 from pyspark.sql import Column, DataFrame
 from pyspark.sql import functions as F
 
+from ..operators.storage import BATCH_BYTES, small_batches
+
 # Formats taken, and limits.
 EXTENSIONS = [".csv", ".docx", ".md", ".pdf", ".txt"]
 TEXT_EXTENSIONS = [".csv", ".md", ".txt"]
@@ -165,17 +167,26 @@ def parse_documents(files: DataFrame, max_pages: int = 200) -> DataFrame:
 
     def run(batches: Iterator[pa.RecordBatch]) -> Iterator[pa.RecordBatch]:
         for b in batches:
-            rows = []
-            for key, name, raw, ext in zip(*(b.column(c).to_pylist() for c in ("document_hash", "source_doc", "content", "ext")), strict=True):
+            rows, held = [], 0
+            # Of the contents only one is a Python object at a time; pages are passed on before they come to much.
+            for key, name, raw, ext in zip(*(b.column(c) for c in ("document_hash", "source_doc", "content", "ext")), strict=True):
+                key, name, raw = key.as_py(), name.as_py(), raw.as_py()
                 try:
-                    pages, warnings = parse_file(raw or b"", ext, max_pages)
+                    pages, warnings = parse_file(raw or b"", ext.as_py(), max_pages)
                     rows += [(key, name, i, t, warnings, None) for i, t in pages] or [(key, name, None, None, warnings, "no_text")]
+                    held += sum(len(t) for _, t in pages)
                 except ValueError as e:
                     rows.append((key, name, None, None, [str(e)], "parse_error"))
-            cols = zip(*rows, strict=True) if rows else [()] * len(names)
-            yield pa.RecordBatch.from_arrays([pa.array(c, k) for c, k in zip(cols, kinds, strict=True)], names)
+                if held > BATCH_BYTES:
+                    yield batch_of(rows)
+                    rows, held = [], 0
+            yield batch_of(rows)
+
+    def batch_of(rows: list[tuple]) -> pa.RecordBatch:
+        cols = zip(*rows, strict=True) if rows else [()] * len(names)
+        return pa.RecordBatch.from_arrays([pa.array(c, k) for c, k in zip(cols, kinds, strict=True)], names)
 
-    return files.select("document_hash", "source_doc", "content", extension(F.col("source_doc")).alias("ext")).mapInArrow(run, "document_hash string, source_doc string, page_number int, text string, warnings array<string>, error_code string")
+    return small_batches(files).select("document_hash", "source_doc", "content", extension(F.col("source_doc")).alias("ext")).mapInArrow(run, "document_hash string, source_doc string, page_number int, text string, warnings array<string>, error_code string")
 
 
 def read_uploads(spark, path: str, max_bytes: int, known: DataFrame | None = None) -> tuple[DataFrame, DataFrame]:

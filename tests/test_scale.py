@@ -6,6 +6,7 @@ import pytest
 from pyspark.sql import functions as F
 
 from assayer.operators import chunking, embedding, inverted, lab, retrieval, storage, tables
+from assayer.sources import uploads
 
 WORDS = "kite permit red blue sales review days opening hours fee Kelvin É 42 ſ".split()
 
@@ -109,3 +110,16 @@ def test_statistics_of_a_table_are_counted_where_rows_are(spark, tmp_path, monke
     assert got == want
     (written,) = (p for p in (tmp_path / "t" / "data").iterdir())
     assert {p.name for p in written.iterdir()} >= {"rows", "keys", "statistics"} and table.count() == 400
+
+
+def test_files_are_parsed_in_batches_bounded_by_bytes(spark, monkeypatch):
+    files = spark.createDataFrame([(str(i), f"{i}.txt", b"word " * 40_000) for i in range(60)], "document_hash string, source_doc string, content binary").coalesce(1)
+    key = "spark.sql.execution.arrow.maxBytesPerBatch"
+    before = spark.conf.get(key)
+    spark.conf.unset(key)
+    try:
+        done = uploads.parse_documents(files)
+        assert int(spark.conf.get(key)) <= storage.BATCH_BYTES
+        assert {(r.source_doc, r.n) for r in done.select("source_doc", F.length("text").alias("n")).collect()} == {(f"{i}.txt", 199_999) for i in range(60)}
+    finally:
+        spark.conf.set(key, before)
