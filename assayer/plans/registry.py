@@ -616,7 +616,9 @@ def indexed_pages(spark, sf_dir) -> DataFrame:
 
 
 def _answers(spark, sf_dir, threshold=0.05):
-    return answering.turn(questions(spark, sf_dir), chunking.chunk_pages(indexed_pages(spark, sf_dir)), answering.Extractive(), "lexical", threshold)
+    with storage.scratch(spark):
+        chunks = storage.stored(chunking.chunk_pages(indexed_pages(spark, sf_dir)), "chunks")
+        return storage.stored(answering.turn(questions(spark, sf_dir), chunks, answering.Extractive(), "lexical", threshold), "answers", keep=True)
 
 
 ASKS_SQL = "SELECT query_id, query, query AS standalone FROM (SELECT item_id AS query_id, left(regexp_replace(text, '^\\s+|\\s+$', '', 'g'), 2000) AS query FROM benchmark)"
@@ -886,8 +888,11 @@ CASE WHEN cr > 0 AND cr < 1 THEN 'CITATION_OFF_GOLD' END, CASE WHEN NOT correct
 @query("labelled_run", f"WITH RECURSIVE {RUN_SQL} SELECT * FROM ev")
 def labelled_run(spark, sf_dir):
     """Evaluations but for the latency, which differs each time."""
-    chunks = chunking.chunk_pages(indexed_pages(spark, sf_dir))
-    c, _ = full_run(spark, "lexical", 0.3, conversation_cases(spark, sf_dir), chunks)
+    with storage.scratch(spark):
+        pages = indexed_pages(spark, sf_dir)
+        chunks = storage.stored(chunking.chunk_pages(pages), "chunks")
+        gold = storage.stored(conversation_cases(spark, sf_dir, pages), "cases")
+        c = storage.stored(full_run(spark, "lexical", 0.3, gold, chunks)[0], "evaluations", keep=True)
     return c.withColumns({"failures": F.array_join(F.array_remove("failures", "LATENCY_REGRESSION"), ","), "tags": F.array_join("tags", ",")}).drop("latency_seconds")
 
 
@@ -945,7 +950,8 @@ vs AS (SELECT collection, count(*) AS indexed_chunks FROM cks GROUP BY collectio
 @query("evidence_labels", f"""SELECT item_id, 'doc-' || pg.id || '.txt' AS source_doc FROM benchmark b JOIN ({FIRST_PAGES_SQL}) pg ON contains(trim(regexp_replace(lower(pg.text), '\\s+', ' ', 'g')), trim(regexp_replace(lower(b.text), '\\s+', ' ', 'g'))) WHERE trim(regexp_replace(lower(b.text), '\\s+', ' ', 'g')) <> ''""")
 def evidence_labels(spark, sf_dir):
     """Each benchmark item with the indexed documents that hold it, but for case and blanks."""
-    return evidence.holders(read(spark, sf_dir, "benchmark"), indexed_pages(spark, sf_dir), "item_id", "text", "source_doc", "text")
+    with storage.scratch(spark):
+        return storage.stored(evidence.holders(read(spark, sf_dir, "benchmark"), indexed_pages(spark, sf_dir), "item_id", "text", "source_doc", "text"), "labels", keep=True)
 
 
 @query("retrieval_ablation_modes", f"WITH {ABLATED_SQL} SELECT * EXCLUDE (collection) FROM o")

@@ -6,6 +6,7 @@ import pytest
 from pyspark.sql import functions as F
 
 from assayer.operators import chunking, embedding, inverted, lab, retrieval, storage, tables
+from assayer.plans import registry
 from assayer.sources import uploads
 
 WORDS = "kite permit red blue sales review days opening hours fee Kelvin É 42 ſ".split()
@@ -123,3 +124,20 @@ def test_files_are_parsed_in_batches_bounded_by_bytes(spark, monkeypatch):
         assert {(r.source_doc, r.n) for r in done.select("source_doc", F.length("text").alias("n")).collect()} == {(f"{i}.txt", 199_999) for i in range(60)}
     finally:
         spark.conf.set(key, before)
+
+
+@pytest.mark.parametrize("name", ["labelled_run", "answer_traces"])
+def test_answers_read_stored_chunks(spark, tmp_path, monkeypatch, name):
+    """Chunks are read several times in a turn: they are cut once."""
+    spark.createDataFrame([(i, text(random.Random(i), 40)) for i in range(6)], "doc_id long, text string").write.parquet(f"{tmp_path}/documents.parquet")
+    spark.createDataFrame([(1, "red kite permit")], "item_id long, text string").write.parquet(f"{tmp_path}/benchmark.parquet")
+    seen = []
+
+    def turn(asked, chunks, *a, **kw):
+        seen.append(chunks._jdf.queryExecution().executedPlan().toString())
+        raise InterruptedError
+
+    monkeypatch.setattr(registry.answering, "turn", turn)
+    with pytest.raises(InterruptedError):
+        registry.QUERIES[name](spark, str(tmp_path))
+    assert "FileScan parquet" in seen[0] and "MapInArrow" not in seen[0]
