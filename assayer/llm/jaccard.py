@@ -12,9 +12,10 @@ linked with nothing). Texts of equal word sequences are one class, and links are
 3. Candidates, under the length and the positional filter; later also under a suffix filter, which bounds the difference
    of two whole sets by parity sketches. First each list of a shingle is cut into parts of about PART_CLASSES classes, and
    each class meets one class (the hub) of its part. Then, round by round, of each component that a list holds one class,
-   another each time, meets one of the list's largest component. Last, what is still of several components: every class
-   beside the largest component meets those of other components. Pairs within a component can't change it. Each pair is
-   verified once: those that failed are remembered. Edges lead from component to component.
+   another each time, meets one of the list's largest component, until few pairs are left or a round hardly lessens them.
+   Last, what is still of several components: every class beside the largest component meets those of other components.
+   Pairs within a component can't change it. Each pair is verified once: those that failed are remembered. Edges lead from
+   component to component.
 
 Shingles are compared by 64-bit hashes. A class is a 64-bit hash of its word sequence. Null texts have no words; rows
 with null ids are in no component (component_id null), and link nothing. Rows of one id with different texts are nodes
@@ -27,7 +28,7 @@ from collections.abc import Iterator
 
 import numpy as np
 import pyarrow as pa
-from pyspark.sql import DataFrame
+from pyspark.sql import DataFrame, Window
 from pyspark.sql import functions as F
 
 from .blobs import cuts, group_of, pack, pack_sorted, slice_name, squeezed, unpack, unpack_sorted, unsqueezed
@@ -40,8 +41,10 @@ PERCENT = 75
 SKETCH_BITS = 512
 #: Classes of a list that meet one hub, about; a power of two.
 PART_CLASSES = 1 << 10
-#: Rounds in which lists meet hubs before all pairs of components are looked at.
+#: Rounds in which lists meet hubs before all pairs of components are looked at; at most, as they end when these are no more
+#: than FEW_PAIRS for each row of the lists.
 HUB_ROUNDS = 6
+FEW_PAIRS = 8
 SLICE = 4 << 20
 #: Rows of a group after which a worker gives memory back.
 TRIMMED_ROWS = 256
@@ -289,20 +292,25 @@ def _links(docs: DataFrame, text_col: str, percent: int, shingle_words: int) ->
     # A class is told by each slice that it is in, in the same words.
     told = sent_back.groupBy("grp").applyInArrow(_survivors(percent), "c long, n int, keys binary, numbers binary, sketch array<long>")
     sets = stored(told.groupBy("c").agg(*[F.first(x).alias(x) for x in ("n", "keys", "numbers", "sketch")]), "sets")
-    lists = stored(sets.select("c", "n", "keys", "numbers").mapInArrow(_prefixes, "key long, c long, n int, pos int, part long, parts long").withColumn("root", F.col("c")), "lists")
-    plain, full = ["c", "root", "n", "pos"], ["c", "root", "n", "pos", "sketch", "alone"]
-
-    hub = lists.groupBy("key", "part").agg(F.min(F.struct("n", "c", "root", "pos")).alias("hub"), F.count("*").alias("k")).filter("k > 1").select("key", "part", "hub.*")
-    near = _sides(lists, hub, ["key", "part"], plain).filter((F.col("root1") != F.col("root2")) & _possible(percent, False))
+    lists = sets.select("c", "n", "keys", "numbers").mapInArrow(_prefixes, "key long, c long, n int, pos int, part long, parts long")
+    full = ["c", "root", "n", "pos", "sketch", "alone"]
+
+    # A part of a list meets its hub where it is gathered. Lists of one class (whose copies are in several slices) end here.
+    here = Window.partitionBy("key", "part")
+    lists = lists.withColumn("hub", F.min(F.struct("n", "c", "pos")).over(here)).withColumn("k", F.count("*").over(here)).filter("k > 1 or parts > 1")
+    lists = stored(lists.select("key", "c", "n", "pos", "parts", "hub"), "lists")
+    side = lambda at, i: [F.col(f"{at}{n}").alias(f"{n}{i}") for n in ("c", "n", "pos")] + [F.col(f"{at}c").alias(f"root{i}")]
+    near = lists.select(*side("", 1), *side("hub.", 2)).filter((F.col("c1") != F.col("c2")) & _possible(percent, False))
     tried = _verified(near, sets, None, percent)
     tops = _merged(tried)
     part = _moved(sets.select("c", F.col("c").alias("root")), tops)
 
     shown = sets.select("c", "sketch", (F.col("n") - F.length("keys") / 8).cast("int").alias("alone"))
-    lists = stored(_mixed(stored(_moved(lists, tops), "lists")).join(shown, "c"), "lists")
+    lists, left, size = _mixed(_moved(lists.select("key", "c", "n", "pos", "parts", F.col("c").alias("root")), tops))
+    if not size:
+        return part
+    lists = stored(lists.join(shown, "c"), "shown")
     for seed in range(1, HUB_ROUNDS):
-        if lists.isEmpty():
-            return part
         # Of each list one class of each component, another each round; and of the largest of them, the one to meet.
         one = lists.groupBy("key", "root", "parts").agg(F.count("*").alias("k"), F.min_by(F.struct("c", "n", "pos", "sketch", "alone"), F.xxhash64("c", "key", F.lit(seed))).alias("x"))
         one = stored(one.select("key", F.pmod(F.xxhash64("root"), F.greatest(F.lit(1), F.shiftright("parts", 10 * seed))).alias("part"), "root", "k", "x.*"), "ones")
@@ -314,19 +322,27 @@ def _links(docs: DataFrame, text_col: str, percent: int, shingle_words: int) ->
             break
         tops = _merged(more)
         part = _moved(part, tops)
-        lists = stored(_mixed(stored(_moved(lists, tops), "lists")), "lists")
-    most = lists.groupBy("key", "root").agg(F.count("*").alias("k")).groupBy("key").agg(F.max_by("root", F.struct("k", "root")).alias("most"))
-    marked = lists.join(stored(most, "most"), "key")
-    beside = marked.filter("root <> most").withColumn("part", F.explode(F.sequence(F.lit(0).cast("long"), F.col("parts") - 1)))
-    every = marked.withColumn("part", F.pmod(F.xxhash64("c"), "parts"))
+        before = left
+        lists, left, size = _mixed(_moved(lists.drop("most"), tops))
+        # All pairs that are left are few, or further rounds would hardly make them fewer.
+        if left <= FEW_PAIRS * size or left > before * 7 / 8:
+            break
+    if not size:
+        return part
+    beside = lists.filter("root <> most").withColumn("part", F.explode(F.sequence(F.lit(0).cast("long"), F.col("parts") - 1)))
+    every = lists.withColumn("part", F.pmod(F.xxhash64("c"), "parts"))
     pairs = _sides(beside, every, ["key", "part"], [*full, "most"]).filter((F.col("root1") != F.col("root2")) & ((F.col("root2") == F.col("most2")) | (F.col("root1") < F.col("root2"))) & _possible(percent, True))
     return _moved(part, _merged(_verified(pairs, sets, tried, percent)))
 
 
-def _mixed(lists: DataFrame) -> DataFrame:
-    """The lists that hold several components."""
-    several = lists.groupBy("key").agg(F.min("root").alias("r0"), F.max("root").alias("r1")).filter("r0 <> r1").select("key")
-    return lists.join(stored(several, "several"), "key", "left_semi")
+def _mixed(lists: DataFrame) -> tuple[DataFrame, int, int]:
+    """The lists that hold several components, with the largest of them (most); the number of pairs of a class beside it with
+    any class of the list; and the number of rows."""
+    lists = stored(lists, "lists")
+    sizes = lists.groupBy("key", "root").agg(F.count("*").alias("k")).groupBy("key").agg(F.count("*").alias("roots"), F.sum("k").alias("k"), F.max("k").alias("top"), F.max_by("root", F.struct("k", "root")).alias("most"))
+    several = stored(sizes.filter("roots > 1").select("key", "most", "k", (F.col("k") * (F.col("k") - F.col("top"))).cast("double").alias("left")), "several")
+    left, size = several.agg(F.coalesce(F.sum("left"), F.lit(0.0)), F.coalesce(F.sum("k"), F.lit(0))).first()
+    return stored(lists.join(several.select("key", "most"), "key"), "mixed"), left, size
 
 
 def _classes(docs: DataFrame, id_col: str, text_col: str, k: int) -> DataFrame:

@@ -113,3 +113,22 @@ def test_names_of_hot_rows(spark, monkeypatch):
     names = jaccard.stored(spark.createDataFrame([(i, 10 * i) for i in range(8)], "root long, top long"), "t")
     got = {r.x: r.top for r in named(rows, names, "root").collect()}
     assert got == {i: 10 * (i % 5) if i < 20 else 70 for i in range(40)} | {40: None}
+
+
+def test_lists_of_one_class_end_where_they_are_gathered(spark, monkeypatch):
+    """Copies in several slices share all their shingles, but are one class: none of these goes on to the later joins."""
+    first, keep = {}, jaccard.stored
+
+    def kept(df, what, **kw):
+        first.setdefault(what, out := keep(df, what, **kw))
+        return out
+
+    monkeypatch.setattr(jaccard, "stored", kept)
+    monkeypatch.setattr(jaccard, "scratch", lambda spark: __import__("contextlib").nullcontext())
+    monkeypatch.setattr(jaccard, "SLICE", 600)
+    texts = [" ".join(f"w{i}x{j}" for j in range(60)) for i in range(10)]
+    rows = [(30 * k + i, t) for k in range(3) for i, t in enumerate(texts)] + [(900, texts[0] + " more"), (901, texts[0] + " words")]
+    got = {r.doc_id: (r.n_shingles, r.component_id) for r in jaccard.join(spark.createDataFrame(rows, "doc_id long, text string").repartition(4)).collect()}
+    assert got == brute(rows)
+    sizes = [r["count"] for r in first["lists"].groupBy("key").count().collect()]
+    assert sizes and min(sizes) > 1
