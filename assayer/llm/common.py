@@ -2,7 +2,6 @@
 
 from __future__ import annotations
 
-import ctypes
 from collections.abc import Iterator
 
 import numpy as np
@@ -11,9 +10,9 @@ import pyarrow.compute as pc
 from pyspark.sql import DataFrame, SparkSession
 from pyspark.sql import functions as F
 
-from ..operators.storage import scratch, shared_dir, stored
+from ..operators.storage import release, scratch, shared_dir, stored
 
-__all__ = ["scratch", "shared_dir", "stored"]
+__all__ = ["release", "scratch", "shared_dir", "stored"]
 
 #: Texts are handled in slices of about this many bytes, so that a task's memory doesn't follow the batch size.
 SLICE_BYTES = 4 << 20
@@ -51,16 +50,6 @@ def groups_for(docs: DataFrame, per_split: int = 16) -> int:
     return max(64, per_split * docs.rdd.getNumPartitions())
 
 
-_TRIM = getattr(ctypes.CDLL(None), "malloc_trim", None)
-
-
-def release() -> None:
-    """Gives freed memory back. Python workers live on through many tasks, and would else hold what the largest slice took."""
-    pa.default_memory_pool().release_unused()
-    if _TRIM is not None:
-        _TRIM(0)
-
-
 def slices(batches: Iterator[pa.RecordBatch], max_bytes: int = SLICE_BYTES) -> Iterator[pa.RecordBatch]:
     """Cuts batches (with a text column) where about max_bytes of text are reached; a single long text stays whole."""
     for batch in batches:

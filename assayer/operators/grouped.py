@@ -14,6 +14,8 @@ from pyspark.sql import functions as F
 BROADCAST_ROWS = 500_000
 #: About as many chunks and questions meet in a cell. A larger collection is dealt into several parts and blocks.
 PART_CHUNKS, BLOCK_QUERIES = 1 << 14, 1 << 11
+#: Pairs up to which a Best isn't pruned; beyond, it holds at most twice what its questions may keep.
+LEAST_HELD = 1 << 13
 
 
 def small(df: DataFrame) -> DataFrame:
@@ -24,7 +26,7 @@ class Best:
     """The k best chunks of each question over many batches, and those whose score is no further than slack from the k-th."""
 
     def __init__(self, k: int, slack: float | np.ndarray):
-        self.k, self.slack, self.held, self.floor = k, slack, [], np.zeros(0)
+        self.k, self.slack, self.held, self.size, self.kept, self.floor = k, slack, [], 0, 0, np.zeros(0)
 
     def add(self, scores: np.ndarray, ids: pa.Array, over: float = -np.inf, who: np.ndarray | None = None) -> None:
         """scores: of questions (all, or those numbered in who) by chunks; only those above `over` count."""
@@ -37,8 +39,12 @@ class Best:
             self.floor = np.concatenate([self.floor, np.full(last - len(self.floor), -np.inf)])
         floor = np.maximum(floor, self.floor[:last] if who is None else self.floor[who])
         i, j = np.nonzero((scores >= floor[:, None]) & (scores > over))
-        self.held.append((i if who is None else who[i], ids.take(pa.array(j)), scores[i, j]))
-        if sum(len(x[0]) for x in self.held) > max(1 << 14, 4 * self.k * len(scores)):
+        if not len(i):
+            return
+        # Numbers of questions in four bytes; a task holds two of these for each collection.
+        self.held.append(((i if who is None else who[i]).astype(np.int32), ids.take(pa.array(j)), scores[i, j]))
+        self.size += len(i)
+        if self.size > max(LEAST_HELD, 2 * self.k * len(scores), 2 * self.kept):
             self._prune()
 
     def _prune(self) -> None:
@@ -55,6 +61,7 @@ class Best:
         self.floor[i[enough]] = score[enough] - (self.slack[i[enough]] if np.ndim(self.slack) else self.slack)
         keep = (n - same < self.k) & (score >= score[last] - (self.slack[i] if np.ndim(self.slack) else self.slack))
         self.held = [(i[keep], ids.take(pa.array(order[keep])), score[keep])]
+        self.size = self.kept = int(keep.sum())
 
     def rows(self, names: list[str], questions: pa.Array, collection: pa.Scalar | None = None) -> Iterator[pa.RecordBatch]:
         if self.held:

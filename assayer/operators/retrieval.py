@@ -23,7 +23,7 @@ from pyspark.sql import functions as F
 from ..functions.numeric import clamp, py_round
 from ..functions.text import LOWERED, STOP_WORDS, joined_phrase, token_coverage, token_phrase, tokenize
 from .grouped import BROADCAST_ROWS, Best, met, small
-from .storage import scratch, small_batches, stored
+from .storage import release, scratch, small_batches, stored
 
 #: Query vectors held at once in a task; more are taken in further passes.
 QUERY_BLOCK = 4096
@@ -183,6 +183,7 @@ def _count(chunks: DataFrame, groups: dict[str | None, _Asked], number: dict[byt
                 n[-2:] += len(lengths), lengths.sum()
         for c, n in held.items():
             yield pa.RecordBatch.from_arrays([pa.array([c] * len(n), pa.string()), pa.array(np.arange(len(n))), pa.array(n)], ["c", "at", "n"])
+        release()
 
     columns = [x for x in ("collection", "text") if x in chunks.columns]
     told = chunks.select(columns).mapInArrow(run, "c string, at long, n long").groupBy("c", "at").agg(F.sum("n").alias("n")).toArrow()
@@ -236,12 +237,15 @@ def _here(asked: DataFrame, chunks: DataFrame, k: int, block: int, k1: float = 1
                             part = part.filter(pc.is_valid(part.column("vec")))
                             if part.num_rows:
                                 best[c][1].add(_cosines(g.vectors, _vectors(part)), part.column("chunk_id"), who=g.at)
-            for c, (terms, vectors) in best.items():
+            # What has been passed on is let go, and an idle worker holds none of it.
+            for c in list(best):
+                terms, vectors = best.pop(c)
                 for which, x in (("raw", terms), ("sim", vectors)):
                     for r in x.rows(["q", "c", which], groups[c].ids):
                         no = pa.nulls(r.num_rows, pa.float64())
                         scores = [r.column(2), no] if which == "raw" else [no, r.column(2)]
                         yield pa.RecordBatch.from_arrays([*[pa.repeat(pa.scalar(c, pa.string()), r.num_rows) for _ in by], r.column(0), r.column(1), *scores], [*by, "query_id", "chunk_id", "raw", "sim"])
+            release()
 
         one = chunks.mapInArrow(run, f"{'collection string, ' if by else ''}query_id {kind}, chunk_id {key}, raw double, sim double")
         found = one if found is None else found.unionByName(one)

@@ -2,6 +2,7 @@
 
 from __future__ import annotations
 
+import ctypes
 import re
 import tempfile
 import threading
@@ -9,9 +10,9 @@ import uuid
 from collections.abc import Iterator
 from contextlib import contextmanager
 
+import pyarrow as pa
 from pyspark.sql import DataFrame, SparkSession
 
-
 #: Bytes of an Arrow batch, where texts are long.
 BATCH_BYTES = 4 << 20
 
@@ -26,6 +27,16 @@ def small_batches(df: DataFrame) -> DataFrame:
     return df
 
 
+_TRIM = getattr(ctypes.CDLL(None), "malloc_trim", None)
+
+
+def release() -> None:
+    """Gives freed memory back. Python workers live on through many tasks, and would else hold what the largest slice took."""
+    pa.default_memory_pool().release_unused()
+    if _TRIM is not None:
+        _TRIM(0)
+
+
 def shared_dir(spark: SparkSession) -> str:
     """The folder that the driver and all executors share. Where the session names none, a local one; but only where
     driver and executors are one process."""

@@ -2,10 +2,12 @@
 
 import random
 
+import numpy as np
+import pyarrow as pa
 import pytest
 from pyspark.sql import functions as F
 
-from assayer.operators import chunking, embedding, inverted, lab, retrieval, storage, tables
+from assayer.operators import chunking, embedding, grouped, inverted, lab, retrieval, storage, tables
 from assayer.plans import registry
 from assayer.sources import uploads
 
@@ -61,6 +63,19 @@ def test_chunks_are_scored_where_they_are_read_within_collections(spark, monkeyp
     assert got == {tuple(r) for r in retrieval.retrieve(asked, chunks, 4, mode).collect()} and len(got) == 3 * 5 * 4
 
 
+def test_a_task_holds_at_most_twice_what_its_questions_keep():
+    rng = np.random.default_rng(3)
+    best, scores = grouped.Best(40, 0.0), rng.random((200, 6000))
+    for a in range(0, 6000, 50):
+        best.add(scores[:, a : a + 50], pa.array(range(a, a + 50)))
+        assert sum(len(x[0]) for x in best.held) <= 2 * 40 * 200
+    got = {}
+    for b in best.rows(["q", "c", "s"], pa.array(range(200))):
+        for q, c in zip(b["q"].to_pylist(), b["c"].to_pylist(), strict=True):
+            got.setdefault(q, set()).add(c)
+    assert got == {q: set(np.argsort(-scores[q])[:40].tolist()) for q in range(200)}
+
+
 def test_all_modes_read_the_chunks_once(spark):
     seen = spark.sparkContext.accumulator(0)
 
