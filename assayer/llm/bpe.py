@@ -1,13 +1,16 @@
 """Byte-level BPE encoding and decoding by tree concatenation.
 
-A text is halved down to leaves. Leaves are cut into the pieces of the vocabulary's pre-tokenizer, in parallel, and
+A text is halved down to leaves. Leaves are cut into the pieces of the vocabulary's pre-tokenizer, each for itself, and
 neighbours are joined up the tree: a window of pieces around the join is cut anew, and grows until it begins where the left
 side has a break that what follows can't move, and breaks off where the right side does too. From a common break on both
 go on alike, as the pattern never looks back; so the joined pieces are those of the whole.
 
-Pieces are encoded by merges, each distinct one once. One too long for a leaf (text without any break) is halved in the
-same way, and a window of tokens around each join is encoded anew, until its first token is the left side's and its last
-the right side's own. A token sequence is a BPE encoding exactly if each two neighbours are, so the joined sequence is the
+Tasks run beside each other, and within a task leaves come one after another: threads that share an interpreter spend more
+on handing it over than the leaves cost.
+
+Pieces are encoded by merges, each distinct one once, and new ones of one length together. One too long for a leaf (text
+without any break) is halved in the same way, and a window of tokens around each join is encoded anew, until its first token
+is the left side's and its last the right side's own. A token sequence is a BPE encoding exactly if each two neighbours are, so the joined sequence is the
 encoding of the whole: tokens outside the window keep their neighbours, and those at its edges have agreed.
 """
 
@@ -17,9 +20,10 @@ import hashlib
 import heapq
 import json
 import re
+from collections import defaultdict
 from collections.abc import Iterator
-from concurrent.futures import ThreadPoolExecutor
 
+import numpy as np
 import pyarrow as pa
 import regex
 import unicodedata
@@ -34,8 +38,11 @@ PATTERN = r"'s|'t|'re|'ve|'m|'ll|'d| ?\p{L}+| ?\p{N}+| ?[^\s\p{L}\p{N}]+|\s+(?!\
 LEAF = 4096
 #: Pieces from the end that a text going on may change: a match looks at two characters behind it and at three at least.
 UNSURE = 4
-#: Encoded pieces that a worker remembers.
-REMEMBERED = 200_000
+#: Encoded pieces that a worker remembers, beside those of the texts at hand (about so many bytes).
+REMEMBERED = 300_000
+AT_ONCE = 1 << 20
+#: Pieces of one length, from so many on, are merged as the rows of a matrix if they have at most so many bytes.
+FEW, WIDE = 32, 64
 _NEVER = 1 << 30
 
 
@@ -73,6 +80,30 @@ def _strangers() -> dict[int, str]:
     return out
 
 
+def _spelled_out(stand_in: dict[int, str]) -> re.Pattern:
+    """PATTERN with its classes spelled out up to U+FFFF, strangers in their right ones: the standard engine has no such
+    classes, and takes less than half the time."""
+    codes = [c for c in range(0x10000) if not 0xD800 <= c < 0xE000]
+    every = "".join(stand_in.get(c, chr(c)) for c in codes)
+
+    def members(kind: str) -> str:
+        runs: list[list[int]] = []
+        for m in regex.finditer(kind, every):
+            c = codes[m.start()]
+            if runs and runs[-1][1] == c - 1:
+                runs[-1][1] = c
+            else:
+                runs.append([c, c])
+        return "".join(f"\\u{a:04x}-\\u{b:04x}" for a, b in runs)
+
+    s, l, n = members(r"\s"), members(r"\p{L}"), members(r"\p{N}")  # noqa: E741
+    return re.compile(rf"'(?:[stmd]|re|ve|ll)| ?(?:[{l}]++|[{n}]++|[^{s}{l}{n}]++)|[{s}]+(?![^{s}])|[{s}]++")
+
+
+def _packed(ids: list[int]) -> bytes:
+    return np.array(ids, np.int32).tobytes()
+
+
 class Encoder:
     """Encodes and decodes as the vocabulary file's own library does, without special tokens added around a text."""
 
@@ -91,48 +122,59 @@ class Encoder:
         #: What two tokens merge into; the smaller, the earlier.
         self.merges = {(vocab[as_bytes(a)], vocab[as_bytes(b)]): i for i, (a, b) in enumerate(merged, 256)}
         self.byte = [vocab[bytes([i])] for i in range(256)]
-        size = max([*vocab.values(), *self.special.values()]) + 1
+        self.size = size = max([*vocab.values(), *self.special.values()]) + 1
         self.bytes_of = [b""] * size
         for t, i in [*vocab.items(), *((t.encode(), i) for t, i in self.special.items())]:
             self.bytes_of[i] = t
         self.decimal = [b"%d," % i for i in range(size)]
+        # The same for arrays: sorted keys of two tokens.
+        self.byte_ids = np.array(self.byte, np.int32)
+        pairs = sorted((a * size + b, i) for (a, b), i in self.merges.items())
+        self.keys, self.values = np.array(pairs, np.int64).reshape(-1, 2).T.copy()
+        self.values = self.values.astype(np.int32)
         self.pattern = regex.compile(PATTERN)
         self.split = re.compile("|".join(map(re.escape, sorted(self.special, key=len, reverse=True)))) if self.special else None
         self.stand_in = _strangers()
-        self.strange = frozenset(map(chr, self.stand_in))
+        self.spelled_out = _spelled_out(self.stand_in)
         self.leaf = leaf
-        self.known: dict[str, list[int]] = {}
-        self.pool: ThreadPoolExecutor | None = None
+        #: Ids of pieces, 32 bits each.
+        self.known: dict[str, bytes] = {}
 
     def __getstate__(self):
         raise TypeError("made where it is used")
 
     def encode(self, text: str) -> list[int]:
-        out: list[int] = []
+        return self.encode_all([text])[0].tolist()
+
+    def encode_all(self, texts: list[str]) -> list[np.ndarray]:
+        """The ids of each text; pieces that no text had before are merged together."""
+        parts = [self.parts(t) for t in texts]
+        if len(self.known) > REMEMBERED:
+            self.known.clear()
+        known = self.known
+        known.update((t, _packed([i])) for t, i in self.special.items())
+        new = list(set().union(*parts).difference(known))
+        known.update(zip(new, self.merge_all([p.encode() for p in new]), strict=True))
+        out = [np.frombuffer(b"".join(map(known.__getitem__, p)), np.int32) for p in parts]
+        for p in new:
+            if len(p) >= 64:
+                del known[p]
+        return out
+
+    def parts(self, text: str) -> list[str]:
+        """The pieces, and the special tokens between them (no piece is spelled like one: it would have been found)."""
+        out: list[str] = []
         at = 0
         for m in self.split.finditer(text) if self.split else ():
-            self._encode(text[at : m.start()], out)
-            out.append(self.special[m[0]])
+            out += self.pieces(text[at : m.start()])
+            out.append(m[0])
             at = m.end()
-        self._encode(text[at:] if at else text, out)
-        return out
-
-    def _encode(self, text: str, out: list[int]) -> None:
-        known = self.known
-        for p in self.pieces(text):
-            ids = known.get(p)
-            if ids is None:
-                ids = self.piece(p.encode())
-                if len(known) >= REMEMBERED:
-                    known.clear()
-                if len(p) < 64:
-                    known[p] = ids
-            out += ids
+        return out + self.pieces(text[at:]) if at else self.pieces(text)
 
     def cut(self, text: str) -> list[str]:
         """The pre-tokenizer's pieces in one go."""
-        if text.isascii() or self.strange.isdisjoint(text):
-            return self.pattern.findall(text, concurrent=True)
+        if text.isascii() or len(text.encode("utf-16-le")) == 2 * len(text):
+            return self.spelled_out.findall(text)
         found, at = [], 0
         for p in self.pattern.findall(text.translate(self.stand_in)):
             found.append(text[at : at + len(p)])
@@ -140,17 +182,13 @@ class Encoder:
         return found
 
     def _tree(self, whole, one, join) -> list:
-        """Halves down to leaves, one() of each, and join() of neighbours; each level in parallel."""
+        """Halves down to leaves, one() of each, and join() of neighbours, level by level."""
         leaves = [whole]
         while max(map(len, leaves)) > self.leaf:
             leaves = [h for x in leaves for h in (x[: len(x) // 2], x[len(x) // 2 :])]
-        if len(leaves) == 1:
-            return one(whole)
-        if self.pool is None:
-            self.pool = ThreadPoolExecutor(2)
-        row = list(self.pool.map(one, leaves))
+        row = list(map(one, leaves))
         while len(row) > 1:
-            row = list(self.pool.map(join, row[0::2], row[1::2]))
+            row = list(map(join, row[0::2], row[1::2]))
         return row[0]
 
     def pieces(self, text: str) -> list[str]:
@@ -179,6 +217,55 @@ class Encoder:
         """Encodes one piece of the pre-tokenizer, of any length."""
         return self._tree(raw, self.merge, self.join)
 
+    def merge_all(self, raws: list[bytes]) -> list[bytes]:
+        """piece() of each, 32 bits an id. Those of one length are rows of a matrix, and a round merges one place of each row,
+        the one that merge() would take; rows that have none left are done."""
+        of_length: dict[int, list[int]] = defaultdict(list)
+        for i, raw in enumerate(raws):
+            of_length[len(raw)].append(i)
+        out = [b""] * len(raws)
+        for n, rows in of_length.items():
+            if n > min(WIDE, self.leaf) or len(rows) < FEW:
+                for i in rows:
+                    out[i] = _packed(self.piece(raws[i]))
+                continue
+            ids = self.byte_ids[np.frombuffer(b"".join(map(raws.__getitem__, rows)), np.uint8)].reshape(-1, n)
+            into, at = self.into(ids[:, :-1], ids[:, 1:]), np.array(rows)
+            while True:
+                done = into.min(1, initial=_NEVER) == _NEVER
+                packed, width = ids[done].tobytes(), 4 * ids.shape[1]
+                for k, i in enumerate(at[done].tolist()):
+                    out[i] = packed[k * width : (k + 1) * width]
+                if done.all():
+                    break
+                ids, into, at = ids[~done], into[~done], at[~done]
+                ids, into = self._merge_rows(ids, into, into.argmin(1))
+        return out
+
+    def _merge_rows(self, ids: np.ndarray, into: np.ndarray, place: np.ndarray) -> tuple[np.ndarray, np.ndarray]:
+        """Each row's tokens at its place and behind it become one; with that, what it merges into with its neighbours."""
+        row = np.arange(len(ids))
+        ids[row, place] = low = into[row, place]
+        stay = np.ones(ids.shape, bool)
+        stay[row, place + 1] = False
+        ids = ids[stay].reshape(len(row), -1)
+        stay = np.ones(into.shape, bool)
+        stay[row, place] = False
+        into = into[stay].reshape(len(row), -1)
+        r = np.flatnonzero(place > 0)
+        into[r, place[r] - 1] = self.into(ids[r, place[r] - 1], low[r])
+        r = np.flatnonzero(place < into.shape[1])
+        into[r, place[r]] = self.into(low[r], ids[r, place[r] + 1])
+        return ids, into
+
+    def into(self, a: np.ndarray, b: np.ndarray) -> np.ndarray:
+        """What tokens a and b merge into, or _NEVER."""
+        if not len(self.keys):
+            return np.full(a.shape, _NEVER, np.int32)
+        key = a.astype(np.int64) * self.size + b
+        at = np.minimum(np.searchsorted(self.keys, key), len(self.keys) - 1)
+        return np.where(self.keys[at] == key, self.values[at], np.int32(_NEVER))
+
     def merge(self, raw: bytes) -> list[int]:
         """Merges a leaf: of all neighbours the earliest merge first, and the leftmost of its places."""
         ids, get = list(map(self.byte.__getitem__, raw)), self.merges.get
@@ -253,9 +340,10 @@ def encode(docs: DataFrame, id_col: str = "doc_id", text_col: str = "text", voca
 
     def run(batches: Iterator[pa.RecordBatch]) -> Iterator[pa.RecordBatch]:
         bpe = encoder(path)
-        for part in slices(batches):
-            ids = [bpe.encode(t or "") for t in part.column("text").to_pylist()]
-            yield pa.RecordBatch.from_arrays([part.column("doc_id"), pa.array(ids, pa.list_(pa.int32()))], ["doc_id", "ids"])
+        for part in slices(batches, AT_ONCE):
+            ids = bpe.encode_all([t or "" for t in part.column("text").to_pylist()])
+            ends = pa.array(np.cumsum([0, *map(len, ids)]), pa.int32())
+            yield pa.RecordBatch.from_arrays([part.column("doc_id"), pa.ListArray.from_arrays(ends, pa.array(np.concatenate(ids)))], ["doc_id", "ids"])
         bpe.known.clear()
 
     return id_text(docs, id_col, text_col).mapInArrow(run, "doc_id long, ids array<int>")
@@ -282,10 +370,9 @@ def round_trip(docs: DataFrame, id_col: str = "doc_id", text_col: str = "text",
     def run(batches: Iterator[pa.RecordBatch]) -> Iterator[pa.RecordBatch]:
         bpe = encoder(path)
         sha = lambda b: hashlib.sha256(b).hexdigest()
-        for part in slices(batches):
+        for part in slices(batches, AT_ONCE):
             n, of_ids, of_text = [], [], []
-            for t in part.column("text").to_pylist():
-                ids = bpe.encode(t or "")
+            for ids in map(np.ndarray.tolist, bpe.encode_all([t or "" for t in part.column("text").to_pylist()])):
                 n.append(len(ids))
                 of_ids.append(sha(b"".join(map(bpe.decimal.__getitem__, ids))[:-1]))
                 of_text.append(sha(bpe.decode_bytes(ids)))
