@@ -38,9 +38,9 @@ PATTERN = r"'s|'t|'re|'ve|'m|'ll|'d| ?\p{L}+| ?\p{N}+| ?[^\s\p{L}\p{N}]+|\s+(?!\
 LEAF = 4096
 #: Pieces from the end that a text going on may change: a match looks at two characters behind it and at three at least.
 UNSURE = 4
-#: Encoded pieces that a worker remembers, beside those of the texts at hand (about so many bytes).
+#: Encoded pieces that a worker remembers, beside those of the texts at hand: about so many bytes, of a longer text so many pieces.
 REMEMBERED = 300_000
-AT_ONCE = 1 << 20
+AT_ONCE, PIECES = 1 << 20, 1 << 17
 #: Pieces of one length, from so many on, are merged as the rows of a matrix if they have at most so many bytes.
 FEW, WIDE = 32, 64
 _NEVER = 1 << 30
@@ -147,8 +147,14 @@ class Encoder:
         return self.encode_all([text])[0].tolist()
 
     def encode_all(self, texts: list[str]) -> list[np.ndarray]:
-        """The ids of each text; pieces that no text had before are merged together."""
+        """The ids of each text; of a long one, which should be alone, a run of pieces at a time."""
         parts = [self.parts(t) for t in texts]
+        if len(parts) > 1 or not parts or len(parts[0]) <= PIECES:
+            return self._ids(parts)
+        return [np.concatenate([self._ids([parts[0][k : k + PIECES]])[0] for k in range(0, len(parts[0]), PIECES)])]
+
+    def _ids(self, parts: list[list[str]]) -> list[np.ndarray]:
+        """The ids of each list of pieces; those that none had before are merged together."""
         if len(self.known) > REMEMBERED:
             self.known.clear()
         known = self.known

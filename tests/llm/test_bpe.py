@@ -84,9 +84,18 @@ def test_new_pieces_are_merged_together(library, monkeypatch):
     assert [x.tolist() for x in mine.encode_all(texts)] == every
     assert len(single) < len(mine.known) / 10
     monkeypatch.setattr(bpe, "REMEMBERED", 10)
+    monkeypatch.setattr(bpe, "PIECES", 50)
     assert [mine.encode(t) for t in texts] == every
 
 
+def test_pieces_of_a_long_text_are_not_all_remembered(library, monkeypatch):
+    monkeypatch.setattr(bpe, "REMEMBERED", 1000)
+    monkeypatch.setattr(bpe, "PIECES", 500)
+    mine, t = bpe.Encoder(bpe.default_vocabulary()), " ".join(f"{i:x}" for i in range(20_000))
+    assert mine.encode(t) == library.encode(t, add_special_tokens=False).ids
+    assert len(mine.known) <= 1000 + 500 + len(mine.special)
+
+
 def test_rows_merge_as_single_pieces():
     mine, rnd = bpe.encoder(bpe.default_vocabulary()), random.Random(4)
     for kind in (b"a", b"ab", b" then", bytes(range(256))):
