@@ -6,7 +6,8 @@ from pyspark.sql import DataFrame, Window
 from pyspark.sql import functions as F
 
 from ..functions.numeric import f1, py_round, ratio
-from . import chunking, retrieval
+from . import chunking, embedding, retrieval
+from . import grid as grids
 from .evaluation import hits, identities, wanted
 from .grouped import small
 from .reports import mean4
@@ -88,7 +89,8 @@ def chunking_ablation(gold: DataFrame, pages: DataFrame, embedder, sizes: list[i
 
     Each cell of the grid is a collection: one plan cuts, indexes, searches and scores all of them, each by its own statistics.
     Chunks are made where they are read, not stored: they are the grid times as large as the pages. All cells share a page's
-    units; of the chunks found only the pages are cut again. Cells without chunks have no row."""
+    units; of the chunks found only the pages are cut again. With embedding.embed itself they share a page's tokens as well
+    (grid.hybrid()). Cells without chunks have no row."""
     cells = [(f"{s}/{o}", s, o) for s in sizes or CHUNK_SIZES for o in overlaps or OVERLAPS if o < s]
     variants = gold.sparkSession.createDataFrame([(seq, *c) for seq, c in enumerate(cells)], "seq int, collection string, chunk_size int, overlap int")
 
@@ -99,12 +101,17 @@ def chunking_ablation(gold: DataFrame, pages: DataFrame, embedder, sizes: list[i
         return chunking.chunk_grid(own.drop("_key"), cells)
 
     with scratch(gold.sparkSession):
-        chunks = chunking.chunk_grid(pages, cells)
-        asked = variants.select("collection").crossJoin(stored(embedder(probe_queries(gold), "query"), "probes"))
-        found = stored(retrieval.retrieve(asked, embedder(chunks), top_k, mode, **({"texts": some} if mode == "hybrid" else {})), "found")
-        cell = gold.sparkSession.createDataFrame([(0, top_k, threshold)], "seq int, top_k int, threshold double")
-        rows = score_probes(probes(gold, found, some(found)), cell, ["mode", "collection"]).drop("seq")
-        counts = stored(chunking.grid_counts(pages, cells), "counts")
+        asked, cell = probe_queries(gold), gold.sparkSession.createDataFrame([(0, top_k, threshold)], "seq int, top_k int, threshold double")
+        if embedder is embedding.embed and mode == "hybrid" and grids.fits(asked, cells):
+            found, n = grids.hybrid(asked, pages, cells, top_k)
+            sources = found.select("collection", "chunk_id", "source_doc").distinct()
+            found = found.drop("source_doc")
+            counts = gold.sparkSession.createDataFrame(list(n.items()), "collection string, indexed_chunks long")
+        else:
+            asked = variants.select("collection").crossJoin(stored(embedder(asked, "query"), "probes"))
+            found = stored(retrieval.retrieve(asked, embedder(chunking.chunk_grid(pages, cells)), top_k, mode, **({"texts": some} if mode == "hybrid" else {})), "found")
+            sources, counts = some(found), stored(chunking.grid_counts(pages, cells), "counts")
+        rows = score_probes(probes(gold, found, sources), cell, ["mode", "collection"]).drop("seq")
         rows = stored(rows.join(F.broadcast(variants), "collection").join(F.broadcast(counts), "collection").drop("collection"), "grid", keep=True)
     return rows.orderBy(F.desc("balanced_accuracy"), F.desc("retrieval_recall_at_k"), F.desc("mrr"), "seq")
 

@@ -193,12 +193,18 @@ def _count(chunks: DataFrame, groups: dict[str | None, _Asked], number: dict[byt
     for c, i, x in zip(who, at, n, strict=True):
         totals[c][i] = x
     for c, g in groups.items():
-        df, chunks_, length = totals[c][:-2], totals[c][-2], totals[c][-1]
-        g.mean = max(1.0, length / chunks_ if chunks_ else 0.0)
-        weight = g.n * np.log(1 + (chunks_ - df + 0.5) / (df + 0.5))[g.term]
-        order = np.argsort(g.term, kind="stable")
-        g.weights = g.query[order], weight[order], np.searchsorted(g.term[order], np.arange(len(g.own) + 1))
-        g.most = np.bincount(g.query, weight * (k1 + 1), len(g.ids))
+        _weighed(g, totals[c], k1)
+
+
+def _weighed(g: _Asked, total: np.ndarray, k1: float) -> _Asked:
+    """g, with its terms weighed. total: of each the chunks that have it; behind them all chunks, and the sum of their lengths."""
+    df, chunks, length = total[:-2], total[-2], total[-1]
+    g.mean = max(1.0, length / chunks if chunks else 0.0)
+    weight = g.n * np.log(1 + (chunks - df + 0.5) / (df + 0.5))[g.term]
+    order = np.argsort(g.term, kind="stable")
+    g.weights = g.query[order], weight[order], np.searchsorted(g.term[order], np.arange(len(g.own) + 1))
+    g.most = np.bincount(g.query, weight * (k1 + 1), len(g.ids))
+    return g
 
 
 def _here(asked: DataFrame, chunks: DataFrame, k: int, block: int, k1: float = 1.5, b: float = 0.75) -> DataFrame:
@@ -456,11 +462,15 @@ def _depth(k: int, lexical_candidates: int = 40) -> int:
     return max(3 * k, k, lexical_candidates)
 
 
+def _fused(d: DataFrame, x: DataFrame, pair: list[str], rrf_k: int) -> DataFrame:
+    both = d.withColumnRenamed("rank", "dense_rank").join(x.withColumnRenamed("rank", "lexical_rank"), pair, "full_outer")
+    return both.withColumn("fused", rrf(F.col("dense_rank"), F.col("lexical_rank"), rrf_k)).fillna(0.0, ["dense_score", "lexical_score"])
+
+
 def _merged(d: DataFrame, x: DataFrame, queries: DataFrame, chunks: DataFrame, k: int, by: list[str], dense_weight: float = 0.6, rerank_weight: float = 0.2, rrf_k: int = 60, texts: Callable[[DataFrame], DataFrame] | None = None) -> DataFrame:
     """As hybrid_topk(), from both lists."""
     pair = [*by, "query_id", "chunk_id"]
-    both = d.withColumnRenamed("rank", "dense_rank").join(x.withColumnRenamed("rank", "lexical_rank"), pair, "full_outer")
-    both = stored(both.withColumn("fused", rrf(F.col("dense_rank"), F.col("lexical_rank"), rrf_k)).fillna(0.0, ["dense_score", "lexical_score"]), "merged")
+    both = stored(_fused(d, x, pair, rrf_k), "merged")
     # Of the candidates alone the texts are cut into tokens, each once; a text meets all its questions, so it is moved once at most.
     own = small(both.groupBy(*by, "chunk_id").agg(F.collect_list(F.struct("query_id", "dense_score", "lexical_score", "fused")).alias("_c")))
     some = chunks if texts is None else texts(both.select(*by, "chunk_id").distinct())
@@ -471,7 +481,7 @@ def _merged(d: DataFrame, x: DataFrame, queries: DataFrame, chunks: DataFrame, k
     return _top(scored.select(*pair, "dense_score", "lexical_score", "rerank_score"), k, [*by, "query_id"], "rerank_score")
 
 
-def _retrieved(found: DataFrame, mode: str, by: list[str]) -> DataFrame:
+def _retrieved(found: DataFrame, mode: str, by: list[str], *more: str) -> DataFrame:
     null = F.lit(None).cast("double")
     if mode == "dense":
         out = found.withColumns({"similarity": F.col("dense_score"), "lexical_score": null, "rerank_score": F.col("dense_score")})
@@ -479,7 +489,7 @@ def _retrieved(found: DataFrame, mode: str, by: list[str]) -> DataFrame:
         out = found.withColumns({"similarity": F.col("lexical_score"), "dense_score": null, "rerank_score": F.col("lexical_score")})
     else:
         out = found.withColumn("similarity", F.col("rerank_score"))
-    return out.select(*by, "query_id", "chunk_id", "similarity", "rank", "dense_score", "lexical_score", "rerank_score", F.lit(mode).alias("retrieval_method"))
+    return out.select(*by, "query_id", "chunk_id", "similarity", "rank", "dense_score", "lexical_score", "rerank_score", F.lit(mode).alias("retrieval_method"), *more)
 
 
 def retrieve(queries: DataFrame, chunks: DataFrame, k: int, mode: str = "dense", **kw) -> DataFrame:

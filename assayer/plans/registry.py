@@ -972,6 +972,6 @@ def chunking_ablation(spark, sf_dir):
     with storage.scratch(spark):
         pages = indexed_pages(spark, sf_dir)
         gold = storage.stored(document_cases(spark, sf_dir, pages), "cases")
-        rows = lab.chunking_ablation(gold, pages, lambda df, c="text": embedding.embed(df, c))
+        rows = lab.chunking_ablation(gold, pages, embedding.embed)
         rows = storage.stored(rows, "rows", keep=True)
     return rows.orderBy(F.desc("balanced_accuracy"), F.desc("retrieval_recall_at_k"), F.desc("mrr"), "chunk_size", "overlap")
