@@ -179,7 +179,7 @@ class Postings:
         place, many = np.arange(len(self.terms)), self._opened
         first, last = np.repeat(place, many), np.repeat(place, self._closed)
         row = self._first[first] + np.arange(len(first)) - np.repeat(np.cumsum(many) - many, many)
-        return row, self.terms[first], (last - first + 1).astype(float)
+        return row, self.terms[first].astype(np.int64), (last - first + 1).astype(float)
 
 
 def _rising(spans: np.ndarray) -> np.ndarray:
@@ -219,10 +219,11 @@ def _read(pages: DataFrame, cells: list[Cell], asked: retrieval._Asked, number:
                 codes.clear()
             page = b.column("page").to_pylist()
             r = _Read([t.decode("utf-8", "replace") for t in b.column("text").cast(pa.binary()).to_pylist()], cells, codes)
+            own = r.terms.astype(kind)
             for c in range(len(cells)):
                 spans = r.spans[r.cell(c)]
                 told[c, -2:] += len(spans), spans[:, 2].sum()
-                told[c, :-2] += Postings(r.terms, *spans[_rising(spans), :2].T).df(len(number))
+                told[c, :-2] += Postings(own, *spans[_rising(spans), :2].T).df(len(number))
                 if asked.vectors is not None and len(spans):
                     ids, vectors, size = _ids(page, r.counts[:, c]), retrieval._unit(r.vectors(c)), max(1, most // len(asked.ids))
                     for a in range(0, len(spans), size):
@@ -262,7 +263,7 @@ def _scored(read: DataFrame, cells: list[Cell], asked: list[retrieval._Asked], k
                 size = max(1, most // len(g.ids))
                 for a in range(0, len(own), size):
                     s = own[a : a + size]
-                    row, term, tf = Postings(terms[s[0, 0] : s[-1, 1]].astype(np.int64), s[:, 0] - s[0, 0], s[:, 1] - s[0, 0]).rows()
+                    row, term, tf = Postings(terms[s[0, 0] : s[-1, 1]], s[:, 0] - s[0, 0], s[:, 1] - s[0, 0]).rows()
                     if len(row):
                         best[c].add(retrieval._raw(len(g.ids), *g.weights, row, term, tf, s[:, 2], g.mean, k1, b), ids.slice(a, size), 0.0)
         for c, found in enumerate(best):

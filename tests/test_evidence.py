@@ -1,7 +1,9 @@
 import random
+from types import SimpleNamespace
 
 from hypothesis import given, settings
 from hypothesis import strategies as st
+from pyspark.sql import functions as F
 
 from assayer.operators import evidence
 
@@ -63,3 +65,33 @@ def test_no_nested_loop(spark, tmp_path):
     finally:
         evidence.stored = keep
     assert seen and not any("NestedLoop" in p or "Cartesian" in p for p in seen)
+
+
+def test_runs_are_found_by_their_words():
+    runs = [SimpleNamespace(kind=k, run=r, a=i) for i, (k, r) in enumerate([(2, "a b"), (1, "é"), (2, "b a"), (3, "a b a")])]
+    at, a = evidence._Runs(runs).found([t.encode().split(b" ") for t in ["a b a", "x a", "b é\xa0 é", "é", "aa b a b"]])
+    assert sorted(zip(at.tolist(), a.tolist(), strict=True)) == [(0, 0), (0, 2), (0, 3), (2, 1), (3, 1), (4, 0), (4, 2)]
+
+
+def test_no_hash_is_made_for_each_run_of_a_text(spark, monkeypatch):
+    seen = []
+    keep = evidence.stored
+    monkeypatch.setattr(evidence, "stored", lambda df, what, **kw: (seen.append((what, df._jdf.queryExecution().executedPlan().toString())), keep(df, what, **kw))[1])
+    assert found(spark, [(1, "a b c d e f")], [("d", "z a b c d e f"), ("e", "a b c d e")]) == [(1, "d")]
+    met = dict(seen)["met"]
+    assert "MapInArrow" in met and "xxhash64" not in met
+    # Beyond what is broadcast texts' runs are hashed and shuffled; pairs are the same.
+    monkeypatch.setattr(evidence, "BROADCAST_ROWS", 0)
+    assert found(spark, [(1, "a b c d e f")], [("d", "z a b c d e f"), ("e", "a b c d e")]) == [(1, "d")]
+    assert "xxhash64" in dict(seen)["met"]
+
+
+def test_lower_case_and_blanks_are_those_of_flat(spark):
+    """Every character that is not left to flat() itself, alone and among others; and some that are."""
+    every = [chr(c) for c in range(1, 0x180) if c != 0x130]
+    texts = [f"a{c}B{c} C" for c in every] + [f"{c} x{c}\t{c}Y" for c in every] + ["A\u2003b Σας ΣΑΣ K", "İ x y z", "\x1c A \x85 B\xa0C ", " "]
+    rows = spark.createDataFrame([(t,) for t in texts], "t string")
+    done = F.col("t").rlike(evidence._OTHER)
+    for r in rows.select("t", evidence.flat(F.col("t")).alias("f"), done.alias("done")).collect():
+        got = evidence._flat_words((r.f if r.done else r.t).encode(), r.done)
+        assert b" ".join(got) == r.f.encode() and r.done == any(c > "\u017f" or c == "İ" for c in r.t)
